@@ -53,3 +53,17 @@ def lookup(x: Column, mapping: dict, default=None) -> Column:
     for k, v in mapping.items():
         out = F.when(x == F.lit(k), F.lit(v)) if out is None else out.when(x == F.lit(k), F.lit(v))
     return out.otherwise(F.lit(default))
+
+
+def corr_of(x, y, over=None) -> Column:
+    """Pearson correlation over pairs with both values; null when either side is
+    flat (the built-in ``corr`` divides by zero there)."""
+    x, y = (F.col(v) if isinstance(v, str) else v for v in (x, y))
+    parts = [
+        F.covar_pop(x, y),
+        F.stddev_pop(F.when(y.isNotNull(), x)),
+        F.stddev_pop(F.when(x.isNotNull(), y)),
+    ]
+    if over is not None:
+        parts = [p.over(over) for p in parts]
+    return F.try_divide(parts[0], F.nullif(parts[1] * parts[2], F.lit(0.0)))

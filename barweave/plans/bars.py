@@ -26,9 +26,9 @@ def slice_range(spark, d):
     return B.slice_range(S.panel(spark, d), "1998-01-01", "1999-12-31")
 
 
-@query("range_coverage", "A2", "ticker:i first:d last:d overlaps:b covers:b", f"""
+@query("range_coverage", "A2", "ticker:i first:d last:d has_overlap:b covers:b", f"""
 WITH {PRICES} SELECT ticker, min(date) AS first, max(date) AS last,
- min(date) <= DATE '2001-11-20' AND max(date) >= DATE '1995-01-05' AS overlaps,
+ min(date) <= DATE '2001-11-20' AND max(date) >= DATE '1995-01-05' AS has_overlap,
  min(date) - DATE '1995-01-05' <= 5 AND DATE '2001-11-20' - max(date) <= 5 AS covers FROM prices GROUP BY ticker""")
 def range_coverage(spark, d):
     return B.range_coverage(S.panel(spark, d), "1995-01-05", "2001-11-20")

@@ -23,7 +23,7 @@ def range_coverage(bars: DataFrame, start: str, end: str, tolerance: int = 5) ->
         "ticker",
         "first",
         "last",
-        ((F.col("first") <= e) & (F.col("last") >= s)).alias("overlaps"),
+        ((F.col("first") <= e) & (F.col("last") >= s)).alias("has_overlap"),
         ((F.datediff(F.col("first"), s) <= tolerance) & (F.datediff(e, F.col("last")) <= tolerance)).alias("covers"),
     )
 
@@ -157,18 +157,16 @@ def align_ffill(bars: DataFrame, cols: list[str], backfill: bool = False) -> Dat
     Instead of crossing tickers with dates, each bar is stretched over the dates
     up to the ticker's next bar, so only result rows are ever made.
     """
-    cal = calendar(bars)
-    last = cal.agg(F.max("idx").alias("_last"))
+    cal = calendar(bars).withColumn("_last", F.max("idx").over(Window.partitionBy(F.lit(1))))
     w = W.by_key()
     stretched = (
         bars.join(F.broadcast(cal), "date")
-        .select("ticker", "idx", *cols, F.lead("idx").over(w).alias("_next"), F.row_number().over(w).alias("_rn"))
-        .join(F.broadcast(last))
+        .select("ticker", "idx", "_last", *cols, F.lead("idx").over(w).alias("_next"), F.row_number().over(w).alias("_rn"))
     )
     start = F.when((F.col("_rn") == 1) & F.lit(backfill), F.lit(1)).otherwise(F.col("idx"))
     end = F.coalesce(F.col("_next") - 1, F.col("_last"))
     grid = stretched.select("ticker", F.explode(F.sequence(start, end)).alias("idx"), F.col("idx").alias("_src"), *cols)
-    return grid.join(F.broadcast(cal), "idx").select("ticker", "date", *cols, (F.col("idx") != F.col("_src")).alias("filled"))
+    return grid.join(F.broadcast(cal.drop("_last")), "idx").select("ticker", "date", *cols, (F.col("idx") != F.col("_src")).alias("filled"))
 
 
 def continuous_contract(bars: DataFrame, root: str, contract: str, n: int = 5) -> DataFrame:
