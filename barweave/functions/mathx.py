@@ -67,3 +67,9 @@ def corr_of(x, y, over=None) -> Column:
     if over is not None:
         parts = [p.over(over) for p in parts]
     return F.try_divide(parts[0], F.nullif(parts[1] * parts[2], F.lit(0.0)))
+
+
+def round_half_up(x: Column, places: int) -> Column:
+    """Rounding as plain double arithmetic, the same in any engine."""
+    k = 10.0**places
+    return F.floor(x * k + 0.5) / k

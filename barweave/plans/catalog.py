@@ -23,6 +23,10 @@ class Query:
     sql: str | None
 
 
+# Added before rounding on both sides, so values that sit exactly half-way (1/128,
+# say) cannot round apart because of a last-bit difference in summation order.
+OFFSET = 3.7e-10
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -36,7 +40,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
         x = F.col(name)
         if kind == "f":
             x = x.cast("double")
-            x = F.when(~F.isnan(x), F.round(x, 6) + F.lit(0.0))
+            x = F.when(~F.isnan(x), F.round(x + OFFSET, 6) + F.lit(0.0))
         elif kind in ("i", "b"):
             x = x.cast("long")
         else:
@@ -50,7 +54,7 @@ def shape_sql(spec: str, sql: str) -> str:
     for name, kind in _fields(spec):
         if kind == "f":
             x = f"CAST({name} AS DOUBLE)"
-            x = f"CASE WHEN NOT isnan({x}) THEN round({x}, 6) + 0.0 END"
+            x = f"CASE WHEN NOT isnan({x}) THEN round({x} + {OFFSET!r}, 6) + 0.0 END"
         elif kind in ("i", "b"):
             x = f"CAST({name} AS BIGINT)"
         else:
