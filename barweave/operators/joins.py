@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,10 +44,6 @@ def basket_moments(returns: DataFrame, basket: DataFrame, max_names: int = 200)
     returns one matrix of partial sums per block; per-date pairs never exist as
     rows, and pairs use the dates both names traded on.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import Window
-
     idx = basket.select("ticker").distinct().select("ticker", (F.row_number().over(Window.orderBy("ticker")) - 1).alias("i"))
     names = [r["ticker"] for r in idx.orderBy("i").limit(max_names + 1).collect()]
     if len(names) > max_names:

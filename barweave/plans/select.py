@@ -370,8 +370,8 @@ def drawdown_multiplier(spark, d):
 
 
 @query("vol_scaled_book", "G16", K + "scaled_weight:f cut_weight:f", f"""
-WITH {SCORED}, {TW}, v AS (SELECT *, round(target_weight*least(0.15/greatest(coalesce(vol_20, 0.15), 0.05), 3), 12) AS s FROM tw),
-w AS (SELECT *, CASE WHEN sum(abs(s)) OVER (PARTITION BY date) > 0 THEN s/nullif(sum(abs(s)) OVER (PARTITION BY date), 0) ELSE 0 END AS scaled_weight FROM v)
+WITH {SCORED}, {TW}, v AS (SELECT *, round(target_weight*least(0.15/greatest(coalesce(vol_20, 0.15), 0.05), 3), 12) AS sv FROM tw),
+w AS (SELECT *, CASE WHEN sum(abs(sv)) OVER (PARTITION BY date) > 0 THEN sv/nullif(sum(abs(sv)) OVER (PARTITION BY date), 0) ELSE 0 END AS scaled_weight FROM v)
 SELECT ticker, date, scaled_weight, CASE WHEN vol_20 > 0.9 THEN scaled_weight*0.5 ELSE scaled_weight END AS cut_weight FROM w""")
 def vol_scaled_book(spark, d):
     b = G.vol_scaled_weights(target(spark, d), "target_weight", "vol_20")

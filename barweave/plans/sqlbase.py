@@ -30,8 +30,8 @@ trades AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS par
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 EQUITY = TRADES + """,
-daily AS (SELECT exit_date AS date, sum(pnl) AS pnl FROM trades GROUP BY exit_date),
-equity AS (SELECT date, pnl, 100000.0 + sum(pnl) OVER (ORDER BY date) AS equity FROM daily)"""
+daily AS (SELECT exit_date AS date, round(sum(pnl), 4) AS pnl FROM trades GROUP BY exit_date),
+equity AS (SELECT date, pnl, round(100000.0 + sum(pnl) OVER (ORDER BY date), 4) AS equity FROM daily)"""
 
 NEWS = """
 lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
@@ -152,15 +152,14 @@ def trades(spark: SparkSession, sf_dir: str, regime: bool = False) -> DataFrame:
 
 
 def equity_curve(trade_log: DataFrame, initial: float = 100_000.0) -> DataFrame:
-    """Initial capital plus the running daily profit, one row per exit date."""
-    daily = trade_log.groupBy("exit_date").agg(F.sum("pnl").alias("pnl"))
-    from pyspark.sql import Window
-
+    """Initial capital plus the running daily profit, one row per exit date; money is
+    kept to four decimals."""
+    daily = trade_log.groupBy("exit_date").agg(F.round(F.sum("pnl"), 4).alias("pnl"))
     # one row per calendar date: a single ordered series is bounded by the calendar
     w = Window.partitionBy("acct").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return (
         daily.select(F.lit(1).alias("acct"), F.col("exit_date").alias("date"), "pnl")
-        .withColumn("equity", F.lit(initial) + F.sum("pnl").over(w))
+        .withColumn("equity", F.round(F.lit(initial) + F.sum("pnl").over(w), 4))
     )
 
 
