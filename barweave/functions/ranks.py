@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.mathx import corr_of
+from barweave.session import cut_lineage
 
 RANGES = 32
 # Groups up to this many rows sort comfortably inside one task.  A caller who has
@@ -119,13 +120,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, flo
     return got.select(*keys, *picks)
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", min_n: int = 2, few: bool = False, bound: int | None = None) -> DataFrame:
-    """Rank correlation per group over rows where both values are present."""
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", min_n: int = 2, few: bool = False, bound: int | None = None, cut: bool = True) -> DataFrame:
+    """Rank correlation per group over rows where both values are present.
+
+    The range path reads its narrow input several times, so ``cut`` first writes it
+    to the shared folder once instead of replaying the plan above it.
+    """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     if small(bound):
         ranked = average_rank(average_rank(both, keys, x, "_rx", bound=bound), keys, y, "_ry", bound=bound)
         g = ranked.groupBy(*keys).agg(corr_of("_rx", "_ry").alias("_ic"), F.count(F.lit(1)).alias("n"))
         return g.select(*keys, F.when(F.col("n") >= min_n, F.col("_ic")).alias(out), "n")
+    if cut:
+        both = cut_lineage(both)
     # pairs collapse first, so the rank joins see each (x, y) once
     pairs = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
     ranks = []

@@ -12,6 +12,7 @@ from barweave.functions import windows as W
 from barweave.functions.mathx import corr_of
 from barweave.functions.ranks import average_rank, exact_quantiles, spearman, value_positions
 from barweave.operators.metrics import one_row
+from barweave.session import cut_lineage
 
 
 def forward_columns(bars: DataFrame, lags) -> DataFrame:
@@ -38,13 +39,14 @@ def ic_decay(df: DataFrame, x: str, lags, skip_neutral: bool = False, min_n: int
 
 def long_pairs(df: DataFrame, xs: list[str], lags) -> DataFrame:
     cells = [F.struct(F.lit(x).alias("feature"), F.lit(k).alias("lag"), F.col(x).alias("x"), F.col(f"fwd_{k}").alias("y")) for x in xs for k in lags]
-    return df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    narrow = cut_lineage(df.select(*xs, *[f"fwd_{k}" for k in lags]))
+    return narrow.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
 
 
 def rank_ic_decay(df: DataFrame, x: str, lags) -> DataFrame:
     """Pooled rank IC per lag.  Lags are few but each holds every row, so ranks are
     by value range."""
-    return spearman(long_pairs(df, [x], lags), ["lag"], "x", "y", "ic", 10, few=True).select("lag", F.coalesce("ic", F.lit(0.0)).alias("ic"), "n")
+    return spearman(long_pairs(df, [x], lags), ["lag"], "x", "y", "ic", 10, few=True, cut=False).select("lag", F.coalesce("ic", F.lit(0.0)).alias("ic"), "n")
 
 
 def best_horizon(decay: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def daily_rank_ic(df: DataFrame, x: str, y: str, bound: int | None = None, min_n
 def feature_ic_decay(df: DataFrame, xs: list[str], lags, short: int = 5) -> DataFrame:
     """Pooled rank IC per feature and lag, with a flag for features whose strongest
     lag is a short one."""
-    ic = spearman(long_pairs(df, xs, lags), ["feature", "lag"], "x", "y", "ic", 10, few=True)
+    ic = spearman(long_pairs(df, xs, lags), ["feature", "lag"], "x", "y", "ic", 10, few=True, cut=False)
     best = ic.groupBy("feature").agg(F.max_by("lag", F.struct(F.abs("ic"), -F.col("lag"))).alias("best_lag"))
     return ic.join(F.broadcast(best), "feature").withColumn("short_horizon", F.col("best_lag") <= short)
 
@@ -143,7 +145,7 @@ def low_redundancy(df: DataFrame, xs: list[str], limit: float = 0.5) -> DataFram
 def select_by_ic(df: DataFrame, xs: list[str], y: str, strong=0.02, relaxed=0.01, min_strong=5, min_relaxed=3) -> DataFrame:
     """Features with |rank IC| above a threshold that relaxes when too few pass."""
     cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("x"), F.col(y).alias("y")) for x in xs]))
-    ic = spearman(df.select(cells.alias("s")).select("s.*"), ["feature"], "x", "y", "ic", 3, few=True)
+    ic = spearman(cut_lineage(df.select(*xs, y)).select(cells.alias("s")).select("s.*"), ["feature"], "x", "y", "ic", 3, few=True, cut=False)
     n = ic.agg(F.count_if(F.abs("ic") > strong).alias("_s"), F.count_if(F.abs("ic") > relaxed).alias("_r"))
     thr = F.when(F.col("_s") >= min_strong, strong).when(F.col("_r") >= min_relaxed, relaxed).otherwise(0.0)
     j = ic.withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
@@ -154,8 +156,8 @@ def metric_triple(df: DataFrame, score: str, y: str, keys: list[str] = ()) -> Da
     """Rank IC, share of equal signs and AUC.  The AUC is the rank sum of the up
     class, from counts per distinct score; nothing is ranked row by row."""
     keys = list(keys)
-    ok = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-    ic = spearman(ok, keys, score, y, "ic", 3, few=True)
+    ok = cut_lineage(df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*keys, score, y))
+    ic = spearman(ok, keys, score, y, "ic", 3, few=True, cut=False)
     acc = ok.groupBy(*keys).agg(F.avg(F.when(F.signum(score) == F.signum(y), 1.0).otherwise(0.0)).alias("accuracy"))
     pos = value_positions(ok, keys, score, few=True)
     ups = ok.groupBy(*keys, score).agg(F.count_if(F.col(y) > 0).alias("_up"))

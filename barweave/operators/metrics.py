@@ -193,7 +193,7 @@ def curve_series(equity: DataFrame, n: int = 252, short: int = 60) -> DataFrame:
         sd = F.nullif(W.roll_std("r", k, m, "acct", "date", ddof), F.lit(0.0))
         return W.safe_div(W.roll_mean("r", k, m, "acct"), sd) * ROOT
 
-    return e.withColumns({"curve": F.col("equity") / first * 100_000.0, "sharpe_252": sharpe(n, n, 0), "sharpe_60": sharpe(short, short // 2, 1)})
+    return e.withColumns({"curve": F.round(F.col("equity") / first * 100_000.0, 4), "sharpe_252": sharpe(n, n, 0), "sharpe_60": sharpe(short, short // 2, 1)})
 
 
 def sharpe_by_regime(equity: DataFrame, regimes: DataFrame) -> DataFrame:

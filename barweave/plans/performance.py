@@ -140,7 +140,7 @@ def rsh(k, m, dd):
 
 
 @query("curve_and_rolling_sharpe", "J12", "date:d curve:f sharpe_252:f sharpe_60:f", f"""
-WITH {ER}, a AS (SELECT *, 1 AS acct FROM er) SELECT date, equity/first_value(equity) OVER (ORDER BY date)*100000 AS curve, {rsh(252, 252, 'stddev_pop')} AS sharpe_252, {rsh(60, 30, 'stddev_samp')} AS sharpe_60 FROM a""")
+WITH {ER}, a AS (SELECT *, 1 AS acct FROM er) SELECT date, round(equity/first_value(equity) OVER (ORDER BY date)*100000, 4) AS curve, {rsh(252, 252, 'stddev_pop')} AS sharpe_252, {rsh(60, 30, 'stddev_samp')} AS sharpe_60 FROM a""")
 def curve_and_rolling_sharpe(spark, d):
     return M.curve_series(eq(spark, d))
 
