@@ -57,7 +57,9 @@ def csv_table_scan(spark, d):
     return files.read_keyed_csv(spark, path, {"sector": "string"})
 
 
-@query("report_sinks", "A5", "format:s n_rows:i total:f")
+@query("report_sinks", "A5", "format:s n_rows:i total:f", """
+WITH p AS (SELECT l_suppkey, sum(l_extendedprice*(l_discount - l_tax)) AS pnl FROM lineitem GROUP BY 1)
+SELECT f AS format, count(*) AS n_rows, round(sum(pnl), 2) AS total FROM p, (VALUES ('csv'), ('json'), ('parquet')) v(f) GROUP BY f""")
 def report_sinks(spark, d):
     rep = S.trades(spark, d).groupBy("ticker").agg(F.sum("pnl").alias("pnl"))
     out = []
@@ -65,7 +67,7 @@ def report_sinks(spark, d):
         path = run_dir(spark, fmt)
         files.write_report(rep, path, fmt)
         back = files.read_report(spark, path, fmt, rep.schema)
-        out.append(back.agg(F.lit(fmt).alias("format"), F.count(F.lit(1)).alias("n_rows"), F.sum("pnl").alias("total")))
+        out.append(back.agg(F.lit(fmt).alias("format"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("pnl"), 2).alias("total")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -89,7 +91,9 @@ def signal_payload_explode(spark, d):
     return files.explode_payload(files.build_payload(latest, ["side", "score"]), {"side": "string", "score": "double"})
 
 
-@query("jsonl_log_scan", "A8", "run_date:d ticker:i side:s qty:f")
+@query("jsonl_log_scan", "A8", "run_date:d ticker:i side:s qty:f", """
+WITH t AS (SELECT CAST(ts AS DATE) AS run_date, user_id AS ticker, arg_max(event_type, event_id) AS side, sum(value) AS qty, max(ts) AS ts FROM events GROUP BY 1, 2)
+SELECT run_date, ticker, side, qty FROM t QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) = 1""")
 def jsonl_log_scan(spark, d):
     path = run_dir(spark, "jsonl")
     t = S.ticks(spark, d).groupBy(F.to_date("ts").alias("run_date"), "ticker").agg(
