@@ -20,6 +20,14 @@ from barweave.functions.ranks import average_rank, exact_quantiles
 from barweave.sources.bars import align_ffill, calendar
 
 
+# A spread below this is rounding noise of equal values and counts as flat.
+FLAT = 1e-12
+
+
+def spread(sd: Column) -> Column:
+    return F.when(sd > FLAT, sd)
+
+
 def date_moments(df: DataFrame, cols: list[str], ddof: int = 1) -> DataFrame:
     sd = F.stddev_samp if ddof else F.stddev_pop
     return df.groupBy("date").agg(
@@ -33,7 +41,7 @@ def cs_zscore(df: DataFrame, cols: list[str], ddof: int = 1, suffix: str = "_z",
     j = df.join(F.broadcast(date_moments(df, cols, ddof)), "date", "left")
     out = {}
     for c in cols:
-        z = W.safe_div(F.col(c) - F.col(f"_mean_{c}"), F.nullif(F.col(f"_sd_{c}"), F.lit(0.0)))
+        z = W.safe_div(F.col(c) - F.col(f"_mean_{c}"), spread(F.col(f"_sd_{c}")))
         out[c + suffix] = z if fill is None else F.coalesce(z, F.lit(fill))
     return j.withColumns(out).drop(*[f"_{p}_{c}" for p in ("mean", "sd") for c in cols])
 
@@ -44,7 +52,7 @@ def cs_zscore_all(df: DataFrame) -> DataFrame:
     j = df.join(F.broadcast(date_moments(df, cols)), "date", "left")
     z = {}
     for c in cols:
-        sd = F.coalesce(F.nullif(F.col(f"_sd_{c}"), F.lit(0.0)), F.lit(1.0))
+        sd = F.coalesce(spread(F.col(f"_sd_{c}")), F.lit(1.0))
         z[f"{c}_cs_z"] = (F.col(c) - F.col(f"_mean_{c}")) / sd
     return j.withColumns(z).drop(*[f"_{p}_{c}" for p in ("mean", "sd") for c in cols])
 

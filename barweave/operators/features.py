@@ -95,10 +95,8 @@ def rolling_pct_ranks(rets: DataFrame) -> DataFrame:
     rows.  Volatility is ranked at 10 decimals: equal frames may differ in the last
     bit."""
     out = rets.withColumns({"ret_20d": W.pct_change("close", 20), "vol_20": W.ann_vol("r", 20, 10)})
-    return out.withColumns({
-        "mom_rank_63": W.pct_rank_last("ret_20d", 63, 20),
-        "vol_percentile": W.pct_rank_last(F.round("vol_20", 10), 252, 20),
-    })
+    out = out.withColumn("_v", F.round("vol_20", 10))
+    return W.add_pct_rank(out, {"mom_rank_63": ("ret_20d", 63, 20), "vol_percentile": ("_v", 252, 20)}).drop("_v")
 
 
 def trailing_zscores(bars: DataFrame) -> DataFrame:
@@ -231,7 +229,7 @@ def vix_style_zscores(market: DataFrame, vol_col: str = "vix", long_col: str = "
 
 
 def smooth(scored: DataFrame, x: str, span: int, out: str = "smoothed_score") -> DataFrame:
-    return scored.withColumn(out, W.ewm_mean(x, span, min(3, span)))
+    return W.add_ewm(scored, x, span, min(3, span), out)
 
 
 # Confidence label to position multiplier.
@@ -279,7 +277,7 @@ def momentum_rank(bars: DataFrame) -> DataFrame:
     """Six-month momentum skipping the last 21 rows, ranked in its own 252 rows."""
     out = bars.withColumn("mom_6m", W.pct_change("close", 126))
     out = out.withColumn("cs_mom", W.lag("mom_6m", 21))
-    return out.withColumn("mom_rank_252", W.pct_rank_last("cs_mom", 252, 60))
+    return W.add_pct_rank(out, {"mom_rank_252": ("cs_mom", 252, 60)})
 
 
 def vol_target_factor(vol, target=0.15, floor=0.05, cap=3.0):

@@ -23,7 +23,7 @@ SIGMA_MULT = {"Bull": 1.0, "Sideways": 1.1, "Bear": 1.25, "Crisis": 1.5}
 def name_regime(rets: DataFrame) -> DataFrame:
     """Per-name trend and volatility regime and their product score."""
     out = moving_averages(rets, 10, 40).withColumn("vol_20", W.ann_vol("r", 20, 10))
-    out = out.withColumn("vol_pct", W.pct_rank_last(F.round("vol_20", 10), 252, 20))
+    out = W.add_pct_rank(out.withColumn("_v", F.round("vol_20", 10)), {"vol_pct": ("_v", 252, 20)}).drop("_v")
     c, f, s = F.col("close"), F.col("ma_50"), F.col("ma_200")
     bull, bear = (c > f) & (c > s) & (f > s), (c < f) & (c < s) & (f < s)
     sign = F.when(bull, 1.0).when(bear, -1.0).otherwise(0.0)

@@ -75,7 +75,7 @@ def smoothing_sweep(scored: DataFrame, x: str, fwd: str, spans: list[int]) -> Da
     """IC of the score under several smoothing spans, one pass of ewm columns."""
     from barweave.functions.mathx import corr_of
 
-    s = scored.withColumns({f"_s{k}": W.ewm_mean(x, k, min(3, k)) for k in spans})
+    s = reduce(lambda d, k: W.add_ewm(d, x, k, min(3, k), f"_s{k}"), spans, scored)
     cells = [F.struct(F.lit(k).alias("span"), F.count(F.col(f"_s{k}") + F.col(fwd)).alias("n"), corr_of(f"_s{k}", fwd).alias("ic")).alias(f"c{k}") for k in spans]
     return s.agg(*cells).select(F.explode(F.array(*[f"c{k}" for k in spans])).alias("s")).select("s.*")
 

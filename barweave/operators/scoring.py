@@ -135,4 +135,5 @@ def market_sentiment(df: DataFrame, news: str) -> DataFrame:
 
 def score_percentile(rets: DataFrame) -> DataFrame:
     """Volatility percentile input of the thresholds."""
-    return rets.withColumn("vol_percentile", W.pct_rank_last(F.round("vol_20", 10), 252, 20))
+    d = rets.withColumn("_v", F.round("vol_20", 10))
+    return W.add_pct_rank(d, {"vol_percentile": ("_v", 252, 20)}).drop("_v")

@@ -35,7 +35,7 @@ def range_coverage(spark, d):
 
 
 @query("merge_history", "A3", OHLCV + " src:i", """
-WITH l AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, 100*(1 - l_discount + l_tax) AS p, l_quantity AS q,
+WITH l AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(100*(1 - l_discount + l_tax), 2) AS p, l_quantity AS q,
   row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k,
   CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS src FROM lineitem),
 b AS (SELECT ticker, date, src, arg_min(p,k) AS open, max(p) AS high, min(p) AS low, arg_max(p,k) AS close, sum(q) AS volume

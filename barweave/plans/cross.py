@@ -28,7 +28,8 @@ def x20(spark, d):
 
 
 def zd(x, dd="stddev_samp"):
-    return f"({x} - avg({x}) OVER (PARTITION BY date)) / nullif({dd}({x}) OVER (PARTITION BY date), 0)"
+    sd = f"{dd}({x}) OVER (PARTITION BY date)"
+    return f"({x} - avg({x}) OVER (PARTITION BY date)) / CASE WHEN {sd} > 1e-12 THEN {sd} END"
 
 
 def callag(src, cols, fill=None, suffix="_lag"):
@@ -55,7 +56,7 @@ NUM = ["open", "high", "low", "close", "volume"]
 
 
 @query("cross_section_zscore_all", "D3", K + " ".join(f"{c}_cs_z:f" for c in NUM), f"""
-WITH {PRICES} SELECT ticker, date, {', '.join(f"({c} - avg({c}) OVER d) / coalesce(nullif(stddev_samp({c}) OVER d, 0), 1) AS {c}_cs_z" for c in NUM)}
+WITH {PRICES} SELECT ticker, date, {', '.join(f"({c} - avg({c}) OVER d) / CASE WHEN stddev_samp({c}) OVER d > 1e-12 THEN stddev_samp({c}) OVER d ELSE 1 END AS {c}_cs_z" for c in NUM)}
 FROM prices WINDOW d AS (PARTITION BY date)""")
 def cross_section_zscore_all(spark, d):
     return X.cs_zscore_all(bars(spark, d))

@@ -2,7 +2,7 @@
 
 PRICES = """
 raw AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date,
-  100*(1 - l_discount + l_tax) AS p, l_quantity AS q, l_linestatus,
+  round(100*(1 - l_discount + l_tax), 2) AS p, l_quantity AS q, l_linestatus,
   row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k FROM lineitem),
 prices AS (SELECT ticker, date, arg_min(p, k) AS open, max(p) AS high, min(p) AS low,
   arg_max(p, k) AS close, sum(q) AS volume FROM raw GROUP BY ticker, date)"""

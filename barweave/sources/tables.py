@@ -23,12 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as price prints: ticker, date, price p, size q and a full-row
+    """Line items as price prints: ticker, date, price p in cents, size q and a full-row
     order key (order and line number alone repeat)."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"),
         F.to_date("l_shipdate").alias("date"),
-        (100 * (1 - F.col("l_discount") + F.col("l_tax"))).alias("p"),
+        F.round(100 * (1 - F.col("l_discount") + F.col("l_tax")), 2).alias("p"),
         F.col("l_quantity").alias("q"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("k"),
         "l_linestatus",
