@@ -109,6 +109,14 @@ def rank_kernel(n: int, m: int) -> Callable:
     return run
 
 
+def _per_array(kernel: Callable):
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([kernel(a) for a in v])
+
+    return run
+
+
 def add_kernels(df: DataFrame, kernels: dict[str, tuple[str, Callable]], key="ticker", order="date") -> DataFrame:
     """New columns from numpy kernels ``array -> list`` over each key's ordered rows.
 
@@ -120,12 +128,7 @@ def add_kernels(df: DataFrame, kernels: dict[str, tuple[str, Callable]], key="ti
     rest = [f for f in df.columns if f not in (key, order)]
     out = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("_h"))
     for name, (col, kernel) in kernels.items():
-
-        @F.pandas_udf("array<double>")
-        def run(v: pd.Series, kernel=kernel) -> pd.Series:
-            return pd.Series([kernel(a) for a in v])
-
-        out = out.withColumn(name, run(F.col(f"_h.{col}").cast("array<double>")))
+        out = out.withColumn(name, _per_array(kernel)(F.col(f"_h.{col}").cast("array<double>")))
     out = out.select(key, F.inline(F.arrays_zip("_h", *kernels)))
     return out.select(key, "_h.*", *kernels)
 
