@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
 from barweave.functions.mathx import corr_of
-from barweave.functions.ranks import average_rank, exact_quantiles
+from barweave.functions.ranks import average_rank, exact_quantiles, small
+from barweave.session import cut_lineage
 from barweave.sources.bars import align_ffill, calendar
 
 
@@ -91,12 +92,19 @@ def rank_then_row_lag(df: DataFrame, x: str, out: str, bound: int | None = None)
 
 def sector_relative(df: DataFrame, cols: list[str], bound: int | None = None) -> DataFrame:
     """Return minus the (date, sector) median, z-scored and lagged on the calendar."""
-    out = df
-    for c in cols:
-        # one row per date and sector
-        med = exact_quantiles(df, ["date", "sector"], c, {f"_med_{c}": 0.5}, bound=bound)
-        out = out.join(med, ["date", "sector"], "left").withColumn(f"{c}_rel", F.col(c) - F.col(f"_med_{c}")).drop(f"_med_{c}")
-    return zscore_then_lag(out, [f"{c}_rel" for c in cols])
+    return zscore_then_lag(minus_sector_median(df, cols, bound), [f"{c}_rel" for c in cols])
+
+
+def minus_sector_median(df: DataFrame, cols: list[str], bound: int | None = None) -> DataFrame:
+    keys, out = ["date", "sector"], df
+    if small(bound):
+        # groups proven small: all medians in one aggregate
+        meds = [df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_med_{c}") for c in cols])]
+    else:
+        meds = [exact_quantiles(df, keys, c, {f"_med_{c}": 0.5}) for c in cols]
+    for m in meds:
+        out = out.join(m, keys, "left")  # one row per date and sector
+    return out.withColumns({f"{c}_rel": F.col(c) - F.col(f"_med_{c}") for c in cols}).drop(*[f"_med_{c}" for c in cols])
 
 
 def vol_rank_feature(rets: DataFrame, exclude: DataFrame, bound: int | None = None) -> DataFrame:
@@ -168,9 +176,10 @@ def training_panel(matrix: DataFrame, sectors: DataFrame, macro: DataFrame, benc
     """Full training panel: sector-relative momentum, lagged ranks and z-scores,
     macro series and excess label.  Ablated features become 0."""
     p = matrix.join(sectors.select("ticker", "sector"), "ticker", "left").fillna("Other", subset=["sector"])
-    p = sector_relative(p, ["ret_20d"], bound)
+    # several cross-section branches read the per-ticker part: write it once
+    p = minus_sector_median(cut_lineage(p), ["ret_20d"], bound)
+    p = zscore_then_lag(p, ["ret_20d_rel", "rsi_14", "bb_position", "overnight_gap"])
     p = rank_then_row_lag(p, "vol_20d", "vol_rank", bound)
-    p = zscore_then_lag(p, ["rsi_14", "bb_position", "overnight_gap"])
     p = attach_macro(p, macro, ["vol_spike"])
     p = excess_forward(p, benchmark)
     return p.withColumns({c: F.lit(0.0) for c in ablate}) if ablate else p
