@@ -29,11 +29,15 @@ def headline_key(x: Column) -> Column:
 
 
 def dedupe_headlines(news: DataFrame, order: str = "doc_id") -> DataFrame:
-    """First item per headline key.  ``min_by`` combines map-side, so a third of all
-    rows being one copied headline costs a row per task."""
+    """First item per headline key, by a unique ``order`` column.
+
+    Only (key, order) goes through the aggregate, combined map-side, so a headline
+    copied a billion times is one row per task and texts never sit in its buffers;
+    the winners then fetch their rows by the unique column.
+    """
     k = headline_key(F.col("headline"))
-    rest = [c for c in news.columns]
-    return news.groupBy(F.xxhash64(k).alias("_h"), k.alias("_k")).agg(F.min_by(F.struct(*rest), F.col(order)).alias("n"), F.count(F.lit(1)).alias("copies")).select("n.*", "copies")
+    first = news.groupBy(k.alias("_k")).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies")).drop("_k")
+    return news.join(first, order)
 
 
 def label_value(label: Column) -> Column:

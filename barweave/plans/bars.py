@@ -88,7 +88,8 @@ def signal_payload_explode(spark, d):
     latest = t.groupBy(F.to_date("ts").alias("date"), "ticker").agg(
         F.max_by("side", "event_id").alias("side"), F.max_by("score", "event_id").alias("score")
     )
-    return files.explode_payload(files.build_payload(latest, ["side", "score"]), {"side": "string", "score": "double"})
+    names = latest.groupBy("date").count().agg(F.max("count")).first()[0] or 0
+    return files.explode_payload(files.build_payload(latest, ["side", "score"], names), {"side": "string", "score": "double"})
 
 
 @query("jsonl_log_scan", "A8", "run_date:d ticker:i side:s qty:f", """

@@ -39,13 +39,14 @@ def read_keyed_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> D
     return out
 
 
-def build_payload(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """One JSON document per date: ``{"<ticker>": {...}, ...}``.
+def build_payload(rows: DataFrame, fields: list[str], max_names: int, per_document: int = 5_000) -> DataFrame:
+    """JSON documents per date: ``{"<ticker>": {...}, ...}``.
 
-    Kept as one document per (date, ticker block): a day's names are split into
-    blocks by a hash of the ticker, so no task holds a whole day.
+    ``max_names`` is a measured limit on names per date; a day is split by a hash of
+    the ticker so that a document holds about ``per_document`` names at most.
     """
-    block = F.pmod(F.xxhash64("ticker"), F.lit(256))
+    blocks = max(1, -(-max_names // per_document))
+    block = F.pmod(F.xxhash64("ticker"), F.lit(blocks))
     entry = F.struct(F.col("ticker").cast("string").alias("key"), F.struct(*fields).alias("value"))
     return rows.groupBy("date", block.alias("block")).agg(
         F.to_json(F.map_from_entries(F.collect_list(entry))).alias("signals")
