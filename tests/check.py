@@ -20,7 +20,14 @@ def main(argv):
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     entry.queries()
     names = [n for n in QUERIES if not argv or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) or QUERIES[n].ops.split()[0].startswith(a) and a.isupper() for a in argv)]
-    spark, con = local_session(), connect(sf)
+    if os.environ.get("PLAIN"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g").getOrCreate()
+        names = [n for n in names if QUERIES[n].sql]
+    else:
+        spark = local_session()
+    con = connect(sf)
     bad = 0
     for n in names:
         q, t = QUERIES[n], time.time()
