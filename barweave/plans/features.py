@@ -84,7 +84,6 @@ def volatility_term_structure(spark, d):
     return X.vol_term_structure(rets(spark, d))
 
 
-V20 = f"v AS (SELECT ticker, date, close, volume, r, {roll('stddev_samp', 'r', 20, 10)} * sqrt(252) AS vol_20 FROM ret)"
 V20 = f"v0 AS (SELECT *, {roll('stddev_samp', 'r', 20, 10)} AS s20 FROM ret), v AS (SELECT *, s20 * sqrt(252) AS vol_20 FROM v0)"
 
 
@@ -325,7 +324,7 @@ def lognormal_params(spark, d):
     return X.lognormal_params(bars(spark, d))
 
 
-FM = RM.replace("ret.*", "ret.*") + f""",
+FM = RM + f""",
 f1 AS (SELECT *, {', '.join(f'{chg(k)} AS ret_{k}d' for k in (1, 5, 10, 20, 60))}, {chg(63)} AS mom_3m, {chg(126)} AS mom_6m,
   {roll('avg', 'close', 50, 1)} AS ma_50, {roll('avg', 'close', 200, 1)} AS ma_200,
   {', '.join(f"{roll('stddev_samp', 'r', n)} AS vol_{n}d" for n in (5, 20, 60))},

@@ -393,8 +393,6 @@ def ranking_stability(spark, d):
 
 # --- risk ------------------------------------------------------------------------
 
-VAR = """vr AS (SELECT c AS conf, -quantile_cont(r, 1 - c) AS hist_var FROM er, (VALUES (0.95::DOUBLE), (0.99::DOUBLE)) v(c) WHERE r IS NOT NULL GROUP BY c)"""
-
 
 @query("historical_var", "L1", "conf:f hist_var:f", f"WITH {ER} SELECT 0.95 AS conf, -quantile_cont(r, 0.05) AS hist_var FROM er UNION ALL SELECT 0.99, -quantile_cont(r, 0.01) FROM er")
 def historical_var(spark, d):
