@@ -68,3 +68,21 @@ def ordered(df: DataFrame, *keys: Column | str, label: str = "ordered") -> DataF
         .withColumn("_row", F.col("_start") + within)
         .drop("_part", "_start", "_at")
     )
+
+
+def bounded_batches(batches, column: str, most_bytes: int = 2_000_000, most_rows: int = 2000):
+    """Arrow batches cut into slices of about ``most_bytes`` of ``column`` (one value at
+    least), so what a task derives from texts in memory does not follow their length."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = held = 0
+        for i, n in enumerate(sizes):
+            if i > start and (held + n > most_bytes or i - start >= most_rows):
+                yield pa.RecordBatch.from_arrays([c.slice(start, i - start) for c in batch.columns], schema=batch.schema)
+                start, held = i, 0
+            held += n
+        if len(sizes) > start:
+            yield pa.RecordBatch.from_arrays([c.slice(start) for c in batch.columns], schema=batch.schema)
