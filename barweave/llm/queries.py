@@ -1,6 +1,6 @@
 """All queries of the subpackage, in one place."""
 
-from barweave.llm import mixing, nearest, packing, tokens, url_filter  # noqa: F401
+from barweave.llm import mixing, nearest, packing, quality, tokens, url_filter  # noqa: F401
 from barweave.llm.base import QUERIES
 
 __all__ = ["QUERIES"]
