@@ -15,6 +15,7 @@ found so far.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -41,24 +42,24 @@ SEED = 7
 SLACK = 1e-12
 
 
-def chi_square_quantile(p: float, m: int) -> float:
-    """By bisection on the series of the regularised incomplete gamma function."""
-    from math import exp, lgamma, log
-
-    def cdf(x: float) -> float:
-        a, h = m / 2, x / 2
-        term = total = 1 / a
-        n = a
-        while term > total * 1e-15:
-            n += 1
-            term *= h / n
-            total += term
-        return total * exp(-h + a * log(h) - lgamma(a))
+def chi_square_cdf(x: float, m: int) -> float:
+    """By the series of the regularised incomplete gamma function."""
+    a, h = m / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-15:
+        n += 1
+        term *= h / n
+        total += term
+    return total * exp(-h + a * log(h) - lgamma(a))
+
 
+def chi_square_quantile(p: float, m: int) -> float:
+    """By bisection."""
     low, high = 1e-9, 10.0 * m + 200
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid) < p else (low, mid)
+        low, high = (mid, high) if chi_square_cdf(mid, m) < p else (low, mid)
     return high
 
 
