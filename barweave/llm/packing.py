@@ -11,7 +11,8 @@ few tasks left.  Ids never move for this; only bin numbers are joined back.
 
 from __future__ import annotations
 
-import zlib
+import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,55 +30,110 @@ END_ID = 1
 OPEN_BINS = 512
 #: Tasks whose last open bins are packed together in each further round.
 FAN_IN = 64
-#: Distinct words whose ids one Python worker remembers; all are forgotten when it is full.
-REMEMBERED = 300_000
+#: Distinct words and parts of words whose ids one Python worker remembers; all are forgotten when it is full.
+REMEMBERED = 600_000
 #: ASCII separators that Python's split() takes for white space and the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+#: Words of printable ASCII and Latin letters whose small forms stay among them; how the splitter takes them apart.
+PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+")
+LETTER = r"a-z\u00df-\u00f6\u00f8-\u017f"
+PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^{LETTER}0-9]+")
+#: What the model file must say for words to be encoded on their own, and for plain words to be split as above.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers, equal to the library's.
 
     The model's normaliser and splitter never look across white space, so each
-    distinct word is encoded once and its bytes are joined.  Texts in which that
-    does not hold (a special token's string could span words only if it had white
-    space, which is checked; separators that count differently) go to the library whole.
+    distinct word is encoded once and its bytes are joined.  Plain words are split
+    here and only their parts reach the library's merges, without the normaliser's
+    cost; all other words take the library's whole path.  Where the model file is of
+    another kind, or white space counts differently, whole texts do.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
-        special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        both = self.model.encode("ab cd", add_special_tokens=False).ids
-        apart = [i for w in ("ab", "cd") for i in self.model.encode(w, add_special_tokens=False).ids]
-        self.by_word = both == apart and self.model.encode(" \n", add_special_tokens=False).ids == [] and not any(c.isspace() for s in special for c in s)
+        self.parts: dict[str, bytes] = {}
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocabulary = self.model.get_vocab()
+        self.by_word = (
+            (spec["normalizer"] or {}).get("normalizers") == NORMALISER
+            and [(x["type"], x.get("pattern")) for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])] == [("Split", {"Regex": SPLITTER}), ("ByteLevel", None)]
+            and spec["model"].get("end_of_word_suffix") == "</w>"
+            and not any(c.isspace() for t in self.special for c in t)
+        )
+        self.merges = Tokenizer(self.model.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.alphabet = _byte_letters()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merge(self, parts: list[str]) -> None:
+        """Ids of new parts; each ends with its only token that closes a word."""
+        for i in range(0, len(parts), 2000):
+            some = parts[i : i + 2000]
+            joined = " ".join(p.encode().decode("latin-1").translate(self.alphabet) for p in some)
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, cut = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(some, [0, *cut], cut, strict=False))
+            if len(cut) != len(some):
+                raise ValueError("a part has no closing token")
+
+    def _learn(self, words: set[str]) -> None:
+        plain, rest = [], []
+        for w in words:
+            if PLAIN.fullmatch(w) and not any(t in w for t in self.special):
+                plain.append((w, PART.findall(w.lower())))
+            else:
+                rest.append(w)
+        if new := {p for _, parts in plain for p in parts if p not in self.parts}:
+            self._merge(list(new))
+        get = self.parts.__getitem__
+        self.known.update((w, b"".join(map(get, parts))) for w, parts in plain)
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        cut: list[list[str] | None] = []
+        if len(self.known) + len(self.parts) > self.remembered:
+            self.known, self.parts = {}, {}
+        get = self.known.get
+        found: list[tuple[list[str], list[bytes | None]] | None] = []
         missing: set[str] = set()
         for t in texts:
             if t and (not self.by_word or any(c in t for c in NOT_SPACE)):
-                cut.append(None)
-            else:
-                cut.append(words := t.split() if t else [])
-                missing.update(set(words).difference(known))
+                found.append(None)
+                continue
+            words = t.split() if t else []
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update(w for w, i in zip(words, ids, strict=True) if i is None)
+            found.append((words, ids))
         if missing:
-            new = list(missing)
-            for i in range(0, len(new), 2000):
-                known.update(zip(new[i : i + 2000], self._encode(new[i : i + 2000]), strict=True))
-        whole = iter(self._encode([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in cut]
+            self._learn(missing)
+        get = self.known.__getitem__
+        whole = iter(self._encode([t for t, f in zip(texts, found, strict=True) if f is None]))
+        return [next(whole) if f is None else b"".join(map(get, f[0]) if None in f[1] else f[1]) for f in found]
 
 
 @cache
