@@ -1,6 +1,6 @@
 """All queries of the subpackage, in one place."""
 
-from barweave.llm import html_text, language, mixing, nearest, packing, quality, rules, tokens, url_filter  # noqa: F401
+from barweave.llm import html_text, language, mixing, near_dedup, nearest, packing, quality, rules, tokens, url_filter  # noqa: F401
 from barweave.llm.base import QUERIES
 
 __all__ = ["QUERIES"]
