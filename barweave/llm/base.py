@@ -48,6 +48,38 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a small table that is broadcast to look its values up; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def look_up(rows: DataFrame, values: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """``rows`` joined with one row of ``values`` per ``key``.
+
+    Up to a checked number of rows ``values`` is broadcast.  Beyond, it is repeated
+    ``salts`` times and each row meets one copy, so a key with a third of the rows is
+    spread over as many tasks, and a later sum per key combines before it is shuffled.
+    """
+    if values.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(values), key)
+    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")
+
+
+#: Most rows of a list of keys (16 bytes each) that is broadcast to keep or drop rows; longer ones are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def row_keys(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with two 64-bit hashes ``__k1`` and ``__k2`` of ``columns`` that tell nulls apart: equal rows have equal keys."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return df.withColumns({"__k1": F.xxhash64(F.lit(1), *parts), "__k2": F.xxhash64(F.lit(2), *parts)})
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``rows`` with ``keys`` (all columns of ``keys``), which is a stored table."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns, how)
+
+
 def ordered(df: DataFrame, *keys: Column | str, label: str = "ordered") -> DataFrame:
     """``df`` with a column ``_row``: the place (from 0, no gaps) of each row in the order of ``keys``.
 

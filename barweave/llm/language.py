@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.base import bounded_batches, query, stored, table
+from barweave.llm.base import bounded_batches, by_keys, query, row_keys, stored, table
 from barweave.llm.url_filter import lower_ascii, url_parts
 
 BUCKETS = 1 << 14
@@ -181,6 +181,18 @@ def document_records(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"declared": F.col("lang"), "host": lower_ascii(F.col("source"))})
 
 
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source), with all their columns, whose language is identified.
+
+    Rows with equal text, language and source are judged alike; those without a letter go.
+    """
+    keyed = row_keys(docs, "text", "lang", "source")
+    records = document_records(keyed.select("__k1", "__k2", "text", "lang", "source"))
+    judged = identify(records, fit(docs), ["__k1", "__k2"])
+    gone = stored(judged.where("not kept").select("__k1", "__k2").distinct(), "lang-gone")
+    return by_keys(keyed, gone, "left_anti").select(*docs.columns)
+
+
 @query("op6_identify_languages")
 def op6_identify_languages(spark, sf_dir):
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.base import WORD, ordered, query, table
+from barweave.llm.base import WORD, look_up, ordered, query, stored, table
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
@@ -86,14 +86,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     """
     own = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "rate", "copies"}]
     sized = docs.select(*own).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rates = source_rates(sized.select("source", "size"), weights, limit).withColumnRenamed("source", "_source")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("_key")
+    rates = stored(source_rates(sized.select("source", "size"), weights, limit).select(key, "source_size", "target", "rate"), "mix-rates")
     whole = F.floor("rate")
     extra = (_draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
-    return (
-        sized.join(rates, sized["source"].eqNullSafe(rates["_source"]), "left")
-        .withColumn("copies", (whole + extra).cast("long"))
-        .drop("_source")
-    )
+    return look_up(sized.withColumn("_key", key), rates, "_key").withColumn("copies", (whole + extra).cast("long")).drop("_key")
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

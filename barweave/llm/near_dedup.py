@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.base import bounded_batches, query, stored, table
+from barweave.llm.base import bounded_batches, by_keys, query, row_keys, stored, table
 from barweave.llm.components import components
 
-SHINGLE = 4
+#: Words of a shingle.
+SHINGLE = 5
 THRESHOLD = 80
 #: Signature values, orders, and values that neighbours must share.
 VALUES, TREES, DEPTH = 128, 32, 4
@@ -39,8 +40,6 @@ FIRST = 3
 AGREEMENT = 82
 #: Rows of a block of a region or class in one task.
 BLOCK = 1024
-#: Most rows of a table of candidates (24 bytes each) that is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(20_24)
 _A = (_RANDOM.integers(1, 2**63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -76,19 +75,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (_mix(low) >> np.uint64(40)).astype(np.uint16)
 
 
-def with_shingles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null without words), signature and the set itself."""
+def with_shingles(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
+    """``keys``, n_shingles, digest of the set (null without words), signature and the set itself."""
+    slim = docs.select(*keys, "text")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keys]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             full = [s.tobytes() for s in sets]
             digest = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in full]
             values = [signature(s).tobytes() if len(s) else None for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, values, full)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "signature", "shingles"])
+            columns = [*[batch.column(k) for k in keys], pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, values, full)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n_shingles", "digest", "signature", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, signature binary, shingles binary")
+    return slim.mapInArrow(work, ", ".join([*kinds, "n_shingles long, digest binary, signature binary, shingles binary"]))
 
 
 def _tree_rows(nodes: DataFrame) -> DataFrame:
@@ -155,14 +156,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held, keep, same)
 
 
-def _known(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` whose digest is in ``wanted`` (digest): by broadcast up to a checked number of them, else by a shuffle."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "digest", "left_semi")
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(digest, shingles), one row per wanted digest."""
-    return _known(docs.select("digest", "shingles"), wanted).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return by_keys(docs.select("digest", "shingles"), wanted, "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(a: bytes, b: bytes) -> bool:
@@ -273,17 +269,10 @@ def _class_links(asks: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFram
     return dealt.groupBy("unit").applyInPandas(work, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document (doc_id, text).
-
-    Two documents are linked when the Jaccard similarity of their sets of distinct
-    word shingles is 0.8 or more; component_id is the smallest doc_id that links reach.
-    Null and empty texts, and those of white space, have no shingles and no links.  Rows
-    that repeat, or share a doc_id, are copies like others; of rows that share the
-    smallest doc_id all are ``kept``.  A null doc_id counts as larger than any other.
-    An empty table gives an empty table.
-    """
-    read = stored(with_shingles(docs), "forest-docs")
+def classes(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
+    """``keys`` of ``docs`` (keys, text) with n_shingles and ``root``: equal for all documents that links join,
+    null for those without words."""
+    read = stored(with_shingles(docs, keys, size), "forest-docs")
     nodes = stored(read.where("digest is not null").groupBy("digest").agg(F.first("signature").alias("signature")), "forest-nodes")
     order = ["tree", "p1", "p2", "digest"]
     rows = _tree_rows(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -309,13 +298,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = roots.select("node", "root").unionAll(further.join(roots, further["root"] == roots["node"], "left_anti").select("root", "root"))
     roots = stored(roots.join(further, "root", "left").select(F.col("node").alias("digest"), F.coalesce("_to", "root").alias("_root")), "forest-roots")
 
-    placed = read.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left").withColumn("_root", F.coalesce("_root", "digest"))
-    placed = stored(placed.select("doc_id", "n_shingles", "_root"), "forest-placed")
-    least = placed.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("_least"))
-    out = placed.join(least, "_root", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
+    return stored(read.select(*keys, "n_shingles", "digest").join(roots, "digest", "left").select(*keys, "n_shingles", F.coalesce("_root", "digest").alias("root")), "forest-placed")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document (doc_id, text).
+
+    Two documents are linked when the Jaccard similarity of their sets of distinct
+    word shingles is 0.8 or more; component_id is the smallest doc_id that links reach.
+    Null and empty texts, and those of white space, have no shingles and no links.  Rows
+    that repeat, or share a doc_id, are copies like others; of rows that share the
+    smallest doc_id all are ``kept``.  A null doc_id counts as larger than any other.
+    An empty table gives an empty table.
+    """
+    placed = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], size)
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("_least"))
+    out = placed.join(least, "root", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (null last).
+
+    Rows without words have no duplicates and stay.  Of equal rows one stays.
+    """
+    keyed = row_keys(docs, "doc_id", "text")
+    keys = ["__k1", "__k2"]
+    placed = classes(keyed.select("doc_id", *keys, "text"), ["doc_id", *keys], size).where("root is not null")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
+    best = placed.groupBy("root").agg(F.min(first).alias("first"))
+    judged = placed.join(best, "root").select(*keys, ((F.col("first.__k1") == F.col("__k1")) & (F.col("first.__k2") == F.col("__k2"))).alias("best"))
+    counted = stored(judged.groupBy(*keys).agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n")), "forest-kept")
+    gone, several = stored(counted.where("not best").select(*keys), "forest-gone"), stored(counted.where("best and n > 1").select(*keys), "forest-several")
+    stay = by_keys(keyed, gone, "left_anti")
+    return by_keys(stay, several, "left_anti").unionAll(by_keys(stay, several, "left_semi").dropDuplicates(keys)).select(*docs.columns)
+
+
 @query("op1_near_duplicates")
 def op1_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.base import bounded_batches, query, stored, table
+from barweave.llm.base import BROADCAST_KEYS, bounded_batches, query, stored, table
 
 MODEL = "word_bpe_49k.json"
 SIZE = 4096
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, ope
     moves = _join_open_bins(placed.where("filled is not null").select("task", "bin", "filled"), size, open_bins, fan_in)
     pieces = placed.where("filled is null").withColumn("ids_crc32", F.crc32("ids"))
     return (
-        pieces.join(moves, ["task", "bin"], "left")
+        pieces.join(F.broadcast(moves) if moves.count() <= BROADCAST_KEYS else moves, ["task", "bin"], "left")
         .withColumn("sequence_id", F.coalesce("to_task", "task") * (1 << 40) + F.coalesce("to_bin", "bin"))
         .withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
         .select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm.base import bounded_batches, query, table
@@ -135,14 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int =
     return Voter(terms, rows["quality"].to_numpy(), latent, neighbours)
 
 
-def score_quality(docs: DataFrame, voter: Voter | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) added.
+def scorer(spark: SparkSession, voter: Voter | None):
+    """A function from a text column to scores between 0 and 1.
 
-    Only ``text`` is looked at.  A null text and one without words score 0, as nothing
-    speaks for them; without any labels (``voter`` None) every other text scores 0.5.
-    Columns of ``docs`` with an added name are replaced; rows, repeated ones too, stay.
+    A null text and one without words score 0, as nothing speaks for them; without any
+    labels (``voter`` None) every other text scores 0.5.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(voter)
+    shared = spark.sparkContext.broadcast(voter)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
@@ -153,9 +152,24 @@ def score_quality(docs: DataFrame, voter: Voter | None, threshold: float = THRES
             parts.append(np.where(terms.any(axis=1), 0.5, 0.0) if shared.value is None else shared.value.score(terms))
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
+    return score
+
+
+def score_quality(docs: DataFrame, voter: Voter | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) added.
+
+    Only ``text`` is looked at.  Columns of ``docs`` with an added name are replaced;
+    rows, repeated ones too, stay.
+    """
+    score = scorer(docs.sparkSession, voter)
     return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def good_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    return docs.where(scorer(docs.sparkSession, fit(docs, labels))("text") >= threshold)
+
+
 @query("op4_score_quality")
 def op4_score_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -1,6 +1,9 @@
 """All queries of the subpackage, in one place."""
 
+import corpus_pipeline
 from barweave.llm import html_text, language, mixing, near_dedup, nearest, packing, quality, rules, tokens, url_filter  # noqa: F401
-from barweave.llm.base import QUERIES
+from barweave.llm.base import QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["QUERIES"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.base import bounded_batches, query, stored, table
+from barweave.llm.base import bounded_batches, look_up, query, stored, table
 from barweave.llm.nearest import chi_square_cdf, chi_square_quantile
 
 WINDOW = 8
@@ -127,7 +127,7 @@ def robust_distances(rows: DataFrame, coverage: float = COVERAGE, steps: int = S
     consistency = coverage / chi_square_cdf(q, p + 2)
     median = rows.groupBy("group").agg(F.array(*[F.percentile_approx(v, 0.5, 10_000) for v in x]).alias("origin"))
     median = stored(median, "mcd-median")
-    off = rows.join(median, "group")
+    off = look_up(rows, median, "group")
     spread = off.groupBy("group").agg(F.array(*[F.percentile_approx(F.abs(v - F.col("origin")[i]), 0.5, 10_000) for i, v in enumerate(x)]).alias("mad"))
     floors = [s for _, s in FEATURES]
     variance = [F.greatest(F.col("mad")[i] * 1.4826, F.lit(floors[i])) for i in range(p)]
@@ -140,12 +140,12 @@ def robust_distances(rows: DataFrame, coverage: float = COVERAGE, steps: int = S
     def distance(data: DataFrame, e: DataFrame) -> DataFrame:
         gap = [F.col("x")[i] - F.col("centre")[i] for i in range(p)]
         total = sum((gap[i] * gap[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-        return data.join(e, "group").withColumn("d2", total).drop("centre", "inverse")
+        return look_up(data, e, "group").withColumn("d2", total).drop("centre", "inverse")
 
     for _ in range(steps):
         far = distance(rows, estimate)
         cut = stored(far.groupBy("group").agg(F.percentile_approx("d2", coverage, 10_000).alias("cut")), "mcd-cut")
-        near = far.join(cut, "group").where("d2 <= cut").join(median, "group")
+        near = look_up(look_up(far, cut, "group").where("d2 <= cut"), median, "group")
         gap = [v - F.col("origin")[i] for i, v in enumerate(x)]
         moments = near.groupBy("group").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.sum(g) for g in gap]).alias("s"),
@@ -172,11 +172,12 @@ def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COV
     own, shared = F.concat_ws("/", name(F.col("lang")), name(F.col("source"))), F.concat_ws("/", name(F.col("lang")), F.lit("small"))
     regular = regular.withColumn("_own", own).withColumn("_shared", shared)
     sizes = regular.groupBy("_own").agg(F.count(F.lit(1)).alias("_n"))
-    named = regular.join(sizes, "_own").withColumn("group", F.when(F.col("_n") >= min_group, F.col("_own")).otherwise(F.col("_shared"))).drop("_own", "_shared", "_n")
-    enough = named.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group).select("group")
+    named = look_up(regular, stored(sizes, "rule-groups"), "_own").withColumn("group", F.when(F.col("_n") >= min_group, F.col("_own")).otherwise(F.col("_shared"))).drop("_own", "_shared", "_n")
     named = stored(named, "rule-rows")
-    judged = robust_distances(named.join(enough, "group", "left_semi"), coverage, steps).drop("group", "x")
-    rest = named.join(enough, "group", "left_anti").drop("group", "x").withColumn("d2", F.lit(None).cast("double"))
+    enough = stored(named.groupBy("group").agg((F.count(F.lit(1)) >= min_group).alias("_enough")), "rule-sizes")
+    named = look_up(named, enough, "group")
+    judged = robust_distances(named.where("_enough").drop("_enough"), coverage, steps).drop("group", "x")
+    rest = named.where("not _enough").drop("_enough", "group", "x").withColumn("d2", F.lit(None).cast("double"))
     failed = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     cut = chi_square_quantile(confidence, len(FEATURES))
     return judged.unionByName(rest).unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut))
