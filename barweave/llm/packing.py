@@ -31,7 +31,7 @@ OPEN_BINS = 512
 #: Tasks whose last open bins are packed together in each further round.
 FAN_IN = 64
 #: Distinct words and parts of words whose ids one Python worker remembers; all are forgotten when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: ASCII separators that Python's split() takes for white space and the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -39,7 +39,9 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Words of printable ASCII and Latin letters whose small forms stay among them; how the splitter takes them apart.
 PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+")
 LETTER = r"a-z\u00df-\u00f6\u00f8-\u017f"
-PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^{LETTER}0-9]+")
+PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|\n|[^{LETTER}0-9\n]+")
+#: Stands between the ids of words: no id of 16 bits holds it, nor do two in a row.
+BETWEEN = b"\xff" * 4
 #: What the model file must say for words to be encoded on their own, and for plain words to be split as above.
 NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -70,7 +72,7 @@ class WordEncoder:
         self.model.no_padding()
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": BETWEEN}
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -80,12 +82,13 @@ class WordEncoder:
             and [(x["type"], x.get("pattern")) for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])] == [("Split", {"Regex": SPLITTER}), ("ByteLevel", None)]
             and spec["model"].get("end_of_word_suffix") == "</w>"
             and not any(c.isspace() for t in self.special for c in t)
+            and max(vocabulary.values()) < 1 << 16
         )
         self.merges = Tokenizer(self.model.model)
         self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.alphabet = _byte_letters()
+        self.alphabet = _byte_letters() | {32: " "}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,29 +97,30 @@ class WordEncoder:
         """Ids of new parts; each ends with its only token that closes a word."""
         for i in range(0, len(parts), 2000):
             some = parts[i : i + 2000]
-            joined = " ".join(p.encode().decode("latin-1").translate(self.alphabet) for p in some)
+            joined = " ".join(some).encode().decode("latin-1").translate(self.alphabet)
             ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, cut = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.parts.update((p, raw[a:b]) for p, a, b in zip(some, [0, *cut], cut, strict=False))
             if len(cut) != len(some):
                 raise ValueError("a part has no closing token")
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(some, [0, *cut], cut, strict=False))
 
     def _learn(self, words: set[str]) -> None:
-        plain, rest = [], []
-        for w in words:
-            if PLAIN.fullmatch(w) and not any(t in w for t in self.special):
-                plain.append((w, PART.findall(w.lower())))
-            else:
-                rest.append(w)
-        if new := {p for _, parts in plain for p in parts if p not in self.parts}:
-            self._merge(list(new))
-        get = self.parts.__getitem__
-        self.known.update((w, b"".join(map(get, parts))) for w, parts in plain)
-        self.known.update(zip(rest, self._encode(rest), strict=True))
+        plain = list(filter(PLAIN.fullmatch, words))
+        joined = "\n".join(plain)
+        if any(t in joined for t in self.special):
+            plain = [w for w in plain if not any(t in w for t in self.special)]
+            joined = "\n".join(plain)
+        if len(plain) < len(words):
+            rest = list(words.difference(plain))
+            self.known.update(zip(rest, self._encode(rest), strict=True))
+        if plain:
+            parts = PART.findall(joined.lower())
+            self._merge(list(set(parts).difference(self.parts)))
+            self.known.update(zip(plain, b"".join(map(self.parts.__getitem__, parts)).split(BETWEEN), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) + len(self.parts) > self.remembered:
-            self.known, self.parts = {}, {}
+            self.known, self.parts = {}, {"\n": BETWEEN}
         get = self.known.get
         found: list[tuple[list[str], list[bytes | None]] | None] = []
         missing: set[str] = set()
@@ -153,9 +157,10 @@ class Bins:
         self.free = 0  # bit f: some open bin has f free
         self.at: dict[int, list[int]] = {}
         self.count = self.made = 0
+        self.items: dict[int, list] = {}
 
-    def place(self, length: int) -> tuple[int, int]:
-        """(bin, offset) for a piece of ``length``."""
+    def place(self, length: int, item=None) -> tuple[int, int]:
+        """(bin, offset) for a piece of ``length``; ``item`` stands for it in ``left``."""
         fits = self.free >> length
         if fits:
             room = length + (fits & -fits).bit_length() - 1
@@ -168,25 +173,28 @@ class Bins:
             room, b = self.size, self.made
             self.made += 1
         left = room - length
-        if left:
+        self.items.setdefault(b, []).append((self.size - room, length, item))
+        if not left:
+            del self.items[b]
+        else:
             self.at.setdefault(left, []).append(b)
             self.free |= 1 << left
             self.count += 1
             if self.count > self.most:
                 fullest = (self.free & -self.free).bit_length() - 1
                 bins = self.at[fullest]
-                bins.pop()
+                del self.items[bins.pop()]
                 if not bins:
                     self.free ^= 1 << fullest
                 self.count -= 1
         return b, self.size - room
 
-    def left(self) -> list[tuple[int, int]]:
-        """(bin, filled) of those still open."""
-        return [(b, self.size - f) for f, bins in self.at.items() for b in bins]
+    def left(self) -> list[tuple[int, int, int, object]]:
+        """(bin, offset, length, item) of the pieces in bins that still have room."""
+        return [(b, *x) for b, items in self.items.items() for x in items]
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary, task long, bin long, offset long, filled long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, task long, bin long, offset long"
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN) -> DataFrame:
@@ -205,8 +213,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, ope
 
         encode, bins, task = encoder(path).encode, Bins(size, open_bins), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
-        names = ["doc_id", "piece", "start", "length", "ids", "task", "bin", "offset", "filled"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids", "task", "bin", "offset"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -218,59 +226,58 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, ope
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k : k + 4 * size]
                     b, offset = bins.place(len(part) // 4)
-                    out.append((doc, k // (4 * size), k // 4, len(part) // 4, part, task, b, offset, None))
+                    out.append((doc, k // (4 * size), k // 4, len(part) // 4, part, task, b, offset))
             yield rows(out)
-        if left := bins.left():  # rows without a document: bins still open
-            yield rows([(None, None, None, None, None, task, b, 0, n) for b, n in left])
+        if left := bins.left():  # rows without a document: pieces in bins that are still open
+            yield rows([(None, None, None, n, None, task, b, offset) for b, offset, n, _ in left])
 
     placed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PIECES), "packed")
-    moves = _join_open_bins(placed.where("filled is not null").select("task", "bin", "filled"), size, open_bins, fan_in)
-    pieces = placed.where("filled is null").withColumn("ids_crc32", F.crc32("ids"))
+    moves = _join_open_bins(placed.where("ids is null").select("task", "bin", "offset", "length"), size, open_bins, fan_in)
+    pieces = placed.where("ids is not null").withColumn("ids_crc32", F.crc32("ids"))
     return (
-        pieces.join(F.broadcast(moves) if moves.count() <= BROADCAST_KEYS else moves, ["task", "bin"], "left")
+        pieces.join(F.broadcast(moves) if moves.count() <= BROADCAST_KEYS else moves, ["task", "bin", "offset"], "left")
         .withColumn("sequence_id", F.coalesce("to_task", "task") * (1 << 40) + F.coalesce("to_bin", "bin"))
-        .withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
+        .withColumn("offset", F.coalesce("to_offset", "offset"))
         .select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
     )
 
 
 def _join_open_bins(left: DataFrame, size: int, open_bins: int, fan_in: int) -> DataFrame:
-    """(task, bin) -> (to_task, to_bin, base): where the bins that tasks left open go.
+    """(task, bin, offset) -> (to_task, to_bin, to_offset): where the pieces in bins that tasks left open go.
 
-    Each round packs the open bins of ``fan_in`` neighbouring tasks, at most
-    ``fan_in * open_bins`` small rows; a joined bin keeps the name of its first part.
+    Each round packs the pieces of ``fan_in`` neighbours anew, the longest first, and
+    hands on what its ``open_bins`` emptiest bins hold.  New bins belong to negative
+    task numbers, one for each group of each round.
     """
-
-    def work(rows):
-        import pandas as pd
-
-        bins, names, out = Bins(size, open_bins), [], []
-        rows = rows.sort_values(["filled", "task", "bin"], ascending=[False, True, True])
-        for task, b, filled in zip(rows["task"].tolist(), rows["bin"].tolist(), rows["filled"].tolist(), strict=True):
-            to, base = bins.place(filled)
-            if to == len(names):
-                names.append((task, b))
-            out.append((task, b, *names[to], base, None))
-        out += [(None, None, *names[to], 0, filled) for to, filled in bins.left()]
-        return pd.DataFrame(out, columns=["task", "bin", "to_task", "to_bin", "base", "filled"]).astype("Int64")
-
-    last = left.agg(F.max("task")).first()[0] or 0  # one number
-    moves = left.select("task", "bin", F.col("task").alias("to_task"), F.col("bin").alias("to_bin"), F.lit(0).cast("long").alias("base"))
-    span = 1
-    while span <= last:
-        span *= fan_in
-        names = "task long, bin long, to_task long, to_bin long, base long, filled long"
-        packed = stored(left.groupBy(F.floor(F.col("task") / span).alias("_group")).applyInPandas(work, names), "bins")
-        step = packed.where("filled is null").select(
-            F.col("task").alias("to_task"), F.col("bin").alias("to_bin"), F.col("to_task").alias("_t"), F.col("to_bin").alias("_b"), F.col("base").alias("_base")
-        )
-        moves = stored(
-            moves.join(step, ["to_task", "to_bin"], "left").select(
-                "task", "bin", F.coalesce("_t", "to_task").alias("to_task"), F.coalesce("_b", "to_bin").alias("to_bin"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base")
-            ),
-            "moves",
-        )
-        left = packed.where("filled is not null").select(F.col("to_task").alias("task"), F.col("to_bin").alias("bin"), "filled")
+    columns = ["task", "bin", "offset", "length", "to_task", "to_bin", "to_offset", "at", "open"]
+    kinds = "task long, bin long, offset long, length long, to_task long, to_bin long, to_offset long, at long, open boolean"
+
+    def packer(number: int):
+        def work(rows):
+            import pandas as pd
+
+            at = int(rows["at"].iloc[0]) // fan_in
+            bins, out = Bins(size, len(rows)), []
+            rows = rows.sort_values(["length", "task", "bin", "offset"], ascending=[False, True, True, True])
+            for task, b, offset, length in zip(*(rows[c].tolist() for c in columns[:4]), strict=True):
+                out.append([task, b, offset, length, -((number << 20) + at + 1), *bins.place(length, len(out)), at, False])
+            emptiest = {b for _, b in sorted(((f, b) for f, held in bins.at.items() for b in held), reverse=True)[:open_bins]}
+            for b, _, _, i in bins.left():
+                out[i][-1] = b in emptiest
+            return pd.DataFrame(out, columns=columns)
+
+        return work
+
+    groups = (left.agg(F.max("task")).first()[0] or 0) + 1  # one number
+    moves = left.select("task", "bin", "offset", F.col("task").alias("to_task"), F.col("bin").alias("to_bin"), F.col("offset").alias("to_offset"))
+    left, number = left.withColumn("at", F.col("task")), 0
+    while groups > 1:
+        number, groups = number + 1, -(-groups // fan_in)
+        packed = stored(left.groupBy(F.floor(F.col("at") / fan_in).alias("_group")).applyInPandas(packer(number), kinds), "bins")
+        places = ["to_task", "to_bin", "to_offset"]
+        step = packed.select(*[F.col(c).alias(f"to_{c}") for c in ("task", "bin", "offset")], *[F.col(c).alias(f"_{c}") for c in places])
+        moves = stored(moves.join(step, places, "left").select("task", "bin", "offset", *[F.coalesce(f"_{c}", c).alias(c) for c in places]), "moves")
+        left = packed.where("open").select(F.col("to_task").alias("task"), F.col("to_bin").alias("bin"), F.col("to_offset").alias("offset"), "length", "at")
     return moves
 
 
