@@ -6,8 +6,9 @@ Documents with equal shingle sets are one node.  A node's signature, rotated to
 longest common prefixes are compared first, which joins copies of one text into
 classes with a number of comparisons linear in the nodes.  What is left are
 regions with several classes: there every node outside the region's largest
-class is compared with every node of other classes, by signatures in blocks of
-bounded size, and what may be linked by full sets, class by class.  Regions that
+class is compared with the nodes of other classes in blocks of bounded size, by signatures
+and, where those agree enough, by full sets; only links that join classes leave a
+block.  Regions that
 hold more rows than ``REGION`` are cut at deeper prefixes.  So no partner of a
 node is dropped, and no group is expanded into all its pairs.
 """
@@ -199,74 +200,90 @@ def _dealt(rows: DataFrame, key: str, size: Column, asked: DataFrame, asked_size
     return side(one, True).unionAll(side(two, False))
 
 
-def _classes_to_ask(regions: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(digest, root): nodes and classes of others that may be linked, from regions with several classes."""
-    rows = regions.join(roots, regions["digest"] == roots["node"], "left").select("region", "digest", F.coalesce("root", "digest").alias("root"))
+def _mixed(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` (region, digest, root) of regions with several classes, with the region's rows, its largest class
+    and the rows of all others."""
     per = rows.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("region").agg(F.sum("n").alias("_rows"), F.max("n").alias("_top"), F.max_by("root", F.struct("n", "root")).alias("_largest"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    held = stored(rows.join(mixed, "region"), "forest-mixed").join(nodes.select("digest", "signature"), "digest")
-    few = F.col("_rows") - F.col("_top")
-    columns = ["digest", "root", "signature"]
-    dealt = _dealt(held, "region", F.col("_rows"), held.where("root <> _largest"), few, columns)
-
-    def work(b: pd.DataFrame) -> pd.DataFrame:
-        found: set[tuple[bytes, bytes]] = set()
-        for _, g in b.groupby("region", sort=False):
-            left, right = g[g["left"]], g[~g["left"]]
-            if not len(left) or not len(right):
-                continue
-            values = np.frombuffer(b"".join(left["signature"]), dtype=np.uint16).reshape(len(left), VALUES)
-            codes, names = pd.factorize(left["root"])
-            for d, root, s in zip(right["digest"], right["root"], right["signature"], strict=True):
-                near = (values == np.frombuffer(s, dtype=np.uint16)).sum(axis=1) >= AGREEMENT
-                found.update((d, c) for c in names[np.unique(codes[near])] if c != root)
-        return pd.DataFrame(list(found), columns=["digest", "root"])
-
-    return dealt.groupBy("unit").applyInPandas(work, "digest binary, root binary").distinct()
-
-
-def _class_links(asks: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): roots of the classes of which some node is linked with some node of the other."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    own = roots.select(F.col("node").alias("digest"), F.col("root").alias("own"))
-    asks = asks.join(own, "digest", "left").withColumn("own", F.coalesce("own", "digest"))
-    asks = asks.join(sizes, "root", "left").join(sizes.select(F.col("root").alias("own"), F.col("_n").alias("_m")), "own", "left").fillna(1, ["_n", "_m"])
-    # two classes may ask each other: the smaller one's nodes do
-    reverse = asks.select(F.col("own").alias("root"), F.col("root").alias("own")).distinct().withColumn("_both", F.lit(True))
-    better = (F.col("_n") > F.col("_m")) | ((F.col("_n") == F.col("_m")) & (F.col("root") < F.col("own")))
-    asks = stored(asks.join(reverse, ["root", "own"], "left").where(F.col("_both").isNull() | better).select("digest", "own", "root", "_n"), "forest-asks")
-    asked = asks.groupBy("root").agg(F.count(F.lit(1)).alias("_asked"), F.first("_n").alias("_n"))
-    members = asked.join(roots, "root", "left").select("root", F.coalesce("node", "root").alias("digest"), F.lit(None).cast("binary").alias("own"), "_n", "_asked")
-    askers = asks.join(asked.select("root", "_asked"), "root").select("root", "digest", "own", "_n", "_asked")
-    sets = stored(_sets_of(docs, stored(members.select("digest").unionAll(askers.select("digest")).distinct(), "forest-wanted")), "forest-sets")
-    dealt = _dealt(members.join(sets, "digest"), "root", F.col("_n"), askers.join(sets, "digest"), F.col("_asked"), ["own", "shingles"])
-
-    def work(b: pd.DataFrame) -> pd.DataFrame:
-        found: set[tuple[bytes, bytes]] = set()
-        for root, g in b.groupby("root", sort=False):
-            left, right = g[g["left"]], g[~g["left"]]
-            if not len(left) or not len(right):
-                continue
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in left["shingles"]]
-            length = np.array([len(s) for s in sets])
-            # an inverted index of the block: one look-up gives the common shingles with all its sets
-            every = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), length)
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-            for own, x in zip(right["own"], right["shingles"], strict=True):
-                if (own, root) in found:
-                    continue
-                s = np.frombuffer(x, dtype=np.uint64)
-                start, end = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
-                n = end - start
-                at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                inter = np.bincount(owner[at], minlength=len(sets))
-                if (100 * inter >= THRESHOLD * (length + len(s) - inter)).any():
-                    found.add((own, root))
-        return pd.DataFrame(list(found), columns=["a", "b"])
-
-    return dealt.groupBy("unit").applyInPandas(work, "a binary, b binary")
+    mixed = per.groupBy("region").agg(
+        F.sum("n").alias("_rows"), (F.sum("n") - F.max("n")).alias("_others"), F.max_by("root", F.struct("n", "root")).alias("_largest"), F.count(F.lit(1)).alias("_classes")
+    )
+    return stored(rows.join(stored(mixed.where("_classes > 1").drop("_classes"), label), "region"), label)
+
+
+def _meet(rows: DataFrame, values: DataFrame, column: str, work, schema: str) -> DataFrame:
+    """``work`` over units in which the rows outside a region's largest class meet its rows, with ``column`` of ``values``."""
+    held = rows.join(values.select("digest", column), "digest")
+    dealt = _dealt(held, "region", F.col("_rows"), held.where("root <> _largest"), F.col("_others"), ["digest", "root", column])
+    return dealt.groupBy("unit").applyInPandas(work, schema)
+
+
+def _regions_of(unit: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, pd.DataFrame]]:
+    for region, g in unit.groupby("region", sort=False):
+        left, right = g[g["left"]], g[~g["left"]]
+        if len(left) and len(right):
+            yield region, left, right
+
+
+def _alike(unit: pd.DataFrame) -> pd.DataFrame:
+    """(region, digest, root) of the nodes of a unit that agree enough with one of another class."""
+    found = []
+    for region, left, right in _regions_of(unit):
+        values = np.frombuffer(b"".join(left["signature"]), dtype=np.uint16).reshape(len(left), VALUES)
+        codes, names = pd.factorize(left["root"])
+        own = pd.Index(names).get_indexer(right["root"])
+        met = np.zeros(len(left), dtype=bool)
+        for d, root, code, s in zip(right["digest"], right["root"], own, right["signature"], strict=True):
+            near = ((values == np.frombuffer(s, dtype=np.uint16)).sum(axis=1) >= AGREEMENT) & (codes != code)
+            if near.any():
+                met |= near
+                found.append((region, d, root))
+        found += [(region, d, r) for d, r in zip(left["digest"][met], left["root"][met], strict=True)]
+    return pd.DataFrame(found, columns=["region", "digest", "root"])
+
+
+def _confirmed(unit: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): links of classes by full sets, no more than join what a unit's regions link."""
+    found = []
+    for _, left, right in _regions_of(unit):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in left["shingles"]]
+        length = np.array([len(s) for s in sets])
+        # an inverted index of the block: one look-up gives the common shingles with all its sets
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), length)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        roots = left["root"].tolist()
+        up: dict[bytes, bytes] = {}
+
+        def top(c: bytes, up=up) -> bytes:
+            while c in up:
+                c = up[c]
+            return c
+
+        for own, x in zip(right["root"], right["shingles"], strict=True):
+            s = np.frombuffer(x, dtype=np.uint64)
+            start, end = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+            n = end - start
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            inter = np.bincount(owner[at], minlength=len(sets))
+            for i in np.flatnonzero(100 * inter >= THRESHOLD * (length + len(s) - inter)):
+                a, b = top(own), top(roots[i])
+                if a != b:
+                    up[a] = b
+                    found.append((own, roots[i]))
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _region_links(regions: DataFrame, nodes: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): roots of classes with linked nodes, from regions (region, digest) with several classes.
+
+    Signatures first find the nodes that may be linked with another class, at most one
+    row per node and region; only their full sets are read.
+    """
+    rows = regions.join(roots, regions["digest"] == roots["node"], "left").select("region", "digest", F.coalesce("root", "digest").alias("root"))
+    alike = _meet(_mixed(rows, "forest-mixed"), nodes, "signature", _alike, "region long, digest binary, root binary").distinct()
+    alike = _mixed(stored(alike, "forest-alike"), "forest-alike")
+    sets = stored(_sets_of(docs, stored(alike.select("digest").distinct(), "forest-wanted")), "forest-sets")
+    return _meet(alike, sets, "shingles", _confirmed, "a binary, b binary")
 
 
 def classes(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
@@ -293,8 +310,8 @@ def classes(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
     for deeper in ("_r5", "_r6"):
         large = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > REGION).select("region", F.lit(True).alias("_large"))
         keyed = keyed.join(large, "region", "left").withColumn("region", F.when(F.col("_large"), F.col(deeper)).otherwise(F.col("region"))).drop("_large")
-    asks = _classes_to_ask(stored(keyed.select("digest", "region"), "forest-regions"), nodes, roots)
-    further = components(_class_links(asks, read, roots), "forest-joined").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    links = _region_links(stored(keyed.select("digest", "region"), "forest-regions"), nodes, read, roots)
+    further = components(stored(links, "forest-links"), "forest-joined").select(F.col("node").alias("root"), F.col("root").alias("_to"))
     roots = roots.select("node", "root").unionAll(further.join(roots, further["root"] == roots["node"], "left_anti").select("root", "root"))
     roots = stored(roots.join(further, "root", "left").select(F.col("node").alias("digest"), F.coalesce("_to", "root").alias("_root")), "forest-roots")
 
@@ -312,7 +329,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     An empty table gives an empty table.
     """
     placed = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], size)
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("_least"))
+    least = stored(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("_least")), "forest-least")
     out = placed.join(least, "root", "left").withColumn("component_id", F.coalesce("_least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -326,7 +343,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     keys = ["__k1", "__k2"]
     placed = classes(keyed.select("doc_id", *keys, "text"), ["doc_id", *keys], size).where("root is not null")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
-    best = placed.groupBy("root").agg(F.min(first).alias("first"))
+    best = stored(placed.groupBy("root").agg(F.min(first).alias("first")), "forest-best")
     judged = placed.join(best, "root").select(*keys, ((F.col("first.__k1") == F.col("__k1")) & (F.col("first.__k2") == F.col("__k2"))).alias("best"))
     counted = stored(judged.groupBy(*keys).agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n")), "forest-kept")
     gone, several = stored(counted.where("not best").select(*keys), "forest-gone"), stored(counted.where("best and n > 1").select(*keys), "forest-several")
