@@ -63,13 +63,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> TextMod
     (those with the smallest hashes of their ids).  Rows with a null label or text teach
     nothing.  Without any label there is one language, ``und``."""
     counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
-    names = sorted(r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect())
+    frequent = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect()}
+    names = sorted(frequent)
     if not names:
         return TextModel(["und"], np.zeros((BUCKETS, 1), dtype=np.float32))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     keyed = docs.where(F.col("lang").isin(names) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    # about twice the sample of each label is ranked: the hashes under a bound that its count gives
+    bound = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(2**63 - 1, 2**65 * sample // c - 2**63))) for n, c in frequent.items()])
     # ids first, so that the ranking moves no texts; then the few texts themselves
-    ids = keyed.withColumn("text", F.xxhash64("text")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
+    ids = keyed.where(F.xxhash64("doc_id") <= bound).withColumn("text", F.xxhash64("text")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
     picked = keyed.withColumn("_h", F.xxhash64("text")).join(F.broadcast(ids.select("doc_id", "lang", F.col("text").alias("_h")).distinct()), ["doc_id", "lang", "_h"], "left_semi")
     picked = picked.groupBy("lang", "doc_id", "_h").agg(F.min("text").alias("text"))
 

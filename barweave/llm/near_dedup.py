@@ -76,21 +76,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (_mix(low) >> np.uint64(40)).astype(np.uint16)
 
 
-def with_shingles(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
-    """``keys``, n_shingles, digest of the set (null without words), signature and the set itself."""
+def _shingled(docs: DataFrame, keys: list[str], size: int, full: bool) -> DataFrame:
+    """``keys`` and the digest of each document's shingle set (null without words), with the set itself if
+    ``full``, else with its size and signature."""
     slim = docs.select(*keys, "text")
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keys]
+    more = ["shingles"] if full else ["n_shingles", "signature"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            full = [s.tobytes() for s in sets]
-            digest = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in full]
-            values = [signature(s).tobytes() if len(s) else None for s in sets]
-            columns = [*[batch.column(k) for k in keys], pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, values, full)]]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n_shingles", "digest", "signature", "shingles"])
+            raw = [s.tobytes() for s in sets]
+            columns = [*[batch.column(k) for k in keys], pa.array([hashlib.blake2b(b, digest_size=16).digest() if b else None for b in raw], pa.binary())]
+            if full:
+                columns.append(pa.array(raw, pa.binary()))
+            else:
+                columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "digest", *more])
 
-    return slim.mapInArrow(work, ", ".join([*kinds, "n_shingles long, digest binary, signature binary, shingles binary"]))
+    return slim.mapInArrow(work, ", ".join([*kinds, "digest binary", "shingles binary" if full else "n_shingles long, signature binary"]))
 
 
 def _tree_rows(nodes: DataFrame) -> DataFrame:
@@ -157,9 +161,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(held, keep, same)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(digest, shingles), one row per wanted digest."""
-    return by_keys(docs.select("digest", "shingles"), wanted, "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+def _sets_of(docs: DataFrame, size: int, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(digest, shingles), one row per wanted digest.
+
+    Full sets are larger than the texts, so they are not kept: the texts of the wanted
+    nodes are found by their keys and shingled again.
+    """
+    keys = stored(wanted.join(nodes, "digest").select("text.*"), "forest-texts")
+    texts = by_keys(row_keys(docs, "text"), keys, "left_semi")
+    return stored(_shingled(texts, [], size, True).groupBy("digest").agg(F.first("shingles").alias("shingles")), "forest-sets")
 
 
 def _linked(a: bytes, b: bytes) -> bool:
@@ -273,7 +283,7 @@ def _confirmed(unit: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-def _region_links(regions: DataFrame, nodes: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+def _region_links(regions: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, roots: DataFrame) -> DataFrame:
     """(a, b): roots of classes with linked nodes, from regions (region, digest) with several classes.
 
     Signatures first find the nodes that may be linked with another class, at most one
@@ -282,15 +292,16 @@ def _region_links(regions: DataFrame, nodes: DataFrame, docs: DataFrame, roots:
     rows = regions.join(roots, regions["digest"] == roots["node"], "left").select("region", "digest", F.coalesce("root", "digest").alias("root"))
     alike = _meet(_mixed(rows, "forest-mixed"), nodes, "signature", _alike, "region long, digest binary, root binary").distinct()
     alike = _mixed(stored(alike, "forest-alike"), "forest-alike")
-    sets = stored(_sets_of(docs, stored(alike.select("digest").distinct(), "forest-wanted")), "forest-sets")
+    sets = _sets_of(docs, size, nodes, alike.select("digest").distinct())
     return _meet(alike, sets, "shingles", _confirmed, "a binary, b binary")
 
 
 def classes(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
     """``keys`` of ``docs`` (keys, text) with n_shingles and ``root``: equal for all documents that links join,
     null for those without words."""
-    read = stored(with_shingles(docs, keys, size), "forest-docs")
-    nodes = stored(read.where("digest is not null").groupBy("digest").agg(F.first("signature").alias("signature")), "forest-nodes")
+    read = stored(_shingled(row_keys(docs, "text"), [*keys, "__k1", "__k2"], size, False), "forest-docs")
+    known = read.where("digest is not null").groupBy("digest")
+    nodes = stored(known.agg(F.first("signature").alias("signature"), F.min(F.struct("__k1", "__k2")).alias("text")), "forest-nodes")
     order = ["tree", "p1", "p2", "digest"]
     rows = _tree_rows(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = stored(rows.mapInArrow(_neighbours, "tree int, p1 long, p2 long, digest binary, before binary, common int"), "forest-order")
@@ -302,15 +313,15 @@ def classes(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("common"), "b"))
     best = ends.withColumn("_rank", rank).where(F.col("_rank") <= FIRST)
     best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "forest-first")
-    wanted = stored(best.select(F.col("a").alias("digest")).unionAll(best.select("b")).distinct(), "forest-wanted")
-    roots = components(_verified(best, stored(_sets_of(read, wanted), "forest-sets")), "forest-classes")
+    wanted = best.select(F.col("a").alias("digest")).unionAll(best.select("b")).distinct()
+    roots = components(stored(_verified(best, _sets_of(docs, size, nodes, wanted)), "forest-links"), "forest-classes")
 
     # then what regions with several classes still hold
     keyed = rows.select("digest", F.xxhash64("tree", "p1").alias("region"), F.xxhash64("tree", "p1", F.shiftright("p2", 48)).alias("_r5"), F.xxhash64("tree", "p1", F.shiftright("p2", 32)).alias("_r6"))
     for deeper in ("_r5", "_r6"):
         large = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > REGION).select("region", F.lit(True).alias("_large"))
         keyed = keyed.join(large, "region", "left").withColumn("region", F.when(F.col("_large"), F.col(deeper)).otherwise(F.col("region"))).drop("_large")
-    links = _region_links(stored(keyed.select("digest", "region"), "forest-regions"), nodes, read, roots)
+    links = _region_links(stored(keyed.select("digest", "region"), "forest-regions"), nodes, docs, size, roots)
     further = components(stored(links, "forest-links"), "forest-joined").select(F.col("node").alias("root"), F.col("root").alias("_to"))
     roots = roots.select("node", "root").unionAll(further.join(roots, further["root"] == roots["node"], "left_anti").select("root", "root"))
     roots = stored(roots.join(further, "root", "left").select(F.col("node").alias("digest"), F.coalesce("_to", "root").alias("_root")), "forest-roots")
@@ -339,12 +350,12 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     Rows without words have no duplicates and stay.  Of equal rows one stays.
     """
-    keyed = row_keys(docs, "doc_id", "text")
-    keys = ["__k1", "__k2"]
+    keyed = row_keys(docs, "doc_id", "text").withColumnsRenamed({"__k1": "__r1", "__k2": "__r2"})
+    keys = ["__r1", "__r2"]
     placed = classes(keyed.select("doc_id", *keys, "text"), ["doc_id", *keys], size).where("root is not null")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
     best = stored(placed.groupBy("root").agg(F.min(first).alias("first")), "forest-best")
-    judged = placed.join(best, "root").select(*keys, ((F.col("first.__k1") == F.col("__k1")) & (F.col("first.__k2") == F.col("__k2"))).alias("best"))
+    judged = placed.join(best, "root").select(*keys, ((F.col("first.__r1") == F.col("__r1")) & (F.col("first.__r2") == F.col("__r2"))).alias("best"))
     counted = stored(judged.groupBy(*keys).agg(F.max("best").alias("best"), F.count(F.lit(1)).alias("n")), "forest-kept")
     gone, several = stored(counted.where("not best").select(*keys), "forest-gone"), stored(counted.where("best and n > 1").select(*keys), "forest-several")
     stay = by_keys(keyed, gone, "left_anti")
