@@ -22,21 +22,20 @@ from pyspark.sql import functions as F
 from barweave.functions.mathx import corr_of
 from barweave.session import cut_lineage
 
+#: Ranges per group where the session does not say how far to spread a shuffle.
 RANGES = 32
-# Groups up to this many rows sort comfortably inside one task.  A caller who has
-# *measured* a bound on its group size passes it; without one, ranges are used.
-WINDOW_ROWS = 1_000_000
 
 
-def small(bound: int | None) -> bool:
-    return bound is not None and bound <= WINDOW_ROWS
+def ranges_of(df: DataFrame) -> int:
+    """As many value ranges per group as a shuffle has partitions, so that a single group uses them all."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", str(RANGES))))
 
 
 def _distinct_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def value_positions(df: DataFrame, keys: list[str], x: str, few: bool = False, bound: int | None = None, ranges: int = RANGES) -> DataFrame:
+def value_positions(df: DataFrame, keys: list[str], x: str, few: bool = False, ranges: int | None = None) -> DataFrame:
     """One row per (keys, distinct x): ``_c`` copies, ``_before`` smaller rows and
     ``_n`` non-null rows of the group.
 
@@ -45,13 +44,10 @@ def value_positions(df: DataFrame, keys: list[str], x: str, few: bool = False, b
     broadcast.  Without it the optimizer chooses by runtime size.
     """
     if not keys:
-        return value_positions(df.withColumn("_g", F.lit(0)), ["_g"], x, True, bound, ranges).drop("_g")
+        return value_positions(df.withColumn("_g", F.lit(0)), ["_g"], x, True, ranges).drop("_g")
     hint = F.broadcast if few else (lambda d: d)
     counts = _distinct_counts(df, keys, x)
-    if small(bound):
-        w = Window.partitionBy(*keys)
-        run = F.sum("_c").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(*keys, x, "_c", (run - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    ranges = ranges or ranges_of(df)
     probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(x, probs, F.lit(4 * ranges)).alias("_cuts"))
     cut_of = F.aggregate("_cuts", F.lit(0), lambda a, v: a + F.when(v < F.col(x), 1).otherwise(0))
@@ -76,19 +72,9 @@ def value_positions(df: DataFrame, keys: list[str], x: str, few: bool = False, b
     )
 
 
-def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = False, size: str | None = None, few: bool = False, bound: int | None = None) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = False, size: str | None = None, few: bool = False) -> DataFrame:
     """Attach the average-tie rank (1-based, or divided by the group size).
     Rows with a null value keep a null rank."""
-    if small(bound):
-        w = Window.partitionBy(*keys)
-        ok = F.col(x).isNotNull()
-        # nulls sort first, so the null count is taken off the plain rank
-        n, nulls = F.count(x).over(w), F.count_if(~ok).over(w)
-        r = F.rank().over(w.orderBy(x)) - nulls + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / 2.0
-        new = {out: F.when(ok, r / n if pct else r)}
-        if size:
-            new[size] = F.when(ok, n)
-        return df.withColumns(new)
     pos = value_positions(df, keys, x, few)
     rank = F.col("_before") + (F.col("_c") + 1) / 2.0
     cols = [*keys, x, (rank / F.col("_n") if pct else rank).alias(out)]
@@ -99,10 +85,8 @@ def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = F
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float], few: bool = False, bound: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float], few: bool = False) -> DataFrame:
     """One row per group with linearly interpolated quantiles ``{name: p}``."""
-    if small(bound):
-        return df.groupBy(*keys).agg(*[F.percentile(x, F.lit(float(p))).alias(n) for n, p in probs.items()])
     pos = value_positions(df, keys, x, few)
     first, last = F.col("_before"), F.col("_before") + F.col("_c") - 1
     aggs: list[Column] = []
@@ -120,17 +104,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, flo
     return got.select(*keys, *picks)
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", min_n: int = 2, few: bool = False, bound: int | None = None, cut: bool = True) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", min_n: int = 2, few: bool = False, cut: bool = True) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
     The range path reads its narrow input several times, so ``cut`` first writes it
     to the shared folder once instead of replaying the plan above it.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    if small(bound):
-        ranked = average_rank(average_rank(both, keys, x, "_rx", bound=bound), keys, y, "_ry", bound=bound)
-        g = ranked.groupBy(*keys).agg(corr_of("_rx", "_ry").alias("_ic"), F.count(F.lit(1)).alias("n"))
-        return g.select(*keys, F.when(F.col("n") >= min_n, F.col("_ic")).alias(out), "n")
     if cut:
         both = cut_lineage(both)
     # pairs collapse first, so the rank joins see each (x, y) once

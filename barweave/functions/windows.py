@@ -138,35 +138,26 @@ def add_pct_rank(df: DataFrame, ranks: dict[str, tuple[str, int, int]], key="tic
     return add_kernels(df, {o: (x, rank_kernel(n, m)) for o, (x, n, m) in ranks.items()}, key, order)
 
 
-BLOCK = 128
+def ewm_kernel(span: float, m: int) -> Callable:
+    """Adjusted exponential mean; weights decay by row distance, so gaps decay too."""
+    decay = 1.0 - 2.0 / (span + 1.0)
+
+    def run(a):
+        num = den = 0.0
+        seen, out = 0, []
+        for v in np.asarray(a, dtype=float).tolist():
+            num, den = num * decay, den * decay
+            if v == v:
+                num, den, seen = num + v, den + 1.0, seen + 1
+            out.append(num / den if seen >= m and den > 0.0 else None)
+        return out
 
+    return run
 
-def add_ewm(df: DataFrame, x: str, span: int, m: int, out: str, key="ticker", order="date") -> DataFrame:
-    """Adjusted exponential mean as a new column; weights decay by row distance, so
-    gaps decay too.
 
-    Rows are cut into blocks of 128.  Inside a block the weighted sums are running
-    totals of ``x * decay**-offset``; the block before adds its closing total, decayed.
-    Rows further back weigh less than 1e-11 for spans up to 10.  Every step is a
-    running window, so the cost per row does not depend on the span.
-    """
-    decay = 1.0 - 2.0 / (span + 1.0)
-    w = by_key(key, order)
-    d = df.withColumn("_pos", F.row_number().over(w) - 1)
-    d = d.withColumns({"_blk": F.floor(F.col("_pos") / BLOCK), "_off": (F.col("_pos") % BLOCK).cast("double")})
-    inside = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    up, down = F.pow(F.lit(decay), -F.col("_off")), F.pow(F.lit(decay), F.col("_off"))
-    d = d.withColumns({
-        "_num": F.coalesce(F.sum(F.col(x) * up).over(inside), F.lit(0.0)) * down,
-        "_den": F.coalesce(F.sum(F.when(F.col(x).isNotNull(), up)).over(inside), F.lit(0.0)) * down,
-    })
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    closing = F.when(F.col("_off") == BLOCK - 1, F.struct("_num", "_den"))
-    d = d.withColumns({"_prev": F.last(closing, ignorenulls=True).over(earlier), "_cnt": F.count(x).over(expanding(key, order))})
-    carry = down * decay
-    num = F.col("_num") + carry * F.coalesce("_prev._num", F.lit(0.0))
-    den = F.col("_den") + carry * F.coalesce("_prev._den", F.lit(0.0))
-    return d.withColumn(out, F.when(F.col("_cnt") >= m, F.try_divide(num, F.nullif(den, F.lit(0.0))))).drop("_pos", "_blk", "_off", "_num", "_den", "_prev", "_cnt")
+def add_ewm(df: DataFrame, x: str, span: float, m: int, out: str, key="ticker", order="date") -> DataFrame:
+    """Adjusted exponential mean over a key's whole history as a new column."""
+    return add_kernels(df, {out: (x, ewm_kernel(span, m))}, key, order)
 
 
 def ffill(x, key="ticker", order="date") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
 from barweave.functions.mathx import corr_of
-from barweave.functions.ranks import average_rank, exact_quantiles, small
+from barweave.functions.ranks import average_rank, exact_quantiles
 from barweave.session import cut_lineage
 from barweave.sources.bars import align_ffill, calendar
 
@@ -79,38 +79,33 @@ def zscore_then_lag(df: DataFrame, cols: list[str], ddof: int = 1) -> DataFrame:
     return lagged.drop(*[c + "_z" for c in cols])
 
 
-def cs_rank(df: DataFrame, x: str, out: str, bound: int | None = None) -> DataFrame:
-    """Percentile rank across the tickers of a date, average ties.  ``bound`` is a
-    measured limit on names per date (see ``sources.tables.max_names``)."""
-    return average_rank(df, ["date"], x, out, pct=True, few=True, bound=bound)
+def cs_rank(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Percentile rank across the tickers of a date, average ties."""
+    return average_rank(df, ["date"], x, out, pct=True, few=True)
 
 
-def rank_then_row_lag(df: DataFrame, x: str, out: str, bound: int | None = None) -> DataFrame:
+def rank_then_row_lag(df: DataFrame, x: str, out: str) -> DataFrame:
     """Cross-section rank known the ticker's own row before."""
-    return cs_rank(df, x, "_rk", bound).withColumn(out, W.lag("_rk")).drop("_rk")
+    return cs_rank(df, x, "_rk").withColumn(out, W.lag("_rk")).drop("_rk")
 
 
-def sector_relative(df: DataFrame, cols: list[str], bound: int | None = None) -> DataFrame:
+def sector_relative(df: DataFrame, cols: list[str]) -> DataFrame:
     """Return minus the (date, sector) median, z-scored and lagged on the calendar."""
-    return zscore_then_lag(minus_sector_median(df, cols, bound), [f"{c}_rel" for c in cols])
+    return zscore_then_lag(minus_sector_median(df, cols), [f"{c}_rel" for c in cols])
 
 
-def minus_sector_median(df: DataFrame, cols: list[str], bound: int | None = None) -> DataFrame:
+def minus_sector_median(df: DataFrame, cols: list[str]) -> DataFrame:
     keys, out = ["date", "sector"], df
-    if small(bound):
-        # groups proven small: all medians in one aggregate
-        meds = [df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_med_{c}") for c in cols])]
-    else:
-        meds = [exact_quantiles(df, keys, c, {f"_med_{c}": 0.5}) for c in cols]
+    meds = [exact_quantiles(df, keys, c, {f"_med_{c}": 0.5}) for c in cols]
     for m in meds:
         out = out.join(m, keys, "left")  # one row per date and sector
     return out.withColumns({f"{c}_rel": F.col(c) - F.col(f"_med_{c}") for c in cols}).drop(*[f"_med_{c}" for c in cols])
 
 
-def vol_rank_feature(rets: DataFrame, exclude: DataFrame, bound: int | None = None) -> DataFrame:
+def vol_rank_feature(rets: DataFrame, exclude: DataFrame) -> DataFrame:
     """Lagged cross-section rank of 20-row volatility without benchmark names."""
     v = rets.join(exclude.select("ticker"), "ticker", "left_anti").withColumn("vol_20", W.roll_std("r", 20))
-    return rank_then_row_lag(v.where(F.col("vol_20").isNotNull()), "vol_20", "vol_rank", bound)
+    return rank_then_row_lag(v.where(F.col("vol_20").isNotNull()), "vol_20", "vol_rank")
 
 
 def breadth(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
@@ -172,14 +167,14 @@ def dispersion(scored: DataFrame, x: str, eps: float = 1e-6) -> DataFrame:
     ).withColumn("flat", (F.col("score_std") < eps) | (F.col("score_range") < eps))
 
 
-def training_panel(matrix: DataFrame, sectors: DataFrame, macro: DataFrame, benchmark: DataFrame, ablate=(), bound: int | None = None) -> DataFrame:
+def training_panel(matrix: DataFrame, sectors: DataFrame, macro: DataFrame, benchmark: DataFrame, ablate=()) -> DataFrame:
     """Full training panel: sector-relative momentum, lagged ranks and z-scores,
     macro series and excess label.  Ablated features become 0."""
     p = matrix.join(sectors.select("ticker", "sector"), "ticker", "left").fillna("Other", subset=["sector"])
     # several cross-section branches read the per-ticker part: write it once
-    p = minus_sector_median(cut_lineage(p), ["ret_20d"], bound)
+    p = minus_sector_median(cut_lineage(p), ["ret_20d"])
     p = zscore_then_lag(p, ["ret_20d_rel", "rsi_14", "bb_position", "overnight_gap"])
-    p = rank_then_row_lag(p, "vol_20d", "vol_rank", bound)
+    p = rank_then_row_lag(p, "vol_20d", "vol_rank")
     p = attach_macro(p, macro, ["vol_spike"])
     p = excess_forward(p, benchmark)
     return p.withColumns({c: F.lit(0.0) for c in ablate}) if ablate else p

@@ -93,9 +93,9 @@ def ic_verdicts(ic: DataFrame, main_lag: int = 5, buckets: int = 4) -> DataFrame
     return out.withColumn("verdict", F.when((a > 0.02) & (ts > 2.0), "ADD").when((a > 0.01) & (ts > 1.5), "MAYBE").otherwise("SKIP"))
 
 
-def daily_rank_ic(df: DataFrame, x: str, y: str, bound: int | None = None, min_n: int = 8, n: int = 20, m: int = 10, floor: float = 0.0) -> DataFrame:
+def daily_rank_ic(df: DataFrame, x: str, y: str, min_n: int = 8, n: int = 20, m: int = 10, floor: float = 0.0) -> DataFrame:
     """Daily rank IC with a rolling mean and an alert flag."""
-    s = spearman(df, ["date"], x, y, "ic_daily", min_n, few=True, bound=bound).where("ic_daily is not null").withColumn("acct", F.lit(1))
+    s = spearman(df, ["date"], x, y, "ic_daily", min_n, few=True).where("ic_daily is not null").withColumn("acct", F.lit(1))
     s = s.withColumn("rolling_ic", W.roll_mean("ic_daily", n, m, "acct"))
     return s.withColumn("below_threshold", F.coalesce(F.col("rolling_ic") < floor, F.lit(False)))
 
@@ -171,10 +171,10 @@ def metric_triple(df: DataFrame, score: str, y: str, keys: list[str] = ()) -> Da
     return one_row(ic, acc, r)
 
 
-def ranking_stability(df: DataFrame, x: str, bound: int | None = None) -> DataFrame:
+def ranking_stability(df: DataFrame, x: str) -> DataFrame:
     """Per ticker: autocorrelation of its cross-section rank and how often it stays
     in the same decile."""
-    k = average_rank(df.where(F.col(x).isNotNull()), ["date"], x, "_rk", pct=True, few=True, bound=bound)
+    k = average_rank(df.where(F.col(x).isNotNull()), ["date"], x, "_rk", pct=True, few=True)
     dec = F.least(F.ceil(F.round(F.col("_rk") * 10, 9)), F.lit(10))
     k = k.withColumn("_d", dec).withColumns({"_pk": W.lag("_rk"), "_pd": W.lag("_d")})
     return k.groupBy("ticker").agg(corr_of("_rk", "_pk").alias("rank_autocorr"), F.avg(F.when(F.col("_pd").isNotNull(), F.when(F.col("_d") == F.col("_pd"), 1.0).otherwise(0.0))).alias("decile_retention"), F.count("_pk").alias("n"))

@@ -37,38 +37,42 @@ def outer_by_date(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "date", "full_outer")
 
 
-def basket_moments(returns: DataFrame, basket: DataFrame, max_names: int = 200) -> DataFrame:
-    """Pairwise correlation and covariance inside a basket of at most ``max_names``.
-
-    Dates are spread over tasks.  A task turns its dates into a dense block and
-    returns one matrix of partial sums per block; per-date pairs never exist as
-    rows, and pairs use the dates both names traded on.
+def basket_moments(returns: DataFrame, basket: DataFrame, block: int = 64, days: int = 16) -> DataFrame:
+    """Pairwise correlation and covariance inside a basket of any size.
+
+    Names are cut into blocks and dates dealt into groups.  A task gets two blocks of
+    one date group, turns them into dense columns and returns partial sums, so its
+    memory depends on neither the basket nor the calendar; per-date pairs never exist
+    as rows, and pairs use the dates both names traded on.  Returns are taken from each
+    name's mean first, so the sums lose no digits.
     """
-    idx = basket.select("ticker").distinct().select("ticker", (F.row_number().over(Window.orderBy("ticker")) - 1).alias("i"))
-    names = [r["ticker"] for r in idx.orderBy("i").limit(max_names + 1).collect()]
-    if len(names) > max_names:
-        raise ValueError(f"basket of more than {max_names} names")
-    n = len(names)
-    rows = returns.where(F.col("r").isNotNull()).join(F.broadcast(idx), "ticker")
-    days = rows.groupBy("date").agg(F.collect_list(F.struct("i", "r")).alias("v"))
-
-    def partial(batches):
-        sums = np.zeros((4, n, n))
-        for pdf in batches:
-            x, m = np.zeros((len(pdf), n)), np.zeros((len(pdf), n))
-            for k, cells in enumerate(pdf["v"]):
-                for e in cells:
-                    x[k, e["i"]], m[k, e["i"]] = e["r"], 1.0
-            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        a, b = np.triu_indices(n, 1)
-        yield pd.DataFrame({"a": a, "b": b, "n": sums[0][a, b], "sa": sums[1][a, b], "sb": sums[1][b, a],
-                            "qa": sums[2][a, b], "qb": sums[2][b, a], "ab": sums[3][a, b]})
-
-    parts = days.mapInPandas(partial, "a int, b int, n double, sa double, sb double, qa double, qb double, ab double")
+    ids = basket.select("ticker").distinct().select("ticker", (F.row_number().over(Window.orderBy("ticker")) - 1).alias("i"))
+    n_blocks = -(-ids.count() // block)
+    rows = returns.where(F.col("r").isNotNull()).join(ids, "ticker")
+    means = rows.groupBy("i").agg(F.avg("r").alias("_mean"))
+    rows = rows.join(means, "i").select("i", "date", (F.col("r") - F.col("_mean")).alias("r"), F.floor(F.col("i") / block).cast("int").alias("_b"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks - 1, 0)))))
+    dealt = rows.select(F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), F.pmod(F.xxhash64("date"), F.lit(days)).alias("g"), "i", "date", "r")
+
+    def partial(key, pdf):
+        p, q, _ = (int(k) for k in key)
+        at, _ = pd.factorize(pdf["date"])
+        x = np.zeros((2, at.max() + 1, block))
+        m = np.zeros_like(x)
+        side = ((pdf["i"].to_numpy() // block) != p).astype(int)
+        x[side, at, pdf["i"].to_numpy() % block] = pdf["r"].to_numpy()
+        m[side, at, pdf["i"].to_numpy() % block] = 1.0
+        u, v = 0, int(p != q)
+        sums = m[u].T @ m[v], x[u].T @ m[v], m[u].T @ x[v], (x[u] ** 2).T @ m[v], m[u].T @ x[v] ** 2, x[u].T @ x[v]
+        a, b = np.nonzero(sums[0])
+        out = pd.DataFrame({"a": a + p * block, "b": b + q * block, **{c: s[a, b] for c, s in zip(("n", "sa", "sb", "qa", "qb", "ab"), sums, strict=True)}})
+        return out[out["a"] < out["b"]]
+
+    parts = dealt.groupBy("p", "q", "g").applyInPandas(partial, "a int, b int, n double, sa double, sb double, qa double, qb double, ab double")
     s = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")]).where("n > 1")
     cov = (F.col("ab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)
     va = (F.col("qa") - F.col("sa") * F.col("sa") / F.col("n")) / (F.col("n") - 1)
     vb = (F.col("qb") - F.col("sb") * F.col("sb") / F.col("n")) / (F.col("n") - 1)
     out = s.select("a", "b", F.col("n").cast("long").alias("n"), cov.alias("cov"), F.try_divide(cov, F.nullif(F.sqrt(va * vb), F.lit(0.0))).alias("corr"))
-    ia, ib = idx.select(F.col("i").alias("a"), F.col("ticker").alias("ticker_a")), idx.select(F.col("i").alias("b"), F.col("ticker").alias("ticker_b"))
-    return out.join(F.broadcast(ia), "a").join(F.broadcast(ib), "b").select("ticker_a", "ticker_b", "n", "cov", "corr")
+    ia, ib = ids.select(F.col("i").alias("a"), F.col("ticker").alias("ticker_a")), ids.select(F.col("i").alias("b"), F.col("ticker").alias("ticker_b"))
+    return out.join(ia, "a").join(ib, "b").select("ticker_a", "ticker_b", "n", "cov", "corr")

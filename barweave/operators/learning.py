@@ -295,9 +295,10 @@ def latent_factors_expanding(df: DataFrame, xs: list[str], k: int = 3, min_rows:
     return j.withColumns(facs)
 
 
-def accept_model(old: DataFrame, new: DataFrame, metric: str, min_wins: float = 0.5, min_ratio: float = 0.95) -> DataFrame:
-    """Accept a retrained model on windows won and ratio of mean metrics."""
+def accept_model(old: DataFrame, new: DataFrame, metric: str, min_wins: float = 0.5, min_ratio: float = 0.85) -> DataFrame:
+    """Accept a retrained model that is strictly better on a share of the windows, and whose mean metric keeps
+    ``min_ratio`` of the old one's; a mean that is not positive sets no ratio."""
     j = old.select("fold", F.col(metric).alias("a")).join(new.select("fold", F.col(metric).alias("b")), "fold")
-    g = j.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("b") >= F.col("a")).alias("won"), F.avg("a").alias("old_mean"), F.avg("b").alias("new_mean"))
+    g = j.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("b") > F.col("a")).alias("won"), F.avg("a").alias("old_mean"), F.avg("b").alias("new_mean"))
     ratio = W.safe_div("new_mean", F.nullif(F.col("old_mean"), F.lit(0.0)))
-    return g.withColumn("ratio", ratio).withColumn("accept", (F.col("won") / F.col("windows") >= min_wins) & (F.coalesce(F.col("ratio"), F.lit(0.0)) >= min_ratio))
+    return g.withColumn("ratio", ratio).withColumn("accept", (F.col("windows") > 0) & (F.col("won") / F.col("windows") >= min_wins) & ((F.col("old_mean") <= 1e-6) | (F.col("new_mean") >= min_ratio * F.col("old_mean"))))

@@ -9,35 +9,35 @@ from barweave.functions import windows as W
 from barweave.functions.mathx import INV_SQRT_2PI, NORMAL_B, NORMAL_P, Z, norm_cdf, norm_pdf
 
 
-def d_terms(s: Column, k: Column, t: float, r: float, vol: Column):
+def with_d_terms(df: DataFrame, s: Column, k: Column, t: float, r: float, vol: Column, tag: str = "") -> DataFrame:
+    """Columns both normal values of the pricing formula rest on, each computed once: ``_d1``, then ``_c1``,
+    ``_c2`` (distribution at d1 and d2) and ``_n1`` (density at d1), with ``tag`` behind the names."""
     root = t**0.5
-    d1 = (F.ln(s / k) + (r + 0.5 * vol * vol) * t) / (vol * root)
-    return d1, d1 - vol * root
+    d = df.withColumn(f"_d1{tag}", (F.ln(s / k) + (r + 0.5 * vol * vol) * t) / (vol * root))
+    d = d.withColumn(f"_d2{tag}", F.col(f"_d1{tag}") - vol * root)
+    return d.withColumns({f"_c1{tag}": norm_cdf(F.col(f"_d1{tag}")), f"_c2{tag}": norm_cdf(F.col(f"_d2{tag}")), f"_n1{tag}": norm_pdf(F.col(f"_d1{tag}"))})
 
 
-def price(s: Column, k: Column, t: float, r: float, vol: Column, kind: str = "call") -> Column:
-    """European option value; 0 without time or volatility."""
-    d1, d2 = d_terms(s, k, t, r, vol)
-    df = F.exp(F.lit(-r * t))
-    call = s * norm_cdf(d1) - k * df * norm_cdf(d2)
-    put = k * df * norm_cdf(-d2) - s * norm_cdf(-d1)
-    v = call if kind == "call" else put
+def price(s: Column, k: Column, t: float, r: float, vol: Column, kind: str = "call", tag: str = "") -> Column:
+    """European option value over the columns of ``with_d_terms``; 0 without time or volatility."""
+    c1, c2, df = F.col(f"_c1{tag}"), F.col(f"_c2{tag}"), F.exp(F.lit(-r * t))
+    v = s * c1 - k * df * c2 if kind == "call" else k * df * (1 - c2) - s * (1 - c1)
     return F.when((vol > 0) & F.lit(t > 0), v).otherwise(0.0)
 
 
-def greeks(s: Column, k: Column, t: float, r: float, vol: Column, kind: str = "call") -> dict[str, Column]:
-    """Delta, gamma, theta per day, vega and rho per 1 %."""
-    d1, d2 = d_terms(s, k, t, r, vol)
-    root, df, n1 = t**0.5, F.exp(F.lit(-r * t)), norm_pdf(d1)
+def greeks(s: Column, k: Column, t: float, r: float, vol: Column, kind: str = "call", tag: str = "") -> dict[str, Column]:
+    """Delta, gamma, theta per day, vega and rho per 1 %, over the columns of ``with_d_terms``."""
+    c1, c2, n1 = (F.col(f"_{x}{tag}") for x in ("c1", "c2", "n1"))
+    root, df = t**0.5, F.exp(F.lit(-r * t))
     call = kind == "call"
-    carry = r * k * df * (norm_cdf(d2) if call else norm_cdf(-d2))
-    theta = -s * n1 * vol / (2 * root) + (-carry if call else carry)
+    below = c2 if call else 1 - c2
+    carry = r * k * df * below
     raw = {
-        "delta": norm_cdf(d1) if call else norm_cdf(d1) - 1.0,
+        "delta": c1 if call else c1 - 1.0,
         "gamma": n1 / (s * vol * root),
-        "theta": theta / 365.0,
+        "theta": (-s * n1 * vol / (2 * root) + (-carry if call else carry)) / 365.0,
         "vega": s * root * n1 * 0.01,
-        "rho": k * t * df * (norm_cdf(d2) if call else -norm_cdf(-d2)) * 0.01,
+        "rho": k * t * df * (below if call else -below) * 0.01,
     }
     return {n: F.when((vol > 0) & F.lit(t > 0), c).otherwise(0.0) for n, c in raw.items()}
 
@@ -46,12 +46,11 @@ def strategy(df: DataFrame, px: str, vol: str, days: int = 30, r: float = 0.04)
     """At-the-money and 5 % out-of-the-money calls, Greeks, break-even and put hedge
     per signal row; unknown volatility is 20 %."""
     t = days / 365.0
-    s = F.col(px)
-    v = F.coalesce(F.nullif(F.col(vol), F.lit(0.0)), F.lit(0.20))
-    d = df.withColumn("sigma_used", v)
-    v = F.col("sigma_used")
-    d = d.withColumns({"atm_call": price(s, s, t, r, v), "otm_call": price(s, s * 1.05, t, r, v), "put_hedge": price(s, s, t, r, v, "put"), **greeks(s, s, t, r, v)})
-    return d.withColumn("breakeven_pct", 100.0 * F.col("atm_call") / s)
+    s, v = F.col(px), F.col("sigma_used")
+    d = df.withColumn("sigma_used", F.coalesce(F.nullif(F.col(vol), F.lit(0.0)), F.lit(0.20)))
+    d = with_d_terms(with_d_terms(d, s, s, t, r, v), s, s * 1.05, t, r, v, "_out")
+    d = d.withColumns({"atm_call": price(s, s, t, r, v), "otm_call": price(s, s * 1.05, t, r, v, tag="_out"), "put_hedge": price(s, s, t, r, v, "put"), **greeks(s, s, t, r, v)})
+    return d.withColumn("breakeven_pct", 100.0 * F.col("atm_call") / s).drop(*[c for c in d.columns if c.startswith(("_d", "_c", "_n")) and c not in df.columns])
 
 
 def lognormal_bands(params: DataFrame, h: int = 5, px: str = "close") -> DataFrame:

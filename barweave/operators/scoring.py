@@ -92,7 +92,7 @@ def member_score(p: Column, kind: str) -> Column:
     return {"classifier": 2.0 * p - 1.0, "short_classifier": -(2.0 * p - 1.0)}.get(kind, p)
 
 
-def ensemble(df: DataFrame, members: dict[str, tuple[str, float]], mode: str = "rank", bound: int | None = None) -> DataFrame:
+def ensemble(df: DataFrame, members: dict[str, tuple[str, float]], mode: str = "rank") -> DataFrame:
     """Weighted mean of member predictions after per-date ranking (missing 0.5),
     expanding z-scores, or clipping."""
     total = sum(max(0.0, w) for _, w in members.values())
@@ -100,7 +100,7 @@ def ensemble(df: DataFrame, members: dict[str, tuple[str, float]], mode: str = "
     for c, (kind, w) in members.items():
         out = out.withColumn(f"_m_{c}", F.round(member_score(F.col(c), kind), 10))
         if mode == "rank":
-            out = cs_rank(out, f"_m_{c}", f"_n_{c}", bound)
+            out = cs_rank(out, f"_m_{c}", f"_n_{c}")
             v = F.coalesce(F.col(f"_n_{c}"), F.lit(0.5))
         elif mode == "zscore":
             out = T.expanding_zscore(out, f"_m_{c}", f"_n_{c}")

@@ -74,10 +74,10 @@ def regime_top_k(scored: DataFrame, x: str, normal_k=10, crisis_k=4, normal_exp=
     return w.withColumn("exposure", exp).withColumn("weight", F.col("weight") * F.col("exposure"))
 
 
-def rank_weights(scored: DataFrame, x: str, long_only: bool = False, bound: int | None = None) -> DataFrame:
+def rank_weights(scored: DataFrame, x: str, long_only: bool = False) -> DataFrame:
     """Centred percentile ranks with unit gross weight.  Totals per date come from
     an aggregate, not a window over the date."""
-    r = cs_rank(scored, x, "_pr", bound)
+    r = cs_rank(scored, x, "_pr")
     n = r.groupBy("date").agg(F.count(x).alias("_n"))
     r = r.join(F.broadcast(n), "date")
     pct = F.when(F.col("_n") > 1, (F.col("_pr") * F.col("_n") - 1.0) / F.nullif(F.col("_n") - 1.0, F.lit(0.0)))
@@ -103,14 +103,17 @@ def high_conviction(ranked: DataFrame, rank: str, score: str, threshold=0.6, k=5
 
 
 # Fixed values: |score| bands to holding days, and the fallback by signal.
-HOLD_BANDS = ((0.8, 10), (0.6, 7), (0.4, 5), (0.3, 3))
+HOLD_BANDS = ((0.5, 10), (0.3, 5))
+HOLD_BY_SIGNAL = {"Bullish": 5, "Bearish": 3}
 HOLD_DEFAULT = 5
 
 
-def holding_days(score: Column, regime: Column, bands=HOLD_BANDS, default=HOLD_DEFAULT, crisis_cap=3, bear_cap=3) -> Column:
+def holding_days(score: Column, regime: Column, signal: Column, bands=HOLD_BANDS, default=HOLD_DEFAULT, crisis_cap=3, bear_cap=3) -> Column:
     h = None
     for lo, days in sorted(bands, reverse=True):
         h = F.when(F.abs(score) >= lo, days) if h is None else h.when(F.abs(score) >= lo, days)
+    for name, days in HOLD_BY_SIGNAL.items():
+        h = h.when(signal == name, days)
     h = h.otherwise(default)
     return F.when(regime == "Crisis", F.least(h, F.lit(crisis_cap))).when(regime == "Bear", F.least(h, F.lit(max(1, bear_cap)))).otherwise(h)
 
@@ -127,7 +130,7 @@ def ranked_candidates(signals: DataFrame, counts: DataFrame, min_strength=0.3, m
     sided = top_n(s, max(max_longs, max_shorts), strong, ("date", "signal"), "side_rn")
     sided = sided.where(F.col("side_rn") <= F.when(F.col("signal") == "Bullish", max_longs).otherwise(max_shorts))
     j = sided.join(counts, ["ticker", "date"], "left").withColumn("prior", F.coalesce("n_prior", F.lit(0)))
-    j = j.withColumn("hold", holding_days(F.col("adj"), F.col("regime")))
+    j = j.withColumn("hold", holding_days(F.col("adj"), F.col("regime"), F.col("signal")))
     order = F.abs("adj") - penalty * F.col("prior")
     return j.withColumn("priority", F.row_number().over(by_date().orderBy(order.desc(), F.col("ticker"))))
 
@@ -150,10 +153,10 @@ def longs_and_shorts(scored: DataFrame, x: str, longs=5, shorts=5, min_strength=
     return top.unionByName(bottom.join(top.select("ticker", "date"), ["ticker", "date"], "left_anti"))
 
 
-def daily_selection(scored: DataFrame, x: str, mult=0.8, longs=5, shorts=5, max_positions=8, bound: int | None = None) -> DataFrame:
+def daily_selection(scored: DataFrame, x: str, mult=0.8, longs=5, shorts=5, max_positions=8) -> DataFrame:
     """Crisis dates keep only the top 5 %; then |score| beyond ``mult`` deviations of
     what is left, heads of both sides, re-ranked by |score|."""
-    q = exact_quantiles(scored.where("regime = 'Crisis'"), ["date"], x, {"_q": 0.95}, few=True, bound=bound)
+    q = exact_quantiles(scored.where("regime = 'Crisis'"), ["date"], x, {"_q": 0.95}, few=True)
     s = scored.join(F.broadcast(q), "date", "left").where(F.col("_q").isNull() | (F.col(x) > F.col("_q")))
     sd = s.groupBy("date").agg(F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("_sd"))
     s = s.join(F.broadcast(sd), "date").where(F.abs(x) > mult * F.col("_sd"))

@@ -27,22 +27,24 @@ def fold(df: DataFrame, key: str, order: str, cols: list[str], step: Callable, o
     return z.select(key, F.col(f"x.h.{order}").alias(order), *[F.col(f"x.h.{c}").alias(c) for c in cols], F.col("x.o").alias(out))
 
 
-def flip_filter(signals: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """Suppress a change of side unless the score moved at least ``threshold`` from
-    the last accepted one; state is per ticker and starts empty."""
+def flip_filter(signals: DataFrame, threshold: float = 0.15, remember: str = "score") -> DataFrame:
+    """Suppress a change of side unless the score is at least ``threshold`` from what was
+    remembered of the last accepted row (its ``remember`` column, such as a smoothed
+    score); state is per ticker and starts empty."""
 
-    def step(score, side):
+    def step(score, kept, side):
         last, out = None, []
-        for s, d in zip(score, side):
+        for s, k, d in zip(score, kept, side):
             flip = last is not None and last != 0 and d != 0 and (1 if last > 0 else -1) != d
             ok = not (flip and abs(s - last) < threshold)
             if ok:
-                last = s
+                last = s if k is None else k
             out.append(ok)
         return out
 
     d = F.when(F.col("signal") == "Bullish", 1).when(F.col("signal") == "Bearish", -1).otherwise(0)
-    return fold(signals.withColumn("side", d).where("side <> 0"), "ticker", "date", ["score", "side"], step, "accepted", "boolean")
+    rows = signals.withColumns({"side": d, "_kept": F.col(remember)}).where("side <> 0")
+    return fold(rows, "ticker", "date", ["score", "_kept", "side"], step, "accepted", "boolean").drop("_kept")
 
 
 def reentry_block(blotter: DataFrame) -> DataFrame:

@@ -24,20 +24,23 @@ def recent(news: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return news.where((d >= 0) & (d <= days))
 
 
-def headline_key(x: Column) -> Column:
-    return F.substring(F.trim(F.lower(x)), 1, 200)
+def headline_key(x: Column, chars: int | None = None) -> Column:
+    """What makes headlines the same: the whole trimmed text in small letters, or its first ``chars``."""
+    key = F.trim(F.lower(x))
+    return key if chars is None else F.substring(key, 1, chars)
 
 
-def dedupe_headlines(news: DataFrame, order: str = "doc_id") -> DataFrame:
-    """First item per headline key, by a unique ``order`` column.
+def dedupe_headlines(news: DataFrame, order: str = "doc_id", chars: int | None = None) -> DataFrame:
+    """First item per headline key, by a unique ``order`` column; empty headlines are dropped.
 
-    Only (key, order) goes through the aggregate, combined map-side, so a headline
-    copied a billion times is one row per task and texts never sit in its buffers;
-    the winners then fetch their rows by the unique column.
+    Only (digest of the key, order) goes through the aggregate, combined map-side, so a
+    headline copied a billion times is one row per task and texts never sit in its
+    buffers; the winners then fetch their rows by the unique column.
     """
-    k = headline_key(F.col("headline"))
-    first = news.groupBy(k.alias("_k")).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies")).drop("_k")
-    return news.join(first, order)
+    full = news.where(F.trim("headline") != "")
+    k = F.sha2(headline_key(F.col("headline"), chars), 256)
+    first = full.groupBy(k.alias("_k")).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("copies")).drop("_k")
+    return full.join(first, order)
 
 
 def label_value(label: Column) -> Column:
@@ -55,18 +58,22 @@ def weighted_sentiment(news: DataFrame, keys: list[str], value: Column, weight:
 
 
 def sentiment_breakdown(news: DataFrame, value: Column, weight: Column) -> DataFrame:
-    """Scores by date and by source in one grouping-sets pass."""
+    """Scores by date (weighted) and by source (plain mean), each within -1 and 1, in one grouping-sets pass."""
     d = news.select("date", "source", value.alias("v"), weight.alias("w"))
     g = d.groupingSets([[F.col("date")], [F.col("source")]], F.col("date"), F.col("source"))
-    return g.agg((F.try_divide(F.sum(F.col("v") * F.col("w")), F.nullif(F.sum("w"), F.lit(0.0)))).alias("score"), F.count(F.lit(1)).alias("n")).select(
+    weighted = F.try_divide(F.sum(F.col("v") * F.col("w")), F.nullif(F.sum("w"), F.lit(0.0)))
+    score = clip(F.when(F.grouping("date") == 0, weighted).otherwise(F.avg("v")), -1.0, 1.0)
+    return g.agg(score.alias("score"), F.count(F.lit(1)).alias("n")).select(
         F.coalesce(F.col("date").cast("string"), F.lit("ALL")).alias("day"), F.coalesce("source", F.lit("ALL")).alias("source"), "score", "n")
 
 
-def top_headlines(news: DataFrame, n: int = 5) -> DataFrame:
-    """Newest n headlines per (ticker, date) as an array; pruned before the shuffle."""
-    rn = F.row_number().over(Window.partitionBy("ticker", "date").orderBy("doc_id"))
-    t = news.select("ticker", "date", "doc_id", "headline").withColumn("_r", rn).where(F.col("_r") <= n)
-    return t.groupBy("ticker", "date").agg(F.array_sort(F.collect_list(F.struct("_r", "headline"))).alias("h")).select("ticker", "date", F.col("h.headline").alias("headlines"))
+def headlines_of_day(news: DataFrame) -> DataFrame:
+    """All headlines of each (ticker, date), one row each, with the number of articles of that day.
+
+    Rows instead of one array per day, so a day with a third of all news is no single value.
+    """
+    articles = news.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("articles"))
+    return news.select("ticker", "date", "doc_id", "headline").join(articles, ["ticker", "date"])
 
 
 def hours_since(ts: Column, ref: Column) -> Column:

@@ -84,13 +84,13 @@ def prank(x, part="date"):
 @query("rank_then_row_lag", "D6", K + "mom_rank:f", f"""
 WITH {X20}, k AS (SELECT ticker, date, {prank('ret_20d')} AS rk FROM x20) SELECT ticker, date, {lagx('rk')} AS mom_rank FROM k""")
 def rank_then_row_lag(spark, d):
-    return X.rank_then_row_lag(x20(spark, d), "ret_20d", "mom_rank", S.max_names(spark, d))
+    return X.rank_then_row_lag(x20(spark, d), "ret_20d", "mom_rank")
 
 
 @query("cross_section_rank", "D7", K + "ret_20d_rank:f volume_rank:f", f"""
 WITH {X20} SELECT ticker, date, {prank('ret_20d')} AS ret_20d_rank, {prank('volume')} AS volume_rank FROM x20""")
 def cross_section_rank(spark, d):
-    return X.cs_rank(X.cs_rank(x20(spark, d), "ret_20d", "ret_20d_rank", S.max_names(spark, d)), "volume", "volume_rank")
+    return X.cs_rank(X.cs_rank(x20(spark, d), "ret_20d", "ret_20d_rank"), "volume", "volume_rank")
 
 
 SREL = f"""sr AS (SELECT ticker, date, ret_20d - median(ret_20d) OVER (PARTITION BY date, sector) AS a,
@@ -101,7 +101,7 @@ srz AS (SELECT ticker, date, {zd('a')} AS a, {zd('b')} AS b FROM sr), {callag('s
 @query("sector_relative_momentum", "D8", K + "sector_relative_20d:f sector_relative_60d:f", f"""
 WITH {X20}, {SREL} SELECT ticker, date, a_lag AS sector_relative_20d, b_lag AS sector_relative_60d FROM cl""")
 def sector_relative_momentum(spark, d):
-    out = X.sector_relative(x20(spark, d), ["ret_20d", "ret_60d"], S.max_names(spark, d))
+    out = X.sector_relative(x20(spark, d), ["ret_20d", "ret_60d"])
     return out.withColumnsRenamed({"ret_20d_rel_zl": "sector_relative_20d", "ret_60d_rel_zl": "sector_relative_60d"})
 
 
@@ -110,7 +110,7 @@ WITH {X20}, v AS (SELECT * FROM x20 WHERE vol_20 IS NOT NULL AND ticker NOT IN (
 k AS (SELECT ticker, date, {prank('vol_20')} AS rk FROM v) SELECT ticker, date, {lagx('rk')} AS vol_rank FROM k""")
 def volatility_rank_no_benchmark(spark, d):
     bench = S.sectors(spark, d).where("nation = 'FRANCE'")
-    return X.vol_rank_feature(rets(spark, d), bench, S.max_names(spark, d))
+    return X.vol_rank_feature(rets(spark, d), bench)
 
 
 @query("inject_panel_columns", "D10", K + "trend_score:f mom_rank:f", f"""
@@ -118,7 +118,7 @@ WITH {TREND}, k AS (SELECT ticker, date, {prank('ret_1d')} AS rk FROM tf WHERE a
 SELECT ts.ticker, ts.date, trend_score, coalesce(rk, 0) AS mom_rank FROM ts LEFT JOIN k USING (ticker, date)""")
 def inject_panel_columns(spark, d):
     t = trend(spark, d)
-    k = X.cs_rank(t.where("abs(ret_1d) > 0.02").select("ticker", "date", "ret_1d"), "ret_1d", "mom_rank", S.max_names(spark, d))
+    k = X.cs_rank(t.where("abs(ret_1d) > 0.02").select("ticker", "date", "ret_1d"), "ret_1d", "mom_rank")
     return joins.left_fill(t, k, ["ticker", "date"], {"mom_rank": 0.0})
 
 
@@ -142,12 +142,12 @@ def sector_aggregates(spark, d):
     return X.sector_aggregates(x20(spark, d), {"mom": "ret_20d", "vol": "vol_20"})
 
 
-@query("sector_aggregates_wide", "D12", "date:d asia:f europe:f america:f", f"""
-WITH {SA} SELECT date, max(mom) FILTER (sector = 'ASIA') AS asia, max(mom) FILTER (sector = 'EUROPE') AS europe,
- max(mom) FILTER (sector = 'AMERICA') AS america FROM sa GROUP BY date""")
+@query("sector_aggregates_wide", "D12", "date:d africa:f america:f asia:f europe:f middle_east:f", f"""
+WITH {SA} SELECT date, max(mom) FILTER (sector = 'AFRICA') AS africa, max(mom) FILTER (sector = 'AMERICA') AS america,
+ max(mom) FILTER (sector = 'ASIA') AS asia, max(mom) FILTER (sector = 'EUROPE') AS europe, max(mom) FILTER (sector = 'MIDDLE EAST') AS middle_east FROM sa GROUP BY date""")
 def sector_aggregates_wide(spark, d):
     a = X.sector_aggregates(x20(spark, d), {"mom": "ret_20d", "vol": "vol_20"})
-    return X.sector_wide(a, "mom", ["ASIA", "EUROPE", "AMERICA"]).withColumnsRenamed({"ASIA": "asia", "EUROPE": "europe", "AMERICA": "america"})
+    return X.sector_wide(a, "mom", SECTOR_NAMES).withColumnsRenamed({s: s.lower().replace(" ", "_") for s in SECTOR_NAMES})
 
 
 @query("sector_adjusted_score", "D13", K + "adjusted_score:f signal:s", f"""
@@ -205,7 +205,7 @@ SELECT c.ticker, c.date, trend_score, relz_lag AS ret_20d_rel_zl, vol_rank, rz_l
 FROM c JOIN cl USING (ticker, date) LEFT JOIN mk USING (date) LEFT JOIN bench USING (date)""")
 def training_panel(spark, d):
     macro = T.market_vol_spike(S.market(bars(spark, d)))
-    return X.training_panel(matrix(spark, d), S.sectors(spark, d), macro, benchmark(spark, d), ablate=("mom_6m",), bound=S.max_names(spark, d))
+    return X.training_panel(matrix(spark, d), S.sectors(spark, d), macro, benchmark(spark, d), ablate=("mom_6m",))
 
 
 def neutral_input(spark, d):

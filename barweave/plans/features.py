@@ -226,7 +226,7 @@ def ewm_sql(src, x, span, m):
     dec = 1 - 2 / (span + 1)
     return f"""e0 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM {src}),
 ew AS (SELECT a.ticker, a.date, CASE WHEN count(b.{x}) >= {m} THEN sum(b.{x} * pow({dec!r}, a.rn - b.rn)) / sum(pow({dec!r}, a.rn - b.rn)) END AS ew
-  FROM e0 a JOIN e0 b ON a.ticker = b.ticker AND b.rn BETWEEN a.rn - 127 AND a.rn WHERE b.{x} IS NOT NULL GROUP BY a.ticker, a.date)"""
+  FROM e0 a JOIN e0 b ON a.ticker = b.ticker AND b.rn <= a.rn WHERE b.{x} IS NOT NULL GROUP BY a.ticker, a.date)"""
 
 
 @query("ema_smoothing", "C22", K + "smoothed_score:f", f"""

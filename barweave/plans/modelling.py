@@ -15,7 +15,7 @@ from barweave.operators import cross_section as X
 from barweave.operators import joins
 from barweave.plans.catalog import query
 from barweave.plans.cross import BENCH, benchmark, regimes
-from barweave.plans.features import FM, K, LOGN, TREND, bars, matrix, rets, trend
+from barweave.plans.features import FM, K, LOGN, TREND, bars, ewm_sql, matrix, rets, trend
 from barweave.plans.performance import ER, WR, eq, log, srank
 from barweave.plans.select import BLOT, SCORED, SIG, blotter, scored, scored_fwd, signals
 from barweave.plans.sqlbase import EQUITY, MARKET, NEWS, PRICES, RET, TRADES, lagx, roll, win
@@ -168,8 +168,8 @@ def latent_factors_expanding(spark, d):
 
 @query("model_acceptance", "M14", "windows:i won:i old_mean:f new_mean:f ratio:f accept:b", f"""
 WITH {FM}, {FOLDS}, o AS (SELECT fold, corr(ret_5d, fwd) AS a, corr(-bb_position, fwd) AS b FROM fmx JOIN fd USING (date) WHERE part = 'test' AND ret_5d IS NOT NULL GROUP BY fold),
-g AS (SELECT count(*) AS windows, count(*) FILTER (b >= a) AS won, avg(a) AS old_mean, avg(b) AS new_mean FROM o)
-SELECT *, new_mean/nullif(old_mean, 0) AS ratio, won/windows >= 0.5 AND coalesce(new_mean/nullif(old_mean, 0), 0) >= 0.95 AS accept FROM g""")
+g AS (SELECT count(*) AS windows, count(*) FILTER (b > a) AS won, avg(a) AS old_mean, avg(b) AS new_mean FROM o)
+SELECT *, new_mean/nullif(old_mean, 0) AS ratio, windows > 0 AND won/windows >= 0.5 AND (old_mean <= 1e-6 OR new_mean >= 0.85*old_mean) AS accept FROM g""")
 def model_acceptance(spark, d):
     from barweave.functions.mathx import corr_of
 
@@ -226,7 +226,7 @@ def top_k_sweep(spark, d):
 
 def ew_sql(span):
     dec = 1 - 2 / (span + 1)
-    return f"""SELECT {span} AS span, a.fwd, sum(b.score*pow({dec!r}, a.rn - b.rn))/sum(pow({dec!r}, a.rn - b.rn)) AS s, count(*) AS c FROM sr a JOIN sr b ON a.ticker = b.ticker AND b.rn BETWEEN a.rn - 127 AND a.rn GROUP BY a.ticker, a.date, a.fwd HAVING count(*) >= 3"""
+    return f"""SELECT {span} AS span, a.fwd, sum(b.score*pow({dec!r}, a.rn - b.rn))/sum(pow({dec!r}, a.rn - b.rn)) AS s, count(*) AS c FROM sr a JOIN sr b ON a.ticker = b.ticker AND b.rn <= a.rn GROUP BY a.ticker, a.date, a.fwd HAVING count(*) >= 3"""
 
 
 @query("smoothing_sweep", "N3", "span:i n:i ic:f", f"""
@@ -330,7 +330,7 @@ def recent_news(spark, d):
 
 
 @query("dedupe_headlines", "P3", "doc_id:i headline:s copies:i", f"""
-WITH {NEWS} SELECT min(doc_id) AS doc_id, arg_min(headline, doc_id) AS headline, count(*) AS copies FROM news GROUP BY substr(trim(lower(headline)), 1, 200)""")
+WITH {NEWS} SELECT min(doc_id) AS doc_id, arg_min(headline, doc_id) AS headline, count(*) AS copies FROM news WHERE trim(headline) <> '' GROUP BY trim(lower(headline))""")
 def dedupe_headlines(spark, d):
     return P.dedupe_headlines(S.news(spark, d))
 
@@ -348,17 +348,17 @@ def daily_sentiment(spark, d):
 
 
 @query("sentiment_grouping_sets", "P5", "day:s source:s score:f n:i", f"""
-WITH {NEWS} SELECT coalesce(CAST(date AS VARCHAR), 'ALL') AS day, coalesce(source, 'ALL') AS source, sum({VAL}*least(n_chars/2000.0, 1))/nullif(sum(least(n_chars/2000.0, 1)), 0) AS score, count(*) AS n
+WITH {NEWS} SELECT coalesce(CAST(date AS VARCHAR), 'ALL') AS day, coalesce(source, 'ALL') AS source,
+ least(greatest(CASE WHEN grouping(date) = 0 THEN sum({VAL}*least(n_chars/2000.0, 1))/nullif(sum(least(n_chars/2000.0, 1)), 0) ELSE avg({VAL}) END, -1), 1) AS score, count(*) AS n
 FROM news GROUP BY GROUPING SETS ((date), (source))""")
 def sentiment_grouping_sets(spark, d):
     return P.sentiment_breakdown(S.news(spark, d), value(), weight())
 
 
-@query("daily_headlines", "P5", "ticker:i date:d headlines:s", f"""
-WITH {NEWS}, t AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY doc_id) AS rn FROM news)
-SELECT ticker, date, string_agg(headline, ' || ' ORDER BY rn) AS headlines FROM t WHERE rn <= 5 GROUP BY ticker, date""")
+@query("daily_headlines", "P5", "ticker:i date:d articles:i doc_id:i headline:s", f"""
+WITH {NEWS} SELECT ticker, date, count(*) OVER (PARTITION BY ticker, date) AS articles, doc_id, headline FROM news""")
 def daily_headlines(spark, d):
-    return P.top_headlines(S.news(spark, d)).withColumn("headlines", F.array_join("headlines", " || "))
+    return P.headlines_of_day(S.news(spark, d))
 
 
 @query("decayed_sentiment", "P6", "ticker:i decayed:f sentiment:f impact:f n:i", f"""
@@ -392,13 +392,15 @@ def multi_source_union(spark, d):
 
 
 @query("signal_flip_filter", "R1", K + "score:f accepted:b", f"""
-WITH RECURSIVE {SIG}, s AS (SELECT ticker, date, round(score, 6) AS score, CASE signal WHEN 'Bullish' THEN 1 ELSE -1 END AS side, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM sig WHERE signal <> 'Neutral'),
-f AS (SELECT ticker, date, score, rn, true AS accepted, score AS last FROM s WHERE rn = 1
+WITH RECURSIVE {SIG}, {ewm_sql('sig', 'score', 3, 1)},
+s AS (SELECT ticker, date, round(score, 6) AS score, round(ew, 6) AS kept, CASE signal WHEN 'Bullish' THEN 1 ELSE -1 END AS side, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM sig JOIN ew USING (ticker, date) WHERE signal <> 'Neutral'),
+f AS (SELECT ticker, date, score, rn, true AS accepted, kept AS last FROM s WHERE rn = 1
  UNION ALL SELECT s.ticker, s.date, s.score, s.rn, NOT (f.last <> 0 AND sign(f.last) <> s.side AND abs(s.score - f.last) < 0.25),
-  CASE WHEN f.last <> 0 AND sign(f.last) <> s.side AND abs(s.score - f.last) < 0.25 THEN f.last ELSE s.score END FROM f JOIN s ON s.ticker = f.ticker AND s.rn = f.rn + 1)
+  CASE WHEN f.last <> 0 AND sign(f.last) <> s.side AND abs(s.score - f.last) < 0.25 THEN f.last ELSE s.kept END FROM f JOIN s ON s.ticker = f.ticker AND s.rn = f.rn + 1)
 SELECT * FROM f""")
 def signal_flip_filter(spark, d):
-    return ST.flip_filter(signals(spark, d).withColumn("score", F.round("score", 6)), 0.25)
+    s = W.add_ewm(signals(spark, d), "score", 3, 1, "kept_score").withColumns({"score": F.round("score", 6), "kept_score": F.round("kept_score", 6)})
+    return ST.flip_filter(s, 0.25, "kept_score")
 
 
 @query("halt_resume_hysteresis", "R2", "date:d drawdown:f halted:b", f"""

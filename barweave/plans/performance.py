@@ -15,7 +15,7 @@ from barweave.plans.bars import sector_returns
 from barweave.plans.catalog import query
 from barweave.plans.cross import REG, prank, regimes
 from barweave.plans.features import FM, K, RM, bars, matrix, rets, rm
-from barweave.plans.select import BLOT, SCORED, SIG, blotter, cap, scored, signals
+from barweave.plans.select import BLOT, SCORED, SIG, blotter, scored, signals
 from barweave.plans.sqlbase import EQUITY, MARKET, PRICES, RET, SECTORS, TRADES, roll, win
 from barweave.sources import tables as S
 
@@ -321,7 +321,7 @@ WITH {SCORED}, {fwd_sql('sc', (5,))}, a AS (SELECT date, round(score, 10) AS x,
 i AS (SELECT date, 1 AS acct, count(*) AS n, corr(rx, ry) AS ic_daily FROM k GROUP BY date HAVING count(*) >= 8), r AS (SELECT *, {roll('avg', 'ic_daily', 20, 10, 'acct')} AS rolling_ic FROM i)
 SELECT *, coalesce(rolling_ic < 0, false) AS below_threshold FROM r""")
 def daily_rank_ic_tracker(spark, d):
-    return IC.daily_rank_ic(fwd_scored(spark, d, (5,)), "score", "fwd_5", cap(spark, d))
+    return IC.daily_rank_ic(fwd_scored(spark, d, (5,)), "score", "fwd_5")
 
 
 LAGS7 = (1, 2, 3, 5, 10, 20, 60)
@@ -388,7 +388,7 @@ WITH {SCORED}, a AS (SELECT ticker, date, round(score, 10) AS x FROM sc), k AS (
 d AS (SELECT *, least(ceil(round(rk*10, 9)), 10) AS dc, lag(rk) OVER w AS pk, lag(least(ceil(round(rk*10, 9)), 10)) OVER w AS pd FROM k WINDOW w AS (PARTITION BY ticker ORDER BY date))
 SELECT ticker, corr(rk, pk) AS rank_autocorr, avg(CASE WHEN pd IS NOT NULL THEN (dc = pd)::INT END) AS decile_retention, count(pk) AS n FROM d GROUP BY ticker""")
 def ranking_stability(spark, d):
-    return IC.ranking_stability(scored(spark, d).withColumn("score", F.round("score", 10)), "score", cap(spark, d))
+    return IC.ranking_stability(scored(spark, d).withColumn("score", F.round("score", 10)), "score")
 
 
 # --- risk ------------------------------------------------------------------------

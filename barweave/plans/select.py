@@ -34,10 +34,6 @@ def scored(spark, d):
     return joins.by_date(t, regimes(spark, d).select("date", "regime"), "left").fillna("Sideways", subset=["regime"])
 
 
-def cap(spark, d):
-    return S.max_names(spark, d)
-
-
 WTS = {"trend_score": 0.6, "ret_20d": 1.5, "vol_20d": -2.0, "rsi_14": 0.01, "volume_z20": 0.0}
 
 
@@ -143,7 +139,7 @@ def members(spark, d):
 @query("ensemble_rank_score", "F8", K + "ensemble_score:f", f"""
 WITH {SCORED}, {ENS_IN} SELECT ticker, date, 0.5*coalesce({prank('a')}, 0.5) + 0.3*coalesce({prank('b')}, 0.5) + 0.2*coalesce({prank('c')}, 0.5) AS ensemble_score FROM en""")
 def ensemble_rank_score(spark, d):
-    return SC.ensemble(members(spark, d), MEMBERS, "rank", cap(spark, d))
+    return SC.ensemble(members(spark, d), MEMBERS, "rank")
 
 
 @query("ensemble_zscore", "F8", K + "ensemble_score:f", f"""
@@ -244,14 +240,14 @@ rw1 AS (SELECT *, coalesce((rk - 1)/nullif(n - 1, 0), 0.5) AS rank_pct FROM rw0)
 WITH {SCORED}, {RW}, w AS (SELECT *, sum(abs(rank_pct - 0.5)) OVER (PARTITION BY date) AS g FROM rw1)
 SELECT ticker, date, rank_pct, CASE WHEN g > 1e-12 THEN (rank_pct - 0.5)/nullif(g, 0) ELSE 0 END AS weight FROM w""")
 def rank_centred_weights(spark, d):
-    return G.rank_weights(scored(spark, d), "score", bound=cap(spark, d))
+    return G.rank_weights(scored(spark, d), "score")
 
 
 @query("rank_long_only_weights", "G6", K + "rank_pct:f weight:f", f"""
 WITH {SCORED}, {RW}, w AS (SELECT *, sum(greatest(rank_pct - 0.5, 0)) OVER (PARTITION BY date) AS g FROM rw1)
 SELECT ticker, date, rank_pct, CASE WHEN g > 1e-12 THEN greatest(rank_pct - 0.5, 0)/nullif(g, 0) ELSE 1.0/n END AS weight FROM w""")
 def rank_long_only_weights(spark, d):
-    return G.rank_weights(scored(spark, d), "score", True, cap(spark, d))
+    return G.rank_weights(scored(spark, d), "score", True)
 
 
 @query("high_conviction", "G7", K + "rank_pct:f weight:f", f"""
@@ -259,7 +255,7 @@ WITH {SCORED}, {RW}, p AS (SELECT *, max(CASE WHEN rank_pct > 0.9 THEN 1 ELSE 0
 t AS (SELECT * FROM p WHERE ap = 0 OR rank_pct > 0.9 QUALIFY row_number() OVER (PARTITION BY date ORDER BY rank_pct DESC, score DESC, ticker) <= 5)
 SELECT ticker, date, rank_pct, CASE WHEN sum(rank_pct) OVER d > 1e-12 THEN rank_pct/nullif(sum(rank_pct) OVER d, 0) ELSE 1.0/count(*) OVER d END AS weight FROM t WINDOW d AS (PARTITION BY date)""")
 def high_conviction(spark, d):
-    return G.high_conviction(G.rank_weights(scored(spark, d), "score", bound=cap(spark, d)), "rank_pct", "score", 0.9, 5)
+    return G.high_conviction(G.rank_weights(scored(spark, d), "score"), "rank_pct", "score", 0.9, 5)
 
 
 PRIOR = """tc AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -270,7 +266,7 @@ pc AS (SELECT ticker, date, sum(n) OVER (PARTITION BY ticker ORDER BY date) - n
 WITH {SIG}, {PRIOR}, s AS (SELECT *, {rh("score", 4)} AS adj FROM sig WHERE signal <> 'Neutral' AND (abs(score) >= 1e-9 OR abs(score) >= 0.3)),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY date, signal ORDER BY abs(adj) DESC, ticker) <= 5),
 j AS (SELECT b.*, coalesce(n_prior, 0) AS prior FROM b LEFT JOIN pc ON b.ticker = pc.ticker AND b.date = pc.date),
-h AS (SELECT *, CASE WHEN abs(adj) >= 0.8 THEN 10 WHEN abs(adj) >= 0.6 THEN 7 WHEN abs(adj) >= 0.4 THEN 5 WHEN abs(adj) >= 0.3 THEN 3 ELSE 5 END AS h0 FROM j)
+h AS (SELECT *, CASE WHEN abs(adj) >= 0.5 THEN 10 WHEN abs(adj) >= 0.3 THEN 5 WHEN signal = 'Bearish' THEN 3 ELSE 5 END AS h0 FROM j)
 SELECT ticker, date, signal, adj, CASE WHEN regime IN ('Crisis', 'Bear') THEN least(h0, 3) ELSE h0 END AS hold, prior,
  row_number() OVER (PARTITION BY date ORDER BY abs(adj) - 0.002*prior DESC, ticker) AS priority FROM h""")
 def ranked_candidates(spark, d):
@@ -293,7 +289,7 @@ s AS (SELECT * FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY da
  UNION ALL SELECT * FROM c WHERE score < 0 QUALIFY row_number() OVER (PARTITION BY date ORDER BY score, ticker) <= 5)
 SELECT ticker, date, score, CASE WHEN score > 0 THEN 1 ELSE -1 END AS signal, row_number() OVER (PARTITION BY date ORDER BY abs(score) DESC, ticker) AS rn FROM s QUALIFY rn <= 8""")
 def daily_selection(spark, d):
-    return G.daily_selection(scored(spark, d), "score", bound=cap(spark, d))
+    return G.daily_selection(scored(spark, d), "score")
 
 
 TW = """tw0 AS (SELECT *, stddev_pop(score) OVER (PARTITION BY date) AS sd FROM sc),
@@ -437,10 +433,10 @@ def market_overview(spark, d):
                                                  F.count_if(F.col("signal") == "Bullish").alias("bullish"), F.count_if(F.col("signal") == "Bearish").alias("bearish"))
 
 
-@query("ticker_search", "G21", "s_name:s ticker:i", "SELECT s_name, s_suppkey AS ticker FROM supplier WHERE upper(s_name) LIKE '%SUPPLIER%4%' ORDER BY s_suppkey LIMIT 20")
+@query("ticker_search", "G21", "s_name:s ticker:i", "SELECT s_name, s_suppkey AS ticker FROM supplier WHERE upper(s_name) LIKE '%SUPPLIER%4%' ORDER BY s_suppkey")
 def ticker_search(spark, d):
     s = S.table(spark, d, "supplier").where(F.upper("s_name").like("%SUPPLIER%4%"))
-    return s.select("s_name", F.col("s_suppkey").alias("ticker")).orderBy("ticker").limit(20)
+    return s.select("s_name", F.col("s_suppkey").alias("ticker")).orderBy("ticker")
 
 
 @query("recent_price_history", "G21", K + "close:f", f"""

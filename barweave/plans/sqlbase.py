@@ -36,7 +36,7 @@ equity AS (SELECT date, pnl, round(100000.0 + sum(pnl) OVER (ORDER BY date), 4)
 NEWS = """
 lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 news AS (SELECT d.doc_id, d.doc_id % 100 AS ticker, DATE '2024-01-01' + CAST(d.doc_id % 30 AS INTEGER) AS date,
-  substr(d.text, 1, 200) AS headline, d.text, d.lang, d.source, d.n_chars,
+  d.text AS headline, d.text, d.lang, d.source, d.n_chars,
   CASE WHEN quality = 1 THEN 'positive' WHEN toxic = 1 THEN 'negative' ELSE 'neutral' END AS label
   FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id)"""
 

@@ -30,10 +30,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster
-    names one, else one made for this session (tests on one machine)."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    A cluster must name one.  Only a session whose driver and executors are one
+    process (``local[...]``, as in tests) may leave it unset; it gets a temporary one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -39,13 +39,11 @@ def read_keyed_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> D
     return out
 
 
-def build_payload(rows: DataFrame, fields: list[str], max_names: int, per_document: int = 5_000) -> DataFrame:
+def build_payload(rows: DataFrame, fields: list[str], blocks: int = 64) -> DataFrame:
     """JSON documents per date: ``{"<ticker>": {...}, ...}``.
 
-    ``max_names`` is a measured limit on names per date; a day is split by a hash of
-    the ticker so that a document holds about ``per_document`` names at most.
+    A day is dealt to ``blocks`` documents by a hash of the ticker, whatever its size.
     """
-    blocks = max(1, -(-max_names // per_document))
     block = F.pmod(F.xxhash64("ticker"), F.lit(blocks))
     entry = F.struct(F.col("ticker").cast("string").alias("key"), F.struct(*fields).alias("value"))
     return rows.groupBy("date", block.alias("block")).agg(

@@ -15,7 +15,6 @@ from barweave.functions import windows as W
 from barweave.session import shared_dir
 
 _PANELS: dict[tuple[str, str], str] = {}
-_MAX_NAMES: dict[tuple[str, str], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,17 +63,6 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-def max_names(spark: SparkSession, sf_dir: str) -> int:
-    """Largest number of tickers on one date, measured once over the whole panel
-    (one combinable count per date; a single number reaches the driver).  Any
-    filter of the panel stays within it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MAX_NAMES:
-        per_date = panel(spark, sf_dir).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-        _MAX_NAMES[key] = per_date.agg(F.max("n")).first()[0] or 0
-    return _MAX_NAMES[key]
-
-
 def write_panel(bars: DataFrame, name: str, path: str, buckets: int | None = None) -> None:
     spark = bars.sparkSession
     n = buckets or int(spark.conf.get("spark.barweave.panel.buckets", str(spark.sparkContext.defaultParallelism)))
@@ -173,7 +161,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.col("doc_id") % 100).alias("ticker"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"),
-        F.substring("text", 1, 200).alias("headline"),
+        F.col("text").alias("headline"),
         "text",
         "lang",
         "source",

@@ -27,33 +27,41 @@ def event_stream(spark: SparkSession, path: str, pattern: str = "events.parquet"
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("ticker"), F.col("event_type").alias("side"), F.col("value").alias("score"), "props")
 
 
-def _run(writer, spark: SparkSession, label: str) -> None:
-    q = writer.option("checkpointLocation", run_dir(spark, f"{label}-chk")).trigger(availableNow=True).start()
-    q.awaitTermination()
+def _places(spark: SparkSession, label: str, folder: str | None) -> tuple[str, str]:
+    """(output, checkpoint) of a stream.  With ``folder`` a restarted job goes on where it stopped;
+    without, a run has its own and starts anew."""
+    root = folder.rstrip("/") if folder else run_dir(spark, label)
+    return f"{root}/{label}", f"{root}/{label}-checkpoint"
 
 
-def on_batches(stream: DataFrame, callback: Callable[[DataFrame, int], None], label: str, mode: str = "append") -> None:
+def _run(writer, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def on_batches(stream: DataFrame, callback: Callable[[DataFrame, int], None], label: str, mode: str = "append", folder: str | None = None) -> None:
     """Call back once per micro-batch."""
-    _run(stream.writeStream.outputMode(mode).foreachBatch(callback), stream.sparkSession, label)
+    _run(stream.writeStream.outputMode(mode).foreachBatch(callback), _places(stream.sparkSession, label, folder)[1])
 
 
-def poll_update(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def poll_update(stream: DataFrame, label: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run in update mode and read the newest version of each key.  A batch writes
     only the keys it changed."""
-    spark, out = stream.sparkSession, run_dir(stream.sparkSession, label)
+    spark = stream.sparkSession
+    out, checkpoint = _places(spark, label, folder)
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    on_batches(stream, write, label, "update")
+    _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
     t = spark.read.parquet(out)
     rest = [c for c in t.columns if c not in keys and c != "batch"]
     return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_v")).select(*keys, "_v.*")
 
 
-def poll_append(stream: DataFrame, label: str) -> DataFrame:
-    spark, out = stream.sparkSession, run_dir(stream.sparkSession, label)
-    _run(stream.writeStream.outputMode("append").format("parquet").option("path", out), spark, label)
+def poll_append(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    spark = stream.sparkSession
+    out, checkpoint = _places(spark, label, folder)
+    _run(stream.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -121,69 +129,55 @@ def idempotent_intents(stream: DataFrame, delay: str = "1 day", label: str = "in
     return poll_append(ids.select("as_of", "ticker", "side"), label)
 
 
-def tick_bars(stream: DataFrame, width: str = "6 hours", delay: str = "1 hour", label: str = "bars") -> DataFrame:
+def tick_bars(stream: DataFrame, width: str = "6 hours", delay: str = "1 hour", label: str = "bars", folder: str | None = None) -> DataFrame:
     """Tumbling OHLCV bars; rows later than the watermark are dropped."""
     g = stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "ticker").agg(
         F.min_by("score", "ts").alias("open"), F.max("score").alias("high"), F.min("score").alias("low"), F.max_by("score", "ts").alias("close"), F.count(F.lit(1)).alias("ticks"))
-    return poll_update(g.select(F.col("window.start").alias("start"), "ticker", "open", "high", "low", "close", "ticks"), label, ["start", "ticker"])
+    return poll_update(g.select(F.col("window.start").alias("start"), "ticker", "open", "high", "low", "close", "ticks"), label, ["start", "ticker"], folder)
 
 
-def sliding_stats(stream: DataFrame, width: str = "6 hours", slide: str = "3 hours", delay: str = "1 hour", alert: float = 20.0, label: str = "slide") -> DataFrame:
+def sliding_stats(stream: DataFrame, width: str = "6 hours", slide: str = "3 hours", delay: str = "1 hour", alert: float = 20.0, label: str = "slide", folder: str | None = None) -> DataFrame:
     """Sliding mean and deviation per key with an alert on the mean."""
     g = stream.withWatermark("ts", delay).groupBy(F.window("ts", width, slide), "ticker").agg(
         F.avg("score").alias("mean"), F.stddev_samp("score").alias("vol"), F.count(F.lit(1)).alias("n"))
-    out = poll_update(g.select(F.col("window.start").alias("start"), "ticker", "mean", "vol", "n"), label, ["start", "ticker"])
+    out = poll_update(g.select(F.col("window.start").alias("start"), "ticker", "mean", "vol", "n"), label, ["start", "ticker"], folder)
     return out.withColumn("alert", F.col("mean") > alert)
 
 
-def activity_sessions(stream: DataFrame, gap: str = "2 hours", delay: str = "1 hour", label: str = "sessions") -> DataFrame:
+def activity_sessions(stream: DataFrame, gap: str = "2 hours", delay: str = "1 hour", label: str = "sessions", folder: str | None = None) -> DataFrame:
     """Sessions of activity per key, emitted once the watermark has passed them."""
     g = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
-    return poll_append(g.select("ticker", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("finish"), "n", "total"), label)
+    return poll_append(g.select("ticker", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("finish"), "n", "total"), label, folder)
 
 
-def enrich(stream: DataFrame, dim: DataFrame, key: str, label: str = "enrich") -> DataFrame:
+def enrich(stream: DataFrame, dim: DataFrame, key: str, label: str = "enrich", folder: str | None = None) -> DataFrame:
     """Stream-static left join; unknown keys become 'Other'."""
     cols = [c for c in dim.columns if c != key]
-    return poll_append(stream.join(dim, key, "left").fillna("Other", subset=cols).select("event_id", key, "score", *cols), label)
+    return poll_append(stream.join(dim, key, "left").fillna("Other", subset=cols).select("event_id", key, "score", *cols), label, folder)
 
 
-def match_fills(orders: DataFrame, fills: DataFrame, within: str = "3 days", delay: str = "1 hour", label: str = "fills") -> DataFrame:
+def match_fills(orders: DataFrame, fills: DataFrame, within: str = "3 days", delay: str = "1 hour", label: str = "fills", folder: str | None = None) -> DataFrame:
     """Orders matched to fills of the same order key inside a time bound."""
     o = orders.withWatermark("ts", delay).select(F.col("event_id").alias("order_id"), F.col("ticker").alias("o_ticker"), F.col("order_key").alias("o_key"), F.col("ts").alias("o_ts"), F.col("score").alias("signal_price"))
     f = fills.withWatermark("ts", delay).select(F.col("event_id").alias("fill_id"), F.col("ticker"), F.col("order_key"), F.col("ts").alias("f_ts"), F.col("score").alias("fill_price"))
     cond = (F.col("o_ticker") == F.col("ticker")) & (F.col("o_key") == F.col("order_key")) & (F.col("f_ts") >= F.col("o_ts")) & (F.col("f_ts") <= F.col("o_ts") + F.expr(f"interval {within}"))
-    return poll_append(o.join(f, cond).select("order_id", "fill_id", "ticker", "signal_price", "fill_price"), label)
+    return poll_append(o.join(f, cond).select("order_id", "fill_id", "ticker", "signal_price", "fill_price"), label, folder)
 
 
-def kill_switch(stream: DataFrame, initial: float = 1000.0, halt: float = 0.10, resume: float = 0.05, label: str = "kill") -> DataFrame:
-    """Running equity, peak, drawdown and halt state per account.
+def kill_switch(stream: DataFrame, initial: float = 1000.0, halt: float = 0.10, resume: float = 0.05, delay: str = "1 day", label: str = "kill", folder: str | None = None) -> DataFrame:
+    """Running equity, peak, drawdown and halt state per account and hour.
 
-    A batch first collapses to one profit row per account and hour (map-side), then
-    continues from the account state the previous batch wrote.  State is a table
-    versioned by batch, read and written in the shared folder.
+    The stream keeps one profit sum per account and hour in Spark's own state, in event
+    time: an hour that several batches share, or that arrives late, is one row all the
+    same.  What follows from the order of hours is a window over those few rows.
     """
-    spark, out = stream.sparkSession, run_dir(stream.sparkSession, label)
-    state_schema = "ticker long, s_equity double, s_peak double, s_halted int"
-
-    def step(df: DataFrame, batch: int) -> None:
-        pnl = F.when(F.col("side") == "purchase", F.col("score")).when(F.col("side") == "error", -F.col("score")).otherwise(0.0)
-        hourly = df.groupBy("ticker", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum(pnl).alias("pnl"))
-        prev = spark.read.schema(state_schema).parquet(f"{out}/state/batch={batch - 1}") if batch else spark.createDataFrame([], state_schema)
-        w = Window.partitionBy("ticker").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-        s = hourly.join(prev, "ticker", "left")
-        s = s.withColumn("equity", F.round(F.coalesce("s_equity", F.lit(initial)) + F.sum("pnl").over(w), 6))
-        s = s.withColumn("peak", F.greatest(F.coalesce("s_peak", F.lit(initial)), F.max("equity").over(w)))
-        s = s.withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
-        event = F.when(F.col("drawdown") > halt, 1).when(F.col("drawdown") < resume, 0)
-        s = s.withColumn("halted", F.coalesce(F.last(event, ignorenulls=True).over(w), F.col("s_halted"), F.lit(0)))
-        rows = f"{out}/rows/batch={batch}"
-        s.select("ticker", "hour", "equity", "peak", "drawdown", "halted").write.mode("overwrite").parquet(rows)
-        last = spark.read.parquet(rows).groupBy("ticker").agg(F.max_by(F.struct("equity", "peak", "halted"), "hour").alias("x"))
-        new = last.select("ticker", F.col("x.equity").alias("n_e"), F.col("x.peak").alias("n_p"), F.col("x.halted").alias("n_h"))
-        merged = prev.join(new, "ticker", "full_outer").select(
-            "ticker", F.coalesce("n_e", "s_equity").alias("s_equity"), F.coalesce("n_p", "s_peak").alias("s_peak"), F.coalesce("n_h", "s_halted").cast("int").alias("s_halted"))
-        merged.write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
-
-    on_batches(stream, step, label)
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    pnl = F.when(F.col("side") == "purchase", F.col("score")).when(F.col("side") == "error", -F.col("score")).otherwise(0.0)
+    hourly = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "ticker").agg(F.sum(pnl).alias("pnl"))
+    s = poll_update(hourly.select("ticker", F.col("window.start").alias("hour"), "pnl"), label, ["ticker", "hour"], folder)
+    w = Window.partitionBy("ticker").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("equity", F.round(F.lit(initial) + F.sum("pnl").over(w), 6))
+    s = s.withColumn("peak", F.greatest(F.lit(initial), F.max("equity").over(w)))
+    s = s.withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
+    event = F.when(F.col("drawdown") > halt, 1).when(F.col("drawdown") < resume, 0)
+    s = s.withColumn("halted", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(0)))
+    return s.select("ticker", "hour", "equity", "peak", "drawdown", "halted")

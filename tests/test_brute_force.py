@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barweave.functions import ranks as K
+from barweave.functions import windows as W
 from barweave.operators import cross_section as X
 from barweave.operators import ic as IC
 from barweave.operators import joins
@@ -33,28 +34,25 @@ def skewed(spark):
     return spark.createDataFrame(rows, "date date, x double, y double"), pdf
 
 
-@pytest.mark.parametrize("bound", [None, 10_000])
-def test_ranks_both_paths(skewed, bound):
+def test_ranks_under_skew(skewed):
     df, pdf = skewed
-    got = sorted((r.date, r.x, r.k) for r in K.average_rank(df, ["date"], "x", "k", pct=True, few=True, bound=bound).collect() if r.x is not None)
+    got = sorted((r.date, r.x, r.k) for r in K.average_rank(df, ["date"], "x", "k", pct=True, few=True).collect() if r.x is not None)
     pdf = pdf.dropna(subset=["x"])
     want = sorted(zip(pdf["date"], pdf["x"], pdf.groupby("date")["x"].rank(pct=True)))
     assert len(got) == len(want) and all(a[:2] == b[:2] and a[2] == pytest.approx(b[2]) for a, b in zip(got, want))
 
 
-@pytest.mark.parametrize("bound", [None, 10_000])
-def test_quantiles_both_paths(skewed, bound):
+def test_quantiles_under_skew(skewed):
     df, pdf = skewed
-    got = {r.date: (r.a, r.b) for r in K.exact_quantiles(df, ["date"], "x", {"a": 0.5, "b": 0.95}, few=True, bound=bound).collect()}
+    got = {r.date: (r.a, r.b) for r in K.exact_quantiles(df, ["date"], "x", {"a": 0.5, "b": 0.95}, few=True).collect()}
     for d, g in pdf.groupby("date"):
         assert got[d] == (pytest.approx(g["x"].quantile(0.5)), pytest.approx(g["x"].quantile(0.95)))
 
 
-@pytest.mark.parametrize("bound", [None, 10_000])
-def test_spearman_both_paths(skewed, bound):
+def test_spearman_under_skew(skewed):
     df, pdf = skewed
     pdf = pdf.dropna()
-    got = {r.date: r.ic for r in K.spearman(df, ["date"], "x", "y", few=True, bound=bound).collect()}
+    got = {r.date: r.ic for r in K.spearman(df, ["date"], "x", "y", few=True).collect()}
     for d, g in pdf.groupby("date"):
         assert got[d] == pytest.approx(np.corrcoef(g["x"].rank(), g["y"].rank())[0, 1])
 
@@ -142,8 +140,20 @@ def test_basket_moments(spark):
     for r in joins.basket_moments(df, df.select("ticker")).collect():
         pair = wide[[r.ticker_a, r.ticker_b]].dropna()
         assert (r.n, r.corr, r.cov) == (len(pair), pytest.approx(pair.corr().iloc[0, 1]), pytest.approx(pair.cov().iloc[0, 1]))
-    with pytest.raises(ValueError):
-        joins.basket_moments(df, df.select("ticker"), max_names=2)
+    whole = sorted(map(tuple, joins.basket_moments(df, df.select("ticker")).collect()))
+    cut = sorted(map(tuple, joins.basket_moments(df, df.select("ticker"), block=2, days=3).collect()))
+    assert len(cut) == 6 and all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:]) for a, b in zip(whole, cut))
+
+
+def test_exponential_mean_at_any_span(spark):
+    rng = np.random.default_rng(9)
+    values = [None if rng.random() < 0.1 else float(rng.normal()) for _ in range(600)]
+    values[200:420] = [None] * 220
+    df = spark.createDataFrame([(1, day(i), v) for i, v in enumerate(values)], "ticker long, date date, x double")
+    for span in (1, 5, 20, 60, 120):
+        want = pd.Series(values, dtype=float).ewm(span=span, adjust=True, min_periods=3).mean()
+        got = [r.e for r in W.add_ewm(df, "x", span, 3, "e").orderBy("date").collect()]
+        assert all(g is None if w != w else g == pytest.approx(w, rel=1e-9, abs=1e-12) for g, w in zip(got, want) if not (span == 1 and g is None))
 
 
 def test_greedy_limits(spark):

@@ -1,7 +1,4 @@
-"""Every registered query has the columns its twin has; one query per operator (all
-of them with BARWEAVE_ALL=1) is compared by value."""
-
-import os
+"""Every registered query with a SQL twin is compared with it by value; a result without rows fails."""
 
 import pytest
 from oracle import compare
@@ -12,28 +9,23 @@ from barweave.plans.catalog import QUERIES
 entry.queries()
 
 
+#: Without a row in the smallest folder: checked for equality there too, and for rows by the larger runs.
+EMPTY_WHEN_SMALL: set[str] = set()
+
+
 def picked():
-    if os.environ.get("BARWEAVE_ALL"):
-        return [n for n, q in QUERIES.items() if q.sql]
-    seen, out = {}, []
-    for n, q in QUERIES.items():
-        family = q.ops[0]
-        if q.sql and seen.get(family, 0) < 6 and q.ops not in seen:
-            seen[family] = seen.get(family, 0) + 1
-            seen[q.ops] = 1
-            out.append(n)
-    return out
+    return [n for n, q in QUERIES.items() if q.sql]
 
 
 @pytest.mark.parametrize("name", picked())
 def test_matches_sql(name, spark, sf, con):
     q = QUERIES[name]
     diff = compare(q.run(spark, sf), con, q.sql)
-    assert diff is None or diff == "no rows", diff
+    assert diff is None or (diff == "no rows" and name in EMPTY_WHEN_SMALL), diff
 
 
 def test_names_are_unique_and_callable():
-    assert len(entry.queries()) == len(QUERIES) > 200
+    assert set(QUERIES) <= set(entry.queries()) and len(QUERIES) > 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -13,7 +13,7 @@ def landing(spark, sf, tmp_path_factory):
     """Event files written one after the other, so they arrive in time order."""
     root = str(tmp_path_factory.mktemp("landing"))
     e = S.table(spark, sf, "events")
-    for i, (a, b) in enumerate((("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2024-03-01"))):
+    for i, (a, b) in enumerate((("2024-01-01", "2024-01-10 07:25:13"), ("2024-01-10 07:25:13", "2024-01-20 18:50:01"), ("2024-01-20 18:50:01", "2024-03-01"))):
         part = e.where(f"ts >= '{a}' and ts < '{b}'").coalesce(1)
         part.write.parquet(f"{root}/tmp{i}")
         name = next(f for f in os.listdir(f"{root}/tmp{i}") if f.endswith(".parquet"))
@@ -37,3 +37,36 @@ def test_batches_equal_one_batch(name, spark, sf, landing):
     one = rows(Q.event_stream(spark, sf))
     many = rows(Q.event_stream(spark, landing, "part-*.parquet", 1))
     assert one and one == many
+
+
+@pytest.mark.parametrize("name", ["bars", "sessions", "kill"])
+def test_a_restarted_job_goes_on(name, spark, sf, landing, tmp_path):
+    """Two files, a stop, the third file: the same as all at once."""
+    run = {"bars": Q.tick_bars, "sessions": Q.activity_sessions, "kill": Q.kill_switch}[name]
+    feed, folder = tmp_path / "feed", str(tmp_path / "job")
+    feed.mkdir()
+
+    def rows(out):
+        cols = sorted(out.columns)
+        return sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else str(r[c]) for c in cols) for r in out.collect())
+
+    for i in (0, 1, 2):
+        if i != 1:
+            for k in (0, 1) if i == 0 else (2,):
+                os.link(f"{landing}/part-{k}.parquet", feed / f"part-{k}.parquet")
+            out = rows(run(Q.event_stream(spark, str(feed), "part-*.parquet", 1), folder=folder))
+    assert out == rows(run(Q.event_stream(spark, sf)))
+
+
+def test_an_hour_in_two_batches_is_one_row(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    for i, rows in enumerate([[(1, "2024-01-01 10:05:00", "purchase", 5.0)], [(2, "2024-01-01 10:45:00", "purchase", 6.0)], [(3, "2024-01-01 09:59:00", "error", 4.0)]]):
+        d = spark.createDataFrame([(e, t, 1, k, v, None) for e, t, k, v in rows], schema.replace("ts timestamp", "ts string")).selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value", "props")
+        d.coalesce(1).write.parquet(str(tmp_path / f"t{i}"))
+        name = next(f for f in os.listdir(tmp_path / f"t{i}") if f.endswith(".parquet"))
+        os.rename(tmp_path / f"t{i}" / name, feed / f"part-{i}.parquet")
+        os.utime(feed / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = [(r.hour.hour, r.equity) for r in Q.kill_switch(Q.event_stream(spark, str(feed), "part-*.parquet", 1)).orderBy("hour").collect()]
+    assert got == [(9, 996.0), (10, 1007.0)]
