@@ -51,15 +51,24 @@ def effective_sample_size(series: DataFrame, x: str, key: str = "mkt", lags: int
 # --- linear models from sums ------------------------------------------------------
 
 
+def centred(df: DataFrame, xs: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with ``centre`` (the means of ``xs`` over all rows, joined as one row) and ``xs`` less those means:
+    sums of their products keep the digits that large means would eat."""
+    means = df.agg(F.array(*[F.avg(x).cast("double") for x in xs]).alias("centre")).withColumn("_k", F.lit(1))
+    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(means), "_k").drop("_k")
+    return j, [F.col(x) - F.col("centre")[i] for i, x in enumerate(xs)]
+
+
 def date_sums(df: DataFrame, xs: list[str], y: str, w: str | None = None, keys=("date",)) -> DataFrame:
-    """Weighted X'X, X'y and sums per key; one row per key (date, regime, ...)."""
+    """Weighted X'X, X'y and sums per key, of columns less their means in ``centre``; one row per key (date, regime, ...)."""
     ok = reduce(lambda d, c: d.where(F.col(c).isNotNull()), [*xs, y], df)
     wt = F.col(w) if w else F.lit(1.0)
-    cols = [F.lit(1.0)] + [F.col(x) for x in xs]
+    ok, (*cx, cy) = centred(ok, [*xs, y])
+    cols = [F.lit(1.0), *cx]
     k = len(cols)
     aggs = [F.sum(wt * cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(wt * c * F.col(y)).alias(f"b{i}") for i, c in enumerate(cols)]
-    return ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(wt * F.col(y) * F.col(y)).alias("yy"), *aggs)
+    aggs += [F.sum(wt * c * cy).alias(f"b{i}") for i, c in enumerate(cols)]
+    return ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(wt * cy * cy).alias("yy"), F.first("centre").alias("centre"), *aggs)
 
 
 def sum_cols(k: int) -> list[str]:
@@ -74,9 +83,10 @@ def fit_sums(sums: DataFrame, k: int, alpha: Column | float) -> DataFrame:
     a = F.lit(float(alpha)) if isinstance(alpha, (int, float)) else alpha
 
     @F.pandas_udf("struct<coef:array<double>,scaled:array<double>>")
-    def solve(xtx: pd.Series, xty: pd.Series, al: pd.Series) -> pd.DataFrame:
+    def solve(xtx: pd.Series, xty: pd.Series, al: pd.Series, centre: pd.Series) -> pd.DataFrame:
         out = []
-        for t, b, lam in zip(xtx, xty, al):
+        for t, b, lam, at in zip(xtx, xty, al, centre):
+            at = np.asarray(at, float)
             m = np.zeros((k, k))
             m[np.triu_indices(k)] = np.asarray(t, float)
             m = m + m.T - np.diag(np.diag(m))
@@ -88,10 +98,11 @@ def fit_sums(sums: DataFrame, k: int, alpha: Column | float) -> DataFrame:
             c = (b[1:] / n - mu * ym) / sd
             beta = np.linalg.solve(cov / np.outer(sd, sd) + (lam / n + 1e-12) * np.eye(k - 1), c)
             raw = beta / sd
-            out.append(([ym - float(raw @ mu), *raw.tolist()], [ym, *beta.tolist()]))
+            ym = ym + at[-1]
+            out.append(([ym - float(raw @ (mu + at[:-1])), *raw.tolist()], [ym, *beta.tolist()]))
         return pd.DataFrame({"coef": [o[0] for o in out], "scaled": [o[1] for o in out]})
 
-    return sums.withColumn("_f", solve(tri, rhs, a)).withColumns({"coef": F.col("_f.coef"), "scaled": F.col("_f.scaled")}).drop("_f")
+    return sums.withColumn("_f", solve(tri, rhs, a, F.col("centre"))).withColumns({"coef": F.col("_f.coef"), "scaled": F.col("_f.scaled")}).drop("_f")
 
 
 def weight_table(fit: DataFrame, xs: list[str], keys: list[str], col: str = "scaled") -> DataFrame:
@@ -196,7 +207,7 @@ def walk_forward(df: DataFrame, xs: list[str], y: str, alphas=(10.0,), folds: in
     tags = expanding_folds(df, folds)
     k = len(xs) + 1
     sums = date_sums(df, xs, y)
-    train = sums.join(F.broadcast(tags.where("part = 'train'").select("date", "fold")), "date").groupBy("fold").agg(*[F.sum(c).alias(c) for c in sum_cols(k)])
+    train = sums.join(F.broadcast(tags.where("part = 'train'").select("date", "fold")), "date").groupBy("fold").agg(F.first("centre").alias("centre"), *[F.sum(c).alias(c) for c in sum_cols(k)])
     grid = train.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     fit = fit_sums(grid, k, F.col("alpha")).select("fold", "alpha", "coef")
     test = df.join(F.broadcast(tags.where("part = 'test'").select("date", "fold")), "date").join(F.broadcast(fit), "fold")
@@ -265,8 +276,9 @@ def latent_factors_expanding(df: DataFrame, xs: list[str], k: int = 3, min_rows:
     """
     p = len(xs)
     ok = reduce(lambda d, c: d.where(F.col(c).isNotNull()), xs, df).withColumn("month", F.trunc("date", "month"))
-    s = ok.groupBy("month").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)],
-                                *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)])
+    ok, cx = centred(ok, xs)
+    s = ok.groupBy("month").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(cx)],
+                                *[F.sum(cx[i] * cx[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)])
     w = Window.partitionBy("_g").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # one row per month
     names = [c for c in s.columns if c != "month"]
     run = s.withColumn("_g", F.lit(1)).select("month", *[F.sum(c).over(w).alias(c) for c in names]).where(F.col("n") >= min_rows)
@@ -291,8 +303,8 @@ def latent_factors_expanding(df: DataFrame, xs: list[str], k: int = 3, min_rows:
     prods = F.array(*[F.col(f"q{i}_{j}") for i in range(p) for j in range(i, p)])
     model = run.withColumn("_f", fit("n", sums, prods)).select("month", "_f.mu", "_f.load")
     j = ok.join(F.broadcast(model), "month")  # one row per month
-    facs = {f"factor_{c + 1}": reduce(lambda a, ix: a + (F.col(ix[1]) - F.col("mu")[ix[0]]) * F.col("load")[c][ix[0]], enumerate(xs), F.lit(0.0)) for c in range(k)}
-    return j.withColumns(facs)
+    facs = {f"factor_{c + 1}": reduce(lambda a, ix: a + (F.col(ix[1]) - F.col("centre")[ix[0]] - F.col("mu")[ix[0]]) * F.col("load")[c][ix[0]], enumerate(xs), F.lit(0.0)) for c in range(k)}
+    return j.withColumns(facs).drop("centre")
 
 
 def accept_model(old: DataFrame, new: DataFrame, metric: str, min_wins: float = 0.5, min_ratio: float = 0.85) -> DataFrame:

@@ -156,6 +156,17 @@ def test_exponential_mean_at_any_span(spark):
         assert all(g is None if w != w else g == pytest.approx(w, rel=1e-9, abs=1e-12) for g, w in zip(got, want) if not (span == 1 and g is None))
 
 
+def test_fits_keep_their_digits_at_large_means(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(1e6, 1.0, (400, 2))
+    y = x @ [0.5, -2.0] + rng.normal(-3e6, 1.0, 400)
+    rows = [(day(i % 20), float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "date date, x1 double, x2 double, y double").withColumn("one", F.lit(1))
+    coef = L.fit_sums(L.date_sums(df, ["x1", "x2"], "y", None, ("one",)), 3, 0.0).first()["coef"]
+    c = np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=None)[0]
+    assert coef[1:] == pytest.approx(c, rel=1e-6) and coef[0] + coef[1] * 1e6 + coef[2] * 1e6 == pytest.approx(y.mean() - c @ (x.mean(axis=0) - 1e6), rel=1e-9)
+
+
 def test_greedy_limits(spark):
     rows = [("A", D0, 1.0, 1.0, "X", 1e9, 10.0), ("B", D0, 0.9, 1.0, "X", 1e9, 10.0), ("C", D0, 0.8, 9.0, "Y", 1e9, 10.0), ("D", D0, 0.7, 1.0, "Y", 1.0, 10.0), ("E", D0, -0.5, 1.0, "Y", 1e9, 10.0)]
     df = spark.createDataFrame([(ord(r[0]), *r[1:]) for r in rows], "ticker long, date date, score double, beta double, sector string, adv double, close double")
