@@ -141,12 +141,12 @@ class WordEncoder:
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, remembered: int) -> WordEncoder:
     """One per Python worker, single-threaded like the task it works in."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)
 
 
 class Bins:
@@ -197,21 +197,22 @@ class Bins:
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task long, bin long, offset long"
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, open_bins: int = OPEN_BINS, fan_in: int = FAN_IN, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids, sequence_id, offset.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone.
     Only documents longer than ``size`` are cut, into pieces of ``size`` and a rest.
     Pieces of a sequence are gapless from 0 and add up to ``size`` at most.  Repeated
     rows are packed each.  Other columns are not carried along.  An empty table gives
-    an empty table.  The order of packing follows the partitions of ``docs``, so the
+    an empty table.  ``remembered`` bounds the words a Python worker keeps (about 210
+    bytes each); it changes speed only.  The order of packing follows the partitions of ``docs``, so the
     result is written once to the shared folder before it is used.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, bins, task = encoder(path).encode, Bins(size, open_bins), TaskContext.get().partitionId()
+        encode, bins, task = encoder(path, remembered).encode, Bins(size, open_bins), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids", "task", "bin", "offset"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

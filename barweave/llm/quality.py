@@ -31,7 +31,7 @@ WORDS, SHAPES = 512, 128
 #: Weights of the three kinds of terms.
 WORD_WEIGHT, SHAPE_WEIGHT, REPEAT_WEIGHT = 0.3, 1.0, 1.5
 #: Distinct words that one Python worker remembers; all are forgotten when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SYMBOLS = b"#*$%&|<>"
 
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from barweave.llm import language, mixing, near_dedup, packing, quality
 from barweave.llm.base import stored, table
 
+#: Words the packing stage's Python workers remember: fewer than alone, as they hold what earlier stages left too.
+REMEMBERED = 200_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, and those of no likely language, go."""
@@ -38,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: the pieces of documents with their ids and places."""
-    return packing.pack(docs, public_tokenizers.path(packing.MODEL))
+    return packing.pack(docs, public_tokenizers.path(packing.MODEL), remembered=REMEMBERED)
 
 
 STAGES = [
