@@ -392,8 +392,8 @@ def multi_source_union(spark, d):
 
 
 @query("signal_flip_filter", "R1", K + "score:f accepted:b", f"""
-WITH RECURSIVE {SIG}, {ewm_sql('sig', 'score', 3, 1)},
-s AS (SELECT ticker, date, round(score, 6) AS score, round(ew, 6) AS kept, CASE signal WHEN 'Bullish' THEN 1 ELSE -1 END AS side, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM sig JOIN ew USING (ticker, date) WHERE signal <> 'Neutral'),
+WITH RECURSIVE {SIG}, {ewm_sql('sig', 'score', 3, 1).replace('e0', 'r0').replace('ew AS', 'rw AS')},
+s AS (SELECT ticker, date, round(score, 6) AS score, round(ew, 6) AS kept, CASE signal WHEN 'Bullish' THEN 1 ELSE -1 END AS side, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM sig JOIN rw USING (ticker, date) WHERE signal <> 'Neutral'),
 f AS (SELECT ticker, date, score, rn, true AS accepted, kept AS last FROM s WHERE rn = 1
  UNION ALL SELECT s.ticker, s.date, s.score, s.rn, NOT (f.last <> 0 AND sign(f.last) <> s.side AND abs(s.score - f.last) < 0.25),
   CASE WHEN f.last <> 0 AND sign(f.last) <> s.side AND abs(s.score - f.last) < 0.25 THEN f.last ELSE s.kept END FROM f JOIN s ON s.ticker = f.ticker AND s.rn = f.rn + 1)

@@ -10,7 +10,7 @@ entry.queries()
 
 
 #: Without a row in the smallest folder: checked for equality there too, and for rows by the larger runs.
-EMPTY_WHEN_SMALL: set[str] = set()
+EMPTY_WHEN_SMALL = {"diversification_ratio"}
 
 
 def picked():
