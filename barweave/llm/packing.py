@@ -15,6 +15,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ OPEN_BINS = 512
 #: Tasks whose last open bins are packed together in each further round.
 FAN_IN = 64
 #: Distinct words and parts of words whose ids one Python worker remembers; all are forgotten when it is full.
-REMEMBERED = 900_000
+REMEMBERED = 1_200_000
 #: ASCII separators that Python's split() takes for white space and the tokenizer does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -121,23 +123,26 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) + len(self.parts) > self.remembered:
             self.known, self.parts = {}, {"\n": BETWEEN}
-        get = self.known.get
-        found: list[tuple[list[str], list[bytes | None]] | None] = []
-        missing: set[str] = set()
+        cut: list[list[str] | None] = []
         for t in texts:
-            if t and (not self.by_word or any(c in t for c in NOT_SPACE)):
-                found.append(None)
-                continue
-            words = t.split() if t else []
-            ids = list(map(get, words))
-            if None in ids:
-                missing.update(w for w, i in zip(words, ids, strict=True) if i is None)
-            found.append((words, ids))
-        if missing:
+            whole = t and (not self.by_word or any(c in t for c in NOT_SPACE))
+            cut.append(None if whole else t.split() if t else [])
+        words = [*chain.from_iterable(c for c in cut if c is not None)]
+        ids = [*map(self.known.get, words)]
+        if missing := set(compress(words, map(is_, ids, repeat(None)))):
             self._learn(missing)
-        get = self.known.__getitem__
-        whole = iter(self._encode([t for t, f in zip(texts, found, strict=True) if f is None]))
-        return [next(whole) if f is None else b"".join(map(get, f[0]) if None in f[1] else f[1]) for f in found]
+            known = self.known
+            for i in [*compress(count(), map(is_, ids, repeat(None)))]:
+                ids[i] = known[words[i]]
+        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        out, at = [], 0
+        for c in cut:
+            if c is None:
+                out.append(next(whole))
+            else:
+                out.append(b"".join(ids[at : at + len(c)]))
+                at += len(c)
+        return out
 
 
 @cache
