@@ -235,6 +235,16 @@ def chained_report(oos: DataFrame, k: int = 5, leak_ic: float = 0.3) -> DataFram
                     (F.abs("ic") > leak_ic).alias("leak_suspect"), F.row_number().over(Window.orderBy(F.desc("ic"), "fold")).alias("rank"))
 
 
+def chained_totals(oos: DataFrame, k: int = 10) -> DataFrame:
+    """One row over all test windows in a chain: Sharpe and yearly growth of the daily top-k returns, and the
+    correlation of scores and forward returns over all rows."""
+    daily = TR.top_k_daily(oos, "score", "fwd", k)
+    g = daily.agg(F.count(F.lit(1)).alias("n_days"), F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.sum(F.log1p("ret")).alias("_l"))
+    ic = oos.agg(corr_of("score", "fwd").alias("ic")).withColumn("_k", F.lit(1))
+    j = g.withColumn("_k", F.lit(1)).join(F.broadcast(ic), "_k")  # single rows
+    return j.select("n_days", (W.safe_div("_m", F.nullif(F.col("_s"), F.lit(0.0))) * M.ROOT).alias("sharpe"), (F.exp(F.col("_l") * 252.0 / F.col("n_days")) - 1).alias("cagr"), "ic")
+
+
 def leakage_check(full: DataFrame, truncated: DataFrame, cols: list[str], tol: float = 1e-9) -> DataFrame:
     """Compare features computed on data cut at a date with the full run there."""
     j = truncated.select("ticker", "date", *[F.col(c).alias(f"_t_{c}") for c in cols]).join(full, ["ticker", "date"], "left")

@@ -98,6 +98,31 @@ def diversification(basket_rets: DataFrame, weights: DataFrame, n: int = 60) ->
     return g.select("date", "n_names", "wv", "pv", W.safe_div("wv", F.nullif(F.col("pv"), F.lit(0.0))).alias("ratio")).where("ratio is not null")
 
 
+def diversification_by_date(returns: DataFrame, book: DataFrame, n: int = 60) -> DataFrame:
+    """Diversification ratio of each date's own book over the last ``n`` calendar dates.
+
+    The numerator is the sum of |weight| times the name's deviation (population), the
+    denominator the deviation (sample) that this book's return would have had, which is
+    the root of w'Cov w.  Only days on which every active name has a return count; half
+    of ``n`` must be left, and two names.  ``book`` (date, ticker, weight) has few names a
+    date; each meets its ``n`` days by index, so no pairs of names or dates are formed.
+    """
+    cal = returns.select("date").distinct()
+    cal = cal.withColumn("idx", F.row_number().over(Window.orderBy("date")))  # one row per calendar date
+    r = returns.where(F.col("r").isNotNull()).join(F.broadcast(cal), "date").select("ticker", "idx", "r")
+    held = book.where(F.abs("weight") > 1e-6).join(F.broadcast(cal), "date").where(F.col("idx") >= n // 2)
+    days = F.explode(F.sequence(F.greatest(F.col("idx") - (n - 1), F.lit(1)), F.col("idx"))).alias("idx")
+    x = held.select("date", "ticker", "weight", days).join(r, ["ticker", "idx"])
+    names = x.groupBy("date").agg(F.count_distinct("ticker").alias("n_names")).where("n_names >= 2")
+    per_day = x.groupBy("date", "idx").agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col("weight") * F.col("r")).alias("pr"))
+    whole = per_day.join(names, "date").where(F.col("_c") == F.col("n_names")).select("date", "idx", "pr", "n_names")
+    port = whole.groupBy("date", "n_names").agg(F.count(F.lit(1)).alias("n_days"), F.stddev_samp("pr").alias("pv")).where(F.col("n_days") >= n // 2)
+    vols = x.join(whole.select("date", "idx"), ["date", "idx"]).groupBy("date", "ticker", "weight").agg(F.stddev_pop("r").alias("_v"))
+    wv = vols.groupBy("date").agg(F.sum(F.abs("weight") * F.col("_v")).alias("wv"))
+    out = port.join(wv, "date").select("date", "n_names", "n_days", W.safe_div("wv", F.nullif(F.col("pv"), F.lit(0.0))).alias("ratio"))
+    return out.where("ratio is not null")
+
+
 def factor_regression(series: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """Multi-factor OLS with t-statistics and R squared from one pass of sums."""
     k = len(xs) + 1

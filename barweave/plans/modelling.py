@@ -124,6 +124,17 @@ def walk_forward_single_feature(spark, d):
     return o.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") - F.col("fwd")) ** 2).alias("mse"), corr_of("score", "fwd").alias("corr"))
 
 
+@query("walk_forward_chained", "M8", "n_days:i sharpe:f cagr:f ic:f", f"""
+WITH {FM}, {FOLDS}, t AS (SELECT fold, regr_slope(fwd, ret_20d) AS b, regr_intercept(fwd, ret_20d) AS a FROM fmx JOIN fd USING (date) WHERE part = 'train' GROUP BY fold),
+o AS (SELECT ticker, date, round(a + b*ret_20d, 10) AS p, fwd FROM fmx JOIN fd USING (date) JOIN t USING (fold) WHERE part = 'test' AND ret_20d IS NOT NULL AND fwd IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY p DESC, ticker) AS rn FROM o WHERE p > 0),
+m AS (SELECT date, avg(fwd) AS m FROM r WHERE rn <= 10 GROUP BY date), d AS (SELECT date, coalesce(m, 0) AS ret FROM (SELECT DISTINCT date FROM o) LEFT JOIN m USING (date))
+SELECT count(*) AS n_days, avg(ret)/nullif(stddev_samp(ret), 0)*sqrt(252) AS sharpe, exp(sum(ln(1 + ret))*252/count(*)) - 1 AS cagr, (SELECT corr(p, fwd) FROM o) AS ic FROM d""")
+def walk_forward_chained(spark, d):
+    o = L.walk_forward(matrix(spark, d), ["ret_20d"], "fwd", (0.0,)).where("fwd is not null")
+    return L.chained_totals(o.withColumn("score", F.round("score", 10)))
+
+
 @query("walk_forward_report", "M8", "fold:i n_days:i sharpe:f total:f ic:f leak_suspect:b rank:i")
 def walk_forward_report(spark, d):
     return L.chained_report(L.walk_forward(matrix(spark, d), XS, "fwd"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
@@ -11,13 +12,14 @@ from barweave.operators import options as O
 from barweave.operators import risk as R
 from barweave.operators import trades as TR
 from barweave.operators import features as T
-from barweave.plans.bars import sector_returns
+from barweave.plans.bars import GRID, sector_returns
 from barweave.plans.catalog import query
 from barweave.plans.cross import REG, prank, regimes
 from barweave.plans.features import FM, K, RM, bars, matrix, rets, rm
 from barweave.plans.select import BLOT, SCORED, SIG, blotter, scored, signals
 from barweave.plans.sqlbase import EQUITY, MARKET, PRICES, RET, SECTORS, TRADES, roll, win
 from barweave.sources import tables as S
+from barweave.sources.bars import align_ffill
 
 PF = "sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END)/nullif(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END), 0)"
 WR = "avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)"
@@ -477,6 +479,27 @@ def diversification_ratio(spark, d):
     return R.diversification(aligned(spark, d), sector_weights(spark, d), 60)
 
 
+@query("diversification_by_date", "L7", "date:d n_names:i n_days:i ratio:f", f"""
+WITH {GRID}, {TRADES}, ret AS (SELECT ticker, date, f/lag(f) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM filled WHERE f IS NOT NULL), v AS (SELECT entry_date AS date, ticker, round(sum(position_size*direction), 4) AS v FROM trades GROUP BY 1, 2),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY date ORDER BY abs(v) DESC, ticker) <= 5),
+bk AS (SELECT date, ticker, v/sum(abs(v)) OVER (PARTITION BY date) AS weight FROM b),
+cx AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM ret)),
+rr AS (SELECT ticker, idx, r FROM ret JOIN cx USING (date) WHERE r IS NOT NULL),
+x AS (SELECT bk.date, bk.ticker, weight, rr.idx, r FROM bk JOIN cx ON cx.date = bk.date AND cx.idx >= 30 JOIN rr ON rr.ticker = bk.ticker AND rr.idx BETWEEN cx.idx - 59 AND cx.idx WHERE abs(weight) > 1e-6),
+n AS (SELECT date, count(DISTINCT ticker) AS n_names FROM x GROUP BY date HAVING count(DISTINCT ticker) >= 2),
+w AS (SELECT x.date, idx, n_names, sum(weight*r) AS pr FROM x JOIN n ON n.date = x.date GROUP BY x.date, idx, n_names HAVING count(*) = n_names),
+p AS (SELECT date, n_names, count(*) AS n_days, stddev_samp(pr) AS pv FROM w GROUP BY date, n_names HAVING count(*) >= 30),
+s AS (SELECT x.date, x.ticker, weight, stddev_pop(r) AS sd FROM x JOIN w ON w.date = x.date AND w.idx = x.idx GROUP BY 1, 2, 3)
+SELECT p.date, n_names, n_days, sum(abs(weight)*sd)/nullif(any_value(pv), 0) AS ratio FROM p JOIN s ON s.date = p.date GROUP BY p.date, n_names, n_days HAVING any_value(pv) > 0""")
+def diversification_by_date(spark, d):
+    v = S.trades(spark, d).groupBy(F.col("entry_date").alias("date"), "ticker").agg(F.round(F.sum(F.col("position_size") * F.col("direction")), 4).alias("v"))
+    rn = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.abs("v")), "ticker"))
+    b = v.withColumn("_r", rn).where(F.col("_r") <= 5)
+    book = b.select("date", "ticker", (F.col("v") / F.sum(F.abs("v")).over(Window.partitionBy("date"))).alias("weight"))
+    aligned = align_ffill(bars(spark, d), ["close"]).withColumn("r", W.pct_change("close"))
+    return R.diversification_by_date(aligned.select("ticker", "date", "r"), book, 60)
+
+
 def factor_series(spark, d):
     """Equity returns with a market, a size and a momentum-like factor per date."""
     e = R.equity_return_series(eq(spark, d)).select("acct", "date", "r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
@@ -433,6 +434,24 @@ def market_overview(spark, d):
                                                  F.count_if(F.col("signal") == "Bullish").alias("bullish"), F.count_if(F.col("signal") == "Bearish").alias("bearish"))
 
 
+@query("market_top_names", "G21", K + "signal:s score:f rn:i", f"""
+WITH {SIG} SELECT ticker, date, signal, score, row_number() OVER (PARTITION BY date, signal ORDER BY round(abs(score), 6) DESC, ticker) AS rn
+FROM sig WHERE signal <> 'Neutral' AND score IS NOT NULL QUALIFY rn <= 5""")
+def market_top_names(spark, d):
+    s = signals(spark, d).where("signal <> 'Neutral' and score is not null").withColumn("_a", F.round(F.abs("score"), 6))
+    rn = F.row_number().over(Window.partitionBy("date", "signal").orderBy(F.desc("_a"), "ticker"))
+    return s.withColumn("rn", rn).where(F.col("rn") <= 5).select("ticker", "date", "signal", "score", "rn")
+
+
+@query("signal_search", "G21", "s_name:s ticker:i date:d score:f signal:s", f"""
+WITH {SIG}, l AS (SELECT ticker, max(date) AS date, arg_max(score, date) AS score, arg_max(signal, date) AS signal FROM sig GROUP BY ticker)
+SELECT s_name, l.* FROM l JOIN supplier ON s_suppkey = ticker WHERE upper(s_name) LIKE '%SUPPLIER%4%'""")
+def signal_search(spark, d):
+    s = S.table(spark, d, "supplier").where(F.upper("s_name").like("%SUPPLIER%4%")).select("s_name", F.col("s_suppkey").alias("ticker"))
+    last = signals(spark, d).groupBy("ticker").agg(F.max("date").alias("date"), F.max_by(F.struct("score", "signal"), "date").alias("_l"))
+    return last.join(s, "ticker").select("s_name", "ticker", "date", "_l.score", "_l.signal")
+
+
 @query("ticker_search", "G21", "s_name:s ticker:i", "SELECT s_name, s_suppkey AS ticker FROM supplier WHERE upper(s_name) LIKE '%SUPPLIER%4%' ORDER BY s_suppkey")
 def ticker_search(spark, d):
     s = S.table(spark, d, "supplier").where(F.upper("s_name").like("%SUPPLIER%4%"))
