@@ -3,10 +3,10 @@
 A task reads its documents once: it turns them into token ids, cuts the longer
 ones and places every piece in the open bin it fills best.  A fixed number of
 bins is open; their free space is a bitset, so the best bin is one shift and one
-lowest bit away, and when too many are open the fullest closes.  What tasks
-still have open at their end are small (bin, filled) rows: those are packed
-again as items, in rounds that join ever more tasks' bins, until one round has
-few tasks left.  Ids never move for this; only bin numbers are joined back.
+lowest bit away, and when too many are open the fullest closes.  The
+pieces in bins that tasks still have open at their end are packed again by their
+lengths, the longest first, in rounds that join ever more tasks, until one group
+is left.  Ids stay where they are; only the new places are joined back.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.base import BROADCAST_KEYS, bounded_batches, query, stored, table
+from barweave.llm.base import BROADCAST_ROWS, bounded_batches, query, stored, table
 
 MODEL = "word_bpe_49k.json"
 SIZE = 4096
 END_ID = 1
 #: Bins a task keeps open; more fill sequences better, in a few KB each.
-OPEN_BINS = 512
+OPEN_BINS = 256
 #: Tasks whose last open bins are packed together in each further round.
 FAN_IN = 64
 #: Distinct words and parts of words whose ids one Python worker remembers; all are forgotten when it is full.
@@ -241,7 +241,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, ope
     moves = _join_open_bins(placed.where("ids is null").select("task", "bin", "offset", "length"), size, open_bins, fan_in)
     pieces = placed.where("ids is not null").withColumn("ids_crc32", F.crc32("ids"))
     return (
-        pieces.join(F.broadcast(moves) if moves.count() <= BROADCAST_KEYS else moves, ["task", "bin", "offset"], "left")
+        pieces.join(F.broadcast(moves) if moves.count() <= BROADCAST_ROWS else moves, ["task", "bin", "offset"], "left")
         .withColumn("sequence_id", F.coalesce("to_task", "task") * (1 << 40) + F.coalesce("to_bin", "bin"))
         .withColumn("offset", F.coalesce("to_offset", "offset"))
         .select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
