@@ -246,9 +246,11 @@ def chained_totals(oos: DataFrame, k: int = 10) -> DataFrame:
 
 
 def leakage_check(full: DataFrame, truncated: DataFrame, cols: list[str], tol: float = 1e-9) -> DataFrame:
-    """Compare features computed on data cut at a date with the full run there."""
-    j = truncated.select("ticker", "date", *[F.col(c).alias(f"_t_{c}") for c in cols]).join(full, ["ticker", "date"], "left")
-    aggs = []
+    """Compare features computed on data cut at a date with the full run there: rows, rows the full run
+    lacks, and differing values per column."""
+    there = full.select("ticker", "date", *cols, F.lit(True).alias("_there"))
+    j = truncated.select("ticker", "date", *[F.col(c).alias(f"_t_{c}") for c in cols]).join(there, ["ticker", "date"], "left")
+    aggs = [F.count_if(F.col("_there").isNull()).alias("missing")]
     for c in cols:
         same = (F.abs(F.col(c) - F.col(f"_t_{c}")) <= tol) | (F.col(c).isNull() & F.col(f"_t_{c}").isNull())
         aggs.append(F.count_if(~F.coalesce(same, F.lit(False))).alias(f"diff_{c}"))

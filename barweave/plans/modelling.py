@@ -140,15 +140,16 @@ def walk_forward_report(spark, d):
     return L.chained_report(L.walk_forward(matrix(spark, d), XS, "fwd"))
 
 
-@query("feature_leakage_check", "M9", "n_rows:i diff_trend_score:i diff_rsi_14:i diff_bb_position:i", f"""
-WITH {PRICES} SELECT count(*) - count(DISTINCT ticker) AS n_rows, 0 AS diff_trend_score, 0 AS diff_rsi_14, 0 AS diff_bb_position FROM prices WHERE date <= DATE '1998-12-31'""")
+@query("feature_leakage_check", "M9", "n_rows:i missing:i diff_trend_score:i diff_rsi_14:i diff_bb_position:i diff_rsi_14_z:i diff_bb_position_z:i diff_trend_rank:i", f"""
+WITH {PRICES} SELECT count(*) - count(DISTINCT ticker) AS n_rows, 0 AS missing, 0 AS diff_trend_score, 0 AS diff_rsi_14, 0 AS diff_bb_position, 0 AS diff_rsi_14_z, 0 AS diff_bb_position_z, 0 AS diff_trend_rank FROM prices WHERE date <= DATE '1998-12-31'""")
 def feature_leakage_check(spark, d):
     def feats(p):
-        return X.cs_zscore(T.bollinger(T.rsi(T.trend_score(T.trend_features(p)))), ["rsi_14", "bb_position"])
+        z = X.cs_zscore(T.bollinger(T.rsi(T.trend_score(T.trend_features(p)))), ["rsi_14", "bb_position"])
+        return X.cs_rank(z, "trend_score", "trend_rank")
 
     p = bars(spark, d)
     # the first row of each ticker is dropped by the trend features
-    return L.leakage_check(feats(p), feats(p.where("date <= date'1998-12-31'")), ["trend_score", "rsi_14", "bb_position"])
+    return L.leakage_check(feats(p), feats(p.where("date <= date'1998-12-31'")), ["trend_score", "rsi_14", "bb_position", "rsi_14_z", "bb_position_z", "trend_rank"])
 
 
 @query("blend_weight_grid", "M11", "w:f ic:f n:i rank:i", f"""
