@@ -40,12 +40,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between the JVM and Python while a table is written: batches of whole texts stay small.
+BATCH_ROWS = 1000
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts lineage,
     survives lost executors and fixes whatever is not the same on a second evaluation."""
-    path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = run_dir(spark, label), spark.conf.get(size)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(size, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Most rows of a small table that is broadcast to look its values up; more are joined by a shuffle.
