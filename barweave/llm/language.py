@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.base import bounded_batches, by_keys, query, row_keys, stored, table
+from barweave.llm.base import bounded_batches, by_keys, look_up, query, row_keys, stored, table
 from barweave.llm.url_filter import lower_ascii, url_parts
 
 BUCKETS = 1 << 14
@@ -139,8 +139,9 @@ def identify(records: DataFrame, model: TextModel, keys: list[str], confidence:
     base = (whole + 1) / (whole + 1).sum()
     declarations = {r["declared"]: r["n"] for r in seen(["declared"], "n").collect()}  # at most two more than languages
     table_ = {d: (np.array(n) + 0.5) / (whole + 0.5 * len(declarations)) for d, n in declarations.items()}
-    hosts, domains, suffixes = seen(["host"], "host_n"), seen(["domain"], "domain_n"), seen(["suffix"], "suffix_n")
-    joined = read.join(hosts, "host").join(domains, "domain").join(suffixes, "suffix")
+    joined = read
+    for level in ("host", "domain", "suffix"):
+        joined = look_up(joined, stored(seen([level], f"{level}_n"), f"lang-{level}"), level)
     names_array = np.array(names)
 
     def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
