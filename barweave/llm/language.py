@@ -8,6 +8,10 @@ from the corpus itself: the posteriors of the text alone are summed per
 declaration, suffix, domain and host.  A host's prior falls back on its domain's
 and that on the whole corpus', by how much each has been seen; a record's own
 contribution is taken out of its host's sum.
+
+Against the languages stands the hypothesis that a text is in none of them: every
+trigram of letters is equally likely then.  Digits and signs belong to no language
+and say nothing for or against it.
 """
 
 from __future__ import annotations
@@ -34,10 +38,18 @@ INDEPENDENCE = 1 / 3
 #: Records' worth of trust that a domain or host gives to the level above.
 STRENGTH = 20.0
 CONFIDENCE = 0.5
+#: Share of records that are expected to be in no language that was learned.
+UNLEARNED = 1e-3
+#: Bytes of letters, and the blanks between words.
+LETTERS = np.array([b >= 128 or chr(b).isalpha() or chr(b).isspace() for b in range(256)])
+
+
+def _raw(text: str) -> np.ndarray:
+    return np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8)
 
 
 def _codes(text: str) -> np.ndarray:
-    raw = np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8).astype(np.uint32)
+    raw = _raw(text).astype(np.uint32)
     return ((raw[:-2] * 0x9E3779B1 + raw[1:-1] * 0x85EBCA77 + raw[2:] * 0xC2B2AE3D) >> 18) % BUCKETS
 
 
@@ -48,14 +60,22 @@ class TextModel:
     languages: list[str]
     table: np.ndarray
 
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the natural logarithms of its likelihoods, the best of them 0, and of that in none of the
+        languages against the best one.  A text without a letter says nothing (zeros)."""
+        out, none = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            if text and any(map(str.isalpha, text)):
+                scores, letter = self.table[_codes(text)], LETTERS[_raw(text)]
+                out[i] = scores.sum(axis=0, dtype=np.float64) * INDEPENDENCE
+                best = scores[letter[:-2] & letter[1:-1] & letter[2:], out[i].argmax()]
+                none[i] = -(best.sum(dtype=np.float64) + len(best) * np.log(BUCKETS)) * INDEPENDENCE
+                out[i] -= out[i].max()
+        return out, none
+
     def likelihoods(self, texts: list[str | None]) -> np.ndarray:
         """Natural logarithms up to a constant per text; a text without a letter says nothing (zeros)."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for row, text in zip(out, texts, strict=True):
-            if text and any(map(str.isalpha, text)):
-                row[:] = self.table[_codes(text)].sum(axis=0, dtype=np.float64) * INDEPENDENCE
-                row -= row.max()
-        return out
+        return self.evidence(texts)[0]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> TextModel:
@@ -107,8 +127,9 @@ def identify(records: DataFrame, model: TextModel, keys: list[str], confidence:
 
     ``lang`` has the highest posterior (of equal ones the first in alphabetical order),
     ``text_lang`` that by the text alone.  A record without a letter has only the other
-    evidence for its ``lang``, and is not kept; any other is kept when its posterior
-    reaches ``confidence``.  Null declarations and hosts are values of their own that
+    evidence for its ``lang``, and is not kept.  ``confidence`` is the posterior among the
+    languages; a record with a letter is kept when its posterior reaches ``confidence``
+    with the hypothesis of no learned language among the others.  Null declarations and hosts are values of their own that
     say what records like them say.  Repeated rows count and are judged each.
     """
     names, k = model.languages, len(model.languages)
@@ -119,13 +140,13 @@ def identify(records: DataFrame, model: TextModel, keys: list[str], confidence:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
-            log = shared.value.likelihoods(batch.column("text").to_pylist())
+            log, none = shared.value.evidence(batch.column("text").to_pylist())
             # a single language is as likely as itself: letters are told apart by the text, not by zeros
             letters = [bool(t) and any(map(str.isalpha, t)) for t in batch.column("text").to_pylist()]
-            columns = [*[batch.column(c) for c in carried], pa.array(letters), pa.array(list(log))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "letters", "log"])
+            columns = [*[batch.column(c) for c in carried], pa.array(letters), pa.array(list(log)), pa.array(none)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "letters", "log", "none"])
 
-    read = stored(slim.mapInArrow(work, ", ".join([*[f"`{c}` {kinds[c]}" for c in carried], "letters boolean", "log array<double>"])), "lang-text")
+    read = stored(slim.mapInArrow(work, ", ".join([*[f"`{c}` {kinds[c]}" for c in carried], "letters boolean", "log array<double>", "none double"])), "lang-text")
     # languages that are no name here share one value, so the table of declarations is bounded
     declared = F.when(F.col("declared").isin(names) | (F.col("declared") == ""), F.col("declared")).otherwise("other")
     total = F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x))
@@ -138,6 +159,7 @@ def identify(records: DataFrame, model: TextModel, keys: list[str], confidence:
     whole = np.array(read.agg(F.array(*[F.coalesce(s, F.lit(0.0)) for s in sums])).first()[0])  # one number per language
     base = (whole + 1) / (whole + 1).sum()
     declarations = {r["declared"]: r["n"] for r in seen(["declared"], "n").collect()}  # at most two more than languages
+    everywhere = {d: (sum(n) + 0.5) / (whole.sum() + 0.5 * len(declarations)) for d, n in declarations.items()}
     table_ = {d: (np.array(n) + 0.5) / (whole + 0.5 * len(declarations)) for d, n in declarations.items()}
     joined = read
     for level in ("host", "domain", "suffix"):
@@ -157,12 +179,16 @@ def identify(records: DataFrame, model: TextModel, keys: list[str], confidence:
             by_suffix = (less(suffix) + strength * base) / (less(suffix).sum(axis=1, keepdims=True) + strength) / base
             said = np.stack([table_[d] for d in b["declared"]])
             score = log + np.log(prior) + np.log(by_suffix) + np.log(said)
-            post = np.exp(score - score.max(axis=1, keepdims=True))
+            top = score.max(axis=1, keepdims=True)
+            post = np.exp(score - top)
+            # a text in no language is declared as any is, at any address
+            none = b["none"].to_numpy() + np.log(UNLEARNED) + np.log([everywhere[d] for d in b["declared"]]) - top[:, 0]
+            learned = 1 / (1 + np.exp(np.minimum(none - np.log(post.sum(axis=1)), 700.0)))
             post /= post.sum(axis=1, keepdims=True)
             out = b[keys].copy()
             out["text_lang"] = np.where(b["letters"], names_array[log.argmax(axis=1)], None)
             out["lang"], out["confidence"] = names_array[post.argmax(axis=1)], post.max(axis=1)
-            out["kept"] = b["letters"].to_numpy() & (out["confidence"] >= confidence).to_numpy()
+            out["kept"] = b["letters"].to_numpy() & (out["confidence"].to_numpy() * learned >= confidence)
             yield out
 
     fused = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "text_lang string, lang string, confidence double, kept boolean"])

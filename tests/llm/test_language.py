@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -75,3 +77,17 @@ def test_filter_keeps_columns_and_clean_rows(spark, docs):
     assert out.columns == d.columns
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in out.collect()) == [(-1, "own"), (1, "own"), (1, "own"), (5, "own")]
     assert L.in_a_language(d.limit(0)).count() == 0
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = [letters(60), letters(1000), " ".join(letters(7) for _ in range(20)), "Сегодня утром мы пошли на рынок, чтобы купить свежие овощи", "今日は天気がいいので、公園で散歩をしました。", "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film polskiego reżysera"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(strange)]
+    rows += [(100 + i, r["text"], r["lang"], r["source"]) for i, r in enumerate(docs.limit(100).collect())]
+    # numbers and keys are in no language, so they do not speak against the words beside them
+    rows += [(300, "token = 40d78a45c418324758e099eb7cb89bc0f5fa9f62 4734663219866878$$$ the other thing", "en", "a")]
+    kept = {r["id"]: r["kept"] for r in L.identify(records(spark, rows), L.fit(docs), ["id"]).collect()}
+    assert [i for i in kept if i < 100 and kept[i]] == []
+    assert [i for i in kept if i >= 100 and not kept[i]] == []
