@@ -29,10 +29,10 @@ from barweave.llm.base import bounded_batches, by_keys, look_up, query, row_keys
 from barweave.llm.url_filter import lower_ascii, url_parts
 
 BUCKETS = 1 << 14
-#: Documents a language's trigram table is fitted on, and the most languages (the most frequent labels).
-SAMPLE, LANGUAGES = 500, 32
-#: A label is a language when at least so many rows have it.
-MIN_ROWS = 5
+#: Documents a language's trigram table is fitted on.
+SAMPLE = 500
+#: Trigrams' worth of trust that a label gives to the trigrams of all labels.
+SHARED = BUCKETS / 2
 #: Neighbouring trigrams overlap, so each counts for this share of an independent observation.
 INDEPENDENCE = 1 / 3
 #: Records' worth of trust that a domain or host gives to the level above.
@@ -78,21 +78,23 @@ class TextModel:
         return self.evidence(texts)[0]
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> TextModel:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """Trigram tables from whole texts of at most ``sample`` documents per label in ``lang``
-    (those with the smallest hashes of their ids).  Rows with a null label or text teach
-    nothing.  Without any label there is one language, ``und``."""
-    counts = docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
-    frequent = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect()}
-    names = sorted(frequent)
+    (those with the smallest hashes of their ids).  Every label is a language; the fewer
+    trigrams it has, the more its table is that of all labels.  Rows with a null label or
+    text teach nothing.  Without any label there is one language, ``und``."""
+    keyed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    # about twice the sample of each label is ranked: the hashes under a bound that its count gives
+    counts = stored(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-labels")
+    names = sorted(r["lang"] for r in counts.select("lang").collect())
     if not names:
         return TextModel(["und"], np.zeros((BUCKETS, 1), dtype=np.float32))
+    share = F.lit(2.0 * sample) / F.col("n")
+    bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    keyed = docs.where(F.col("lang").isin(names) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    # about twice the sample of each label is ranked: the hashes under a bound that its count gives
-    bound = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(2**63 - 1, 2**65 * sample // c - 2**63))) for n, c in frequent.items()])
     # ids first, so that the ranking moves no texts; then the few texts themselves
-    ids = keyed.where(F.xxhash64("doc_id") <= bound).withColumn("text", F.xxhash64("text")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
+    few = look_up(keyed, counts.select("lang", bound.alias("_bound")), "lang").where(F.xxhash64("doc_id") <= F.col("_bound"))
+    ids = few.withColumn("text", F.xxhash64("text")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
     picked = keyed.withColumn("_h", F.xxhash64("text")).join(F.broadcast(ids.select("doc_id", "lang", F.col("text").alias("_h")).distinct()), ["doc_id", "lang", "_h"], "left_semi")
     picked = picked.groupBy("lang", "doc_id", "_h").agg(F.min("text").alias("text"))
 
@@ -100,11 +102,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> TextMod
         total = np.zeros(BUCKETS, dtype=np.int64)
         for t in rows["text"]:
             total += np.bincount(_codes(t), minlength=BUCKETS)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [total.tobytes()]})
-
-    found = {r["lang"]: np.frombuffer(r["counts"], dtype=np.int64) for r in picked.groupBy("lang").applyInPandas(work, "lang string, counts binary").collect()}
-    columns = [(found[n] + 0.5) / (found[n].sum() + 0.5 * BUCKETS) for n in names]
-    return TextModel(names, np.log(np.stack(columns, axis=1)).astype(np.float32))
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "places": [at.astype(np.int32).tobytes()], "counts": [total[at].tobytes()]})
+
+    # only the trigrams that occur travel
+    found = np.zeros((BUCKETS, len(names)))
+    at = {n: i for i, n in enumerate(names)}
+    for r in picked.groupBy("lang").applyInPandas(work, "lang string, places binary, counts binary").toLocalIterator():
+        found[np.frombuffer(r["places"], dtype=np.int32), at[r["lang"]]] = np.frombuffer(r["counts"], dtype=np.int64)
+    everywhere = found.sum(axis=1, keepdims=True) / max(found.sum(), 1)
+    table_ = (found + 0.5 + SHARED * everywhere) / (found.sum(axis=0) + 0.5 * BUCKETS + SHARED)
+    return TextModel(names, np.log(table_).astype(np.float32))
 
 
 def primary_tag(declared: Column) -> Column:

@@ -91,3 +91,19 @@ def test_texts_in_no_learned_language_go(spark):
     kept = {r["id"]: r["kept"] for r in L.identify(records(spark, rows), L.fit(docs), ["id"]).collect()}
     assert [i for i in kept if i < 100 and kept[i]] == []
     assert [i for i in kept if i >= 100 and not kept[i]] == []
+
+
+def test_every_label_is_a_language(spark, docs):
+    rnd = random.Random(7)
+    words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for k in range(40)}
+    text = lambda k: " ".join(rnd.choice(words[k]) for _ in range(30))
+    rare = {"l38": 1, "l39": 2}
+    rows = [(100 * j + i, text(k), k, f"s{j}") for j, k in enumerate(words) for i in range(rare.get(k, 6))]
+    d = docs(*rows, (9000, text("l38"), None, None))
+    model = L.fit(d)
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r for r in L.identify(L.document_records(d), model, ["doc_id"]).collect()}
+    assert all(got[i]["lang"] == k and got[i]["kept"] for i, _, k, _ in rows)
+    # another text of the label with one row is told by its words alone
+    assert got[9000]["text_lang"] == "l38"
+    assert L.in_a_language(d).count() == len(rows) + 1
