@@ -30,8 +30,10 @@ STEPS = 5
 MIN_GROUP = 50
 #: Probability that a regular row is kept.
 CONFIDENCE = 0.99995
-#: Transformed statistics and the least standard deviation each is given: so much spread is never remarkable.
-FEATURES = (("log_words", 1.0), ("log_word_chars", 0.1), ("root_symbols", 0.1), ("root_dup_lines", 0.2), ("root_repeats", 0.15))
+#: Transformed statistics and the least standard deviation of a group, which only keeps scatters invertible.
+FEATURES = (("log_words", 1e-3), ("log_word_chars", 1e-3), ("root_symbols", 1e-3), ("root_dup_lines", 1e-3), ("root_repeats", 1e-3))
+#: Share of the rows up to whose length a longer text is taken to resolve more.
+LONGEST = 0.99
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -91,6 +93,14 @@ def features() -> list[Column]:
     ]
 
 
+def resolution() -> list[Column]:
+    """Squares of what one word, one code point, one symbol, one line and one repeated window change in the
+    statistics of a text of that length; texts beyond the lengths in ``_longest`` resolve no more than those."""
+    words, lines = F.least("n_words", F.col("_longest")[0]), F.least(F.greatest(F.col("n_lines"), F.lit(1)), F.col("_longest")[1])
+    one = F.lit(1.0)
+    return [one / F.pow(F.col("n_words") + 1.0, 2), one / F.pow(F.col("word_chars").cast("double"), 2), one / words, one / lines, 2.0 * WINDOW / words]
+
+
 def _estimates(moments: DataFrame, consistency: float) -> DataFrame:
     """Per group the location and the inverse scatter, from sums: at most one small row per group."""
     p = len(FEATURES)
@@ -108,15 +118,28 @@ def _estimates(moments: DataFrame, consistency: float) -> DataFrame:
                 cov = (cov - np.outer(mean, mean)) * consistency
                 # spread below the floor is filled up, so a constant statistic does not make its first exception infinitely far
                 cov[np.arange(p), np.arange(p)] += np.maximum(floor - np.diag(cov), 0.0)
-                rows.append((r.group, (np.array(r.origin) + mean).tolist(), np.linalg.pinv(cov).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["group", "centre", "inverse"])
+                rows.append((r.group, r.n, (np.array(r.origin) + mean).tolist(), np.linalg.pinv(cov).ravel().tolist(), cov.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["group", "n", "centre", "inverse", "scatter"])
+
+    return moments.mapInPandas(work, "group string, n long, centre array<double>, inverse array<double>, scatter array<double>")
 
-    return moments.mapInPandas(work, "group string, centre array<double>, inverse array<double>")
+
+def _distance(data: DataFrame, estimate: DataFrame) -> DataFrame:
+    p = len(FEATURES)
+    gap = [F.col("x")[i] - F.col("centre")[i] for i in range(p)]
+    total = sum((gap[i] * gap[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+    return look_up(data, estimate.select("group", "centre", "inverse"), "group").withColumn("d2", total).drop("centre", "inverse")
 
 
 def robust_distances(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
     """``rows`` (group, x: array of transformed statistics) with ``d2``: squared Mahalanobis distance to
-    the minimum-covariance-determinant estimate of its group.
+    the minimum-covariance-determinant estimate of its group."""
+    return _distance(rows, robust_estimates(rows, coverage, steps))
+
+
+def robust_estimates(rows: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant estimate of each group of ``rows`` (group, x): the rows it rests on,
+    ``centre``, ``inverse`` and ``scatter``.
 
     Starts from the coordinate-wise medians and median deviations.  Sums are taken
     around the medians, so large means do not eat the digits of small spreads.
@@ -137,13 +160,8 @@ def robust_distances(rows: DataFrame, coverage: float = COVERAGE, steps: int = S
     )
     estimate = stored(start, "mcd")
 
-    def distance(data: DataFrame, e: DataFrame) -> DataFrame:
-        gap = [F.col("x")[i] - F.col("centre")[i] for i in range(p)]
-        total = sum((gap[i] * gap[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-        return look_up(data, e, "group").withColumn("d2", total).drop("centre", "inverse")
-
     for _ in range(steps):
-        far = distance(rows, estimate)
+        far = _distance(rows, estimate)
         cut = stored(far.groupBy("group").agg(F.percentile_approx("d2", coverage, 10_000).alias("cut")), "mcd-cut")
         near = look_up(look_up(far, cut, "group").where("d2 <= cut"), median, "group")
         gap = [v - F.col("origin")[i] for i, v in enumerate(x)]
@@ -152,7 +170,34 @@ def robust_distances(rows: DataFrame, coverage: float = COVERAGE, steps: int = S
             F.array(*[F.sum(gap[i] * gap[j]) for i in range(p) for j in range(i, p)]).alias("ss"), F.first("origin").alias("origin"),
         )
         estimate = stored(_estimates(moments, consistency), "mcd")
-    return distance(rows, estimate)
+    return estimate
+
+
+def scaled_distances(rows: DataFrame) -> DataFrame:
+    """``rows`` (x, n_words, resolution, centre, scatter) with ``d2`` instead of the last three.
+
+    The scatter is the estimate's.  Where a text's own resolution is coarser than the
+    spread, as where a statistic is constant, that is its variance.  A mean over few
+    words varies by itself: the square of the median of its scaled deviations, over the number of words.
+    """
+    by_word = F.percentile_approx(F.abs(F.col("x")[1] - F.col("centre")[1]) * F.sqrt("n_words"), 0.5, 10_000)
+    word = (rows.agg(by_word).first()[0] or 0.0) * 1.4826
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kept = [c for c in rows.columns if c not in ("resolution", "centre", "scatter")]
+    p = len(FEATURES)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            x, least, centre, scatter = (np.array(b[c].tolist(), dtype=np.float64) for c in ("x", "resolution", "centre", "scatter"))
+            least[:, 1] = np.maximum(least[:, 1], word * word / b["n_words"].to_numpy())
+            cov, at = scatter.reshape(-1, p, p), np.arange(p)
+            cov[:, at, at] = np.maximum(cov[:, at, at], least)
+            gap = x - centre
+            yield b[kept].assign(d2=np.einsum("ni,ni->n", gap, np.linalg.solve(cov, gap[:, :, None])[:, :, 0]))
+
+    return rows.mapInPandas(work, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "d2 double"]))
 
 
 def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
@@ -167,7 +212,9 @@ def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COV
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     )
     stats = stored(stats, "rule-stats")
-    regular = stats.where("not base_failed").withColumn("x", F.array(*features()))
+    regular = stats.where("not base_failed")
+    lengths = regular.agg(F.array(*[F.percentile_approx(c, LONGEST, 10_000) for c in ("n_words", "n_lines")]).alias("_longest"))
+    regular = regular.crossJoin(F.broadcast(lengths)).withColumns({"x": F.array(*features()), "resolution": F.array(*resolution())}).drop("_longest")
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     own, shared = F.concat_ws("/", name(F.col("lang")), name(F.col("source"))), F.concat_ws("/", name(F.col("lang")), F.lit("small"))
     regular = regular.withColumn("_own", own).withColumn("_shared", shared)
@@ -176,8 +223,9 @@ def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COV
     named = stored(named, "rule-rows")
     enough = stored(named.groupBy("group").agg((F.count(F.lit(1)) >= min_group).alias("_enough")), "rule-sizes")
     named = look_up(named, enough, "group")
-    judged = robust_distances(named.where("_enough").drop("_enough"), coverage, steps).drop("group", "x")
-    rest = named.where("not _enough").drop("_enough", "group", "x").withColumn("d2", F.lit(None).cast("double"))
+    large = named.where("_enough").drop("_enough")
+    judged = scaled_distances(look_up(large, robust_estimates(large, coverage, steps).select("group", "centre", "scatter"), "group")).drop("group", "x")
+    rest = named.where("not _enough").drop("_enough", "group", "x", "resolution").withColumn("d2", F.lit(None).cast("double"))
     failed = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     cut = chi_square_quantile(confidence, len(FEATURES))
     return judged.unionByName(rest).unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut))

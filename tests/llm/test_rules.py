@@ -92,3 +92,24 @@ def test_look_up_beyond_the_bound_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(base, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, base.look_up(rows, values, "k").select("id", "v").collect())) == small
     assert rows.where(F.col("k") < 5).count() == len(small)
+
+
+def word(i, k):
+    return "ab" * (1 + k % 4) + f"{i % 90 + 10}x{k % 90 + 10}"
+
+
+def varied(i):
+    """A text of 30 to 500 words, seven in a line, without a repeat."""
+    n = int(30 * 16 ** ((i * 0.618) % 1))
+    return "\n".join(" ".join(word(i, k) + str(k // 90) for k in range(j, min(n, j + 7))) for j in range(0, n, 7))
+
+
+def test_estimated_spread_sets_the_scale(spark, docs):
+    """Lines that nearly all repeat, in a text whose words and length are like any other's."""
+    rows = [(i, varied(i), "en", "a") for i in range(200)]
+    again = "\n".join(word(5, int(k)) + "0" for k in np.random.default_rng(1).integers(0, 4, 60))
+    rows += [(1000, again, "en", "a"), (1001, varied(7) + "\n" + varied(7).split("\n")[0], "en", "a")]
+    out = {r["doc_id"]: r for r in R.judge(docs(*rows)).collect()}
+    assert not out[1000]["base_failed"] and out[1000]["n_dup_lines"] == 56 and not out[1000]["kept"]
+    assert out[1001]["n_dup_lines"] == 1 and out[1001]["kept"], out[1001]
+    assert np.mean([out[i]["kept"] for i in range(200)]) > 0.98
