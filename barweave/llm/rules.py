@@ -26,8 +26,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Share of a group's rows on which location and scatter rest.
 COVERAGE = 0.75
 STEPS = 5
-#: Groups with fewer rows are judged with their language's small groups, and those, if still fewer, not at all.
-MIN_GROUP = 50
+#: Rows' worth of trust that a group gives to its language's estimate, and a language to that of all rows.
+STRENGTH = 50.0
 #: Probability that a regular row is kept.
 CONFIDENCE = 0.99995
 #: Transformed statistics and the least standard deviation of a group, which only keeps scatters invertible.
@@ -200,12 +200,32 @@ def scaled_distances(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "d2 double"]))
 
 
-def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COVERAGE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
+def leaning(groups: DataFrame, estimates: DataFrame, strength: float) -> DataFrame:
+    """Centre and scatter of each group (_own, _tongue), with ``strength`` rows like its language's,
+    which has as many like the corpus'."""
+
+    def at(level: str, key: Column, data: DataFrame) -> DataFrame:
+        part = estimates.select(F.col("group").alias(f"_{level}"), *[F.col(c).alias(f"{level}_{c}") for c in ("n", "centre", "scatter")])
+        return look_up(data.withColumn(f"_{level}", key), part, f"_{level}").drop(f"_{level}")
+
+    joined = groups
+    for level, key in (("a", F.lit("all")), ("t", F.col("_tongue")), ("o", F.col("_own"))):
+        joined = at(level, key, joined)
+
+    def lean(n: Column, own: Column, above: Column) -> Column:
+        return F.zip_with(own, above, lambda x, y: (x * n + y * strength) / (n + F.lit(strength)))
+
+    middle = joined.withColumns({c: lean(F.col("t_n"), F.col(f"t_{c}"), F.col(f"a_{c}")) for c in ("centre", "scatter")})
+    return stored(middle.select("_own", *[lean(F.col("o_n"), F.col(f"o_{c}"), F.col(c)).alias(c) for c in ("centre", "scatter")]), "rule-groups")
+
+
+def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COVERAGE, steps: int = STEPS, strength: float = STRENGTH) -> DataFrame:
     """doc_id, the base statistics, ``base_failed``, ``d2`` and ``kept`` of every document.
 
     A row that fails a base rule is not kept and takes no part in the estimates.  Null
     and empty texts have no words and fail.  Null languages and sources are groups of
-    their own.  Repeated rows are judged each.  An empty table gives an empty table.
+    their own.  Every other row is judged: the estimate of a group leans on its language's, and that
+    on the corpus', by how few rows it rests on.  Repeated rows are judged each.  An empty table gives an empty table.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     stats = with_stats(keyed, ["doc_id", "lang", "source"]).withColumn(
@@ -216,19 +236,16 @@ def judge(docs: DataFrame, confidence: float = CONFIDENCE, coverage: float = COV
     lengths = regular.agg(F.array(*[F.percentile_approx(c, LONGEST, 10_000) for c in ("n_words", "n_lines")]).alias("_longest"))
     regular = regular.crossJoin(F.broadcast(lengths)).withColumns({"x": F.array(*features()), "resolution": F.array(*resolution())}).drop("_longest")
     name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    own, shared = F.concat_ws("/", name(F.col("lang")), name(F.col("source"))), F.concat_ws("/", name(F.col("lang")), F.lit("small"))
-    regular = regular.withColumn("_own", own).withColumn("_shared", shared)
-    sizes = regular.groupBy("_own").agg(F.count(F.lit(1)).alias("_n"))
-    named = look_up(regular, stored(sizes, "rule-groups"), "_own").withColumn("group", F.when(F.col("_n") >= min_group, F.col("_own")).otherwise(F.col("_shared"))).drop("_own", "_shared", "_n")
-    named = stored(named, "rule-rows")
-    enough = stored(named.groupBy("group").agg((F.count(F.lit(1)) >= min_group).alias("_enough")), "rule-sizes")
-    named = look_up(named, enough, "group")
-    large = named.where("_enough").drop("_enough")
-    judged = scaled_distances(look_up(large, robust_estimates(large, coverage, steps).select("group", "centre", "scatter"), "group")).drop("group", "x")
-    rest = named.where("not _enough").drop("_enough", "group", "x", "resolution").withColumn("d2", F.lit(None).cast("double"))
+    tongue = F.concat(F.lit("language "), name(F.col("lang")))
+    regular = regular.withColumns({"_tongue": tongue, "_own": F.concat(F.lit("group "), name(F.col("lang")), F.lit("/"), name(F.col("source")))})
+    regular = stored(regular, "rule-rows")
+    # the three levels of every row at once
+    levels = regular.select(F.explode(F.array(F.lit("all"), "_tongue", "_own")).alias("group"), "x")
+    estimates = robust_estimates(levels, coverage, steps).select("group", "n", "centre", "scatter")
+    judged = scaled_distances(look_up(regular, leaning(regular.select("_own", "_tongue").distinct(), estimates, strength), "_own")).drop("_own", "_tongue", "x")
     failed = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     cut = chi_square_quantile(confidence, len(FEATURES))
-    return judged.unionByName(rest).unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut))
+    return judged.unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut))
 
 
 @query("op7_quality_rules")

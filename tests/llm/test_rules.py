@@ -113,3 +113,14 @@ def test_estimated_spread_sets_the_scale(spark, docs):
     assert not out[1000]["base_failed"] and out[1000]["n_dup_lines"] == 56 and not out[1000]["kept"]
     assert out[1001]["n_dup_lines"] == 1 and out[1001]["kept"], out[1001]
     assert np.mean([out[i]["kept"] for i in range(200)]) > 0.98
+
+
+def test_small_groups_are_judged_like_large_ones(spark, docs):
+    """A text of symbols in a language with few rows goes, whatever else arrives; its regular rows stay."""
+    common = [(i, varied(i), "en", "a") for i in range(120)]
+    few = [(500 + i, varied(i), "xx", None) for i in range(4)] + [(600, "#$% " * 3 + varied(3).replace(" ", "### "), "xx", None)]
+    for rows in (common + few, common + few + [(700 + i, varied(i + 7), "xx", "b") for i in range(50)]):
+        out = {r["doc_id"]: r for r in R.judge(docs(*rows)).collect()}
+        assert all(r["d2"] is not None for r in out.values() if not r["base_failed"])
+        assert not out[600]["base_failed"] and not out[600]["kept"] and all(out[500 + i]["kept"] for i in range(4))
+    assert R.judge(docs()).count() == 0
