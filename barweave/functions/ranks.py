@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.mathx import corr_of
-from barweave.session import cut_lineage
+from barweave.session import cut_lineage, written
 
 #: Ranges per group where the session does not say how far to spread a shuffle.
 RANGES = 32
@@ -134,3 +135,120 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", mi
         F.when(F.col("n") >= min_n, F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))).alias(out),
         "n",
     )
+
+
+# --- many columns in one sort ----------------------------------------------------
+
+
+def rank_columns(df: DataFrame, ids: list[str], specs: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Places of several columns inside their groups from one range-partitioned sort.
+
+    ``specs`` is ``{name: (column, sub)}``; a name's groups are the dates, or the
+    values of ``sub`` on a date (null is a group too).  One row per non-null value: ``ids``,
+    ``_name``, ``date``, ``_sub``, ``_x``, and ``_first`` (smaller rows of the group),
+    ``_len`` (rows with the value) and ``_n`` (non-null rows of the group).
+
+    All values are melted into (name, date, sub, value, ids) and dealt by ranges of it,
+    so neither a date nor a value that a third of the rows share makes a task large.  Each range
+    counts within its groups while it is written; groups that span several ranges get the
+    sum of the ranges before (one row per range and group), values cut by the end of
+    a range (two a range at most) their total.
+    """
+    sub = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) if c else F.lit("")
+    parts = [
+        F.struct(F.lit(n).alias("_name"), sub(s).alias("_sub"), (F.col(x).cast("double") + F.lit(0.0)).alias("_x"))
+        for n, (x, s) in specs.items()
+    ]
+    keys = ["_name", "date", "_sub"]
+    melted = df.select(*ids, *([] if "date" in ids else ["date"]), F.explode(F.array(*parts)).alias("_m")).select(*dict.fromkeys([*ids, "date"]), "_m.*")
+    order = [*keys, "_x", *[i for i in ids if i != "date"]]
+    dealt = melted.where(F.col("_x").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", _part int, _at long, _same long, _edge boolean"
+    local = written(dealt.mapInArrow(_count_in_range(keys), schema), "ranks")
+    spans = local.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    offsets = spans.select(
+        "_part", *keys,
+        (F.sum("_t").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_off"),
+        F.sum("_t").over(Window.partitionBy(*keys)).alias("_n"),
+    )
+    placed = local.join(offsets, ["_part", *keys]).withColumn("_first", F.col("_off") + F.col("_at"))
+    # values at the ends of ranges: at most two per range
+    cut = placed.where("_edge").groupBy(*keys, "_x").agg(F.min("_first").alias("_cut_first"), F.count(F.lit(1)).alias("_cut_len"), F.min("_part").alias("_p"), F.max("_part").alias("_q"))
+    cut = cut.where("_p < _q").drop("_p", "_q")
+    return placed.join(F.broadcast(cut), [*keys, "_x"], "left").select(
+        *dict.fromkeys([*ids, "date"]), "_name", "_sub", "_x",
+        F.coalesce("_cut_first", "_first").alias("_first"), F.coalesce("_cut_len", "_same").alias("_len"), "_n",
+    )
+
+
+def _count_in_range(keys: list[str]):
+    """Adds to sorted rows their range, the rows of their group before their value in it,
+    the rows with their value in it and whether that value lies at an end of the range."""
+
+    def changes(column) -> np.ndarray:
+        import pyarrow.compute as pc
+
+        if len(column) < 2:
+            return np.zeros(0, dtype=bool)
+        return pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+
+    def work(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held, carried, first_emitted = None, 0, True
+
+        def ready(t, at, same, edge):
+            n = len(t)
+            extra = [pa.array(np.full(n, part, dtype=np.int32)), pa.array(at), pa.array(same), pa.array(edge)]
+            t = t.combine_chunks()
+            columns = [t.column(c).combine_chunks() for c in t.column_names]
+            return pa.RecordBatch.from_arrays([*columns, *extra], names=[*t.column_names, "_part", "_at", "_same", "_edge"])
+
+        def runs(t):
+            """Per row its run's start, its group's start (-1: before the table) and the runs' starts."""
+            new_group = np.concatenate([[False], np.logical_or.reduce([changes(t.column(k).combine_chunks()) for k in keys])])
+            new_run = new_group | np.concatenate([[False], changes(t.column("_x").combine_chunks())])
+            new_run[0] = True
+            starts = np.nonzero(new_run)[0]
+            group = np.maximum.accumulate(np.where(new_group, np.arange(len(t)), -1))
+            return starts, group
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            starts, group = runs(t)
+            sizes = np.diff([*starts, len(t)])
+            # rows of the group before each run; the first group goes on from what was written
+            at = np.where(group[starts] < 0, carried + starts, starts - group[starts])
+            last = int(starts[-1])
+            if last:
+                closed = sizes[:-1]
+                edge = np.zeros(len(closed), dtype=bool)
+                edge[0] = first_emitted
+                first_emitted = False
+                yield ready(t.slice(0, last), np.repeat(at[:-1], closed), np.repeat(closed, closed), np.repeat(edge, closed))
+            held, carried = t.slice(last), int(at[-1])
+        if held is not None:
+            n = len(held)
+            yield ready(held, np.full(n, carried), np.full(n, n), np.ones(n, dtype=bool))
+
+    return work
+
+
+def percent_ranks(ranked: DataFrame, ids: list[str], names: list[str]) -> DataFrame:
+    """``rank_columns`` back to one row per ``ids`` with average-tie percentile ranks."""
+    pct = (F.col("_first") + (F.col("_len") + 1) / 2.0) / F.col("_n")
+    return ranked.where(F.col("_name").isin(*names)).groupBy(*ids).agg(*[F.max(F.when(F.col("_name") == n, pct)).alias(n) for n in names])
+
+
+def medians(ranked: DataFrame, name: str, out: str) -> DataFrame:
+    """(date, _sub, out): the exact median of each group of ``rank_columns``."""
+    holds = lambda k: (F.col("_first") <= k) & (k < F.col("_first") + F.col("_len"))
+    at = (F.col("_n") - 1) / 2
+    sides = [F.max(F.when(holds(f(at)), F.col("_x"))) for f in (F.floor, F.ceil)]
+    return ranked.where(F.col("_name") == name).groupBy("date", "_sub").agg(((sides[0] + sides[1]) / 2).alias(out))

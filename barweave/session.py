@@ -55,3 +55,12 @@ def cut_lineage(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df, label: str):
+    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and
+    fixes what another evaluation could deal differently."""
+    spark = df.sparkSession
+    path = run_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
