@@ -20,7 +20,7 @@ from barweave.functions.ranks import spearman
 from barweave.operators import ic as IC
 from barweave.operators import metrics as M
 from barweave.operators import trades as TR
-from barweave.session import cut_lineage
+from barweave.session import cut_lineage, written
 from barweave.sources.bars import calendar
 
 
@@ -326,3 +326,135 @@ def accept_model(old: DataFrame, new: DataFrame, metric: str, min_wins: float =
     g = j.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("b") > F.col("a")).alias("won"), F.avg("a").alias("old_mean"), F.avg("b").alias("new_mean"))
     ratio = W.safe_div("new_mean", F.nullif(F.col("old_mean"), F.lit(0.0)))
     return g.withColumn("ratio", ratio).withColumn("accept", (F.col("windows") > 0) & (F.col("won") / F.col("windows") >= min_wins) & ((F.col("old_mean") <= 1e-6) | (F.col("new_mean") >= min_ratio * F.col("old_mean"))))
+
+
+# --- model search -----------------------------------------------------------------
+
+#: Parameter ranges of the boosted-tree search (fixed values), and of the ridge search.
+TREE_RANGES = {"trees": [100, 200, 300], "depth": [2, 3, 4], "rate": [0.01, 0.05, 0.1], "subsample": [0.6, 0.8, 1.0]}
+RIDGE_RANGE = [0.001, 0.01, 0.1, 1.0, 10.0]
+BINS = 32
+
+
+def blocked_folds(df: DataFrame, folds: int = 3, embargo: int = 0) -> DataFrame:
+    """(date, fold, part): the last ``folds`` of ``folds + 1`` equal blocks of dates are
+    tested in turn, each on all dates before it less ``embargo``; what does not divide evenly comes first."""
+    cal = calendar(df).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))  # one row per date
+    size = F.floor(F.col("_n") / (folds + 1))
+    t = cal.select("date", F.col("idx"), "_n", size.alias("_s"), F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
+    start = F.col("_n") - (folds + 1 - F.col("fold")) * F.col("_s") + 1
+    part = F.when(F.col("idx").between(start, start + F.col("_s") - 1), "test").when(F.col("idx") < start - embargo, "train")
+    return t.select("date", "fold", part.alias("part")).where("part is not null and _s > 0")
+
+
+def drawn_settings(ranges: dict[str, list], n: int, seed: int = 42) -> list[dict]:
+    """``n`` different settings from the grid of ``ranges`` (all, if fewer), by a seeded draw."""
+    sizes = [len(v) for v in ranges.values()]
+    total = int(np.prod(sizes))
+    picks = np.random.default_rng(seed).choice(total, size=min(n, total), replace=False)
+    return [{k: v[int(i)] for (k, v), i in zip(ranges.items(), np.unravel_index(p, sizes))} for p in picks]
+
+
+def binned(df: DataFrame, xs: list[str], y: str, fit_on: Column | None = None, bins: int = BINS) -> DataFrame:
+    """ticker, date, ``fwd`` and a vector of bin numbers, written once for all fits that read it.
+
+    Bins are quantiles of the rows ``fit_on`` picks (the earliest training block, so that no
+    later row shapes them); nulls get a bin of their own.
+    """
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
+
+    ok = cut_lineage(df.where(F.col(y).isNotNull()).select("ticker", "date", F.col(y).cast("double").alias("fwd"), *[F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))).alias(x) for x in xs]))
+    probs = [i / bins for i in range(1, bins)]
+    cuts = (ok if fit_on is None else ok.where(fit_on)).approxQuantile(xs, probs, 0.001)  # bins per feature
+    edges = [[-float("inf"), *sorted({c for c in q}), float("inf")] for q in cuts]
+    out = [f"_b{i}" for i in range(len(xs))]
+    b = Bucketizer(splitsArray=edges, inputCols=xs, outputCols=out, handleInvalid="keep").transform(ok)
+    # bins are ordered numbers, not categories
+    b = b.select("ticker", "date", "fwd", *[F.col(c).alias(c, metadata={}) for c in out])
+    return written(VectorAssembler(inputCols=out, outputCol="features").transform(b).select("ticker", "date", "fwd", "features"), "binned")
+
+
+def tree_fit(train: DataFrame, setting: dict, seed: int = 42):
+    """One boosted-tree regression on a ``binned`` table."""
+    from pyspark.ml.regression import GBTRegressor
+
+    gbt = GBTRegressor(labelCol="fwd", maxIter=setting["trees"], maxDepth=setting["depth"], stepSize=setting["rate"], subsamplingRate=setting["subsample"], maxBins=BINS + 2, seed=seed)
+    return gbt.fit(train)
+
+
+def r_squared(scored: DataFrame, score: str = "prediction", y: str = "fwd") -> float | None:
+    """1 - squared errors over squared deviations from the tested rows' own mean; None where these do not vary."""
+    m = scored.agg(F.avg(y)).first()[0]
+    if m is None:
+        return None
+    e, t = scored.agg(F.sum((F.col(y) - F.col(score)) ** 2), F.sum((F.col(y) - m) ** 2)).first()
+    return 1 - e / t if t > 0 else None
+
+
+def side_by_side(jobs: list, workers: int) -> list:
+    """Runs functions that start Spark jobs in a few driver threads; results in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
+def tree_search(df: DataFrame, xs: list[str], y: str, ranges: dict[str, list] = TREE_RANGES, draws: int = 10, folds: int = 3, seed: int = 42, workers: int = 4) -> DataFrame:
+    """Randomised search of boosted trees over blocked folds, as rows (setting, its values, fold, n, r2, mean_r2, rank).
+
+    All fits read one binned table and run side by side; the driver keeps one score
+    per setting and fold.  Rank 1 has the highest mean; ties go to the earlier draw.
+    """
+    tags = blocked_folds(df.where(F.col(y).isNotNull()), folds)
+    first = tags.where("fold = 1 and part = 'train'").agg(F.max("date")).first()[0]
+    data = binned(df, xs, y, F.col("date") <= F.lit(first))
+    tagged = {(f, p): data.join(F.broadcast(tags.where((F.col("fold") == f) & (F.col("part") == p)).select("date")), "date") for f in range(1, folds + 1) for p in ("train", "test")}
+    settings = drawn_settings(ranges, draws, seed)
+
+    def job(i, f):
+        def run():
+            test = tree_fit(tagged[f, "train"], settings[i], seed).transform(tagged[f, "test"])
+            return test.count(), r_squared(test)
+
+        return run
+
+    at = [(i, f) for i in range(len(settings)) for f in range(1, folds + 1)]
+    scores = side_by_side([job(i, f) for i, f in at], workers)
+    rows = [(i, *[float(v) for v in settings[i].values()], f, n, r) for (i, f), (n, r) in zip(at, scores)]
+    out = df.sparkSession.createDataFrame(rows, "setting int, " + ", ".join(f"{k} double" for k in ranges) + ", fold int, n long, r2 double")
+    means = out.groupBy("setting").agg(F.avg("r2").alias("mean_r2"))
+    ranked = means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean_r2"), "setting")))  # one row per setting
+    return out.join(F.broadcast(ranked), "setting")
+
+
+def ridge_search(df: DataFrame, xs: list[str], y: str, alphas=tuple(RIDGE_RANGE), folds: int = 3) -> DataFrame:
+    """The same over ridge penalties: (alpha, fold, n, r2, mean_r2, rank), from one pass of sums per date.
+
+    Training sums of a fold are those of its dates added up, and its tested rows are scored under all penalties at once.
+    """
+    tags = blocked_folds(df.where(F.col(y).isNotNull()), folds)
+    k = len(xs) + 1
+    sums = date_sums(df, xs, y)
+    train = sums.join(F.broadcast(tags.where("part = 'train'").select("date", "fold")), "date").groupBy("fold").agg(F.first("centre").alias("centre"), *[F.sum(c).alias(c) for c in sum_cols(k)])
+    fit = fit_sums(train.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))), k, F.col("alpha")).select("fold", "alpha", "coef")
+    test = df.join(F.broadcast(tags.where("part = 'test'").select("date", "fold")), "date").join(F.broadcast(fit), "fold")
+    scored = test.withColumn("score", apply_coef(xs)).where(F.col("score").isNotNull() & F.col(y).isNotNull())
+    g = scored.groupBy("alpha", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(y) - F.col("score")) ** 2).alias("_e"), F.var_pop(y).alias("_v"))
+    out = g.select("alpha", "fold", "n", (1 - W.safe_div(F.col("_e"), F.nullif(F.col("_v") * F.col("n"), F.lit(0.0)))).alias("r2"))
+    mean = F.avg("r2").over(Window.partitionBy("alpha"))
+    return out.withColumn("mean_r2", mean).withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc_nulls_last("mean_r2"), "alpha")))  # a row per penalty and fold
+
+
+def tree_walk_forward(df: DataFrame, xs: list[str], y: str, setting: dict, folds: int = 3, embargo: int = 10, seed: int = 42, workers: int = 3) -> DataFrame:
+    """Out-of-sample scores of every tested row by boosted trees refitted for each blocked fold."""
+    tags = blocked_folds(df.where(F.col(y).isNotNull()), folds, embargo)
+    first = tags.where("fold = 1 and part = 'train'").agg(F.max("date")).first()[0]
+    data = binned(df, xs, y, F.col("date") <= F.lit(first))
+    part = lambda f, p: data.join(F.broadcast(tags.where((F.col("fold") == f) & (F.col("part") == p)).select("date")), "date")
+    models = side_by_side([lambda f=f: tree_fit(part(f, "train"), setting, seed) for f in range(1, folds + 1)], workers)
+    scored = [m.transform(part(f, "test")).select("ticker", "date", F.lit(f).alias("fold"), F.col("prediction").alias("score"), "fwd") for f, m in enumerate(models, 1)]
+    return reduce(DataFrame.unionByName, scored)
