@@ -253,6 +253,117 @@ def greedy_limits(book: DataFrame, max_positions=10, cap=0.12, max_beta=1.0, max
         F.col("x.ticker"), "date", F.col("x.score"), F.col("x._d.reason").alias("reason"), F.col("x._d.weight").alias("weight"))
 
 
+def walk_limits(names, scores, betas, sectors, advs, closes, holdings, limits: dict) -> list[tuple[str, float, int]]:
+    """Decisions on one date's candidates, best first: (reason, weight, round) for each.
+
+    ``holdings`` are the opening book's (ticker, weight, beta, sector); a candidate
+    moves the book by its weight less what is held of it.  Limits, None where off: ``max_positions``,
+    ``cap`` (largest weight), ``sizing``, ``max_beta``, ``max_sector``, ``sector_caps``, ``max_single``,
+    ``max_adv_frac`` and ``equity``.  What is left at the end shares the weight equally, so a
+    name whose larger share breaks its part of daily volume goes and the rest is sized again;
+    every such round drops a name, so there are at most as many rounds as names (``round`` tells the one).
+    """
+    held: dict = {}
+    beta, used = 0.0, {}
+    for ticker, w, b, sec in holdings:
+        held[ticker] = held.get(ticker, 0.0) + w
+        beta += w * b
+        used[sec] = used.get(sec, 0.0) + abs(w)
+    sizing = limits.get("sizing") or 1.0
+    size = min(1.0 / max(1, limits["max_positions"]), limits["cap"]) * (sizing if sizing > 0 else 1.0)
+    part, equity = limits.get("max_adv_frac"), limits["equity"]
+    too_much = lambda w, i: part is not None and not abs(w) * equity / closes[i] <= part * advs[i]
+    reasons, kept = [], []
+    for i, (ticker, score) in enumerate(zip(names, scores)):
+        sign = 1.0 if score > 0 else -1.0 if score < 0 else 0.0
+        w = sign * size
+        delta = w - held.get(ticker, 0.0)
+        cap = limits.get("sector_caps", {}).get(sectors[i], limits.get("max_sector"))
+        if sign == 0.0:
+            reason = "no_side"
+        elif len(kept) >= limits["max_positions"]:
+            reason = "slots_full"
+        elif limits.get("max_single") is not None and abs(w) > limits["max_single"]:
+            reason = "max_single_name"
+        elif limits.get("max_beta") is not None and beta + delta * betas[i] > limits["max_beta"]:
+            reason = "max_beta"
+        elif cap is not None and cap > 0 and used.get(sectors[i], 0.0) + abs(delta) > cap:
+            reason = "max_sector_exposure"
+        elif too_much(w, i):
+            reason = "liquidity_adv"
+        else:
+            reason = "kept"
+            kept.append(i)
+            beta += delta * betas[i]
+            used[sectors[i]] = used.get(sectors[i], 0.0) + abs(delta)
+            held[ticker] = w
+        reasons.append(reason)
+    weights, rounds, turn = [0.0] * len(reasons), [0] * len(reasons), 0
+    while kept:
+        turn += 1
+        each = min(1.0 / len(kept), limits["cap"]) * (sizing if sizing > 0 else 1.0)
+        over = {i for i in kept if too_much(each, i)}
+        for i in over:
+            reasons[i], rounds[i] = "liquidity_adv_sizing", turn
+        kept = [i for i in kept if i not in over]
+        if not over:
+            for i in kept:
+                weights[i] = each if scores[i] > 0 else -each
+            break
+    return list(zip(reasons, weights, rounds))
+
+
+LIMITS = {"max_positions": 10, "cap": 0.12, "sizing": 1.0, "max_beta": 1.0, "max_sector": 0.3, "sector_caps": {}, "max_single": None, "max_adv_frac": None, "equity": 1e6}
+
+
+def limits_on_holdings(book: DataFrame, holdings: DataFrame, **limits) -> DataFrame:
+    """ticker, date, score, reason, weight and round of each date's target book under ``LIMITS``
+    (others by name), against what is held that day.
+
+    ``book`` has ticker, date, score, beta, sector, adv and close, and is cut to a date's slots;
+    ``holdings`` has ticker, date, weight, beta and sector.  Dates are decided on their own; both sides
+    of a date are bounded by its slots.  A date without holdings starts from an empty book.
+    """
+    on = LIMITS | limits
+    opening = holdings.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "weight", "beta", "sector"))).alias("_held"))
+    day = _ordered_book(book, F.col("score"), ["beta", "sector", "adv", "close"]).join(opening, "date", "left")
+    held = F.coalesce("_held", F.array().cast(opening.schema["_held"].dataType))
+
+    @F.pandas_udf("array<struct<reason:string,weight:double,round:int>>")
+    def decide(b: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for rows, opened in zip(b, h):
+            columns = [[r[c] for r in rows] for c in ("ticker", "score", "beta", "sector", "adv", "close")]
+            out.append([{"reason": r, "weight": w, "round": n} for r, w, n in walk_limits(*columns, [tuple(x[c] for c in ("ticker", "weight", "beta", "sector")) for x in opened], on)])
+        return pd.Series(out)
+
+    out = day.withColumn("_d", decide("b", held))
+    return out.select("date", F.explode(F.arrays_zip("b.ticker", "b.score", "_d")).alias("x")).select(F.col("x.ticker"), "date", F.col("x.score"), "x._d.*")
+
+
+def limits_carried(book: DataFrame, account: str = "account", **limits) -> DataFrame:
+    """``limits_on_holdings`` where each date's decided weights are the next date's holdings.
+
+    Path-dependent, so an account's dates go one by one; its rows are its calendar times its
+    slots, and accounts are apart.  A held name that is not in the new book counts as sold
+    after the decisions: it is in the opening book of its date and gone on the next.
+    """
+    on = LIMITS | limits
+    schema = f"{account} {book.schema[account].dataType.simpleString()}, ticker {book.schema['ticker'].dataType.simpleString()}, date date, score double, reason string, weight double, round int"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["date", "score", "ticker"], ascending=[True, False, True])
+        held, parts = [], []
+        for _, day in rows.groupby("date", sort=True):
+            columns = [day[c].tolist() for c in ("ticker", "score", "beta", "sector", "adv", "close")]
+            found = walk_limits(*columns, held, on)
+            parts.append(day[[account, "ticker", "date", "score"]].assign(reason=[f[0] for f in found], weight=[f[1] for f in found], round=[f[2] for f in found]))
+            held = sorted((t, f[1], b, s) for t, f, b, s in zip(columns[0], found, columns[2], columns[3]) if f[1])
+        return pd.concat(parts)
+
+    return book.groupBy(account).applyInPandas(run, schema)
+
+
 def _ordered_book(book: DataFrame, order: Column, cols: list[str]) -> DataFrame:
     """One row per date with the book as an array, best first, ties by ticker.  Only
     for books already cut to their slots."""

@@ -344,6 +344,57 @@ def book_with_limits(spark, d):
     return j.fillna({"beta": 1.0, "sector": "Unknown"})
 
 
+#: Limits of the demonstration; beta and the part of daily volume bind on these tables.
+ON = {"max_positions": 10, "cap": 0.12, "max_beta": 0.5, "max_sector": 0.33, "max_adv_frac": 60.0, "equity": 1e6}
+
+
+def opening_book(spark, d):
+    """The target book of each date, held on the next, with that day's betas."""
+    b = book_with_limits(spark, d)
+    held = G.carried_book(b, B.calendar(bars(spark, d))).withColumnRenamed("current_weight", "weight")
+    beta = T.capm(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
+    h = held.join(beta, ["ticker", "date"], "left").join(S.sectors(spark, d).select("ticker", "sector"), "ticker", "left")
+    return b, h.fillna({"beta": 1.0, "sector": "Unknown"})
+
+
+GREEDY = f"""{SCORED}, {CAPM[len(MARKET):].lstrip(", ")}, {SECTORS}, {TW},
+av AS (SELECT ticker, date, close AS px, {roll('avg', 'volume', 20, 1)} AS adv FROM prices),
+bk AS (SELECT tw.ticker, tw.date, tw.score, tw.target_weight, coalesce(capm_beta, 1.0) AS beta, coalesce(sector, 'Unknown') AS sector, adv, px,
+  row_number() OVER (PARTITION BY tw.date ORDER BY tw.score DESC, tw.ticker) AS rn FROM tw LEFT JOIN c3 ON c3.ticker = tw.ticker AND c3.date = tw.date
+  LEFT JOIN av ON av.ticker = tw.ticker AND av.date = tw.date LEFT JOIN sectors ON sectors.ticker = tw.ticker),
+cd AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM prices)),
+hd AS (SELECT tw.ticker, b.date, tw.target_weight AS w, coalesce(capm_beta, 1.0) AS beta, coalesce(sector, 'Unknown') AS sector FROM tw JOIN cd a ON a.date = tw.date JOIN cd b ON b.i = a.i + 1
+  LEFT JOIN c3 ON c3.ticker = tw.ticker AND c3.date = b.date LEFT JOIN sectors ON sectors.ticker = tw.ticker)"""
+
+
+@query("greedy_limits_on_holdings", "G13", K + "score:f reason:s weight:f round:i", f"""
+WITH RECURSIVE {GREEDY},
+ou AS (SELECT date, sector, sum(abs(w)) AS u FROM hd GROUP BY date, sector), ol AS (SELECT date, list({{'s': sector, 'u': u}}) AS used FROM ou GROUP BY date),
+ob AS (SELECT date, sum(w*beta) AS b0 FROM hd GROUP BY date), bd AS (SELECT DISTINCT date FROM bk),
+st AS (SELECT bd.date, coalesce(b0, 0.0) AS b0, coalesce(used, []) AS used FROM bd LEFT JOIN ob USING (date) LEFT JOIN ol USING (date)),
+cn AS (SELECT bk.*, sign(score)*0.1 - coalesce(hd.w, 0) AS delta FROM bk LEFT JOIN hd ON hd.ticker = bk.ticker AND hd.date = bk.date),
+wk AS (SELECT date, CAST(0 AS BIGINT) AS rn, b0 AS b, used AS u, 0 AS kept, '' AS reason FROM st
+  UNION ALL SELECT date, rn, CASE WHEN reason = 'kept' THEN nb ELSE b END, CASE WHEN reason = 'kept' THEN list_filter(u, lambda x: x.s <> sector) || [{{'s': sector, 'u': nu}}] ELSE u END, kept + (reason = 'kept')::INT, reason
+  FROM (SELECT *, CASE WHEN score = 0 THEN 'no_side' WHEN kept >= 10 THEN 'slots_full' WHEN nb > 0.5 THEN 'max_beta' WHEN nu > 0.33 THEN 'max_sector_exposure' WHEN 0.1*1e6/px > 60.0*adv THEN 'liquidity_adv' ELSE 'kept' END AS reason
+    FROM (SELECT w.date, c.rn, w.b, w.u, w.kept, c.sector, c.score, c.px, c.adv, w.b + c.delta*c.beta AS nb,
+      coalesce(list_sum(list_transform(list_filter(w.u, lambda x: x.s = c.sector), lambda x: x.u)), 0) + abs(c.delta) AS nu FROM wk w JOIN cn c ON c.date = w.date AND c.rn = w.rn + 1))),
+fx AS (SELECT date, 0 AS turn, list({{'r': rn, 'm': 60.0*adv*px/1e6}}) AS k FROM wk JOIN cn USING (date, rn) WHERE reason = 'kept' GROUP BY date
+  UNION ALL SELECT date, turn + 1, n FROM (SELECT date, turn, k, list_filter(k, lambda x: least(1.0/len(k), 0.12) <= x.m) AS n FROM fx WHERE len(k) > 0) WHERE len(n) < len(k)),
+dr AS (SELECT date, turn, unnest(list_transform(k, lambda x: x.r)) AS rn FROM fx), lt AS (SELECT date, rn, max(turn) AS turn FROM dr GROUP BY date, rn), ends AS (SELECT date, max(turn) AS turn, arg_max(len(k), turn) AS n FROM fx GROUP BY date)
+SELECT c.ticker, c.date, c.score, CASE WHEN wk.reason = 'kept' AND lt.turn < ends.turn THEN 'liquidity_adv_sizing' ELSE wk.reason END AS reason,
+  CASE WHEN wk.reason = 'kept' AND lt.turn = ends.turn THEN sign(c.score)*least(1.0/ends.n, 0.12) ELSE 0.0 END AS weight,
+  CASE WHEN wk.reason = 'kept' AND lt.turn < ends.turn THEN lt.turn + 1 ELSE 0 END AS round
+FROM cn c JOIN wk ON wk.date = c.date AND wk.rn = c.rn LEFT JOIN lt ON lt.date = c.date AND lt.rn = c.rn LEFT JOIN ends ON ends.date = c.date""")
+def greedy_limits_on_holdings(spark, d):
+    b, held = opening_book(spark, d)
+    return G.limits_on_holdings(b, held, **ON)
+
+
+@query("greedy_limits_carried", "G13", K + "score:f reason:s weight:f round:i")
+def greedy_limits_carried(spark, d):
+    return G.limits_carried(book_with_limits(spark, d).withColumn("account", F.lit(1)), **ON)
+
+
 @query("single_name_and_adv_limits", "G13", K + "target_weight:f over_single:b over_adv:b", f"""
 WITH {SCORED}, {TW}, av AS (SELECT ticker, date, {roll('avg', 'volume', 20, 1)} AS adv FROM prices)
 SELECT tw.ticker, tw.date, target_weight, abs(target_weight) > 0.08 AS over_single, abs(target_weight)*1e6/close > 40*adv AS over_adv FROM tw JOIN av ON tw.ticker = av.ticker AND tw.date = av.date""")
