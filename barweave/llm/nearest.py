@@ -1,42 +1,48 @@
 """Nearest neighbours by stable projections and kd-trees with a chi-square stop.
 
 Vectors are projected on ``m`` Gaussian directions: the squared projected distance
-of two vectors over their squared distance follows chi-square with ``m`` degrees.
+of two vectors over their squared distance follows chi-square with ``m`` degrees.  The
+directions are made orthogonal where the vectors are long enough, which keeps the mean and
+narrows the spread, so the test errs on the safe side.
 A kd-tree over projections of a bounded sample cuts the projected space into
-cells; every vector is dealt to its cell, and cells with many rows to several
-blocks.  A query first looks into one block of its own cell, which bounds the
-distance of its k-th neighbour; then it visits just the blocks whose cell can
-hold projections within the radius at which the stopping test holds for that
-bound.  In a block a kd-tree yields leaves by projected distance, and their rows
-are verified on the original vectors until the test holds for the k-th distance
-found so far.
+cells, and every vector is written once, dealt and sorted by its cell.  Queries go to all
+tasks in chunks of bounded size; rows stay where they are.  A first search over
+the sample bounds each query's k-th distance.  Then every block of rows is put into a
+kd-tree of its own: leaves beyond the radius at which the stopping test holds are
+not opened, and the rows of the others are verified on the original vectors in
+the order of their own projected distances, until the next one's passes the test for the
+k-th distance found so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, lgamma, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.base import query, stored, table
+from barweave.llm.base import ordered, query, stored, table
+from barweave.session import run_dir
 
 K = 10
 #: Projected dimensions.
-DIMENSIONS = 8
-#: Probability with which a true neighbour is met before the search stops.
-CONFIDENCE = 0.99
-#: Rows of the sample on which the cells are fitted (all rows are then indexed).
+DIMENSIONS = 32
+#: Probability with which a true neighbour is met before the search stops, for independent directions.
+CONFIDENCE = 0.85
+#: Rows of the sample on which the cells are fitted and first distances found (all rows are then indexed).
 SAMPLE = 20_000
-#: Rows that a block should hold, and queries that meet it at once.
+#: Rows of a block, and queries that are sent to all tasks at once.
 BLOCK_ROWS = 8_000
-BLOCK_QUERIES = 2_000
-#: Most cells; cells with more rows than a block become several blocks.
+CHUNK = 20_000
+#: Most cells, and rows that a cell should hold at least.
 CELLS = 1024
 LEAF = 64
+#: Rows that are verified before the test is made again.
+STEP = 32
 SEED = 7
 #: Equal vectors may get projections that differ in the last bits.
 SLACK = 1e-12
@@ -94,27 +100,51 @@ class Tree:
         return np.einsum("ij,ij->i", gap, gap)
 
 
-def search_block(ids, vectors, projected, queries, k: int, stop: float, leaf: int = LEAF):
-    """Per query (id, vector, projection, bound on the squared k-th distance): ids and squared distances of the
-    k nearest rows of a block, ties to the smaller id, found in order of projected distance until the test holds."""
-    tree = Tree.build(projected, leaf)
-    for qid, q, p, bound in queries:
-        near = tree.distances(p) - SLACK * (p @ p)
-        best_d, best_i, kth = np.empty(0), np.empty(0, dtype=np.int64), bound
-        for at in np.argsort(near, kind="stable"):
-            if near[at] > stop * kth:
-                break
-            rows = tree.rows[at]
-            diff = vectors[rows] - q
-            d = np.einsum("ij,ij->i", diff, diff)
-            mine = (d <= kth) & (ids[rows] != qid)
-            if mine.any():
-                d, i = np.concatenate([best_d, d[mine]]), np.concatenate([best_i, ids[rows][mine]])
-                first = np.lexsort((i, d))[:k]
-                best_d, best_i = d[first], i[first]
-                if len(first) == k:
-                    kth = min(kth, best_d[-1])
-        yield qid, best_i, best_d
+def projections(length: int, m: int) -> np.ndarray:
+    """``m`` Gaussian directions, orthogonal and of the same mean square where ``m`` is at most ``length``."""
+    g = np.random.default_rng(SEED).standard_normal((length, m))
+    return np.linalg.qr(g)[0] * np.sqrt(length) if m <= length else g
+
+
+class Search:
+    """The ``k`` best rows found so far for each of some queries, and how many were verified."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, bounds: np.ndarray, k: int, stop: float):
+        self.ids, self.vectors, self.projected, self.kth, self.k, self.stop = ids, vectors, projected, bounds.copy(), k, stop
+        self.best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in ids]
+        self.verified = np.zeros(len(ids), dtype=np.int64)
+
+    def block(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, leaf: int = LEAF) -> None:
+        """Looks through a block of rows for all queries."""
+        tree = Tree.build(projected, leaf)
+        norms = np.einsum("ij,ij->i", projected, projected)
+        for q, (p, v) in enumerate(zip(self.projected, self.vectors)):
+            size = p @ p
+            reach = self.stop * self.kth[q] + SLACK * size
+            rows = np.concatenate([tree.rows[i] for i in np.nonzero(tree.distances(p) <= reach)[0]] or [np.empty(0, dtype=np.int64)])
+            if not len(rows):
+                continue
+            apart = norms[rows] + size - 2 * (projected[rows] @ p)
+            within = apart <= reach
+            rows, apart = rows[within], apart[within]
+            order = np.argsort(apart, kind="stable")
+            for s in range(0, len(order), STEP):
+                now = order[s : s + STEP]
+                if apart[now[0]] > self.stop * self.kth[q] + SLACK * size:
+                    break
+                self.verify(q, v, ids[rows[now]], vectors[rows[now]])
+
+    def verify(self, q: int, v: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        diff = vectors - v
+        d = np.einsum("ij,ij->i", diff, diff)
+        self.verified[q] += len(d)
+        mine = (d <= self.kth[q]) & (ids != self.ids[q])
+        if mine.any():
+            d, i = np.concatenate([self.best[q][0], d[mine]]), np.concatenate([self.best[q][1], ids[mine]])
+            first = np.lexsort((i, d))[: self.k]
+            self.best[q] = d[first], i[first]
+            if len(first) == self.k:
+                self.kth[q] = min(self.kth[q], d[first[-1]])
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -131,42 +161,57 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == F.lit(best or 0))
 
 
-def nearest(
-    embeddings: DataFrame,
-    is_query,
-    k: int = K,
-    dimensions: int = DIMENSIONS,
-    confidence: float = CONFIDENCE,
-    sample: int = SAMPLE,
-    block_rows: int = BLOCK_ROWS,
-    block_queries: int = BLOCK_QUERIES,
-    cells: int = CELLS,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows of each query by Euclidean distance.
+FOUND = "query_id long, vec_id long, d2 double, verified long"
 
-    ``embeddings`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
-    Rows ``usable`` leaves out take no part.  Candidates are all rows with another
-    vec_id; a vec_id that repeats is one query (its smallest vector) and one candidate
-    per row.  Ties go to the smaller vec_id; fewer than ``k`` candidates give fewer
-    rows, an empty table none.  Every row is indexed; only the cells are fitted on a
-    sample (the rows with the smallest hashes of their ids).
+
+def scan(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray, directions: np.ndarray, k: int, stop: float, block_rows: int) -> DataFrame:
+    """(query_id, vec_id, d2, verified): each task's ``k`` best ``rows`` (vec_id, embedding) of every query.
+
+    ``bounds`` are squared distances that the k-th cannot exceed.  A query's first row in a task
+    tells how many rows the task verified for it; it has no vec_id where none was found.
     """
-    out = "query_id long, rank int, vec_id long, score double"
-    rows = usable(embeddings)
-    picked = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    fitted = np.array([r[0] for r in picked.select("embedding").collect()])  # bounded by ``sample``
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(ids, vectors, vectors @ directions, bounds, k, stop)
+        for b in batches:
+            for at in range(0, b.num_rows, block_rows):
+                part = b.slice(at, block_rows)
+                x = np.array(part.column("embedding").flatten()).reshape(part.num_rows, -1)
+                search.block(part.column("vec_id").to_numpy(), x, x @ directions)
+        out = [(int(q), int(i), float(d), int(n) if r == 0 else 0) for q, (ds, near), n in zip(ids, search.best, search.verified) for r, (d, i) in enumerate(zip(ds, near))]
+        out += [(int(q), None, None, int(n)) for q, (ds, _), n in zip(ids, search.best, search.verified) if n and not len(ds)]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(4)], names=["query_id", "vec_id", "d2", "verified"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(work, FOUND)
+
+
+def search(
+    embeddings: DataFrame, is_query, k: int = K, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, sample: int = SAMPLE,
+    block_rows: int = BLOCK_ROWS, chunk: int = CHUNK, cells: int = CELLS,
+) -> DataFrame | None:
+    """All that the tasks of ``nearest`` found (``FOUND``); None where no row takes part."""
+    spark, rows = embeddings.sparkSession, usable(embeddings)
+    hashed = rows.select("vec_id", "embedding", F.xxhash64("vec_id").alias("_h"))
+    # the hash that follows the sample's: rows under it are the sample, the others are searched after it
+    following = hashed.select("_h").orderBy("_h").limit(sample + 1).agg(F.max("_h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    inside = F.lit(following["n"] <= sample) | (F.col("_h") < F.lit(following["h"]))
+    picked = stored(hashed.where(inside).drop("_h"), "ann-sample")
+    fitted = np.array([r[0] for r in picked.select("embedding").limit(sample).collect()])
+    if not len(fitted):
+        # no row, or one vec_id with more rows than the sample may hold
+        fitted = np.array([r[0] for r in rows.select("embedding").limit(sample).collect()])
     if not len(fitted):
-        return embeddings.sparkSession.createDataFrame([], out)
-    directions = np.random.default_rng(SEED).standard_normal((fitted.shape[1], dimensions))
-    total = rows.count()
-    n_cells = max(1, min(cells, -(-total // block_rows)))
+        return None
+    directions = projections(fitted.shape[1], dimensions)
+    n_cells = max(1, min(cells, -(-rows.count() // block_rows)))
     grid = Tree.build(fitted @ directions, max(1, -(-len(fitted) // n_cells)))
     stop = chi_square_quantile(confidence, dimensions)
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, half = (grid.low + grid.high) / 2, (grid.high - grid.low) / 2
         for b in batches:
-            p = np.array(b["embedding"].tolist()) @ directions
+            p = np.array(b.column("embedding").flatten()).reshape(b.num_rows, -1) @ directions
             # the cell whose box is nearest; between boxes that hold the point, the one with the nearer centre
             cell = np.empty(len(p), dtype=np.int32)
             for i in range(0, len(p), 1000):
@@ -175,69 +220,51 @@ def nearest(
                     off = np.abs(p[i : i + 1000, d, None] - centre[None, :, d])
                     gap += np.maximum(off - half[None, :, d], 0.0) ** 2 + 1e-9 * off**2
                 cell[i : i + 1000] = gap.argmin(axis=1)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "cell": cell, "p": list(p)})
-
-    placed = stored(rows.mapInPandas(place, "vec_id long, embedding array<double>, cell int, p array<double>"), "ann-rows")
-    # boxes around all rows of each cell, not only the sampled ones
-    edges = [f(F.col("p")[d]).alias(f"{n}{d}") for d in range(dimensions) for n, f in (("low", F.min), ("high", F.max))]
-    found = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges).orderBy("cell").collect()  # at most ``cells`` rows
-    low = np.array([[r[f"low{d}"] for d in range(dimensions)] for r in found])
-    high = np.array([[r[f"high{d}"] for d in range(dimensions)] for r in found])
-    names = [r["cell"] for r in found]
-    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in found}
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)]), F.col("cell"))
-    blocked = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
-    queries = stored(
-        placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "cell", "p")).alias("q")).select("vec_id", "q.*"), "ann-queries"
-    )
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(cell)], names=["vec_id", "embedding", "cell"])
+
+    placed = hashed.where(~inside).drop("_h").mapInArrow(place, "vec_id long, embedding array<double>, cell int")
+    # neighbouring rows lie in one block; the hash cuts cells of any size into ranges
+    order = ["cell", F.xxhash64("vec_id")]
+    placed = stored(placed.repartitionByRange(*order).sortWithinPartitions(*order), "ann-rows")
+    one_each = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = stored(ordered(one_each, "vec_id", label="ann-order"), "ann-queries")
+    size, folder = "spark.sql.execution.arrow.maxRecordsPerBatch", run_dir(spark, "ann-found")
+    for n in range(-(-queries.count() // chunk)):
+        taken = queries.where((F.col("_row") >= n * chunk) & (F.col("_row") < (n + 1) * chunk)).orderBy("vec_id").toArrow()  # ``chunk`` rows at most
+        ids = np.asarray(taken.column("vec_id"))
+        vectors = np.array(taken.column("embedding").to_pylist())
+        first = stored(scan(picked, ids, vectors, np.full(len(ids), np.inf), directions, k, stop, block_rows), "ann-first")
+        # the k-th distance in the sample bounds the true one; fewer than k rows there bound nothing
+        best = first.where("vec_id is not null").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))).where(F.col("_r") == k)
+        known = {r["query_id"]: r["d2"] for r in best.select("query_id", "d2").collect()}
+        bounds = np.array([known.get(int(i), np.inf) for i in ids])
+        before = spark.conf.get(size)
+        spark.conf.set(size, str(block_rows))
+        try:
+            scan(placed, ids, vectors, bounds, directions, k, stop, block_rows).write.parquet(f"{folder}/chunk={n}")
+        finally:
+            spark.conf.set(size, before)
+        first.write.mode("append").parquet(f"{folder}/chunk={n}")
+    return spark.read.schema(FOUND).parquet(f"{folder}/chunk=*") if not queries.isEmpty() else None
+
+
+def nearest(embeddings: DataFrame, is_query, k: int = K, **how) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows of each query by Euclidean distance.
 
-    def meet(visits: DataFrame) -> DataFrame:
-        """Best rows of each query in each block that it visits; visits: vec_id, embedding, p, bound, cell, block."""
-        # queries of one block meet it in chunks of bounded size; the rows come once per chunk
-        counts = visits.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("_chunks"))
-        chunks = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk")
-        left = blocked.select("vec_id", "embedding", "p", "cell", "block").join(counts, ["cell", "block"]).select("cell", "block", "vec_id", "embedding", "p", chunks)
-        chunk = F.pmod(F.xxhash64("vec_id"), F.col("_parts")).cast("int").alias("chunk")
-        parts = counts.select(F.col("cell").alias("cell"), F.col("block").alias("block"), F.col("_chunks").alias("_parts"))
-        right = visits.join(parts, ["cell", "block"]).select(F.col("cell").alias("cell"), F.col("block").alias("block"), "vec_id", "embedding", "p", "bound", chunk)
-
-        def work(key, rows, asked):
-            if not len(asked) or not len(rows):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "d2": []})
-            vectors, p = np.array(rows["embedding"].tolist()), np.array(rows["p"].tolist())
-            each = zip(asked["vec_id"], np.array(asked["embedding"].tolist()), np.array(asked["p"].tolist()), asked["bound"], strict=True)
-            hits = list(search_block(rows["vec_id"].to_numpy(), vectors, p, each, k, stop))
-            return pd.DataFrame({"query_id": np.repeat([h[0] for h in hits], [len(h[1]) for h in hits]), "vec_id": np.concatenate([h[1] for h in hits]), "d2": np.concatenate([h[2] for h in hits])})
-
-        keys = ["cell", "block", "chunk"]
-        left, right = left.alias("l"), right.alias("r")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, "query_id long, vec_id long, d2 double")
-
-    home = queries.select("vec_id", "embedding", "p", F.lit(float("inf")).alias("bound"), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
-    first = stored(meet(home), "ann-home")
-    # the k-th distance at home bounds the true one; fewer than k rows there bound nothing
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_kth")).where(F.col("_n") >= k).select(F.col("query_id").alias("vec_id"), "_kth")
-    bounded = queries.drop("cell").join(kth, "vec_id", "left").withColumn("bound", F.coalesce("_kth", F.lit(float("inf")))).drop("_kth")
-
-    def visit(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            p, bound = np.array(b["p"].tolist()), b["bound"].to_numpy()
-            gap = np.zeros((len(p), len(names)))
-            for d in range(p.shape[1]):
-                gap += np.maximum(np.maximum(low[None, :, d] - p[:, d, None], p[:, d, None] - high[None, :, d]), 0.0) ** 2
-            q, c = np.nonzero(gap - SLACK * (p * p).sum(axis=1)[:, None] <= stop * bound[:, None])
-            n = np.array([blocks[names[x]] for x in c], dtype=np.int64)
-            at = np.repeat(np.arange(len(q)), n)
-            part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            take = b.iloc[q[at]]
-            yield pd.DataFrame({"vec_id": take["vec_id"].to_numpy(), "embedding": take["embedding"].to_numpy(), "p": take["p"].to_numpy(), "bound": take["bound"].to_numpy(), "cell": np.array(names)[c[at]], "block": part})
-
-    visits = stored(bounded.mapInPandas(visit, "vec_id long, embedding array<double>, p array<double>, bound double, cell int, block int"), "ann-visits")
-    hits = meet(visits)
-    # at most k rows per block and query; Spark prunes a query's rows to k in each task before they are shuffled
-    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
+    ``embeddings`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
+    Rows ``usable`` leaves out take no part.  Candidates are all rows with another
+    vec_id; a vec_id that repeats is one query (its smallest vector) and one candidate
+    per row.  Ties go to the smaller vec_id; fewer than ``k`` candidates give fewer
+    rows, an empty table none.  Every row is indexed; only the cells and the first distances
+    come from a sample (the rows with the smallest hashes of their ids).  Other columns are
+    ignored whatever their names; ``how`` holds the parameters of ``search``.
+    """
+    found = search(embeddings, is_query, k, **how)
+    if found is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # at most k rows per query and task; Spark prunes a query's rows to k in each task before they are shuffled
+    order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
+    best = found.where("vec_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", F.sqrt("d2").alias("score"))
 
 

@@ -34,6 +34,7 @@ def test_recall_of_the_registered_query(spark):
     want = brute(ids, vectors, [i for i in ids if i % 100 == 0], 10)
     got = found(A.op10_nearest_vectors(spark, sf))
     assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    print(f"recall: {recall(got, want):.3f}")
     assert recall(got, want) >= 0.95
     at = {i: v for i, v in zip(ids, vectors)}
     for q, near in got.items():
@@ -41,13 +42,22 @@ def test_recall_of_the_registered_query(spark):
         assert near == sorted(near, key=lambda x: (x[1], x[0]))
 
 
+def test_the_stop_spares_most_rows(spark):
+    """Over all queries of the given table, at most a third of the rows is verified, both searches counted."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    per_query = A.search(rows, F.col("vec_id") % 100 == 0).groupBy("query_id").agg(F.sum("verified").alias("n")).toPandas()
+    share = per_query["n"].mean() / rows.count()
+    print(f"share of rows verified: {share:.3f}")
+    assert len(per_query) == 20 and 0 < share < 1 / 3
+
+
 def test_blocks_chunks_and_cells(spark):
     rng = np.random.default_rng(5)
     vectors = np.concatenate([rng.standard_normal((600, 16)) + 4 * c for c in range(3)])
     vectors[200:700] = vectors[0]  # one vector very often
     ids = list(range(len(vectors)))
     d = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], SCHEMA)
-    got = found(A.nearest(d, F.col("vec_id") % 20 == 0, sample=150, block_rows=90, block_queries=9))
+    got = found(A.nearest(d, F.col("vec_id") % 20 == 0, sample=150, block_rows=90, chunk=17))
     want = brute(ids, vectors, ids[::20], 10)
     assert recall(got, want) >= 0.97
     assert got[0] == [(i, 0.0) for i in range(200, 210)] and [i for i, _ in got[220]] == [0, *range(200, 209)]
