@@ -11,6 +11,7 @@ from barweave.functions import windows as W
 from barweave.functions.mathx import Z
 from barweave.operators.cross_section import normal_equations, solve_normal
 from barweave.operators.metrics import ROOT, equity_returns
+from barweave.session import cut_lineage
 
 # Date series (equity, market) hold one row per calendar date; exact percentiles of
 # them are calendar-bounded.
@@ -223,24 +224,78 @@ def confidence_intervals(metrics: DataFrame, cols=("sharpe", "sortino", "calmar"
     return metrics.agg(*cells).select(F.explode(F.array(*cols)).alias("s")).select("s.*")
 
 
-def trade_outcomes(trades: DataFrame, reps: int = 200, seed: int = 5) -> DataFrame:
-    """Bootstrap of the trade log: compounded return and Sharpe per repetition.
+#: Distinct returns of a block, and blocks of a block of blocks.
+FAN = 2048
+
+
+def split_total(k: int, weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """How ``k`` draws with replacement fall on ``weights``: an exact multinomial.
+
+    A binary tree over the weights is walked from the top; each node gives its left half a binomial
+    share of what it got, with the left half's part of its weight, and the right half the rest.
+    """
+    levels = [np.asarray(weights, dtype=np.float64)]
+    while len(levels[-1]) > 1:
+        w = levels[-1]
+        w = np.append(w, 0.0) if len(w) % 2 else w
+        levels[-1] = w
+        levels.append(w[::2] + w[1::2])
+    counts = np.array([k], dtype=np.int64)
+    for total, below in zip(levels[:0:-1], levels[-2::-1]):
+        part = np.divide(below[::2], total[: len(below) // 2], out=np.zeros(len(below) // 2), where=total[: len(below) // 2] > 0)
+        left = rng.binomial(counts[: len(below) // 2], np.minimum(part, 1.0))
+        counts = np.column_stack([left, counts[: len(below) // 2] - left]).ravel()
+    return counts[: len(weights)]
+
+
+def trade_outcomes(trades: DataFrame, reps: int = 200, seed: int = 5, fan: int = FAN) -> DataFrame:
+    """Bootstrap of the trade log: log of the compounded return and Sharpe per repetition.
 
     Trades with one return are exchangeable, so the log collapses to counts per
-    distinct return (map-side) and a repetition draws how often each occurs: a
-    Poisson count with that mean, the usual large-sample form of resampling with
-    replacement.  Seeds come from the row's own keys, so a retry repeats them.
+    distinct return (map-side), and a repetition of as many draws as there are trades is a
+    multinomial over them.  It is drawn from the top: the total is split over blocks of blocks,
+    each part over blocks, each of those over returns (``split_total``), every split with its own
+    seed from repetition and place, so a retry repeats it.  Only sums leave a block.
     """
-    counts = trades.where("ret is not null").groupBy("ret").agg(F.count(F.lit(1)).alias("c"))
-    d = counts.select("ret", "c", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    counts = cut_lineage(trades.where("ret is not null").groupBy("ret").agg(F.count(F.lit(1)).alias("c")))
+    n_blocks = max(1, -(-counts.count() // fan))
+    block = F.pmod(F.xxhash64("ret"), F.lit(n_blocks))
+    blocks = cut_lineage(counts.groupBy(block.alias("block")).agg(F.sum("c").alias("w"), F.array_sort(F.collect_list(F.struct("ret", "c"))).alias("cells")))
+    tops = blocks.groupBy(F.floor(F.col("block") / fan).alias("top")).agg(F.sum("w").alias("w"), F.array_sort(F.collect_list(F.struct(F.col("block").alias("id"), "w"))).alias("cells"))
+    root = tops.agg(F.sum("w").alias("k"), F.array_sort(F.collect_list(F.struct(F.col("top").alias("id"), "w"))).alias("cells"))
+    generator = lambda key: np.random.Generator(np.random.Philox(int(key) & 0xFFFFFFFFFFFFFFFF))
+
+    @F.pandas_udf("array<struct<id:long,k:long>>")
+    def share(key: pd.Series, k: pd.Series, cells: pd.Series) -> pd.Series:
+        out = []
+        for q, n, c in zip(key, k, cells):
+            got = split_total(n, np.array([x["w"] for x in c], dtype=float), generator(q))
+            out.append([{"id": int(x["id"]), "k": int(g)} for x, g in zip(c, got) if g])
+        return pd.Series(out)
 
-    @F.pandas_udf("long")
-    def draw(key: pd.Series, mean: pd.Series) -> pd.Series:
-        return pd.Series([np.random.Generator(np.random.Philox(k & 0xFFFFFFFFFFFFFFFF)).poisson(m) for k, m in zip(key.tolist(), mean.tolist())])
+    @F.pandas_udf("array<struct<rep:long,n:long,lg:double,s1:double,s2:double>>")
+    def tally(place: pd.Series, drawn: pd.Series, cells: pd.Series) -> pd.Series:
+        out = []
+        for b, ds, c in zip(place, drawn, cells):
+            r, w = np.array([x["ret"] for x in c]), np.array([x["c"] for x in c], dtype=float)
+            with np.errstate(divide="ignore"):
+                lg = np.log1p(r)
+            parts = []
+            for d in ds:
+                k = split_total(d["k"], w, generator(d["key"]))
+                hit = k > 0
+                parts.append({"rep": d["rep"], "n": int(k.sum()), "lg": float(k[hit] @ lg[hit]), "s1": float(k @ r), "s2": float(k @ (r * r))})
+            out.append(parts)
+        return pd.Series(out)
 
-    d = d.withColumn("k", draw(F.xxhash64(F.lit(seed), "rep", "ret"), "c")).where("k > 0")
-    r, k = F.col("ret"), F.col("k")
-    g = d.groupBy("rep").agg(F.sum(k).alias("n"), F.sum(k * F.log1p(r)).alias("lg"), F.sum(k * r).alias("s1"), F.sum(k * r * r).alias("s2"))
+    key = lambda level, place: F.xxhash64(F.lit(seed), F.lit(level), "rep", place)
+    spread = trades.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(root)).where("k is not null")  # one row
+    spread = spread.select("rep", F.explode(share(key(0, F.lit(0)), "k", "cells")).alias("s")).select("rep", F.col("s.id").alias("top"), "s.k")
+    spread = spread.join(tops.select("top", "cells"), "top").select("rep", F.explode(share(key(1, F.col("top")), "k", "cells")).alias("s")).select("rep", F.col("s.id").alias("block"), "s.k")
+    # a block meets all its repetitions at once
+    asked = spread.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("rep", "k", key(2, F.col("block")).alias("key")))).alias("drawn"))
+    parts = blocks.join(asked, "block").select(F.explode(tally("block", "drawn", "cells")).alias("s")).select("s.*")
+    g = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "lg", "s1", "s2")])
     mean = F.col("s1") / F.col("n")
     sd = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
     return g.select("rep", "n", "lg", F.when(sd > 1e-12, mean / F.nullif(sd, F.lit(0.0)) * ROOT).otherwise(0.0).alias("sharpe"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barweave.functions import windows as W
 from barweave.operators import joins
@@ -48,6 +49,22 @@ def merge_history(spark, d):
     return B.merge_history(old, new)
 
 
+@query("upsert_history", "A3", OHLCV + " src:i", """
+WITH l AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, round(100*(1 - l_discount + l_tax), 2) AS p, l_quantity AS q,
+  row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k,
+  CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS src FROM lineitem),
+b AS (SELECT ticker, date, src, arg_min(p,k) AS open, max(p) AS high, min(p) AS low, arg_max(p,k) AS close, sum(q) AS volume
+  FROM l GROUP BY ticker, date, src)
+SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY src DESC) = 1""")
+def upsert_history(spark, d):
+    """The same extension as ``merge_history``, kept as a table by year; loads touch only their years."""
+    prints, path = S.lines(spark, d), run_dir(spark, "history")
+    for src, status in ((0, "F"), (1, "O"), (1, "O")):
+        new = S.bars_from_prints(prints.where(f"l_linestatus = '{status}'")).withColumns({"src": F.lit(src), "year": F.year("date")})
+        files.upsert(new, path, ["ticker", "date", "year"], ["src"], "year")
+    return spark.read.parquet(path)
+
+
 @query("csv_table_scan", "A4", "ticker:i sector:s", f"""
 WITH {SECTORS} SELECT ticker, upper(trim(sector)) AS sector FROM sectors""")
 def csv_table_scan(spark, d):
@@ -80,6 +97,19 @@ def append_dedupe(spark, d):
     return B.append_dedupe(history, batch, ["ticker", "date"])
 
 
+@query("append_dedupe_sink", "A6", "ticker:i date:d score:f load_seq:i", """
+SELECT user_id AS ticker, CAST(ts AS DATE) AS date, value AS score, event_id AS load_seq FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) = 1""")
+def append_dedupe_sink(spark, d):
+    """Four loads, appended one after the other to a table by date; the last load of a key stays."""
+    t = S.ticks(spark, d).select("ticker", F.to_date("ts").alias("date"), "score", F.col("event_id").alias("load_seq"), "side")
+    path = run_dir(spark, "signals")
+    for side in ("purchase", "click", "error", "view"):
+        files.upsert(t.where(F.col("side") == side).drop("side"), path, ["ticker", "date"], ["load_seq"], "date")
+    files.upsert(t.where(~F.col("side").isin("purchase", "click", "error", "view") | F.col("side").isNull()).drop("side"), path, ["ticker", "date"], ["load_seq"], "date")
+    return spark.read.parquet(path)
+
+
 @query("signal_payload_explode", "A7", "date:d ticker:i side:s score:f", """
 SELECT CAST(ts AS DATE) AS date, user_id AS ticker, arg_max(event_type, event_id) AS side, arg_max(value, event_id) AS score
 FROM events GROUP BY CAST(ts AS DATE), user_id""")
@@ -104,6 +134,20 @@ def jsonl_log_scan(spark, d):
     return files.latest_entries(log, "ticker", "ts")
 
 
+@query("jsonl_log_quarantine", "A8", "ticker:i entries:i damaged:i qty:f", """
+WITH g AS (SELECT user_id AS ticker, event_id % 7 = 0 AS bad, value FROM events)
+SELECT ticker, count(*) FILTER (NOT bad) AS entries, count(*) FILTER (bad) AS damaged, sum(value) FILTER (NOT bad) AS qty FROM g GROUP BY ticker""")
+def jsonl_log_quarantine(spark, d):
+    """A log in which each seventh line was cut off: good entries, and the damaged lines by the ticker they still name."""
+    path = run_dir(spark, "jsonl")
+    line = F.to_json(F.struct("ticker", "event_id", "score"))
+    cut = F.when(F.col("event_id") % 7 == 0, F.expr("substring(_l, 1, length(_l) - 3)")).otherwise(F.col("_l"))
+    S.ticks(spark, d).select("event_id", line.alias("_l")).select(cut.alias("value")).write.text(path)
+    good, broken = files.read_log(spark, path, T.StructType([T.StructField("ticker", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+    named = broken.select(F.regexp_extract("line", r'"ticker":(\d+)', 1).try_cast("long").alias("ticker")).groupBy("ticker").agg(F.count(F.lit(1)).alias("damaged"))
+    return good.groupBy("ticker").agg(F.count(F.lit(1)).alias("entries"), F.sum("score").alias("qty")).join(named, "ticker", "full").fillna(0, subset=["entries", "damaged"])
+
+
 @query("coverage_freshness", "A9", "last_bar:d required:d fresh:b days_behind:i n_bars:i", f"""
 WITH {PRICES} SELECT max(date) AS last_bar, DATE '2002-01-04' AS required, max(date) >= DATE '2002-01-04' AS fresh,
  greatest(DATE '2002-01-04' - max(date), 0) AS days_behind, count(*) AS n_bars FROM prices""")

@@ -82,6 +82,20 @@ def stream_fill_match(spark, d):
     return Q.match_fills(side("click"), side("purchase"))
 
 
+@query("stream_order_status", "Q8", "order_id:i ticker:i signal_price:f fill_id:i fill_price:f fills:i status:s", """
+WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events),
+w AS (SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 1 HOUR AS mark FROM events),
+m AS (SELECT o.event_id AS order_id, any_value(o.user_id) AS ticker, any_value(o.value) AS signal_price, any_value(o.ts) AS ts, arg_min(f.event_id, (f.ts, f.event_id)) AS fill_id, arg_min(f.value, (f.ts, f.event_id)) AS fill_price, count(f.event_id) AS fills
+  FROM e o LEFT JOIN e f ON o.user_id = f.user_id AND o.k = f.k AND f.event_type = 'purchase' AND f.ts >= o.ts AND f.ts <= o.ts + INTERVAL 3 DAY WHERE o.event_type = 'click' GROUP BY o.event_id)
+SELECT order_id, ticker, signal_price, fill_id, fill_price, fills, CASE WHEN fills > 0 THEN 'filled' WHEN ts + INTERVAL 3 DAY < mark THEN 'expired' ELSE 'pending' END AS status FROM m, w""")
+def stream_order_status(spark, d):
+    def side(kind):
+        t = ticks(spark, d).withColumn("order_key", F.get_json_object("props", "$.k"))
+        return t.where(F.col("side") == kind)
+
+    return Q.order_status(side("click"), side("purchase"))
+
+
 @query("stream_kill_switch", "Q9", "ticker:i hour_us:i equity:f peak:f drawdown:f halted:i", """
 WITH h AS (SELECT user_id AS ticker, date_trunc('hour', ts) AS hour, sum(CASE event_type WHEN 'purchase' THEN value WHEN 'error' THEN -value ELSE 0 END) AS pnl FROM events GROUP BY 1, 2),
 e AS (SELECT *, round(1000 + sum(pnl) OVER (PARTITION BY ticker ORDER BY hour), 6) AS equity FROM h), p AS (SELECT *, greatest(1000, max(equity) OVER (PARTITION BY ticker ORDER BY hour)) AS peak FROM e),

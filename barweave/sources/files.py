@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barweave.session import written
+from barweave.sources.bars import keep_latest
+
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     w = df.write.mode("errorifexists")
@@ -63,3 +67,59 @@ def latest_entries(log: DataFrame, key: str, ts: str) -> DataFrame:
     """Newest log entry per key, as one combinable aggregate."""
     rest = [c for c in log.columns if c != key]
     return log.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(ts)).alias("e")).select(key, "e.*")
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(entries, damaged lines) of a JSON-lines log; blank lines are neither.
+
+    A line that is no JSON, or holds a value that does not fit its column, is damaged as a whole and
+    kept as text (``line``), so the two together are the log.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    with_line = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    parsed = lines.select("value", F.from_json("value", with_line, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}).alias("_e"))
+    bad = F.col("_e._line").isNotNull() | F.col("_e").isNull() | ~F.trim("value").startswith("{")
+    return parsed.where(~bad).select("_e.*").drop("_line"), parsed.where(bad).select(F.col("value").alias("line"))
+
+
+def upsert(load: DataFrame, path: str, keys: list[str], order: list, part: str) -> int:
+    """Merges a load into a Parquet table partitioned by ``part``; gives back how many partitions were written.
+
+    The last row of a key by ``order`` wins, the load's where it is equal.  Only partitions in which some row is new or
+    different are merged with their old rows and replaced (dynamic partition overwrite); files of
+    the others are not touched, and a load that changes nothing writes nothing.  ``part`` is a
+    function of the keys.  The merge is staged in the shared folder before anything is replaced.
+    """
+    spark = load.sparkSession
+    columns = load.columns
+    fresh = keep_latest(load, keys, [F.col(c) for c in _names(order)]).select(*columns)
+    try:
+        old = spark.read.schema(load.schema).parquet(path)
+        old.head(1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
+    if old is None:
+        staged = written(fresh, "upsert")
+    else:
+        rest = [c for c in columns if c not in keys]
+        there = old.select(*keys, F.struct(*rest).alias("_old"), F.lit(True).alias("_is"))
+        wins = F.coalesce(F.struct(*order) >= F.struct(*[F.col(f"_old.{c}") for c in _names(order)]), F.lit(True))
+        news = fresh.join(there, keys, "left").where(F.col("_is").isNull() | (wins & ~F.struct(*rest).eqNullSafe(F.col("_old"))))
+        # a load touches some partitions; their values are one small row each
+        touched = written(news.select(*columns), "upsert-news")
+        parts = touched.select(part).distinct()
+        kept = old.join(parts, part, "left_semi").join(touched, keys, "left_anti")
+        staged = written(kept.select(*columns).unionByName(touched), "upsert")
+    n = staged.select(part).distinct().count()
+    if n:
+        staged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    return n
+
+
+def _names(order: list) -> list[str]:
+    """Columns that an order is made of; they are plain names."""
+    if not all(isinstance(c, str) for c in order):
+        raise TypeError("order columns are given by name")
+    return order

@@ -65,14 +65,16 @@ def poll_append(stream: DataFrame, label: str, folder: str | None = None) -> Dat
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def callback_totals(stream: DataFrame, label: str = "callback") -> DataFrame:
+def callback_totals(stream: DataFrame, label: str = "callback", folder: str | None = None) -> DataFrame:
     """Bar source to callbacks: each batch leaves a small summary per side."""
-    spark, out = stream.sparkSession, run_dir(stream.sparkSession, label)
+    spark = stream.sparkSession
+    folder = folder or run_dir(spark, label)
+    out = _places(spark, label, folder)[0]
 
     def on_bars(df: DataFrame, batch: int) -> None:
         df.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    on_batches(stream, on_bars, label)
+    on_batches(stream, on_bars, label, folder=folder)
     return spark.read.parquet(out).groupBy("side").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
@@ -98,9 +100,9 @@ def recent_rings(stream: DataFrame, n: int, salts: int = 8) -> DataFrame:
     return keyed.groupBy("ticker", "salt").applyInPandasWithState(update, f"ticker long, salt long, {cols}", cols, "update", GroupStateTimeout.NoTimeout)
 
 
-def latest_signal(stream: DataFrame, ring: int = 20, min_rows: int = 50, label: str = "latest") -> DataFrame:
+def latest_signal(stream: DataFrame, ring: int = 20, min_rows: int = 50, label: str = "latest", folder: str | None = None) -> DataFrame:
     """Latest score against its own recent mean, once a key has enough history."""
-    rings = poll_update(recent_rings(stream, ring), label, ["ticker", "salt"])
+    rings = poll_update(recent_rings(stream, ring), label, ["ticker", "salt"], folder)
     n = rings.groupBy("ticker").agg(F.sum("n").alias("n_rows"))
     items = rings.select("ticker", F.explode(F.arrays_zip("ts", "score")).alias("e")).select("ticker", "e.ts", "e.score")
     w = Window.partitionBy("ticker").orderBy(F.desc("ts"))
@@ -110,23 +112,23 @@ def latest_signal(stream: DataFrame, ring: int = 20, min_rows: int = 50, label:
     return j.withColumn("signal", F.when(F.col("last_score") > F.col("mean_score"), "Bullish").when(F.col("last_score") < F.col("mean_score"), "Bearish").otherwise("Neutral"))
 
 
-def recent_snapshot(stream: DataFrame, n: int = 5, label: str = "publish") -> DataFrame:
+def recent_snapshot(stream: DataFrame, n: int = 5, label: str = "publish", folder: str | None = None) -> DataFrame:
     """Publish everything to an append sink; the snapshot is the newest n per key."""
-    t = poll_append(stream.select("ticker", "event_id", "ts", "score"), label)
+    t = poll_append(stream.select("ticker", "event_id", "ts", "score"), label, folder)
     return t.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("ts")))).where(F.col("rn") <= n)
 
 
-def latest_per_key(stream: DataFrame, label: str = "poll") -> DataFrame:
+def latest_per_key(stream: DataFrame, label: str = "poll", folder: str | None = None) -> DataFrame:
     """One-shot poll: newest row per key.  Partial aggregation runs before the
     shuffle, so a hot key costs one row per task."""
     agg = stream.groupBy("ticker").agg(F.max_by("score", "ts").alias("score"), F.max_by("side", "ts").alias("side"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
-    return poll_update(agg, label, ["ticker"])
+    return poll_update(agg, label, ["ticker"], folder)
 
 
-def idempotent_intents(stream: DataFrame, delay: str = "1 day", label: str = "intents") -> DataFrame:
+def idempotent_intents(stream: DataFrame, delay: str = "1 day", label: str = "intents", folder: str | None = None) -> DataFrame:
     """Intents deduplicated on as-of date, ticker and side within the watermark."""
     ids = stream.withColumn("as_of", F.to_date("ts")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["as_of", "ticker", "side"])
-    return poll_append(ids.select("as_of", "ticker", "side"), label)
+    return poll_append(ids.select("as_of", "ticker", "side"), label, folder)
 
 
 def tick_bars(stream: DataFrame, width: str = "6 hours", delay: str = "1 hour", label: str = "bars", folder: str | None = None) -> DataFrame:
@@ -164,6 +166,33 @@ def match_fills(orders: DataFrame, fills: DataFrame, within: str = "3 days", del
     return poll_append(o.join(f, cond).select("order_id", "fill_id", "ticker", "signal_price", "fill_price"), label, folder)
 
 
+def order_outcomes(orders: DataFrame, fills: DataFrame, within: str = "3 days", delay: str = "1 hour", label: str = "outcomes", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(orders that are decided, the orders seen): each decided order once, with its first fill or as expired.
+
+    A stream-stream left outer join: an order leaves Spark's state with its fills, or without one
+    when the watermark of both streams has passed its time bound.  The orders themselves are a
+    second sink of the same run, so what is in neither outcome is still pending (``order_status``).
+    """
+    seen = poll_append(orders.select(F.col("event_id").alias("order_id"), "ticker", F.col("ts").alias("o_ts"), F.col("score").alias("signal_price")), f"{label}-orders", folder)
+    o = orders.withWatermark("ts", delay).select(F.col("event_id").alias("order_id"), F.col("ticker").alias("o_ticker"), F.col("order_key").alias("o_key"), F.col("ts").alias("o_ts"), F.col("score").alias("signal_price"))
+    f = fills.withWatermark("ts", delay).select(F.col("event_id").alias("fill_id"), "ticker", "order_key", F.col("ts").alias("f_ts"), F.col("score").alias("fill_price"))
+    cond = (F.col("o_ticker") == F.col("ticker")) & (F.col("o_key") == F.col("order_key")) & (F.col("f_ts") >= F.col("o_ts")) & (F.col("f_ts") <= F.col("o_ts") + F.expr(f"interval {within}"))
+    rows = poll_append(o.join(f, cond, "left_outer").select("order_id", F.col("o_ticker").alias("ticker"), "o_ts", "signal_price", "fill_id", "f_ts", "fill_price"), label, folder)
+    first = F.min_by(F.struct("fill_id", "f_ts", "fill_price"), F.when(F.col("fill_id").isNotNull(), F.struct("f_ts", "fill_id")))
+    decided = rows.groupBy("order_id").agg(F.first("ticker").alias("ticker"), F.first("signal_price").alias("signal_price"), first.alias("_f"), F.count("fill_id").alias("fills"))
+    decided = decided.select("order_id", "ticker", "signal_price", "_f.*", "fills", F.when(F.col("fills") > 0, "filled").otherwise("expired").alias("status"))
+    return decided, seen
+
+
+def order_status(orders: DataFrame, fills: DataFrame, **how) -> DataFrame:
+    """Every order seen once: filled (with its first fill and how many there are), expired or pending."""
+    decided, seen = order_outcomes(orders, fills, **how)
+    waiting = seen.join(decided.select("order_id"), "order_id", "left_anti")
+    none = {"fill_id": "long", "f_ts": "timestamp", "fill_price": "double"}
+    rest = waiting.select("order_id", "ticker", "signal_price", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(0).cast("long").alias("fills"), F.lit("pending").alias("status"))
+    return decided.unionByName(rest)
+
+
 def kill_switch(stream: DataFrame, initial: float = 1000.0, halt: float = 0.10, resume: float = 0.05, delay: str = "1 day", label: str = "kill", folder: str | None = None) -> DataFrame:
     """Running equity, peak, drawdown and halt state per account and hour.
 
