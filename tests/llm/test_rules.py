@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barweave.llm import nearest
@@ -72,14 +73,72 @@ def test_distances_equal_steps_in_memory(spark):
     assert min(far) > 100  # a sixth of the rows lie elsewhere and do not mask each other
 
 
+def at_share(values, share):
+    """The smallest value with at least that share of all at or under it."""
+    return np.sort(values, axis=0)[int(np.ceil(share * len(values))) - 1]
+
+
+def plain_estimate(x):
+    """(rows, centre, scatter) of a group by concentration steps in memory."""
+    p, floors = x.shape[1], np.array([s for _, s in R.FEATURES])
+    q = nearest.chi_square_quantile(R.COVERAGE, p)
+    consistency = R.COVERAGE / nearest.chi_square_cdf(q, p + 2)
+    centre = at_share(x, 0.5)
+    inverse = np.diag(1 / np.maximum(at_share(abs(x - centre), 0.5) * 1.4826, floors) ** 2)
+    for _ in range(R.STEPS):
+        d2 = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+        near = x[d2 <= at_share(d2, R.COVERAGE)]
+        centre, cov = near.mean(axis=0), np.cov(near.T, ddof=0).reshape(p, p) * consistency
+        cov[np.diag_indices(p)] = np.maximum(np.diag(cov), floors**2)
+        inverse = np.linalg.pinv(cov)
+    return len(near), centre, cov
+
+
+def plain_judge(rows):
+    """doc_id -> (base_failed, d2) for (doc_id, text, lang, source) rows, all in memory."""
+    stats = [plain_stats(t) for _, t, _, _ in rows]
+    failed = [n < 20 or 100 * r > 30 * n for n, _, _, _, _, r in stats]
+    good = [i for i, f in enumerate(failed) if not f]
+    n, chars, symbols, lines, dup, rep = (np.array([stats[i][k] for i in good], dtype=float) for k in range(6))
+    some = np.maximum(lines, 1)
+    x = np.column_stack([np.log1p(n), np.log(chars / n), np.sqrt(symbols / n), np.sqrt(dup / some), np.sqrt(rep / n)])
+    words, rows_ = np.minimum(n, at_share(n, R.LONGEST)), np.minimum(some, at_share(lines, R.LONGEST))
+    least = np.column_stack([1 / (n + 1) ** 2, 1 / chars**2, 1 / words, 1 / rows_, 2 * R.WINDOW / words])
+
+    def level(key):
+        keys = [key(rows[i]) for i in good]
+        return keys, {k: plain_estimate(x[[j for j, q in enumerate(keys) if q == k]]) for k in set(keys)}
+
+    tongues, by_tongue = level(lambda r: r[2])
+    groups, by_group = level(lambda r: (r[2], r[3]))
+    every = plain_estimate(x)
+    lean = lambda own, above: [(own[1] * own[0] + above[0] * R.STRENGTH) / (own[0] + R.STRENGTH), (own[2] * own[0] + above[1] * R.STRENGTH) / (own[0] + R.STRENGTH)]
+    models = [lean(by_group[g], lean(by_tongue[t], every[1:])) for g, t in zip(groups, tongues, strict=True)]
+    word = 1.4826 * at_share(np.array([abs(v[1] - m[0][1]) for v, m in zip(x, models, strict=True)]) * np.sqrt(n), 0.5)
+    out = {rows[i][0]: (True, None) for i, f in enumerate(failed) if f}
+    for j, i in enumerate(good):
+        centre, cov = models[j][0], models[j][1].copy()
+        low = least[j].copy()
+        low[1] = max(low[1], word * word / n[j])
+        cov[np.diag_indices(5)] = np.maximum(np.diag(cov), low)
+        out[rows[i][0]] = (False, float((x[j] - centre) @ np.linalg.solve(cov, x[j] - centre)))
+    return out
+
+
 def test_odd_rows_and_small_groups(spark, docs):
     text = "some plain words that make a sentence of more than twenty words so that no base rule fails here at all today either"
-    rows = [(i, text + f" number {i}", "en", "a") for i in range(60)] + [(100, text, "xx", None), (100, text, "xx", None), (101, None, None, None), (102, "", "en", "a"), (None, "w " * 30_000, "en", "b")]
+    rows = [(i, text + f" number {i}", "en", "a") for i in range(60)] + [(100, text, "xx", None), (104, text, "xx", None), (101, None, None, None), (102, "", "en", "a"), (None, "w " * 30_000, "en", "b")]
     rows += [(103, " ".join("***" for _ in range(40)) + text, "en", "a")]
     out = R.judge(docs(*rows)).collect()
     assert len(out) == len(rows)
     by = {r["doc_id"]: r for r in out}
-    assert all(by[i]["kept"] for i in range(60)) and by[100]["kept"] and by[100]["d2"] is None
+    assert all(by[i]["kept"] for i in range(60)) and by[100]["kept"]
+    want = plain_judge([(r[0], r[1], r[2], r[3]) for r in rows])
+    assert len(want) == len(rows)
+    for i, (failed, d2) in want.items():
+        assert by[i]["base_failed"] == failed and (d2 is None if failed else by[i]["d2"] == pytest.approx(d2, rel=1e-6))
+    # a group of two rows is judged, too, by an estimate that leans on all rows
+    assert by[100]["d2"] == pytest.approx(3.15999, rel=1e-3)
     assert not by[101]["kept"] and not by[102]["kept"] and not by[103]["kept"] and by[None]["base_failed"]
     assert R.judge(docs()).count() == 0
 
@@ -104,6 +163,25 @@ def varied(i):
     return "\n".join(" ".join(word(i, k) + str(k // 90) for k in range(j, min(n, j + 7))) for j in range(0, n, 7))
 
 
+def test_verdicts_equal_a_plain_version(spark, docs):
+    """Two languages, several sources of different sizes, symbols, repeated lines and texts that fail."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(260):
+        text = varied(i)
+        if i % 9 == 0:
+            text += "\n" + text.split("\n")[0]
+        if i % 7 == 0:
+            text = text.replace(" ", " # ", int(rnd.integers(1, 6)))
+        rows.append((i, "too short" if i % 41 == 0 else text, ["en", "de", None][int(i % 10 > 6) + int(i % 50 == 49)], "abc"[int(rnd.integers(3))]))
+    got = {r["doc_id"]: r for r in R.judge(docs(*rows)).collect()}
+    cut = nearest.chi_square_quantile(R.CONFIDENCE, 5)
+    for i, (failed, d2) in plain_judge(rows).items():
+        assert got[i]["base_failed"] == failed
+        if not failed:
+            assert got[i]["d2"] == pytest.approx(d2, rel=1e-5) and got[i]["kept"] == (d2 <= cut)
+
+
 def test_estimated_spread_sets_the_scale(spark, docs):
     """Lines that nearly all repeat, in a text whose words and length are like any other's."""
     rows = [(i, varied(i), "en", "a") for i in range(200)]
