@@ -193,8 +193,9 @@ def normal_equations(df: DataFrame, keys: list[str], xs: list[Column], y: Column
     return g.select(*keys, "n", "yy", "sy", tri.alias("xtx"), F.array(*[F.col(f"b{i}") for i in range(k)]).alias("xty"))
 
 
-def solve_normal(eq: DataFrame, k: int, ridge: float = 0.0) -> DataFrame:
-    """Least-squares coefficients of each group's k-by-k system (one small row)."""
+def solve_normal(eq: DataFrame, k: int, ridge: float = 0.0, origin: bool = False) -> DataFrame:
+    """Least-squares coefficients of each group's k-by-k system (one small row); the first
+    column is the intercept unless the fit goes through the ``origin``."""
 
     @F.pandas_udf("array<double>")
     def solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
@@ -203,32 +204,34 @@ def solve_normal(eq: DataFrame, k: int, ridge: float = 0.0) -> DataFrame:
         for a, b in zip(xtx, xty):
             m = np.zeros((k, k))
             m[iu] = np.asarray(a, dtype=float)
-            m = m + m.T - np.diag(np.diag(m)) + ridge * np.diag([0.0] + [1.0] * (k - 1))
+            m = m + m.T - np.diag(np.diag(m)) + ridge * np.diag([float(origin)] + [1.0] * (k - 1))
             out.append(np.linalg.lstsq(m, np.asarray(b, dtype=float), rcond=1e-12)[0].tolist())
         return pd.Series(out)
 
     return eq.withColumn("coef", solve("xtx", "xty"))
 
 
-def neutralise(df: DataFrame, score: str, factors: list[str], sector_names: list[str], min_n: int = 10) -> DataFrame:
-    """Per date: residual of the score on intercept, factors and sector dummies
-    (first dropped).  Dates with too few names keep their score.
+def neutralise(df: DataFrame, score: str, factors: list[str], min_n: int = 10) -> DataFrame:
+    """Per date: residual of the score on intercept, factors and a dummy for each sector of the date.
+    Dates with too few names keep their score.
 
-    Only the sums of each date travel; the names of a date are never gathered.
+    The dummies are eliminated first: what they explain are the means within (date, sector), and the
+    factors' part is the regression of what is left on what is left of the factors.  So any number of
+    sectors does, no list of them is needed, and only sums of a date travel.
     """
     base = df.withColumns({f: F.coalesce(F.col(f), F.lit(0.0)) for f in factors})
-    centre = base.groupBy("date").agg(*[F.avg(f).alias(f"_c_{f}") for f in factors])
-    base = base.join(F.broadcast(centre), "date")
-    # centring the factors keeps the normal equations well conditioned
-    xs = [F.lit(1.0)] + [F.col(f) - F.col(f"_c_{f}") for f in factors]
-    xs += [F.when(F.col("sector") == s, 1.0).otherwise(0.0) for s in sector_names[1:]]
-    k = len(xs)
-    eq = normal_equations(base, ["date"], xs, F.col(score)).where((F.col("n") >= min_n) & (F.col("n") > k - 1))
-    coef = solve_normal(eq, k).select("date", "coef")
-    fitted = reduce(lambda a, ix: a + F.col("coef")[ix[0]] * ix[1], enumerate(xs), F.lit(0.0))
+    cols = [score, *factors]
+    within = base.groupBy("date", "sector").agg(F.count(F.lit(1)).alias("_names"), *[F.avg(c).alias(f"_m_{c}") for c in cols])
+    size = within.groupBy("date").agg(F.sum("_names").alias("_all"), F.count(F.lit(1)).alias("_sectors"))
+    base = base.join(within, ["date", "sector"]).withColumns({f"_d_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
+    k = len(factors)
+    eq = normal_equations(base, ["date"], [F.col(f"_d_{f}") for f in factors], F.col(f"_d_{score}")).join(F.broadcast(size), "date")
+    eq = eq.where((F.col("_all") >= min_n) & (F.col("_all") > k + F.col("_sectors") - 1))
+    coef = solve_normal(eq, k, origin=True).select("date", "coef")
     out = base.join(F.broadcast(coef), "date", "left")
-    res = F.when(F.col("coef").isNotNull(), F.col(score) - fitted).otherwise(F.col(score))
-    return out.withColumn("residual", res).withColumn("signal", classify(F.col("residual"), 0.5, -0.5)).drop("coef", *[f"_c_{f}" for f in factors])
+    fitted = reduce(lambda a, ix: a + F.col("coef")[ix[0]] * F.col(f"_d_{ix[1]}"), enumerate(factors), F.lit(0.0))
+    res = F.when(F.col("coef").isNotNull(), F.col(f"_d_{score}") - fitted).otherwise(F.col(score))
+    return out.withColumn("residual", res).withColumn("signal", classify(F.col("residual"), 0.5, -0.5)).drop("coef", "_names", *[f"_{x}_{c}" for x in "md" for c in cols])
 
 
 def neutralise_one(df: DataFrame, score: str, factor: str) -> DataFrame:

@@ -10,7 +10,7 @@ from barweave.operators import features as T
 from barweave.operators import joins
 from barweave.operators import regimes as R
 from barweave.plans.catalog import query
-from barweave.plans.features import FM, K, TREND, bars, chg, matrix, pr, rets, rm, trend
+from barweave.plans.features import CAPM, FM, K, TREND, bars, chg, matrix, pr, rets, rm, trend
 from barweave.plans.sqlbase import MARKET, PRICES, RET, SECTORS, lagx, roll
 from barweave.sources import tables as S
 
@@ -214,9 +214,20 @@ def neutral_input(spark, d):
     return joins.attach_dimension(c.select("ticker", "date", "score", "capm_beta", "size"), S.sectors(spark, d), "ticker", {"sector": "Other"})
 
 
-@query("factor_neutral_scores", "D18", K + "score:f residual:f signal:s")
+NEUTRAL = f"""{CAPM}, {SECTORS},
+nb AS (SELECT c3.ticker, c3.date, coalesce(sector, 'Other') AS sector, ({chg(20)})*10 AS score, coalesce(capm_beta, 0) AS capm_beta, ln(greatest(close*({roll('avg', 'volume', 21, 5)}), 1)) AS size0 FROM c3 LEFT JOIN sectors USING (ticker)),
+nc AS (SELECT *, coalesce(size0, 0) AS size FROM nb WHERE score IS NOT NULL),
+nd AS (SELECT *, score - avg(score) OVER g AS y, capm_beta - avg(capm_beta) OVER g AS u, size - avg(size) OVER g AS v FROM nc WINDOW g AS (PARTITION BY date, sector)),
+ne AS (SELECT date, count(*) AS n, count(DISTINCT sector) AS s, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*y) AS uy, sum(v*y) AS vy FROM nd GROUP BY date),
+nf AS (SELECT date, CASE WHEN n < 10 OR n <= 1 + s THEN NULL WHEN uu <= 1e-12*vv THEN 0 WHEN vv <= 1e-12*uu THEN uy/uu ELSE (uy*vv - vy*uv)/(uu*vv - uv*uv) END AS b,
+  CASE WHEN n < 10 OR n <= 1 + s THEN NULL WHEN uu <= 1e-12*vv THEN CASE WHEN vv > 0 THEN vy/vv ELSE 0 END WHEN vv <= 1e-12*uu THEN 0 ELSE (vy*uu - uy*uv)/(uu*vv - uv*uv) END AS c FROM ne),
+ng AS (SELECT nd.*, CASE WHEN b IS NULL THEN score ELSE y - b*u - c*v END AS residual FROM nd JOIN nf USING (date))"""
+
+
+@query("factor_neutral_scores", "D18", K + "score:f residual:f signal:s", f"""
+WITH {NEUTRAL} SELECT ticker, date, score, residual, CASE WHEN residual > 0.5 THEN 'Bullish' WHEN residual < -0.5 THEN 'Bearish' ELSE 'Neutral' END AS signal FROM ng""")
 def factor_neutral_scores(spark, d):
-    return X.neutralise(neutral_input(spark, d), "score", ["capm_beta", "size"], SECTOR_NAMES)
+    return X.neutralise(neutral_input(spark, d), "score", ["capm_beta", "size"])
 
 
 @query("single_factor_neutral", "D18", K + "residual:f", f"""
@@ -228,9 +239,15 @@ def single_factor_neutral(spark, d):
     return X.neutralise_one(a, "score", "vol_20")
 
 
-@query("exposure_diagnostics", "D19", "factor:s before:f after:f n_dates:i")
+def cor(x, y):
+    return f"CASE WHEN stddev_pop({x}) > 0 AND stddev_pop({y}) > 0 THEN corr({x}, {y}) END"
+
+
+@query("exposure_diagnostics", "D19", "factor:s before:f after:f n_dates:i", f"""
+WITH {NEUTRAL}, nh AS (SELECT date, {', '.join(f"{cor(f, y)} AS {y[0]}_{f}" for f in ('capm_beta', 'size') for y in ('score', 'residual'))} FROM ng GROUP BY date)
+{' UNION ALL '.join(f"SELECT '{f}' AS factor, avg(s_{f}) AS before, avg(r_{f}) AS after, count(s_{f}) AS n_dates FROM nh" for f in ('capm_beta', 'size'))}""")
 def exposure_diagnostics(spark, d):
-    n = X.neutralise(neutral_input(spark, d), "score", ["capm_beta", "size"], SECTOR_NAMES)
+    n = X.neutralise(neutral_input(spark, d), "score", ["capm_beta", "size"])
     return X.exposure_report(n, "score", ["capm_beta", "size"])
 
 

@@ -80,7 +80,7 @@ def cross(spark):
 
 def test_neutralise_equals_least_squares(cross):
     df, pdf = cross
-    got = {(r.ticker, r.date): r.residual for r in X.neutralise(df, "score", ["beta", "size"], ["A", "B", "C"]).collect()}
+    got = {(r.ticker, r.date): r.residual for r in X.neutralise(df, "score", ["beta", "size"]).collect()}
     for d, g in pdf.groupby("date"):
         if len(g) < 10:
             want = g["score"].to_numpy()  # too few names: left alone
@@ -92,7 +92,7 @@ def test_neutralise_equals_least_squares(cross):
 
 def test_exposures_vanish_after_neutralising(cross):
     df, _ = cross
-    n = X.neutralise(df.where(F.col("date") < F.lit(day(2))), "score", ["beta", "size"], ["A", "B", "C"])
+    n = X.neutralise(df.where(F.col("date") < F.lit(day(2))), "score", ["beta", "size"])
     for r in X.exposure_report(n, "score", ["beta", "size"]).collect():
         assert abs(r.after) < 1e-8 < abs(r.before)
 
