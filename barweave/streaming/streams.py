@@ -8,6 +8,7 @@ so a batch replayed after a failure overwrites its own output only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,9 +44,21 @@ def on_batches(stream: DataFrame, callback: Callable[[DataFrame, int], None], la
     _run(stream.writeStream.outputMode(mode).foreachBatch(callback), _places(stream.sparkSession, label, folder)[1])
 
 
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in whatever store Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
+
+
 def poll_update(stream: DataFrame, label: str, keys: list[str], folder: str | None = None) -> DataFrame:
-    """Run in update mode and read the newest version of each key.  A batch writes
-    only the keys it changed."""
+    """Run in update mode and read the newest version of each key.
+
+    A batch writes only the keys it changed, under its number, so a replayed batch replaces
+    its own output.  Each poll ends with a table of record: the last one with the batches
+    after it folded in.  A later poll reads that and its own batches, however many came before; batches
+    that a stopped job left behind are the next ones in number.
+    """
     spark = stream.sparkSession
     out, checkpoint = _places(spark, label, folder)
 
@@ -53,9 +66,21 @@ def poll_update(stream: DataFrame, label: str, keys: list[str], folder: str | No
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     _run(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint)
-    t = spark.read.parquet(out)
-    rest = [c for c in t.columns if c not in keys and c != "batch"]
-    return t.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_v")).select(*keys, "_v.*")
+    # a table counts once its success file is there; numbers are of equal width
+    record = max(_found(spark, f"{out}-record/upto=*/_SUCCESS"), default=None)
+    last = int(record.split("upto=")[-1].split("/")[0]) if record else -1
+    new = []
+    while _found(spark, f"{out}/batch={last + 1}/_SUCCESS"):
+        last += 1
+        new.append(spark.read.parquet(f"{out}/batch={last}").withColumn("_batch", F.lit(last)))
+    if new or not record:
+        old = [spark.read.parquet(record.removesuffix("/_SUCCESS")).withColumn("_batch", F.lit(-1))] if record else []
+        rows = reduce(DataFrame.unionByName, old + new) if old + new else spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(-1))
+        rest = [c for c in rows.columns if c not in (*keys, "_batch")]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_v")).select(*keys, "_v.*")
+        record = f"{out}-record/upto={max(last, 0):012}/_SUCCESS"
+        newest.write.mode("overwrite").parquet(record.removesuffix("/_SUCCESS"))
+    return spark.read.schema(stream.schema).parquet(record.removesuffix("/_SUCCESS")).select(*keys, *[c for c in stream.columns if c not in keys])
 
 
 def poll_append(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:

@@ -124,3 +124,29 @@ def test_other_jobs_go_on_in_their_folder(name, spark, sf, landing, tmp_path):
             os.link(f"{landing}/part-{k}.parquet", feed / f"part-{k}.parquet")
         out = rows(run(Q.event_stream(spark, str(feed), "part-*.parquet", 1), folder=folder))
     assert out == rows(run(Q.event_stream(spark, sf)))
+
+
+def test_a_poll_reads_its_table_of_record_and_new_batches_only(spark, sf, landing, tmp_path):
+    """Outputs of batches that the table of record holds are read no more: without them, later polls say the same."""
+    feed, folder = tmp_path / "feed", tmp_path / "job"
+    feed.mkdir()
+    rows = lambda out: sorted(str(r) for r in out.select("start", "ticker", "ticks", "close").collect())
+    for k in (0, 1, 2):
+        os.link(f"{landing}/part-{k}.parquet", feed / f"part-{k}.parquet")
+        out = rows(Q.tick_bars(Q.event_stream(spark, str(feed), "part-*.parquet", 1), folder=str(folder)))
+        for old in folder.glob("bars/batch=*"):
+            old.rename(tmp_path / f"gone-{k}-{old.name}")
+        assert rows(Q.tick_bars(Q.event_stream(spark, str(feed), "part-*.parquet", 1), folder=str(folder))) == out
+    assert out == rows(Q.tick_bars(Q.event_stream(spark, sf)))
+
+
+def test_batches_of_a_stopped_job_are_folded_in(spark, landing, tmp_path):
+    """A job that stopped after its batches, before its table of record was written."""
+    feed, folder = tmp_path / "feed", tmp_path / "job"
+    feed.mkdir()
+    for k in (0, 1, 2):
+        os.link(f"{landing}/part-{k}.parquet", feed / f"part-{k}.parquet")
+    run = lambda: sorted(str(r) for r in Q.latest_per_key(Q.event_stream(spark, str(feed), "part-*.parquet", 1), folder=str(folder)).collect())
+    want = run()
+    (folder / "poll-record").rename(tmp_path / "lost")
+    assert run() == want
