@@ -330,12 +330,6 @@ def reconcile_book(spark, d):
     return G.reconcile(*book_and_current(spark, d))
 
 
-@query("greedy_factor_limits", "G13", K + "score:f reason:s weight:f")
-def greedy_factor_limits(spark, d):
-    b = book_with_limits(spark, d)
-    return G.greedy_limits(b, max_positions=10, max_beta=0.5, max_sector=0.3, max_adv_frac=50.0)
-
-
 def book_with_limits(spark, d):
     t = target(spark, d)
     beta = T.capm(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
@@ -390,6 +384,20 @@ def greedy_limits_on_holdings(spark, d):
     return G.limits_on_holdings(b, held, **ON)
 
 
+@query("greedy_factor_limits", "G13", K + "score:f reason:s weight:f", f"""
+WITH RECURSIVE {GREEDY},
+wk AS (SELECT DISTINCT date, CAST(0 AS BIGINT) AS rn, CAST(0 AS DOUBLE) AS b, CAST([] AS STRUCT(s VARCHAR, u DOUBLE)[]) AS u, 0 AS kept, '' AS reason FROM bk
+  UNION ALL SELECT date, rn, CASE WHEN reason = 'kept' THEN nb ELSE b END, CASE WHEN reason = 'kept' THEN list_filter(u, lambda x: x.s <> sector) || [{{'s': sector, 'u': nu}}] ELSE u END, kept + (reason = 'kept')::INT, reason
+  FROM (SELECT *, CASE WHEN kept >= 10 THEN 'slots_full' WHEN nb > 0.5 THEN 'max_beta' WHEN nu > 0.3 + 1e-12 THEN 'max_sector_exposure' WHEN 0.1*1e6/px > 50.0*adv THEN 'liquidity_adv' ELSE 'kept' END AS reason
+    FROM (SELECT w.date, c.rn, w.b, w.u, w.kept, c.sector, c.px, c.adv, w.b + sign(c.score)*0.1*c.beta AS nb,
+      coalesce(list_sum(list_transform(list_filter(w.u, lambda x: x.s = c.sector), lambda x: x.u)), 0) + 0.1 AS nu FROM wk w JOIN bk c ON c.date = w.date AND c.rn = w.rn + 1))),
+kn AS (SELECT date, max(kept) AS n FROM wk GROUP BY date)
+SELECT bk.ticker, bk.date, bk.score, reason, CASE WHEN reason = 'kept' THEN sign(bk.score)*least(1.0/n, 0.12) ELSE 0.0 END AS weight FROM bk JOIN wk USING (date, rn) JOIN kn USING (date)""")
+def greedy_factor_limits(spark, d):
+    b = book_with_limits(spark, d)
+    return G.greedy_limits(b, max_positions=10, max_beta=0.5, max_sector=0.3, max_adv_frac=50.0)
+
+
 @query("greedy_limits_carried", "G13", K + "score:f reason:s weight:f round:i")
 def greedy_limits_carried(spark, d):
     return G.limits_carried(book_with_limits(spark, d).withColumn("account", F.lit(1)), **ON)
