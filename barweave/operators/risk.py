@@ -151,17 +151,17 @@ def factor_regression(series: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 
 def rolling_factor_betas(series: DataFrame, y: str, xs: list[str], n: int = 252) -> DataFrame:
-    """Rolling multi-factor coefficients: windowed sums of products, then one small
-    solve per date.  The series has one row per date."""
+    """Rolling multi-factor coefficients: windowed covariances, which are centred in each frame, then one
+    small solve per date.  The series has one row per date."""
     w = W.rows(n, "acct")
-    cols = [F.lit(1.0)] + [F.col(x) for x in xs]
-    k = len(cols)
-    s = series.withColumn("_n", F.count(y).over(w))
-    tri = F.array(*[F.sum(cols[i] * cols[j]).over(w) for i in range(k) for j in range(i, k)])
-    rhs = F.array(*[F.sum(c * F.col(y)).over(w) for c in cols])
+    k = len(xs)
+    s = series.withColumns({"_n": F.count(y).over(w), "_my": F.avg(y).over(w), **{f"_m{i}": F.avg(x).over(w) for i, x in enumerate(xs)}})
+    tri = F.array(*[F.covar_pop(xs[i], xs[j]).over(w) for i in range(k) for j in range(i, k)])
+    rhs = F.array(*[F.covar_pop(x, y).over(w) for x in xs])
     s = s.withColumns({"xtx": tri, "xty": rhs}).where(F.col("_n") >= n)
-    out = solve_normal(s.select("date", "xtx", "xty"), k)
-    return out.select("date", *[F.col("coef")[i + 1].alias(f"beta_{x}") for i, x in enumerate(xs)], F.col("coef")[0].alias("alpha"))
+    out = solve_normal(s, k, origin=True)
+    alpha = F.col("_my") - sum((F.col("coef")[i] * F.col(f"_m{i}") for i in range(k)), F.lit(0.0))
+    return out.select("date", *[F.col("coef")[i].alias(f"beta_{x}") for i, x in enumerate(xs)], alpha.alias("alpha"))
 
 
 def frontier(moments: DataFrame, means: DataFrame, n_candidates: int = 500, cap: float = 0.4, rf: float = 0.0, seed: int = 7) -> DataFrame:

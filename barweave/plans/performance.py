@@ -359,7 +359,13 @@ def feature_correlations(spark, d):
     return IC.feature_correlations(matrix(spark, d), FA, ("bb_position",))
 
 
-@query("low_redundancy_features", "K9", "feature:s kept:b variance:f")
+@query("low_redundancy_features", "K9", "feature:s kept:b variance:f", f"""
+WITH RECURSIVE {FM}, kv AS ({' UNION ALL '.join(f"SELECT '{x}' AS f, var_samp({x}) AS v FROM fmx" for x in FA)}), ko AS (SELECT *, row_number() OVER (ORDER BY v DESC, f) AS rn FROM kv),
+kc AS ({' UNION ALL '.join(f"SELECT '{x}' AS f, [{', '.join(f'abs(corr({x}, {y}))' for y in FA)}] AS r FROM fmx" for x in FA)}),
+kw AS (SELECT CAST(0 AS BIGINT) AS rn, '' AS f, CAST([] AS BIGINT[]) AS kept, false AS ok
+  UNION ALL SELECT rn, f, CASE WHEN ok THEN list_append(kept, pos) ELSE kept END, ok FROM (SELECT o.rn, o.f, w.kept, list_position({FA!r}, o.f) AS pos, len(list_filter(w.kept, lambda i: list_extract(c.r, i) > 0.5)) = 0 AS ok
+    FROM kw w JOIN ko o ON o.rn = w.rn + 1 JOIN kc c ON c.f = o.f))
+SELECT kv.f AS feature, ok AS kept, v AS variance FROM kw JOIN kv ON kv.f = kw.f""")
 def low_redundancy_features(spark, d):
     return IC.low_redundancy(matrix(spark, d), FA)
 
@@ -515,7 +521,20 @@ def factor_attribution(spark, d):
     return R.factor_regression(factor_series(spark, d), "r", XS)
 
 
-@query("rolling_factor_betas", "L8", "date:d alpha:f " + " ".join(f"beta_{x}:f" for x in XS))
+W8 = "OVER (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+FB = f"""{EQUITY}, {RET.lstrip()}, fe AS (SELECT date, equity/lag(equity) OVER (ORDER BY date) - 1 AS r FROM equity),
+fm0 AS (SELECT *, close/lag(close, 20) OVER (PARTITION BY ticker ORDER BY date) - 1 AS mom FROM ret),
+ff AS (SELECT date, avg(r) AS x1, stddev_samp(r) AS x2, avg(mom) AS x3 FROM fm0 GROUP BY date),
+fs AS (SELECT fe.date, fe.r AS y, x1, x2, x3 FROM fe JOIN ff USING (date) WHERE fe.r IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL),
+fw AS (SELECT date, count(y) {W8} AS n, avg(y) {W8} AS my, {', '.join(f"avg(x{i}) {W8} AS m{i}, covar_pop(x{i}, y) {W8} AS b{i}" for i in (1, 2, 3))},
+  {', '.join(f"covar_pop(x{i}, x{j}) {W8} AS a{i}{j}" for i in (1, 2, 3) for j in range(i, 4))} FROM fs),
+fd AS (SELECT *, a11*(a22*a33 - a23*a23) - a12*(a12*a33 - a23*a13) + a13*(a12*a23 - a22*a13) AS det FROM fw WHERE n >= 252),
+fc AS (SELECT *, (b1*(a22*a33 - a23*a23) - a12*(b2*a33 - a23*b3) + a13*(b2*a23 - a22*b3))/det AS c1, (a11*(b2*a33 - a23*b3) - b1*(a12*a33 - a23*a13) + a13*(a12*b3 - b2*a13))/det AS c2,
+  (a11*(a22*b3 - b2*a23) - a12*(a12*b3 - b2*a13) + b1*(a12*a23 - a22*a13))/det AS c3 FROM fd)"""
+
+
+@query("rolling_factor_betas", "L8", "date:d alpha:f " + " ".join(f"beta_{x}:f" for x in XS), f"""
+WITH {FB} SELECT date, my - c1*m1 - c2*m2 - c3*m3 AS alpha, c1 AS beta_mkt_f, c2 AS beta_disp_f, c3 AS beta_mom_f FROM fc""")
 def rolling_factor_betas(spark, d):
     return R.rolling_factor_betas(factor_series(spark, d), "r", XS)
 
