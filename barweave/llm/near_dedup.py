@@ -8,9 +8,9 @@ classes with a number of comparisons linear in the nodes.  What is left are
 regions with several classes: there every node outside the region's largest
 class is compared with the nodes of other classes in blocks of bounded size, by signatures
 and, where those agree enough, by full sets; only links that join classes leave a
-block.  Regions that
-hold more rows than ``REGION`` are cut at deeper prefixes.  So no partner of a
-node is dropped, and no group is expanded into all its pairs.
+block.  Regions of any size are met this way at the same depth, so which pairs are looked
+at does not depend on how many rows there are.  The price is named: a region of n nodes
+of which m lie outside its largest class costs n * m comparisons of signatures, in blocks.
 """
 
 from __future__ import annotations
@@ -33,12 +33,10 @@ SHINGLE = 5
 THRESHOLD = 80
 #: Signature values, orders, and values that neighbours must share.
 VALUES, TREES, DEPTH = 128, 32, 4
-#: Rows above which a region is cut one value, then two values deeper.
-REGION = 512
 #: Candidates of each node that are compared first.
 FIRST = 3
-#: Signature agreement below which a pair is not looked at: 4.5 standard deviations under that of a similarity of 0.8.
-AGREEMENT = 82
+#: Signature agreement below which a pair is not looked at: 5.8 standard deviations under that of a similarity of 0.8.
+AGREEMENT = 76
 #: Rows of a block of a region or class in one task.
 BLOCK = 1024
 
@@ -317,11 +315,8 @@ def classes(docs: DataFrame, keys: list[str], size: int = SHINGLE) -> DataFrame:
     roots = components(stored(_verified(best, _sets_of(docs, size, nodes, wanted)), "forest-links"), "forest-classes")
 
     # then what regions with several classes still hold
-    keyed = rows.select("digest", F.xxhash64("tree", "p1").alias("region"), F.xxhash64("tree", "p1", F.shiftright("p2", 48)).alias("_r5"), F.xxhash64("tree", "p1", F.shiftright("p2", 32)).alias("_r6"))
-    for deeper in ("_r5", "_r6"):
-        large = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > REGION).select("region", F.lit(True).alias("_large"))
-        keyed = keyed.join(large, "region", "left").withColumn("region", F.when(F.col("_large"), F.col(deeper)).otherwise(F.col("region"))).drop("_large")
-    links = _region_links(stored(keyed.select("digest", "region"), "forest-regions"), nodes, docs, size, roots)
+    regions = stored(rows.select("digest", F.xxhash64("tree", "p1").alias("region")), "forest-regions")
+    links = _region_links(regions, nodes, docs, size, roots)
     further = components(stored(links, "forest-links"), "forest-joined").select(F.col("node").alias("root"), F.col("root").alias("_to"))
     roots = roots.select("node", "root").unionAll(further.join(roots, further["root"] == roots["node"], "left_anti").select("root", "root"))
     roots = stored(roots.join(further, "root", "left").select(F.col("node").alias("digest"), F.coalesce("_to", "root").alias("_root")), "forest-roots")
@@ -337,7 +332,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Null and empty texts, and those of white space, have no shingles and no links.  Rows
     that repeat, or share a doc_id, are copies like others; of rows that share the
     smallest doc_id all are ``kept``.  A null doc_id counts as larger than any other.
-    An empty table gives an empty table.
+    An empty table gives an empty table.  Texts are shingled whole, however long.  Only
+    doc_id and text are read: other columns, of whatever name, change nothing.
     """
     placed = classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], size)
     least = stored(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("_least")), "forest-least")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -60,10 +61,9 @@ def test_registered_query_equals_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows) and len(rows) == len(texts)
 
 
-@pytest.mark.parametrize("region, block", [(N.REGION, N.BLOCK), (20, 16)])
-def test_dense_families_and_fringes_equal_brute_force(spark, monkeypatch, region, block):
+@pytest.mark.parametrize("block", [N.BLOCK, 16])
+def test_dense_families_and_fringes_equal_brute_force(spark, monkeypatch, block):
     # families whose members are near, at and under the threshold, and a passage that many share
-    monkeypatch.setattr(N, "REGION", region)
     monkeypatch.setattr(N, "BLOCK", block)
     rnd = random.Random(11)
     texts = [t for words, edits, n in ((120, 3, 60), (120, 6, 80), (60, 1, 20), (200, 12, 60), (30, 2, 20)) for t in family(rnd, words, edits, n)]
@@ -120,6 +120,24 @@ def test_signature_agreement_estimates_similarity():
     assert abs(agree - 3600 / 4400) < 0.12
 
 
+def test_pairs_at_the_threshold_are_missed_less_than_once_in_ten_million():
+    agree = sum(math.comb(N.VALUES, k) * 0.8**k * 0.2 ** (N.VALUES - k) for k in range(N.AGREEMENT))
+    apart = (1 - 0.8**N.DEPTH) ** N.TREES
+    assert N.TREES * N.DEPTH <= N.VALUES and agree + apart < 1e-7
+
+
+def test_one_link_into_a_crowd_is_found(spark):
+    # 700 copies of one text with a word of their own each, and a text that only one of them is near enough to
+    base = [f"b{i}" for i in range(100)]
+    crowd = [" ".join([*base, *[f"c{i}x{k}" for k in range(9)]]) for i in range(700)]
+    fringe = " ".join([*base[14:], *[f"c{350}x{k}" for k in range(9)]])
+    texts = dict(enumerate([*crowd, fringe]))
+    sets = sets_of(texts, 5)
+    linked = [i for i in range(700) if 100 * len(sets[i] & sets[700]) >= 80 * len(sets[i] | sets[700])]
+    assert linked == [350]
+    assert {v[1] for v in got(spark, texts, 5).values()} == {0}
+
+
 def test_components_of_a_star_a_path_and_a_ring(spark):
     rnd = random.Random(4)
     names = list(range(400))
