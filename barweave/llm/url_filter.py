@@ -22,6 +22,8 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
+#: Links out of one host that one task passes mass along.
+FAN = 50_000
 DAMPING = 0.85
 TOLERANCE = 1e-4
 SHARE = 0.5
@@ -75,19 +77,28 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
     The mass of all hosts always adds up to that of the seeds; what a host without
     links out would pass on returns to the seeds.  Sweeps go on until less than
     ``tolerance`` of the total mass moves.  Each sweep is one join on the source and
-    one map-side combined sum per target, so neither a hub that everyone links to
-    nor one that links to everyone needs its rows in one task at once.
+    one map-side combined sum per target.  A host with more than ``FAN`` links out is
+    cut into parts of about that many, and its mass is repeated once per part, so neither a hub
+    that everyone links to nor one that links to everyone needs its rows in one task.
     """
     total = seeds.agg(F.sum("seed")).first()[0] or 0.0  # one number
-    outs = edges.groupBy("src").agg(F.sum("links").alias("_out"))
-    share = stored(edges.join(outs, "src").select("src", "dst", (F.col("links") / F.col("_out")).alias("_share")), f"{label}-edges")
+    outs = stored(edges.groupBy("src").agg(F.sum("links").alias("_out"), F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("_parts")), f"{label}-outs")
+    hubs = stored(outs.where("_parts > 1").select("src", "_parts"), f"{label}-hubs")  # at most one in FAN edges
+    parts = F.coalesce("_parts", F.lit(1))
+
+    def repeated(hosts: DataFrame) -> DataFrame:
+        return hosts.join(hubs, "src", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+
+    dealt = edges.join(hubs, "src", "left").withColumn("_part", F.pmod(F.xxhash64("dst"), parts).cast("int")).drop("_parts")
+    share = dealt.join(repeated(outs.select("src", "_out")), ["src", "_part"]).select("src", "_part", "dst", (F.col("links") / F.col("_out")).alias("_share"))
+    share = stored(share, f"{label}-edges")
     mass = stored(seeds.where("seed > 0").select("host", F.col("seed").cast("double").alias("mass")), label)
     if total == 0 or share.isEmpty():
         return mass
     start = mass.withColumnRenamed("mass", "seed")
     while True:
         sent = (
-            share.join(mass, share["src"] == mass["host"])
+            share.join(repeated(mass.withColumnRenamed("host", "src")), ["src", "_part"])
             .groupBy(F.col("dst").alias("host"))
             .agg(F.sum(F.col("mass") * F.col("_share")).alias("_in"))
         )
@@ -112,8 +123,8 @@ def filter_urls(pages: DataFrame, rules=RULES, share: float = SHARE, damping: fl
     ``share`` of its pages (at least one page's worth for hosts only linked to), else
     ``allow``; so a host that neither seeds nor links reach is allowed.  Pages with a
     null url or one without ``://`` have an empty host: no rule fits, no host verdict
-    reaches them, they are allowed.  Null html has no links.  Repeated rows count as
-    often as they come.
+    reaches them, they are allowed.  Null html has no links; html is searched whole, however
+    long.  Repeated rows count as often as they come.  Other columns, of whatever name, are not read.
     """
     host, path = url_parts(F.col("url"))
     placed = pages.select("page_id", "html", host.alias("host"), path.alias("path"))

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from barweave.llm import url_filter as U
 
 PAGES = "page_id long, url string, html string"
@@ -50,7 +52,10 @@ def brute(rows, rules, damping=U.DAMPING, share=U.SHARE, sweeps=400):
 RULES = (("bad.com/", "block"), ("ok.bad.com/x", "allow"), ("good.org/", "allow"))
 
 
-def test_rules_and_propagation_equal_brute_force(spark):
+@pytest.mark.parametrize("fan", [U.FAN, 1])
+def test_rules_and_propagation_equal_brute_force(spark, monkeypatch, fan):
+    # with a fan of one, hosts with several links out are cut into parts
+    monkeypatch.setattr(U, "FAN", fan)
     link = lambda *hs: "".join(f'<a href="http://{h}/p">x</a>' for h in hs)
     rows = [
         (1, "http://BAD.com/a?q#f", link("mid.net")), (2, "https://ok.bad.com/x/1", ""), (3, "https://ok.bad.com/y", ""),
