@@ -106,11 +106,12 @@ def bars_ahead(signals: DataFrame, hold: int) -> DataFrame:
 def holdings(trade_log: DataFrame) -> DataFrame:
     """Daily holdings: each trade counts on every date from entry to exit.
 
-    A hold spans a few days, so the interval join is an explode of those days, and
-    (ticker, date, side) sums combine map-side.
+    Trades collapse to (ticker, entry, exit, side) first, map-side; a hold spans a few
+    days, so the interval join is then an explode of those days.
     """
-    days = trade_log.withColumn("date", F.explode(F.sequence("entry_date", "exit_date")))
-    return days.groupBy("ticker", "date", "direction").agg(F.sum("position_size").alias("value"), F.count(F.lit(1)).alias("n_lots"))
+    lots = trade_log.groupBy("ticker", "entry_date", "exit_date", "direction").agg(F.sum("position_size").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    days = lots.withColumn("date", F.explode(F.sequence("entry_date", "exit_date")))
+    return days.groupBy("ticker", "date", "direction").agg(F.sum("_v").alias("value"), F.sum("_n").alias("n_lots"))
 
 
 def daily_book(trade_log: DataFrame, equity: DataFrame, borrow_bps: float = 50.0) -> DataFrame:
