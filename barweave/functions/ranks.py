@@ -5,78 +5,88 @@ Here the work is spread by value range instead:
 
 1. ties collapse first: ``groupBy(keys, x).count()`` is combined map-side, so a
    value held by a third of the rows is one row after it;
-2. a bounded sketch per group (``percentile_approx``) gives cut points;
-3. distinct values fall into ranges by those cuts; only (group, range) totals are
-   accumulated in order, and each range is ranked on its own.
+2. all (group, value) rows are dealt by ranges of their order, over all groups at once,
+   and written once, each with the rows of its group before it in its range;
+3. one row per range and group is added up and joined back.
 
-The cuts only balance the work.  Any monotone cut gives the same exact ranks.
+Work follows the rows: small groups share a range, a large one spans several.  The
+ranges only balance the work; wherever they are cut, the ranks are exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.mathx import corr_of
-from barweave.session import cut_lineage, written
+from barweave.session import written
 
-#: Ranges per group where the session does not say how far to spread a shuffle.
-RANGES = 32
 
+def value_positions(df: DataFrame, keys: list[str], x: str, weight: str | None = None) -> DataFrame:
+    """One row per (keys, distinct non-null x): ``_c`` copies (or their summed ``weight``), ``_before``
+    rows of the group that are smaller and ``_n`` non-null rows of the group.  Groups with a null key are left out."""
+    if not keys:
+        return value_positions(df.withColumn("_g", F.lit(0)), ["_g"], x, weight).drop("_g")
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
+    order = [*keys, x]
+    dealt = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", _part int, _at long"
+    local = written(dealt.mapInArrow(_add_up_in_range(keys), schema), "positions")
+    offsets = _offsets(local.groupBy("_part", *keys).agg(F.sum("_c").alias("_t")), keys)
+    return local.join(offsets, ["_part", *keys]).select(*keys, x, "_c", (F.col("_off") + F.col("_at")).alias("_before"), "_n")
+
+
+def _offsets(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Of ``spans`` (_part, keys, _t rows): ``_off`` rows of the group in earlier ranges and ``_n`` in all."""
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    return spans.select(
+        "_part", *keys, (F.sum("_t").over(before) - F.col("_t")).alias("_off"), F.sum("_t").over(Window.partitionBy(*keys)).alias("_n")
+    )
 
-def ranges_of(df: DataFrame) -> int:
-    """As many value ranges per group as a shuffle has partitions, so that a single group uses them all."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", str(RANGES))))
 
+def _changes(column) -> np.ndarray:
+    import pyarrow.compute as pc
 
-def _distinct_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    return df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
+    if len(column) < 2:
+        return np.zeros(0, dtype=bool)
+    same = pc.fill_null(pc.equal(column[1:], column[:-1]), False)
+    both_null = pc.and_(pc.is_null(column[1:]), pc.is_null(column[:-1]))
+    return pc.invert(pc.or_(same, both_null)).to_numpy(zero_copy_only=False)
 
 
-def value_positions(df: DataFrame, keys: list[str], x: str, few: bool = False, ranges: int | None = None) -> DataFrame:
-    """One row per (keys, distinct x): ``_c`` copies, ``_before`` smaller rows and
-    ``_n`` non-null rows of the group.
+def _add_up_in_range(keys: list[str]):
+    """Adds to sorted rows their range and the copies (``_c``) of their group before them in it."""
 
-    ``few`` states that the number of *groups* is bounded (calendar dates, a fixed
-    label set, one group): only then are the per-group cuts and range totals
-    broadcast.  Without it the optimizer chooses by runtime size.
-    """
-    if not keys:
-        return value_positions(df.withColumn("_g", F.lit(0)), ["_g"], x, True, ranges).drop("_g")
-    hint = F.broadcast if few else (lambda d: d)
-    counts = _distinct_counts(df, keys, x)
-    ranges = ranges or ranges_of(df)
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(x, probs, F.lit(4 * ranges)).alias("_cuts"))
-    cut_of = F.aggregate("_cuts", F.lit(0), lambda a, v: a + F.when(v < F.col(x), 1).otherwise(0))
-    binned = counts.join(hint(cuts), keys).select(*keys, x, "_c", cut_of.alias("_b"))
-    totals = binned.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
-    # at most `ranges` rows per group
-    in_order = Window.partitionBy(*keys).orderBy("_b")
-    whole = Window.partitionBy(*keys)
-    offsets = totals.select(
-        *keys,
-        "_b",
-        (F.sum("_t").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_off"),
-        F.sum("_t").over(whole).alias("_n"),
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    return binned.join(hint(offsets), [*keys, "_b"]).select(
-        *keys,
-        x,
-        "_c",
-        (F.col("_off") + F.sum("_c").over(inside) - F.col("_c")).alias("_before"),
-        "_n",
-    )
+    def work(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        group, carried = None, 0
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            c = b.column("_c").to_numpy(zero_copy_only=False)
+            new = np.zeros(n, dtype=bool)
+            new[1:] = np.logical_or.reduce([_changes(b.column(k)) for k in keys])
+            if [b.column(k)[0] for k in keys] != group:
+                carried = 0
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            before = np.cumsum(c) - c
+            at = before - before[start] + np.where(start == 0, carried, 0)
+            group, carried = [b.column(k)[n - 1] for k in keys], int(at[-1] + c[-1])
+            extra = [pa.array(np.full(n, part, dtype=np.int32)), pa.array(at.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "_part", "_at"])
+
+    return work
 
 
-def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = False, size: str | None = None, few: bool = False) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = False, size: str | None = None) -> DataFrame:
     """Attach the average-tie rank (1-based, or divided by the group size).
     Rows with a null value keep a null rank."""
-    pos = value_positions(df, keys, x, few)
+    pos = value_positions(df, keys, x)
     rank = F.col("_before") + (F.col("_c") + 1) / 2.0
     cols = [*keys, x, (rank / F.col("_n") if pct else rank).alias(out)]
     if size:
@@ -86,9 +96,9 @@ def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = F
     )
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float], few: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with linearly interpolated quantiles ``{name: p}``."""
-    pos = value_positions(df, keys, x, few)
+    pos = value_positions(df, keys, x)
     first, last = F.col("_before"), F.col("_before") + F.col("_c") - 1
     aggs: list[Column] = []
     for name, p in probs.items():
@@ -105,22 +115,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, flo
     return got.select(*keys, *picks)
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", min_n: int = 2, few: bool = False, cut: bool = True) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "ic", min_n: int = 2) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
-    The range path reads its narrow input several times, so ``cut`` first writes it
-    to the shared folder once instead of replaying the plan above it.
+    Equal pairs collapse first and are written once; both columns are then ranked in one pass.
     """
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    if cut:
-        both = cut_lineage(both)
-    # pairs collapse first, so the rank joins see each (x, y) once
-    pairs = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    ranks = []
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    pairs = written(both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w")), "pairs")
+    sides = F.explode(F.array(*[F.struct(F.lit(v).alias("_side"), F.col(v).alias("_x")) for v in (x, y)]))
+    pos = value_positions(pairs.select(*keys, "_w", sides.alias("_s")).select(*keys, "_w", "_s.*"), ["_side", *keys], "_x", "_w")
+    j = pairs
     for v, r in ((x, "_rx"), (y, "_ry")):
-        p = value_positions(both, keys, v, few)
-        ranks.append(p.select(*keys, v, (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(r), F.col("_n").alias(f"{r}_n")))
-    j = reduce(lambda a, b: a.join(b[0], [*keys, b[1]]), ((ranks[0], x), (ranks[1], y)), pairs)
+        p = pos.where(F.col("_side") == v)
+        p = p.select(*keys, F.col("_x").alias(v), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(r), F.col("_n").alias(f"{r}_n"))
+        j = j.join(p, [*keys, v])
     # the mean rank is (n+1)/2 exactly, so the centred sums need no first pass
     mid = (F.col("_rx_n") + 1) / 2.0
     dx, dy, w = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")
@@ -166,12 +174,7 @@ def rank_columns(df: DataFrame, ids: list[str], specs: dict[str, tuple[str, str
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", _part int, _at long, _same long, _edge boolean"
     local = written(dealt.mapInArrow(_count_in_range(keys), schema), "ranks")
     spans = local.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_part")
-    offsets = spans.select(
-        "_part", *keys,
-        (F.sum("_t").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_off"),
-        F.sum("_t").over(Window.partitionBy(*keys)).alias("_n"),
-    )
+    offsets = _offsets(spans, keys)
     placed = local.join(offsets, ["_part", *keys]).withColumn("_first", F.col("_off") + F.col("_at"))
     # values at the ends of ranges: at most two per range
     cut = placed.where("_edge").groupBy(*keys, "_x").agg(F.min("_first").alias("_cut_first"), F.count(F.lit(1)).alias("_cut_len"), F.min("_part").alias("_p"), F.max("_part").alias("_q"))
@@ -186,13 +189,6 @@ def _count_in_range(keys: list[str]):
     """Adds to sorted rows their range, the rows of their group before their value in it,
     the rows with their value in it and whether that value lies at an end of the range."""
 
-    def changes(column) -> np.ndarray:
-        import pyarrow.compute as pc
-
-        if len(column) < 2:
-            return np.zeros(0, dtype=bool)
-        return pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
-
     def work(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -209,8 +205,8 @@ def _count_in_range(keys: list[str]):
 
         def runs(t):
             """Per row its run's start, its group's start (-1: before the table) and the runs' starts."""
-            new_group = np.concatenate([[False], np.logical_or.reduce([changes(t.column(k).combine_chunks()) for k in keys])])
-            new_run = new_group | np.concatenate([[False], changes(t.column("_x").combine_chunks())])
+            new_group = np.concatenate([[False], np.logical_or.reduce([_changes(t.column(k).combine_chunks()) for k in keys])])
+            new_run = new_group | np.concatenate([[False], _changes(t.column("_x").combine_chunks())])
             new_run[0] = True
             starts = np.nonzero(new_run)[0]
             group = np.maximum.accumulate(np.where(new_group, np.arange(len(t)), -1))

@@ -81,7 +81,7 @@ def zscore_then_lag(df: DataFrame, cols: list[str], ddof: int = 1) -> DataFrame:
 
 def cs_rank(df: DataFrame, x: str, out: str) -> DataFrame:
     """Percentile rank across the tickers of a date, average ties."""
-    return average_rank(df, ["date"], x, out, pct=True, few=True)
+    return average_rank(df, ["date"], x, out, pct=True)
 
 
 def rank_then_row_lag(df: DataFrame, x: str, out: str) -> DataFrame:

@@ -46,7 +46,7 @@ def long_pairs(df: DataFrame, xs: list[str], lags) -> DataFrame:
 def rank_ic_decay(df: DataFrame, x: str, lags) -> DataFrame:
     """Pooled rank IC per lag.  Lags are few but each holds every row, so ranks are
     by value range."""
-    return spearman(long_pairs(df, [x], lags), ["lag"], "x", "y", "ic", 10, few=True, cut=False).select("lag", F.coalesce("ic", F.lit(0.0)).alias("ic"), "n")
+    return spearman(long_pairs(df, [x], lags), ["lag"], "x", "y", "ic", 10).select("lag", F.coalesce("ic", F.lit(0.0)).alias("ic"), "n")
 
 
 def best_horizon(decay: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def ic_verdicts(ic: DataFrame, main_lag: int = 5, buckets: int = 4) -> DataFrame
 
 def daily_rank_ic(df: DataFrame, x: str, y: str, min_n: int = 8, n: int = 20, m: int = 10, floor: float = 0.0) -> DataFrame:
     """Daily rank IC with a rolling mean and an alert flag."""
-    s = spearman(df, ["date"], x, y, "ic_daily", min_n, few=True).where("ic_daily is not null").withColumn("acct", F.lit(1))
+    s = spearman(df, ["date"], x, y, "ic_daily", min_n).where("ic_daily is not null").withColumn("acct", F.lit(1))
     s = s.withColumn("rolling_ic", W.roll_mean("ic_daily", n, m, "acct"))
     return s.withColumn("below_threshold", F.coalesce(F.col("rolling_ic") < floor, F.lit(False)))
 
@@ -103,7 +103,7 @@ def daily_rank_ic(df: DataFrame, x: str, y: str, min_n: int = 8, n: int = 20, m:
 def feature_ic_decay(df: DataFrame, xs: list[str], lags, short: int = 5) -> DataFrame:
     """Pooled rank IC per feature and lag, with a flag for features whose strongest
     lag is a short one."""
-    ic = spearman(long_pairs(df, xs, lags), ["feature", "lag"], "x", "y", "ic", 10, few=True, cut=False)
+    ic = spearman(long_pairs(df, xs, lags), ["feature", "lag"], "x", "y", "ic", 10)
     best = ic.groupBy("feature").agg(F.max_by("lag", F.struct(F.abs("ic"), -F.col("lag"))).alias("best_lag"))
     return ic.join(F.broadcast(best), "feature").withColumn("short_horizon", F.col("best_lag") <= short)
 
@@ -145,7 +145,7 @@ def low_redundancy(df: DataFrame, xs: list[str], limit: float = 0.5) -> DataFram
 def select_by_ic(df: DataFrame, xs: list[str], y: str, strong=0.02, relaxed=0.01, min_strong=5, min_relaxed=3) -> DataFrame:
     """Features with |rank IC| above a threshold that relaxes when too few pass."""
     cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("x"), F.col(y).alias("y")) for x in xs]))
-    ic = spearman(cut_lineage(df.select(*xs, y)).select(cells.alias("s")).select("s.*"), ["feature"], "x", "y", "ic", 3, few=True, cut=False)
+    ic = spearman(cut_lineage(df.select(*xs, y)).select(cells.alias("s")).select("s.*"), ["feature"], "x", "y", "ic", 3)
     n = ic.agg(F.count_if(F.abs("ic") > strong).alias("_s"), F.count_if(F.abs("ic") > relaxed).alias("_r"))
     thr = F.when(F.col("_s") >= min_strong, strong).when(F.col("_r") >= min_relaxed, relaxed).otherwise(0.0)
     j = ic.withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
@@ -157,9 +157,9 @@ def metric_triple(df: DataFrame, score: str, y: str, keys: list[str] = ()) -> Da
     class, from counts per distinct score; nothing is ranked row by row."""
     keys = list(keys)
     ok = cut_lineage(df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*keys, score, y))
-    ic = spearman(ok, keys, score, y, "ic", 3, few=True, cut=False)
+    ic = spearman(ok, keys, score, y, "ic", 3)
     acc = ok.groupBy(*keys).agg(F.avg(F.when(F.signum(score) == F.signum(y), 1.0).otherwise(0.0)).alias("accuracy"))
-    pos = value_positions(ok, keys, score, few=True)
+    pos = value_positions(ok, keys, score)
     ups = ok.groupBy(*keys, score).agg(F.count_if(F.col(y) > 0).alias("_up"))
     r = pos.join(ups, [*keys, score]).groupBy(*keys).agg(
         F.sum(F.col("_up") * (F.col("_before") + (F.col("_c") + 1) / 2.0)).alias("_rs"), F.sum("_up").alias("_p"), F.max("_n").alias("_n"))
@@ -174,7 +174,7 @@ def metric_triple(df: DataFrame, score: str, y: str, keys: list[str] = ()) -> Da
 def ranking_stability(df: DataFrame, x: str) -> DataFrame:
     """Per ticker: autocorrelation of its cross-section rank and how often it stays
     in the same decile."""
-    k = average_rank(df.where(F.col(x).isNotNull()), ["date"], x, "_rk", pct=True, few=True)
+    k = average_rank(df.where(F.col(x).isNotNull()), ["date"], x, "_rk", pct=True)
     dec = F.least(F.ceil(F.round(F.col("_rk") * 10, 9)), F.lit(10))
     k = k.withColumn("_d", dec).withColumns({"_pk": W.lag("_rk"), "_pd": W.lag("_d")})
     return k.groupBy("ticker").agg(corr_of("_rk", "_pk").alias("rank_autocorr"), F.avg(F.when(F.col("_pd").isNotNull(), F.when(F.col("_d") == F.col("_pd"), 1.0).otherwise(0.0))).alias("decile_retention"), F.count("_pk").alias("n"))

@@ -229,7 +229,7 @@ def chained_report(oos: DataFrame, k: int = 5, leak_ic: float = 0.3) -> DataFram
     # one test window per date, so scores of two windows never overlap
     daily = TR.top_k_daily(oos, "score", "fwd", k).join(F.broadcast(oos.select("date", "fold").distinct()), "date")
     g = daily.groupBy("fold").agg(F.count(F.lit(1)).alias("n_days"), F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.sum(F.log1p("ret")).alias("_l"))
-    ic = spearman(oos, ["fold"], "score", "fwd", "ic", 3, few=True, cut=False).select("fold", "ic")
+    ic = spearman(oos, ["fold"], "score", "fwd", "ic", 3).select("fold", "ic")
     j = g.join(ic, "fold")
     return j.select("fold", "n_days", (W.safe_div("_m", F.nullif(F.col("_s"), F.lit(0.0))) * M.ROOT).alias("sharpe"), (F.exp("_l") - 1).alias("total"), "ic",
                     (F.abs("ic") > leak_ic).alias("leak_suspect"), F.row_number().over(Window.orderBy(F.desc("ic"), "fold")).alias("rank"))
@@ -262,7 +262,7 @@ def blend_grid(preds: DataFrame, a: str, b: str, y: str, steps: int = 10) -> Dat
     rows; ranks per grid point are by value range."""
     ws = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
     g = cut_lineage(preds.select(a, b, y)).select(a, b, y, F.explode(ws).alias("w")).withColumn("blend", F.round(F.col("w") * F.col(a) + (1 - F.col("w")) * F.col(b), 10))
-    ic = spearman(g, ["w"], "blend", y, "ic", 3, few=True, cut=False)
+    ic = spearman(g, ["w"], "blend", y, "ic", 3)
     return ic.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ic"), "w")))  # one row per grid point
 
 

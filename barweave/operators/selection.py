@@ -156,7 +156,7 @@ def longs_and_shorts(scored: DataFrame, x: str, longs=5, shorts=5, min_strength=
 def daily_selection(scored: DataFrame, x: str, mult=0.8, longs=5, shorts=5, max_positions=8) -> DataFrame:
     """Crisis dates keep only the top 5 %; then |score| beyond ``mult`` deviations of
     what is left, heads of both sides, re-ranked by |score|."""
-    q = exact_quantiles(scored.where("regime = 'Crisis'"), ["date"], x, {"_q": 0.95}, few=True)
+    q = exact_quantiles(scored.where("regime = 'Crisis'"), ["date"], x, {"_q": 0.95})
     s = scored.join(F.broadcast(q), "date", "left").where(F.col("_q").isNull() | (F.col(x) > F.col("_q")))
     sd = s.groupBy("date").agg(F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("_sd"))
     s = s.join(F.broadcast(sd), "date").where(F.abs(x) > mult * F.col("_sd"))

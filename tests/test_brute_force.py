@@ -36,15 +36,35 @@ def skewed(spark):
 
 def test_ranks_under_skew(skewed):
     df, pdf = skewed
-    got = sorted((r.date, r.x, r.k) for r in K.average_rank(df, ["date"], "x", "k", pct=True, few=True).collect() if r.x is not None)
+    got = sorted((r.date, r.x, r.k) for r in K.average_rank(df, ["date"], "x", "k", pct=True).collect() if r.x is not None)
     pdf = pdf.dropna(subset=["x"])
     want = sorted(zip(pdf["date"], pdf["x"], pdf.groupby("date")["x"].rank(pct=True)))
     assert len(got) == len(want) and all(a[:2] == b[:2] and a[2] == pytest.approx(b[2]) for a, b in zip(got, want))
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_positions_do_not_depend_on_batches_or_ranges(spark, batch):
+    # groups and their ends fall anywhere in batches and ranges; null keys are left out, weights add up
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", None]) if i % 3 else "a", rng.randint(0, 40), rng.randint(1, 3)) for i in range(600)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(batch))
+    try:
+        df = spark.createDataFrame(rows, "g string, x int, w long")
+        got = sorted((r.g, r.x, r._c, r._before, r._n) for r in K.value_positions(df, ["g"], "x", "w").collect())
+    finally:
+        spark.conf.set(size, before)
+    want = []
+    for g in "abc":
+        mine = [(x, w) for k, x, w in rows if k == g]
+        want += [(g, v, sum(w for x, w in mine if x == v), sum(w for x, w in mine if x < v), sum(w for _, w in mine)) for v in sorted({x for x, _ in mine})]
+    assert got == want
+
+
 def test_quantiles_under_skew(skewed):
     df, pdf = skewed
-    got = {r.date: (r.a, r.b) for r in K.exact_quantiles(df, ["date"], "x", {"a": 0.5, "b": 0.95}, few=True).collect()}
+    got = {r.date: (r.a, r.b) for r in K.exact_quantiles(df, ["date"], "x", {"a": 0.5, "b": 0.95}).collect()}
     for d, g in pdf.groupby("date"):
         assert got[d] == (pytest.approx(g["x"].quantile(0.5)), pytest.approx(g["x"].quantile(0.95)))
 
@@ -52,7 +72,7 @@ def test_quantiles_under_skew(skewed):
 def test_spearman_under_skew(skewed):
     df, pdf = skewed
     pdf = pdf.dropna()
-    got = {r.date: r.ic for r in K.spearman(df, ["date"], "x", "y", few=True).collect()}
+    got = {r.date: r.ic for r in K.spearman(df, ["date"], "x", "y").collect()}
     for d, g in pdf.groupby("date"):
         assert got[d] == pytest.approx(np.corrcoef(g["x"].rank(), g["y"].rank())[0, 1])
 
