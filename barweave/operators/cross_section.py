@@ -173,8 +173,9 @@ def training_panel(matrix: DataFrame, sectors: DataFrame, macro: DataFrame, benc
     p = matrix.join(sectors.select("ticker", "sector"), "ticker", "left").fillna("Other", subset=["sector"])
     # several cross-section branches read the per-ticker part: write it once
     p = minus_sector_median(cut_lineage(p), ["ret_20d"])
-    p = zscore_then_lag(p, ["ret_20d_rel", "rsi_14", "bb_position", "overnight_gap"])
+    # ranked before the z-scores, whose passes the ranking would run once more
     p = rank_then_row_lag(p, "vol_20d", "vol_rank")
+    p = zscore_then_lag(p, ["ret_20d_rel", "rsi_14", "bb_position", "overnight_gap"])
     p = attach_macro(p, macro, ["vol_spike"])
     p = excess_forward(p, benchmark)
     return p.withColumns({c: F.lit(0.0) for c in ablate}) if ablate else p
