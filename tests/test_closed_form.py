@@ -121,3 +121,28 @@ def test_pct_rank_equals_pandas(spark):
     got = [r.k for r in W.add_pct_rank(df, {"k": ("x", 20, 5)}).orderBy("date").collect()]
     want = pd.Series(xs, dtype=float).rolling(20, min_periods=5).rank(pct=True)
     assert all((g is None and (w != w or xs[i] is None)) or g == pytest.approx(w) for i, (g, w) in enumerate(zip(got, want)))
+
+
+def test_wide_frames_equal_pandas_and_leave_no_sliding_frame(spark):
+    import pandas as pd
+
+    from barweave.operators import features as T
+
+    xs = [None if i % 11 == 5 else 1e9 if i == 3 else 100.37 if i > 150 else (i * 7 % 13) / 10 for i in range(220)]
+    df = spark.createDataFrame([("A", day(i), v) for i, v in enumerate(xs)], "ticker string, date date, x double")
+    frames = {s: (s, "x", 30, 10) for s in ("mean", "std", "z", "flat_z")}
+    got = W.add_frames(df, frames).orderBy("date").collect()
+    roll = pd.Series(xs, dtype=float).rolling(30, min_periods=10)
+    mean, std = roll.apply(lambda v: v[~(v != v)].mean(), raw=True), roll.apply(lambda v: v[~(v != v)].std(ddof=1), raw=True)
+    flat = range(180, 220)
+    for i, g in enumerate(got):
+        if mean[i] != mean[i]:
+            assert g.mean is None and g.std is None and g.z is None
+            continue
+        assert g.mean == pytest.approx(mean[i])
+        assert g.std == (0.0 if i in flat else pytest.approx(std[i]))
+        assert g.z == (None if i in flat or xs[i] is None else pytest.approx((xs[i] - mean[i]) / std[i], abs=1e-6))
+        assert g.flat_z == (None if xs[i] is None else 0.0 if i in flat else pytest.approx(g.z))
+    bars = spark.createDataFrame([("A", day(0), 1.0, 2.0, 0.1)], "ticker string, date date, close double, volume double, r double")
+    plan = T.trailing_zscores(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-251" not in plan
