@@ -16,6 +16,7 @@ from barweave.functions.mathx import clip, lookup, round_half_up
 from barweave.functions.ranks import exact_quantiles
 from barweave.operators import features as T
 from barweave.operators.cross_section import cs_rank
+from barweave.session import cut_lineage
 from barweave.sources.bars import calendar
 
 def by_date():
@@ -411,11 +412,21 @@ def prune_correlated(cands: DataFrame, limit: float = 0.7) -> DataFrame:
         F.col("x.ticker"), "date", F.col("x.score"), F.col("x._d.max_corr").alias("max_corr"), F.col("x._d.kept").alias("kept"))
 
 
-def return_history(rets: DataFrame, n: int = 60) -> DataFrame:
-    """Day numbers and returns of each row's last n bars, oldest first."""
-    ok, w = F.col("r").isNotNull(), W.rows(n)
+def return_history(rets: DataFrame, cands: DataFrame, n: int = 60) -> DataFrame:
+    """``cands`` with the day numbers and returns of their last n bars, oldest first.
+
+    A date's candidates are its slots, so all of them are bounded by the calendar and go to
+    the bars, which stay where they are: a bar moves only if it lies in the last n of a candidate.
+    """
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    return rets.withColumns({"days": F.collect_list(F.when(ok, day)).over(w), "rets": F.collect_list("r").over(w)})
+    bars = rets.select("ticker", "date", day.alias("_day"), "r", F.row_number().over(W.by_key()).alias("_at"))
+    spots = bars.select("ticker", "date", "_at").join(F.broadcast(cands), ["ticker", "date"]).withColumnRenamed("_at", "_to")
+    spots = cut_lineage(spots)
+    last = bars.drop("date").join(F.broadcast(spots), "ticker").where(F.col("_at").between(F.col("_to") - n + 1, F.col("_to")) & F.col("r").isNotNull())
+    got = last.groupBy("ticker", "date").agg(F.array_sort(F.collect_list(F.struct("_day", "r"))).alias("_h"))
+    none = F.array().cast(got.schema["_h"].dataType)
+    out = spots.drop("_to").join(got, ["ticker", "date"], "left").withColumn("_h", F.coalesce("_h", none))
+    return out.withColumns({"days": F.col("_h._day"), "rets": F.col("_h.r")}).drop("_h")
 
 
 def drawdown_multiplier(equity: DataFrame, key="acct") -> DataFrame:

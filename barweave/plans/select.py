@@ -332,7 +332,7 @@ def reconcile_book(spark, d):
 
 def book_with_limits(spark, d):
     t = target(spark, d)
-    beta = T.capm(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
+    beta = T.capm_parts(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
     adv = bars(spark, d).withColumn("adv", W.roll_mean("volume", 20, 1)).select("ticker", "date", "adv")
     j = t.join(beta, ["ticker", "date"], "left").join(adv, ["ticker", "date"], "left").join(S.sectors(spark, d).select("ticker", "sector"), "ticker", "left")
     return j.fillna({"beta": 1.0, "sector": "Unknown"})
@@ -346,7 +346,7 @@ def opening_book(spark, d):
     """The target book of each date, held on the next, with that day's betas."""
     b = book_with_limits(spark, d)
     held = G.carried_book(b, B.calendar(bars(spark, d))).withColumnRenamed("current_weight", "weight")
-    beta = T.capm(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
+    beta = T.capm_parts(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
     h = held.join(beta, ["ticker", "date"], "left").join(S.sectors(spark, d).select("ticker", "sector"), "ticker", "left")
     return b, h.fillna({"beta": 1.0, "sector": "Unknown"})
 
@@ -413,9 +413,8 @@ def single_name_and_adv_limits(spark, d):
 
 @query("correlation_pruning", "G14", K + "score:f max_corr:f kept:b")
 def correlation_pruning(spark, d):
-    hist = G.return_history(rets(spark, d), 60).select("ticker", "date", "days", "rets")
     cands = G.top_n(scored(spark, d).select("ticker", "date", "score"), 8, [F.desc(F.abs("score")), F.col("ticker")])
-    return G.prune_correlated(cands.join(hist, ["ticker", "date"]), 0.7)
+    return G.prune_correlated(G.return_history(rets(spark, d), cands, 60), 0.7)
 
 
 @query("drawdown_multiplier", "G15", "date:d drawdown:f multiplier:f", f"""
@@ -471,7 +470,7 @@ g3 AS (SELECT *, NOT CASE WHEN regime = 'Crisis' AND cnt >= 30 THEN score < cq W
 SELECT *, quantile_ok AND beta_ok AND strength_ok AS enter FROM g3""")
 def score_history_gates(spark, d):
     s = scored(spark, d)
-    beta = T.capm(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
+    beta = T.capm_parts(rm(spark, d)).select("ticker", "date", F.col("capm_beta").alias("beta"))
     return G.score_gates(s.join(beta, ["ticker", "date"]), "score", R.regime_score_std(s, "score"))
 
 

@@ -232,3 +232,15 @@ def test_frontier_weights(spark):
     for kind in ("best_sharpe", "min_var"):
         w = {r.ticker: r.w for r in rows if r.kind == kind}
         assert sum(w.values()) == pytest.approx(1.0) and w["B"] == pytest.approx(0.8, abs=0.05)
+
+
+def test_return_history_of_candidates_only(spark):
+    bars = [(t, day(i), None if i == 4 else float(t * i % 7)) for t in (1, 2) for i in range(t, 12)]
+    df = spark.createDataFrame(bars, "ticker int, date date, r double")
+    cands = spark.createDataFrame([(1, day(9), 0.5), (1, day(10), 0.4), (2, day(2), 0.1), (2, day(4), 0.2)], "ticker int, date date, score double")
+    got = {(r.ticker, r.date): (r.score, r.days, r.rets) for r in G.return_history(df, cands, 6).collect()}
+    assert len(got) == 4
+    for t, d, s in cands.collect():
+        last = [(x[1], x[2]) for x in bars if x[0] == t and x[1] <= d][-6:]
+        want = [((x - dt.date(1970, 1, 1)).days, r) for x, r in last if r is not None]
+        assert got[t, d] == (s, [w[0] for w in want], [w[1] for w in want])
