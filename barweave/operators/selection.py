@@ -6,6 +6,8 @@ before the shuffle, so a date of any width costs k rows per task.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,7 +134,8 @@ def ranked_candidates(signals: DataFrame, counts: DataFrame, min_strength=0.3, m
     sided = sided.where(F.col("side_rn") <= F.when(F.col("signal") == "Bullish", max_longs).otherwise(max_shorts))
     j = sided.join(counts, ["ticker", "date"], "left").withColumn("prior", F.coalesce("n_prior", F.lit(0)))
     j = j.withColumn("hold", holding_days(F.col("adj"), F.col("regime"), F.col("signal")))
-    order = F.abs("adj") - penalty * F.col("prior")
+    # the penalty is multiplied as a decimal: equal ranks stay equal and fall to the ticker
+    order = F.abs("adj") - (F.lit(Decimal(str(penalty))) * F.col("prior")).cast("double")
     return j.withColumn("priority", F.row_number().over(by_date().orderBy(order.desc(), F.col("ticker"))))
 
 

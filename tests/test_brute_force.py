@@ -244,3 +244,13 @@ def test_return_history_of_candidates_only(spark):
         last = [(x[1], x[2]) for x in bars if x[0] == t and x[1] <= d][-6:]
         want = [((x - dt.date(1970, 1, 1)).days, r) for x, r in last if r is not None]
         assert got[t, d] == (s, [w[0] for w in want], [w[1] for w in want])
+
+
+def test_candidate_priority_multiplies_the_penalty_as_sql_does(spark, con):
+    rows = [(i, day(0), "Bullish" if i % 2 else "Bearish", "Sideways", round(0.3 + i * 0.002, 4)) for i in range(300)]
+    s = spark.createDataFrame(rows, "ticker int, date date, signal string, regime string, score double")
+    counts = s.select("ticker", "date", F.col("ticker").cast("long").alias("n_prior"))
+    got = {r.ticker: r.priority for r in G.ranked_candidates(s, counts, max_longs=300, max_shorts=300).collect()}
+    sql = ", ".join(f"({i}, CAST({v!r} AS DOUBLE), CAST({i} AS HUGEINT))" for i, _, _, _, v in rows)
+    want = dict(con.execute(f"SELECT t, row_number() OVER (ORDER BY abs(a) - 0.002*p DESC, t) FROM (VALUES {sql}) v(t, a, p)").fetchall())
+    assert got == want
