@@ -75,3 +75,16 @@ def test_walk_forward_scores_every_tested_row_once(data):
     out = L.tree_walk_forward(data, XS, "y", {"trees": 3, "depth": 2, "rate": 0.5, "subsample": 1.0}, embargo=2).toPandas()
     assert len(out) == 60 * 6 and not out.duplicated(["ticker", "date"]).any()
     assert np.corrcoef(out["score"], out["fwd"])[0, 1] > 0.8
+
+
+def test_a_search_builds_its_features_once(spark, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(i):
+        built.add(1)
+        return float(i * 7 % 13)
+
+    rows = spark.range(400).select((F.col("id") % 4).alias("ticker"), F.expr("date_add(date'2024-01-01', cast(id div 4 as int))").alias("date"), feature("id").alias("x"), ((F.col("id") * 11 % 17) / 10.0).alias("y"))
+    assert L.ridge_search(rows, ["x"], "y").count() == 15
+    assert built.value == 400
