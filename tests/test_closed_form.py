@@ -146,3 +146,10 @@ def test_wide_frames_equal_pandas_and_leave_no_sliding_frame(spark):
     bars = spark.createDataFrame([("A", day(0), 1.0, 2.0, 0.1)], "ticker string, date date, close double, volume double, r double")
     plan = T.trailing_zscores(bars)._jdf.queryExecution().optimizedPlan().toString()
     assert "-251" not in plan
+
+
+def test_buckets_grow_with_the_prints():
+    from barweave.sources.tables import BUCKET_ROWS, bucket_count
+
+    assert bucket_count(600_000, 8) == 8
+    assert bucket_count(216 * BUCKET_ROWS + 1, 12) == 217
