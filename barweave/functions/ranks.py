@@ -86,6 +86,7 @@ def _add_up_in_range(keys: list[str]):
 def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = False, size: str | None = None) -> DataFrame:
     """Attach the average-tie rank (1-based, or divided by the group size).
     Rows with a null value keep a null rank."""
+    df = written(df, "ranked-rows")  # read by the ranking and the result
     pos = value_positions(df, keys, x)
     rank = F.col("_before") + (F.col("_c") + 1) / 2.0
     cols = [*keys, x, (rank / F.col("_n") if pct else rank).alias(out)]
@@ -96,6 +97,17 @@ def average_rank(df: DataFrame, keys: list[str], x: str, out: str, pct: bool = F
     )
 
 
+def rank_together(df: DataFrame, keys: list[str], ranks: dict[str, str]) -> DataFrame:
+    """Percentile ranks ``{out: column}`` of several columns in one pass; ``df`` is read once for it and once for the result."""
+    sides = F.explode(F.array(*[F.struct(F.lit(o).alias("_side"), F.col(x).cast("double").alias("_x")) for o, x in ranks.items()]))
+    pos = value_positions(df.select(*keys, sides.alias("_s")).select(*keys, "_s.*"), ["_side", *keys], "_x")
+    pct = (F.col("_before") + (F.col("_c") + 1) / 2.0) / F.col("_n")
+    out = df
+    for o, x in ranks.items():
+        out = out.join(pos.where(F.col("_side") == o).select(*keys, F.col("_x").alias(x), pct.alias(o)), [*keys, x], "left")
+    return out.select(*df.columns, *ranks)
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with linearly interpolated quantiles ``{name: p}``."""
     pos = value_positions(df, keys, x)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from barweave.functions import windows as W
 from barweave.functions.mathx import corr_of
 from barweave.functions.ranks import average_rank, exact_quantiles
-from barweave.session import cut_lineage
+from barweave.session import cut_lineage, written
 from barweave.sources.bars import align_ffill, calendar
 
 
@@ -277,7 +277,8 @@ def neutralise(df: DataFrame, score: str, factors: list[str], min_n: int = 10) -
     factors' part is the regression of what is left on what is left of the factors.  So any number of
     sectors does, no list of them is needed, and only sums of a date travel.
     """
-    base = df.withColumns({f: F.coalesce(F.col(f), F.lit(0.0)) for f in factors})
+    # read by the means within sectors, the sums and the result
+    base = written(df.withColumns({f: F.coalesce(F.col(f), F.lit(0.0)) for f in factors}), "neutral-rows")
     cols = [score, *factors]
     within = base.groupBy("date", "sector").agg(F.count(F.lit(1)).alias("_names"), *[F.avg(c).alias(f"_m_{c}") for c in cols])
     size = within.groupBy("date").agg(F.sum("_names").alias("_all"), F.count(F.lit(1)).alias("_sectors"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from barweave.functions import windows as W
 from barweave.functions.mathx import clip, round_half_up
 from barweave.operators import features as T
-from barweave.operators.cross_section import classify, cs_rank
+from barweave.functions.ranks import rank_together
+from barweave.operators.cross_section import classify
+from barweave.session import written
 
 
 def linear(weights: dict[str, float], intercept: float = 0.0, default: float = 0.0) -> Column:
@@ -96,11 +98,11 @@ def ensemble(df: DataFrame, members: dict[str, tuple[str, float]], mode: str = "
     """Weighted mean of member predictions after per-date ranking (missing 0.5),
     expanding z-scores, or clipping."""
     total = sum(max(0.0, w) for _, w in members.values())
-    out, terms = df, []
-    for c, (kind, w) in members.items():
-        out = out.withColumn(f"_m_{c}", F.round(member_score(F.col(c), kind), 10))
+    out, terms = df.withColumns({f"_m_{c}": F.round(member_score(F.col(c), kind), 10) for c, (kind, _) in members.items()}), []
+    if mode == "rank":
+        out = rank_together(written(out, "members"), ["date"], {f"_n_{c}": f"_m_{c}" for c in members})
+    for c, (_, w) in members.items():
         if mode == "rank":
-            out = cs_rank(out, f"_m_{c}", f"_n_{c}")
             v = F.coalesce(F.col(f"_n_{c}"), F.lit(0.5))
         elif mode == "zscore":
             out = T.expanding_zscore(out, f"_m_{c}", f"_n_{c}")

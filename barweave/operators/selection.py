@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
 from barweave.functions.mathx import clip, lookup, round_half_up
-from barweave.functions.ranks import exact_quantiles
+from barweave.functions.ranks import exact_quantiles, value_positions
 from barweave.operators import features as T
-from barweave.operators.cross_section import cs_rank
-from barweave.session import cut_lineage
+from barweave.session import cut_lineage, written
 from barweave.sources.bars import calendar
 
 def by_date():
@@ -80,23 +79,24 @@ def regime_top_k(scored: DataFrame, x: str, normal_k=10, crisis_k=4, normal_exp=
 def rank_weights(scored: DataFrame, x: str, long_only: bool = False) -> DataFrame:
     """Centred percentile ranks with unit gross weight.  Totals per date come from
     an aggregate, not a window over the date."""
-    r = cs_rank(scored, x, "_pr")
-    n = r.groupBy("date").agg(F.count(x).alias("_n"))
-    r = r.join(F.broadcast(n), "date")
-    pct = F.when(F.col("_n") > 1, (F.col("_pr") * F.col("_n") - 1.0) / F.nullif(F.col("_n") - 1.0, F.lit(0.0)))
-    r = r.withColumn("rank_pct", F.coalesce(pct, F.lit(0.5)))
-    raw = F.col("rank_pct") - 0.5
-    r = r.withColumn("weight_raw", F.greatest(raw, F.lit(0.0)) if long_only else raw)
-    g = r.groupBy("date").agg(F.sum(F.abs("weight_raw")).alias("_g"))
-    r = r.join(F.broadcast(g), "date")
+    scored = written(scored, "scores")  # read by the ranking and the result
+    pos = value_positions(scored, ["date"], x)  # a row per value: ranks and totals come from it, with its copies
+    rank = F.col("_before") + (F.col("_c") + 1) / 2.0
+    # a lone value, and a missing one, stands in the middle
+    pct = F.coalesce(F.when(F.col("_n") > 1, (rank - 1.0) / F.nullif(F.col("_n") - 1.0, F.lit(0.0))), F.lit(0.5))
+    raw = lambda p: F.greatest(p - 0.5, F.lit(0.0)) if long_only else p - 0.5
+    pos = pos.select("date", x, "_c", "_n", pct.alias("rank_pct"))
+    g = pos.groupBy("date").agg(F.max("_n").alias("_n"), F.sum(F.abs(raw(F.col("rank_pct"))) * F.col("_c")).alias("_g"))
+    r = scored.join(pos.select("date", x, "rank_pct"), ["date", x], "left").fillna(0.5, subset=["rank_pct"])
+    r = r.join(F.broadcast(g), "date", "left").fillna(0, subset=["_n", "_g"]).withColumn("weight_raw", raw(F.col("rank_pct")))
     flat = F.when(F.col(x).isNotNull(), 1.0 / F.col("_n")).otherwise(0.0) if long_only else F.lit(0.0)
-    return r.withColumn("weight", F.when(F.col("_g") > 1e-12, F.col("weight_raw") / F.nullif(F.col("_g"), F.lit(0.0))).otherwise(flat)).drop("_pr", "_n", "_g")
+    return r.withColumn("weight", F.when(F.col("_g") > 1e-12, F.col("weight_raw") / F.nullif(F.col("_g"), F.lit(0.0))).otherwise(flat)).drop("_n", "_g")
 
 
 def high_conviction(ranked: DataFrame, rank: str, score: str, threshold=0.6, k=5) -> DataFrame:
     """Names above the rank threshold, or everybody on dates where none passes;
     top k weighted by rank."""
-    valid = ranked.where(F.col(rank).isNotNull())
+    valid = written(ranked.where(F.col(rank).isNotNull()), "ranked")  # read twice
     any_pass = valid.groupBy("date").agg(F.max(F.col(rank) > threshold).alias("_any"))
     pool = valid.join(F.broadcast(any_pass), "date").where(~F.col("_any") | (F.col(rank) > threshold))
     top = top_n(pool, k, [F.desc(rank), F.desc(score), F.col("ticker")])
@@ -505,11 +505,13 @@ def rolling_kelly(trade_log: DataFrame, n: int = 50, m: int = 20) -> DataFrame:
 def score_gates(scored: DataFrame, x: str, regime_sd: DataFrame, crisis_q=0.95, bear_q=0.7, n=60, mult=1.0, beta_cut=1.0) -> DataFrame:
     """Entry gates from the name's own recent scores: regime quantiles, dispersion
     (with the regime's global deviation for short histories) and low beta in Crisis."""
-    s = scored.withColumns({
-        "_cnt": F.count(x).over(W.expanding()),
-        "_cq": W.roll_quantile(x, crisis_q, n, 1),
-        "_bq": W.roll_quantile(x, bear_q, n, 1),
-        "_sd": W.roll_std(x, n, 1),
+    quantiles = W.quantile_kernel(n, 1, crisis_q, bear_q)
+    s = W.add_frames(scored, {
+        "_cnt": lambda k: np.cumsum(~np.isnan(k[x])),
+        ".q": lambda k: quantiles(k[x]),
+        "_cq": lambda k: k[".q"][0],
+        "_bq": lambda k: k[".q"][1],
+        "_sd": ("std", x, n, 1),
     })
     s = s.join(F.broadcast(regime_sd.select("regime", F.col("score_std").alias("_rs"))), "regime", "left")
     sd = F.when(F.col("_cnt") >= 20, F.col("_sd")).otherwise(F.col("_rs"))

@@ -103,22 +103,31 @@ def bars_ahead(signals: DataFrame, hold: int) -> DataFrame:
     return signals.withColumns(cols)
 
 
-def holdings(trade_log: DataFrame) -> DataFrame:
+#: Trades a task of the daily holdings takes on average.
+TASK_TRADES = 500_000
+
+
+def holdings(trade_log: DataFrame, keys=("ticker", "date", "direction")) -> DataFrame:
     """Daily holdings: each trade counts on every date from entry to exit.
 
-    Trades collapse to (ticker, entry, exit, side) first, map-side; a hold spans a few
-    days, so the interval join is then an explode of those days.
+    Trades collapse to (ticker, entry, exit, side) first; a hold spans a few days, so the
+    interval join is then an explode of those days.  Both steps are dealt into parts whose number follows
+    the trades, so a task's tables stay of one size; the days of a ticker are in one part and
+    are added up there.
     """
-    lots = trade_log.groupBy("ticker", "entry_date", "exit_date", "direction").agg(F.sum("position_size").alias("_v"), F.count(F.lit(1)).alias("_n"))
-    days = lots.withColumn("date", F.explode(F.sequence("entry_date", "exit_date")))
-    return days.groupBy("ticker", "date", "direction").agg(F.sum("_v").alias("value"), F.sum("_n").alias("n_lots"))
+    log = trade_log.select("ticker", "entry_date", "exit_date", "direction", "position_size")
+    parts = max(log.sparkSession.sparkContext.defaultParallelism, -(-log.count() // TASK_TRADES))
+    hold = ["ticker", "entry_date", "exit_date", "direction"]
+    lots = log.repartition(parts, *hold).groupBy(*hold).agg(F.sum("position_size").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    days = lots.repartition(parts, "ticker").withColumn("date", F.explode(F.sequence("entry_date", "exit_date")))
+    return days.groupBy(*keys).agg(F.sum("_v").alias("value"), F.sum("_n").alias("n_lots"), F.sum(F.col("_v") * F.col("direction")).alias("net"), F.sum(F.when(F.col("direction") < 0, F.col("_v")).otherwise(0.0)).alias("short"))
 
 
 def daily_book(trade_log: DataFrame, equity: DataFrame, borrow_bps: float = 50.0) -> DataFrame:
     """Realised profit, equity, names held, exposures and borrow cost per date."""
-    h = holdings(trade_log).groupBy("date").agg(
-        F.count_distinct("ticker").alias("n_positions"), F.sum("value").alias("_g"), F.sum(F.col("value") * F.col("direction")).alias("_n"),
-        F.sum(F.when(F.col("direction") < 0, F.col("value")).otherwise(0.0)).alias("_s"))
+    # both sides of a name are one row by now, so names are counted without a set of them
+    h = holdings(trade_log, ("ticker", "date")).groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_positions"), F.sum("value").alias("_g"), F.sum("net").alias("_n"), F.sum("short").alias("_s"))
     j = equity.join(h, "date", "left")
     return j.select(
         "date", "pnl", "equity", F.coalesce("n_positions", F.lit(0)).alias("n_positions"),

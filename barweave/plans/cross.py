@@ -209,8 +209,9 @@ def training_panel(spark, d):
 
 
 def neutral_input(spark, d):
-    c = T.capm(rm(spark, d)).withColumn("size", F.ln(F.greatest(F.col("close") * W.roll_mean("volume", 21, 5), F.lit(1.0))))
-    c = c.withColumn("score", W.pct_change("close", 20) * 10).where("score is not null")
+    c = rm(spark, d).withColumn("score", W.pct_change("close", 20) * 10)
+    c = W.add_frames(c.select("ticker", "date", "close", "volume", "r", "m", "score"), T.capm_frames() | {"_adv": ("mean", "volume", 21, 5)})
+    c = c.withColumn("size", F.ln(F.greatest(F.col("close") * F.col("_adv"), F.lit(1.0)))).where("score is not null")
     return joins.attach_dimension(c.select("ticker", "date", "score", "capm_beta", "size"), S.sectors(spark, d), "ticker", {"sector": "Other"})
 
 

@@ -19,6 +19,7 @@ from barweave.plans.features import FM, K, LOGN, TREND, bars, ewm_sql, matrix, r
 from barweave.plans.performance import ER, WR, eq, log, srank
 from barweave.plans.select import BLOT, SCORED, SIG, blotter, scored, scored_fwd, signals
 from barweave.plans.sqlbase import EQUITY, MARKET, NEWS, PRICES, RET, TRADES, lagx, roll, win
+from barweave.session import written
 from barweave.sources import tables as S
 
 XS = ["ret_5d", "ret_20d", "mom_3m", "vol_20d", "volume_z20", "bb_position"]
@@ -144,7 +145,9 @@ def walk_forward_report(spark, d):
 WITH {PRICES} SELECT count(*) - count(DISTINCT ticker) AS n_rows, 0 AS missing, 0 AS diff_trend_score, 0 AS diff_rsi_14, 0 AS diff_bb_position, 0 AS diff_rsi_14_z, 0 AS diff_bb_position_z, 0 AS diff_trend_rank FROM prices WHERE date <= DATE '1998-12-31'""")
 def feature_leakage_check(spark, d):
     def feats(p):
-        z = X.cs_zscore(T.bollinger(T.rsi(T.trend_score(T.trend_features(p)))), ["rsi_14", "bb_position"])
+        t = T.trend_score(T.trend_features(p)).select("ticker", "date", "close", "trend_score")
+        f = W.add_frames(t, T.rsi_frames() | T.bollinger_frames()).drop("close")
+        z = X.cs_zscore(written(f, "features"), ["rsi_14", "bb_position"])
         return X.cs_rank(z, "trend_score", "trend_rank")
 
     p = bars(spark, d)

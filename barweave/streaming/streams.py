@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,11 +113,13 @@ def recent_rings(stream: DataFrame, n: int, salts: int = 8) -> DataFrame:
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
         count, ts, val = state.get if state.exists else (0, [], [])
-        ring = pd.DataFrame({"ts": list(ts), "score": list(val)}, columns=["ts", "score"])
+        t, v = np.array(ts, dtype=np.int64), np.array(val, dtype=float)
         for pdf in batches:
             count += len(pdf)
-            ring = pd.concat([ring, pdf[["ts_us", "score"]].rename(columns={"ts_us": "ts"})]).nlargest(n, "ts") if len(ring) else pdf[["ts_us", "score"]].rename(columns={"ts_us": "ts"}).nlargest(n, "ts")
-        t, v = [int(x) for x in ring["ts"]], [float(x) for x in ring["score"]]
+            t, v = np.concatenate([t, pdf["ts_us"].to_numpy()]), np.concatenate([v, pdf["score"].to_numpy(dtype=float)])
+            last = np.argsort(-t, kind="stable")[:n]  # the earlier arrival first among equal times
+            t, v = t[last], v[last]
+        t, v = t.tolist(), v.tolist()
         state.update((count, t, v))
         yield pd.DataFrame({"ticker": [key[0]], "salt": [key[1]], "n": [count], "ts": [t], "score": [v]})
 
