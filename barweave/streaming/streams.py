@@ -104,28 +104,42 @@ def callback_totals(stream: DataFrame, label: str = "callback", folder: str | No
     return spark.read.parquet(out).groupBy("side").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def recent_rings(stream: DataFrame, n: int, salts: int = 8) -> DataFrame:
-    """State per (ticker, salt): the count and the last n (ts, score) pairs seen.
+def recent_rings(stream: DataFrame, n: int, salts: int = 8, buckets: int = 1024) -> DataFrame:
+    """State per bucket of tickers: each ticker's count and its last n (ts, score) pairs seen.
 
-    A hot ticker is spread over salts.  The ring is kept by time, so late or
-    unordered rows land in their place; the last n of the union of rings is exact.
+    A call for every ticker would cost more than its rows, so a bucket's tickers are kept and brought up to date
+    together; a hot ticker is spread over as many buckets as there are salts.  Rings are kept by time, so late or
+    unordered rows land in their place; the last n of the union of a ticker's rings is exact.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        count, ts, val = state.get if state.exists else (0, [], [])
-        t, v = np.array(ts, dtype=np.int64), np.array(val, dtype=float)
-        for pdf in batches:
-            count += len(pdf)
-            t, v = np.concatenate([t, pdf["ts_us"].to_numpy()]), np.concatenate([v, pdf["score"].to_numpy(dtype=float)])
-            last = np.argsort(-t, kind="stable")[:n]  # the earlier arrival first among equal times
-            t, v = t[last], v[last]
-        t, v = t.tolist(), v.tolist()
-        state.update((count, t, v))
-        yield pd.DataFrame({"ticker": [key[0]], "salt": [key[1]], "n": [count], "ts": [t], "score": [v]})
-
-    keyed = stream.select("ticker", F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"), F.unix_micros("ts").alias("ts_us"), "score")
+        held = state.get if state.exists else ([], [], [], [], [])
+        kinds = (np.int64, np.int64, np.int64, np.int64, float)
+        who, count, of, ts, val = (np.array(x, dtype=t) for x, t in zip(held, kinds))
+        new = [(p["ticker"].to_numpy(np.int64), p["ts_us"].to_numpy(np.int64), p["score"].to_numpy(float)) for p in batches]
+        came = np.concatenate([x[0] for x in new])
+        who, at = np.unique(np.concatenate([who, came]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([count, np.ones(len(came), dtype=np.int64)])).astype(np.int64)
+        of = np.concatenate([of, came])
+        ts, val = np.concatenate([ts, *[x[1] for x in new]]), np.concatenate([val, *[x[2] for x in new]])
+        order = np.lexsort((-ts, of))  # newest first; the earlier arrival first among equal times
+        of = of[order]
+        last = np.arange(len(of)) - np.searchsorted(of, of) < n
+        of, ts, val = of[last], ts[order][last], val[order][last]
+        state.update(tuple(x.tolist() for x in (who, count, of, ts, val)))
+        changed = np.unique(came)
+        lo, hi = np.searchsorted(of, changed), np.searchsorted(of, changed, side="right")
+        yield pd.DataFrame({
+            "ticker": changed, "salt": key[0], "n": count[np.searchsorted(who, changed)],
+            "ts": [ts[i:j].tolist() for i, j in zip(lo, hi)], "score": [val[i:j].tolist() for i, j in zip(lo, hi)],
+        })
+
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts))
+    at = F.coalesce(F.unix_micros("ts"), F.lit(-(2**62)))  # rows without a time come last
+    keyed = stream.where(F.col("ticker").isNotNull()).select(F.pmod(F.xxhash64("ticker") + salt, F.lit(buckets)).alias("salt"), "ticker", at.alias("ts_us"), "score")
     cols = "n long, ts array<long>, score array<double>"
-    return keyed.groupBy("ticker", "salt").applyInPandasWithState(update, f"ticker long, salt long, {cols}", cols, "update", GroupStateTimeout.NoTimeout)
+    kept = "who array<long>, count array<long>, of array<long>, ts array<long>, score array<double>"
+    return keyed.groupBy("salt").applyInPandasWithState(update, f"ticker long, salt long, {cols}", kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def latest_signal(stream: DataFrame, ring: int = 20, min_rows: int = 50, label: str = "latest", folder: str | None = None) -> DataFrame:

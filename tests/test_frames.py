@@ -74,3 +74,21 @@ def test_rounding_forms_agree(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = df.select(F.when(~F.isnan("x"), rounded(F.col("x"))).alias("a"), rounded_arrays(F.col("x")).alias("b"), F.when(~F.isnan("x"), F.round(F.col("x") + OFFSET, 6)).alias("c")).collect()
     assert all(r.a == r.b == r.c for r in got)
+
+
+def test_rings_of_a_bucket_equal_those_of_its_tickers(spark, tmp_path):
+    from barweave.streaming import streams as Q
+
+    rows = spark.range(900).select(F.col("id").alias("event_id"), F.timestamp_seconds((F.col("id") * 7919) % 1000).alias("ts"), (F.col("id") % 11).alias("user_id"), F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("").alias("props"))
+    rows = rows.withColumn("user_id", F.when(F.col("event_id") % 50 > 0, F.col("user_id")))
+    for i in range(3):
+        rows.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rings = Q.poll_update(Q.recent_rings(Q.event_stream(spark, str(tmp_path / "in"), "*.parquet", 1), 5, 4, 3), "rings", ["ticker", "salt"], str(tmp_path / "out"))
+    got, want = {}, {}
+    for r in rings.collect():
+        n, items = got.get(r.ticker, (0, []))
+        got[r.ticker] = n + r.n, sorted([*items, *zip(r.ts, r.score)], reverse=True)[:5]
+    for r in rows.where("user_id is not null").withColumn("us", F.unix_micros("ts")).collect():
+        n, items = want.get(r.user_id, (0, []))
+        want[r.user_id] = n + 1, sorted([*items, (r.us, r.value)], reverse=True)[:5]
+    assert got == want
