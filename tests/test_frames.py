@@ -58,6 +58,29 @@ def test_rows_left_out_do_not_count(spark):
     assert got[1].m is None and got[2].m == 2.0 and got[5].l == 8.0
 
 
+def test_keys_share_a_stream_of_batches(spark):
+    """Keys that span batches, share one or have no name count on their own, and none gets a stream of its own."""
+    rows = [(t, i, float(i * i % 11)) for t, n in ((1, 3), (2, 25), (3, 1), (None, 9), (4, 8)) for i in range(n)]
+    df = spark.createDataFrame(rows[::-1], "ticker long, day int, x double").select("ticker", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("date"), "day", "x")
+    out = W.add_frames(df, {"where small": lambda k: k["x"] < 10.0, "m": ("mean", "x", 4, 1), "n": lambda k: np.full(len(k["x"]), float(len(k["x"])))})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for most in ("1", "7", "10000"):
+            spark.conf.set(size, most)
+            got = {(r.ticker, r.day): (r.m, r.n) for r in out.collect()}
+            want = {}
+            for t in (1, 2, 3, None, 4):
+                mine = [(i, x) for k, i, x in rows if k == t and x < 10.0]
+                for j, (i, _) in enumerate(mine):
+                    want[t, i] = (pytest.approx(np.mean([x for _, x in mine[max(0, j - 3) : j + 1]])), float(len(mine)))
+            assert got == want
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_date_moments_of_many_columns(spark):
     rows = spark.range(3000).select((F.col("id") % 7).alias("k"), F.rand(3).alias("a"), F.when(F.col("id") % 5 > 0, F.rand(4) + 1e6).alias("b"), F.lit(0.1).alias("c"))
     rows = rows.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int"))).repartition(5)
