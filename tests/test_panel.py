@@ -94,3 +94,19 @@ def test_short_tickers_and_odd_rows(spark):
     assert P.full_panel(m.limit(0), sectors, macro, days.withColumn("regime", F.lit("Bull")), days.withColumn("bench_fwd", F.lit(0.5))).count() == 0
     step = P.full_panel(m, sectors, macro, days.withColumn("regime", F.lit("Bull")), days.withColumn("bench_fwd", F.lit(0.5)), step=0, subset=["ret_5d", "vol_rank", "nothing"])
     assert step.columns == [*P.ALWAYS, "ret_5d", "vol_rank"] and {r["vol_rank"] for r in step.collect()} == {0.0}
+
+
+def test_a_subset_makes_only_its_own_z_scores(spark, monkeypatch):
+    start = dt.date(2020, 1, 1)
+    bars = [(t, start + dt.timedelta(i), 10.0, 10.0, 10.0, 10.0 + (i * t) % 7, 100.0 + i % t) for t in (2, 3, 5) for i in range(120)]
+    b = spark.createDataFrame(bars, "ticker long, date date, open double, high double, low double, close double, volume double")
+    market = b.where("ticker = 2").select(F.lit(1).alias("mkt"), "date", (F.dayofmonth("date") / 1000.0).alias("m"))
+    days = market.select("date")
+    rest = (spark.createDataFrame([(2, "x")], "ticker long, sector string"), days.select("date", *[F.lit(0.5).alias(c) for c in P.MACRO]), days.withColumn("regime", F.lit("Bull")), days.withColumn("bench_fwd", F.lit(0.1)))
+    matrix = P.ticker_matrix(b, market, least_rows=100)
+    asked, real = [], P.packed_moments
+    monkeypatch.setattr(P, "packed_moments", lambda df, cols, ddof: asked.append(cols) or real(df, cols, ddof))
+    part = P.full_panel(matrix, *rest, subset=["vol_rank", "ret_20d_cs_z", "bb_position"])
+    assert asked[0] == [*P.IN_PLACE, "vix_zscore", "vol_spike", "ret_20d"]
+    key = lambda r: (r["ticker"], r["date"])
+    assert sorted(part.collect(), key=key) == sorted(P.full_panel(matrix, *rest).select(*part.columns).collect(), key=key)
