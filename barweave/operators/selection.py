@@ -6,6 +6,7 @@ before the shuffle, so a date of any width costs k rows per task.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 import numpy as np
@@ -257,6 +258,14 @@ def greedy_limits(book: DataFrame, max_positions=10, cap=0.12, max_beta=1.0, max
         F.col("x.ticker"), "date", F.col("x.score"), F.col("x._d.reason").alias("reason"), F.col("x._d.weight").alias("weight"))
 
 
+def orderless_sum(values: list[float]) -> float:
+    """The sum rounded once, so that no order of the values changes it; a plain sum where they are not finite."""
+    try:
+        return math.fsum(values)
+    except (OverflowError, ValueError):
+        return sum(values)
+
+
 def walk_limits(names, scores, betas, sectors, advs, closes, holdings, limits: dict) -> list[tuple[str, float, int]]:
     """Decisions on one date's candidates, best first: (reason, weight, round) for each.
 
@@ -268,11 +277,12 @@ def walk_limits(names, scores, betas, sectors, advs, closes, holdings, limits: d
     every such round drops a name, so there are at most as many rounds as names (``round`` tells the one).
     """
     held: dict = {}
-    beta, used = 0.0, {}
-    for ticker, w, b, sec in holdings:
+    sizes: dict = {}
+    for ticker, w, _, sec in holdings:
         held[ticker] = held.get(ticker, 0.0) + w
-        beta += w * b
-        used[sec] = used.get(sec, 0.0) + abs(w)
+        sizes.setdefault(sec, []).append(abs(w))
+    # equal weights and clipped betas meet a limit exactly, so the last bit of these sums decides: it must not follow the order of the holdings
+    beta, used = orderless_sum([w * b for _, w, b, _ in holdings]), {sec: orderless_sum(x) for sec, x in sizes.items()}
     sizing = limits.get("sizing") or 1.0
     size = min(1.0 / max(1, limits["max_positions"]), limits["cap"]) * (sizing if sizing > 0 else 1.0)
     part, equity = limits.get("max_adv_frac"), limits["equity"]

@@ -108,3 +108,16 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], BOOK)
     h = spark.createDataFrame([], "ticker long, date date, weight double, beta double, sector string")
     assert G.limits_on_holdings(b.drop("account"), h).count() == G.limits_carried(b).count() == 0
+
+
+def test_a_limit_met_exactly_does_not_follow_the_order_of_the_holdings():
+    """Betas of longs and shorts cancel, so the candidate's half meets the limit; the last bit of a plain sum would decide."""
+    longs, shorts = [1, 1, 5, 1, 0, 1, 1, 5, 1, 1], [5, 1, 1, 5, 5]
+    held = [(1 / 15, float(b)) for b in longs] + [(-1 / 15, float(b)) for b in shorts]
+    rnd = random.Random(1)
+    for _ in range(500):
+        rnd.shuffle(held)
+        opened = [(i, w, b, "held") for i, (w, b) in enumerate(held)]
+        assert G.walk_limits([99], [1.0], [5.0], ["new"], [1e9], [100.0], opened, G.LIMITS | {"max_beta": 0.5}) == [("kept", 0.12, 0)]
+    assert G.orderless_sum([float("inf"), 1.0]) == float("inf") and G.orderless_sum([]) == 0.0
+    assert G.orderless_sum([float("inf"), -float("inf")]) != 0.0
