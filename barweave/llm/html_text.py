@@ -19,10 +19,10 @@ from heapq import nsmallest
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.llm.base import bounded_batches, look_up, ordered, query, stored, table
+from barweave.llm.base import BROADCAST_ROWS, bounded_batches, look_up, ordered, query, stored, table
 from barweave.llm.url_filter import url_parts
 
 # Element names of HTML and what they mean here.
@@ -298,13 +298,33 @@ def is_copy(page: dict, other: dict) -> bool:
     return sum(n for n, g in zip(page["sizes"], found) if not g) < COPY * sum(page["sizes"])
 
 
-def own_lines(lines: list[str], kinds: list[int], hashes: list[int], shared: list[int]) -> list[str]:
-    """A page's text: its article or else all lines, without those that may go and lie on a longest common
-    subsequence with ``shared``."""
+def folders_shared(path: str, other: str) -> int:
+    """How many leading folders two paths have in common."""
+    n = 0
+    for x, y in zip(path.split("/")[:-1], other.split("/")[:-1]):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def kept_lines(kinds: list[int], hashes: list[int], shared: list[int]) -> list[bool] | None:
+    """Which lines are a page's text: its article or else all lines, without those that may go and lie on a longest
+    common subsequence with ``shared``.  None where no line goes."""
     article = any(kinds)
     loose = [i for i, k in enumerate(kinds) if k == OTHER or not article]
     gone = {i for i, g in zip(loose, shared_lines([hashes[i] for i in loose], shared)) if g} if shared else ()
-    return [x for i, x in enumerate(lines) if (kinds[i] or not article) and i not in gone]
+    return [bool(k or not article) and i not in gone for i, k in enumerate(kinds)] if gone else None
+
+
+def own_lines(lines: list[str], kinds: list[int], hashes: list[int], shared: list[int]) -> list[str]:
+    """The lines that ``kept_lines`` tells."""
+    kept = kept_lines(kinds, hashes, shared) or [bool(k) or not any(kinds) for k in kinds]
+    return [x for x, k in zip(lines, kept) if k]
+
+
+#: Rows in order that are looked at together, with one more on either side.
+BLOCK = 4096
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -315,9 +335,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     copies and stand for one; these, in order of path, url and page_id, are each
     other's neighbours, so no run of copies hides the next different page.  A neighbour that shares a
     tenth of an article's word triples, or most text of a page without one, is a copy, too, and decides nothing.
-    A page without an article loses what it shares with the neighbour before it, else behind it; an
+    A page without an article loses what it shares with the nearer neighbour: the one whose path has more
+    leading folders in common, the one before it where they are as near, the other where one is a copy; an
     article loses lines outside its paragraphs, headings and items that both neighbours share; without
-    neighbours nothing goes.  Null and empty html give an empty text; a null url has
+    neighbours nothing goes.  Every page is differenced so, by the hashes of its lines; texts do not move
+    for it, unless many pages lose lines.  Null and empty html give an empty text; a null url has
     an empty host like other urls without one.  Repeated rows are pages each, with the same text.
     Very long pages are read whole; columns besides the three are ignored whatever their names.  An
     empty table gives an empty result.
@@ -334,7 +356,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), lines, kinds, marks], names=["page_id", "url", "lines", "kinds", "marks"])
 
     read = slim.mapInArrow(work, "page_id long, url string, lines array<string>, kinds array<byte>, marks array<int>")
-    read = stored(read.withColumns({"_host": host, "_path": path}), "page-lines")
+    read = stored(read.withColumns({"_host": host, "_path": path, "_at": F.monotonically_increasing_id()}), "page-lines")
     hashes = F.transform("lines", lambda x: F.xxhash64(x))
     article = F.filter(F.arrays_zip("lines", "kinds"), lambda x: x["kinds"] > 0)
     longest = F.array_max(F.transform(article, lambda x: F.struct(F.length(x["lines"]).alias("n"), x["lines"].alias("t"))))
@@ -345,27 +367,40 @@ def extract_text(pages: DataFrame) -> DataFrame:
     looks = F.struct(F.transform(loose, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(loose, F.length).alias("sizes"), "marks")
     first = keyed.where(F.size("lines") > 0).groupBy("_kin").agg(F.min(F.struct("_host", "_path", "url", "page_id", looks.alias("page"))).alias("_f"))
     placed = ordered(first.select("_kin", "_f.*"), "_host", "_path", "url", "page_id", label="page-order")
-    beside = lambda step, n: placed.select((F.col("_row") + step).alias("_row"), F.col("_host").alias(f"_{n}_host"), F.col("page").alias(n))
-    same = lambda n: F.when(F.col(f"_{n}_host") == F.col("_host"), F.col(n))
 
     @F.arrow_udf("array<long>")
-    def decide(page: pa.Array, before: pa.Array, behind: pa.Array) -> pa.Array:
-        return pa.array([template(*p) for p in zip(*(x.to_pylist() for x in (page, before, behind)), strict=True)], pa.list_(pa.int64()))
-
-    @F.arrow_udf("string")
-    def differ(lines: pa.Array, kinds: pa.Array, mine: pa.Array, shared: pa.Array) -> pa.Array:
-        each = zip(*(x.to_pylist() for x in (lines, kinds, mine, shared)), strict=True)
-        return pa.array(["\n".join(own_lines(*p)) for p in each], pa.string())
-
-    met = placed.join(beside(1, "before"), "_row", "left").join(beside(-1, "behind"), "_row", "left")
-    templates = met.select("_kin", decide("page", same("before"), same("behind")).alias("shared"))
-    templates = stored(templates, "page-templates")
-    # most articles have no line that may go: they need no look at their neighbours
-    open_ = (F.size("lines") > 0) & (~F.exists("kinds", lambda k: k > 0) | F.exists("kinds", lambda k: k == OTHER))
-    looked = look_up(keyed.where(open_).select("page_id", "url", "lines", "kinds", "_kin"), templates, "_kin", salts=8)
-    done = looked.select("page_id", "url", differ("lines", "kinds", hashes, "shared").alias("text"))
-    plain = F.array_join(F.transform(article, lambda x: x["lines"]), "\n")
-    return done.unionByName(keyed.where(~open_).select("page_id", "url", plain.alias("text")))
+    def decide(here: pa.Array, before: pa.Array, behind: pa.Array) -> pa.Array:
+        out = []
+        for h, *sides in zip(*(x.to_pylist() for x in (here, before, behind)), strict=True):
+            sides = [s if s and s["_host"] == h["_host"] else None for s in sides]
+            if all(sides) and not h["page"]["marks"] and folders_shared(h["_path"], sides[1]["_path"]) > folders_shared(h["_path"], sides[0]["_path"]):
+                sides.reverse()
+            out.append(template(h["page"], *(s and s["page"] for s in sides)))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    @F.arrow_udf("array<boolean>")
+    def differ(kinds: pa.Array, mine: pa.Array, shared: pa.Array) -> pa.Array:
+        each = zip(*(x.to_pylist() for x in (kinds, mine, shared)), strict=True)
+        return pa.array([kept_lines(*p) for p in each], pa.list_(pa.bool_()))
+
+    block = lambda step: F.floor((F.col("_row") + step) / BLOCK)
+    beside = Window.partitionBy("_block").orderBy("_row")
+    here = F.struct("_host", "_path", "page")
+    met = placed.select("_kin", "_row", here.alias("here"), F.explode(F.array_distinct(F.array(block(-1), block(0), block(1)))).alias("_block"))
+    met = met.withColumns({"before": F.lag("here").over(beside), "behind": F.lead("here").over(beside)}).where(F.col("_block") == block(0))
+    templates = stored(met.select("_kin", decide("here", "before", "behind").alias("shared")), "page-templates").where(F.size("shared") > 0)
+    numbers = keyed.where(F.size("lines") > 0).select("_at", "_kin", "kinds", hashes.alias("hashes"))
+    masks = look_up(numbers, templates, "_kin", salts=8).select("_at", differ("kinds", "hashes", "shared").alias("keep"))
+    masks = stored(masks, "page-masks").where(F.col("keep").isNotNull())
+    if masks.count() <= BROADCAST_ROWS:
+        looked = keyed.join(F.broadcast(masks), "_at", "left")
+    else:  # texts with a mask move; those of paragraphs, headings and items alone have none
+        loose_ = ~F.exists("kinds", lambda k: k > 0) | F.exists("kinds", lambda k: k == OTHER)
+        looked = keyed.where(loose_).join(masks, "_at", "left").unionByName(keyed.where(~loose_).withColumn("keep", F.lit(None).cast("array<boolean>")))
+    any_article = F.exists("kinds", lambda k: k > 0)
+    kept = F.coalesce("keep", F.transform("kinds", lambda k: (k > 0) | ~any_article))
+    text = F.array_join(F.transform(F.filter(F.arrays_zip("lines", kept.alias("kept")), lambda x: x["kept"]), lambda x: x["lines"]), "\n")
+    return looked.select("page_id", "url", text.alias("text"))
 
 
 @query("op5_extract_text")

@@ -152,3 +152,20 @@ def test_every_page_equals_a_plain_reading_of_the_rule(spark):
             cut += len(want) < sum(k > 0 or not article for _, k in b)
         assert out[i] == "\n".join(want), i
     assert cut > 10
+
+
+def test_the_nearest_page_decides_not_the_one_before(spark):
+    """Two folders of a host with templates of their own: the first page of a folder is nearer to the next than to the one before."""
+    page = lambda menu, k: f"<div>{menu}</div><p>story number {k} of this site</p>"
+    rows = [(i, f"http://a.org/news/{i}", page("News menu", i)) for i in (1, 2)] + [(i, f"http://a.org/sport/{i}", page("Sport menu", i)) for i in (3, 4)]
+    assert extracted(spark, rows) == {i: f"story number {i} of this site" for i in (1, 2, 3, 4)}
+
+
+def test_blocks_of_the_order_and_moved_texts_change_nothing(spark, monkeypatch):
+    rnd = random.Random(9)
+    body = lambda: "".join(f"<{(e := rnd.choice(['p', 'div']))}>{'w' * rnd.randint(1, 9)} {rnd.randint(0, 6)}</{e}>" for _ in range(6))
+    rows = [(i, f"http://{rnd.choice('ab')}.org/{rnd.choice('xy')}/{i}", f"<article>{body()}</article>" if i % 3 else body()) for i in range(80)]
+    want = extracted(spark, rows)
+    monkeypatch.setattr(H, "BLOCK", 3)
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    assert extracted(spark, rows) == want
