@@ -18,7 +18,7 @@ from barweave.functions import windows as W
 from barweave.functions.mathx import corr_of
 from barweave.functions.ranks import average_rank, exact_quantiles
 from barweave.session import cut_lineage, written
-from barweave.sources.bars import align_ffill, calendar
+from barweave.sources.bars import calendar
 
 
 # A spread below this is rounding noise of equal values and counts as flat.
@@ -167,23 +167,29 @@ def vol_rank_feature(rets: DataFrame, exclude: DataFrame) -> DataFrame:
 
 def breadth(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
     """Share of names above their averages and the advance/decline ratio, on the
-    forward-filled calendar.  The denominator is names with a valid average."""
-    g = align_ffill(bars, ["close"])
-    g = g.withColumns({"_f": W.roll_mean("close", fast, 10), "_s": W.roll_mean("close", slow, 40), "_p": W.lag("close")})
-    agg = g.groupBy("date").agg(
-        F.count_if(F.col("close") > F.col("_f")).alias("_af"),
-        F.count("_f").alias("_nf"),
-        F.count_if(F.col("close") > F.col("_s")).alias("_as"),
-        F.count("_s").alias("_ns"),
-        F.count_if(F.col("close") > F.col("_p")).alias("up"),
-        F.count_if(F.col("close") < F.col("_p")).alias("down"),
-    )
+    forward-filled calendar.  The denominator is names with a valid average.
+
+    A ticker is filled on the calendar and held against its averages as arrays, and a task adds up the dates of
+    all its tickers: filled rows are never made, and a row per date leaves a task.
+    """
+    cal = written(calendar(bars), "calendar")
+
+    def counts(k):
+        at, close = k["idx"].astype(int), k["close"]
+        known = np.maximum.accumulate(np.where(np.isnan(close), 0, np.arange(len(close))))
+        x = np.repeat(close[known], np.diff([*at, int(k["_last"][0]) + 1]))
+        f, s, p = W.frame_means(x, fast, 10), W.frame_means(x, slow, 40), np.concatenate([[np.nan], x[:-1]])
+        return at[0], np.stack([x > f, ~np.isnan(f), x > s, ~np.isnan(s), x > p, x < p], axis=1)
+
+    last = F.broadcast(cal.agg(F.max("idx").alias("_last")).withColumn("_k", F.lit(1)))
+    grid = bars.select("ticker", "date", "close").join(F.broadcast(cal), "date").withColumn("_k", F.lit(1)).join(last, "_k").drop("_k")
+    agg = W.added_up(grid, ["_af", "_nf", "_as", "_ns", "up", "down"], "idx", counts).join(F.broadcast(cal), "idx")
     return agg.select(
         "date",
-        W.safe_div("_af", "_nf").alias("above_fast"),
-        W.safe_div("_as", "_ns").alias("above_slow"),
-        "up",
-        "down",
+        W.safe_div("_af", F.nullif(F.col("_nf"), F.lit(0.0))).alias("above_fast"),
+        W.safe_div("_as", F.nullif(F.col("_ns"), F.lit(0.0))).alias("above_slow"),
+        F.col("up").cast("long").alias("up"),
+        F.col("down").cast("long").alias("down"),
         (F.col("up") / (F.col("down") + 1)).alias("adv_decline"),
     )
 

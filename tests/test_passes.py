@@ -53,3 +53,32 @@ def test_the_panel_keeps_no_wide_rows(spark, sf, monkeypatch):
     kept.clear()
     PP.training_panel_step(spark, sf)
     assert not [c for c in kept.values() if "ticker" in c]  # no rank nor median is left on in this step
+
+
+def test_breadth_counts_names_on_a_calendar_with_gaps(spark):
+    """Against pandas; no row of the filled calendar is made by Spark."""
+    import pandas as pd
+
+    from barweave.operators import cross_section as X
+
+    rng = np.random.default_rng(8)
+    start = dt.date(2021, 1, 1)
+    rows = [(t, start + dt.timedelta(i), None if rng.random() < 0.03 else float(rng.integers(90, 99))) for t in range(6) for i in range(30 * t, 260) if rng.random() < 0.3]
+    df = spark.createDataFrame(rows, "ticker long, date date, close double")
+    out = X.breadth(df)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    p = pd.DataFrame(rows, columns=["ticker", "date", "close"]).pivot(index="date", columns="ticker", values="close").astype(float)
+    has = ~pd.DataFrame(rows, columns=["ticker", "date", "close"]).assign(x=1.0).pivot(index="date", columns="ticker", values="x").ffill().isna()
+    p = p.sort_index().ffill()
+    means = {}
+    for t in p:
+        x = p[t][has[t]]
+        means[t] = (x, x.rolling(50, 1).mean().where(x.rolling(50, 1).count() >= 10), x.rolling(200, 1).mean().where(x.rolling(200, 1).count() >= 40), x.shift())
+    got = {r["date"]: r for r in out.collect()}
+    assert got.keys() == set(p.index)
+    for d, r in got.items():
+        at = [[v.get(d, np.nan) for v in m] for m in means.values()]
+        assert r["up"] == sum(x > q for x, _, _, q in at) and r["down"] == sum(x < q for x, _, _, q in at)
+        for name, i in (("above_fast", 1), ("above_slow", 2)):
+            n = sum(not np.isnan(a[i]) for a in at)
+            assert r[name] == (pytest.approx(sum(a[0] > a[i] for a in at) / n) if n else None)
