@@ -82,3 +82,14 @@ def test_breadth_counts_names_on_a_calendar_with_gaps(spark):
         for name, i in (("above_fast", 1), ("above_slow", 2)):
             n = sum(not np.isnan(a[i]) for a in at)
             assert r[name] == (pytest.approx(sum(a[0] > a[i] for a in at) / n) if n else None)
+
+
+def test_the_short_panel_keeps_no_wide_rows(spark, sf, monkeypatch):
+    from barweave.operators import cross_section as X
+    from barweave.plans import cross
+
+    kept, real = {}, X.written
+    monkeypatch.setattr(X, "written", lambda df, label: kept.setdefault(label, df.columns) and real(df, label))
+    monkeypatch.setattr(X, "cut_lineage", lambda df: pytest.fail("all features of the rows are kept"))
+    assert "excess" in cross.training_panel(spark, sf).columns
+    assert [len(c) for c in kept.values() if "ticker" in c] == [5]
