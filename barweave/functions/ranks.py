@@ -176,23 +176,24 @@ def rank_columns(df: DataFrame, ids: list[str], specs: dict[str, tuple[str, str
     """
     sub = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) if c else F.lit("")
     parts = [
-        F.struct(F.lit(n).alias("_name"), sub(s).alias("_sub"), (F.col(x).cast("double") + F.lit(0.0)).alias("_x"))
-        for n, (x, s) in specs.items()
+        F.struct(F.lit(i).alias("_name"), sub(s).alias("_sub"), (F.col(x).cast("double") + F.lit(0.0)).alias("_x"))
+        for i, (x, s) in enumerate(specs.values())
     ]
-    keys = ["_name", "date", "_sub"]
+    keys = ["date", "_name", "_sub"]  # dates first: most comparisons end there
     melted = df.select(*ids, *([] if "date" in ids else ["date"]), F.explode(F.array(*parts)).alias("_m")).select(*dict.fromkeys([*ids, "date"]), "_m.*")
     order = [*keys, "_x", *[i for i in ids if i != "date"]]
     dealt = melted.where(F.col("_x").isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", _part int, _at long, _same long, _edge boolean"
     local = written(dealt.mapInArrow(_count_in_range(keys), schema), "ranks")
     spans = local.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_t"))
-    offsets = _offsets(spans, keys)
+    # a row per group, and one more for each range that ends within one: broadcast, so the rows do not move for it
+    offsets = F.broadcast(written(_offsets(spans, keys), "offsets"))
     placed = local.join(offsets, ["_part", *keys]).withColumn("_first", F.col("_off") + F.col("_at"))
     # values at the ends of ranges: at most two per range
     cut = placed.where("_edge").groupBy(*keys, "_x").agg(F.min("_first").alias("_cut_first"), F.count(F.lit(1)).alias("_cut_len"), F.min("_part").alias("_p"), F.max("_part").alias("_q"))
     cut = cut.where("_p < _q").drop("_p", "_q")
     return placed.join(F.broadcast(cut), [*keys, "_x"], "left").select(
-        *dict.fromkeys([*ids, "date"]), "_name", "_sub", "_x",
+        *dict.fromkeys([*ids, "date"]), F.array(*[F.lit(n) for n in specs])[F.col("_name")].alias("_name"), "_sub", "_x",
         F.coalesce("_cut_first", "_first").alias("_first"), F.coalesce("_cut_len", "_same").alias("_len"), "_n",
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barweave.functions import windows as W
 from barweave.functions.mathx import corr_of
-from barweave.functions.ranks import average_rank, exact_quantiles, spearman, value_positions
+from barweave.functions.ranks import average_rank, exact_quantiles, rank_columns, spearman, value_positions
 from barweave.operators.metrics import one_row
 from barweave.session import cut_lineage
 
@@ -171,6 +171,40 @@ def metric_triple(df: DataFrame, score: str, y: str, keys: list[str] = ()) -> Da
     return one_row(ic, acc, r)
 
 
+def score_metrics(df: DataFrame, scores: list[str], y: str, key: str) -> DataFrame:
+    """``metric_triple`` of several scores of the same rows, as rows (key, score, ic, accuracy, auc, n).
+
+    ``df`` has ticker, date, the key and ``scores``.  The label is ranked once for all scores and a score once for both its
+    rank correlation and its AUC, all in one sort; a row's places meet again by ticker, and a row per key is left.
+    """
+    ok = reduce(lambda d, c: d.where(F.col(c).isNotNull()), [*scores, y], df)
+    columns = {f"c{i}": c for i, c in enumerate([y, *scores])}
+    rows = ok.select("ticker", F.col("date").alias("_day"), F.col(key).alias("date"), *[F.col(c).cast("double").alias(n) for n, c in columns.items()])
+    ranked = rank_columns(rows, ["ticker", "_day"], {n: (n, None) for n in columns})
+    place = F.col("_first") + (F.col("_len") + 1) / 2.0
+    # the middle place is (n+1)/2 exactly, so the centred sums need no first pass
+    each = ranked.select("ticker", "_day", "date", "_name", "_x", (place - (F.col("_n") + 1) / 2.0).alias("_d"), "_n").repartition("ticker")
+    of = lambda n, v: F.max(F.when(F.col("_name") == n, F.col(v))).alias(f"{v}{n}")
+    each = each.groupBy("ticker", "_day", "date").agg(F.max("_n").alias("_n"), *[of(n, v) for n in columns for v in ("_x", "_d")])
+    up, d = F.col("_xc0") > 0, lambda n: F.col(f"_d{n}")
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if(up).cast("double").alias("_p"), F.sum(d("c0") * d("c0")).alias("_yy")]
+    for n in list(columns)[1:]:
+        sums += [
+            F.sum(d(n) * d("c0")).alias(f"_xy{n}"), F.sum(d(n) * d(n)).alias(f"_xx{n}"), F.sum(F.when(up, d(n) + (F.col("_n") + 1) / 2.0)).alias(f"_rs{n}"),
+            F.avg(F.when(F.signum(f"_x{n}") == F.signum("_xc0"), 1.0).otherwise(0.0)).alias(f"_acc{n}"),
+        ]
+    g = each.groupBy("date").agg(*sums)
+    p, rest = F.col("_p"), F.col("n").cast("double") - F.col("_p")
+    cells = [
+        F.struct(
+            F.lit(c).alias("score"), F.when(F.col("n") >= 3, F.try_divide(F.col(f"_xy{n}"), F.sqrt(F.col(f"_xx{n}") * F.col("_yy")))).alias("ic"),
+            F.col(f"_acc{n}").alias("accuracy"), W.safe_div(F.coalesce(F.col(f"_rs{n}"), F.lit(0.0)) - p * (p + 1) / 2, F.nullif(p * rest, F.lit(0.0))).alias("auc"),
+        )
+        for n, c in list(columns.items())[1:]
+    ]
+    return g.select(F.col("date").alias(key), "n", F.explode(F.array(*cells)).alias("s")).select(key, "s.*", "n")
+
+
 def ranking_stability(df: DataFrame, x: str) -> DataFrame:
     """Per ticker: autocorrelation of its cross-section rank and how often it stays
     in the same decile."""

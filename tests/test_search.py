@@ -88,3 +88,35 @@ def test_a_search_builds_its_features_once(spark, tmp_path):
     rows = spark.range(400).select((F.col("id") % 4).alias("ticker"), F.expr("date_add(date'2024-01-01', cast(id div 4 as int))").alias("date"), feature("id").alias("x"), ((F.col("id") * 11 % 17) / 10.0).alias("y"))
     assert L.ridge_search(rows, ["x"], "y").count() == 15
     assert built.value == 400
+
+
+def test_a_ridge_search_keeps_sums_alone(data, monkeypatch):
+    """Rows are read once and none is written: folds, fits and errors come from a row of sums per date."""
+    written, real = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, label: written.append(df.columns) or real(df, label))
+    assert L.ridge_search(data, XS, "y", (1.0,)).count() == 3
+    assert written and not [c for c in written if "ticker" in c]
+
+
+def test_sums_are_those_of_numpy_for_any_keys_and_weights(spark):
+    rng = np.random.default_rng(9)
+    rows = [(("u", "v", None)[i % 3], i % 2, 1e6 + float(rng.standard_normal()), None if i % 17 == 0 else float(rng.standard_normal()), float(rng.standard_normal()), float(rng.uniform(0.5, 2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, h int, a double, b double, y double, w double").repartition(5)
+    got = {(r["g"], r["h"]): r for r in L.date_sums(df, ["a", "b"], "y", "w", ("g", "h")).collect()}
+    assert len(got) == 6
+    for (g, h), r in got.items():
+        z = np.array([[1.0, q[2] - r["centre"][0], q[3] - r["centre"][1], q[4] - r["centre"][2], q[5]] for q in rows if q[0] == g and q[1] == h and q[3] is not None])
+        m = (z[:, :4] * z[:, 4:]).T @ z[:, :4]
+        assert r["n"] == len(z) and r["yy"] == pytest.approx(m[3, 3]) and r["b2"] == pytest.approx(m[2, 3], abs=1e-6)
+        assert all(r[f"a{i}_{j}"] == pytest.approx(m[i, j], rel=1e-6, abs=1e-6) for i in range(3) for j in range(i, 3))
+
+
+def test_metrics_of_penalties_equal_those_of_each_score(data):
+    """Ties, null rows and several folds; the label is ranked once, not once for each penalty."""
+    tied = data.withColumn("a", F.round("a", 1)).withColumn("b", F.when(F.col("b").isNotNull(), F.lit(0.0))).withColumn("y", F.round("y", 1))
+    alphas = (0.1, 10.0)
+    want = {(r["fold"], r["alpha"]): r for r in L.fold_metrics(L.walk_forward(tied, XS, "y", alphas, 2)).collect()}
+    got = {(r["fold"], r["alpha"]): r for r in L.penalty_metrics(tied, XS, "y", alphas, 2).collect()}
+    assert got.keys() == want.keys() and len(got) == 4
+    for k, r in got.items():
+        assert r["n"] == want[k]["n"] and all(r[c] == pytest.approx(want[k][c], abs=1e-12) for c in ("ic", "accuracy", "auc"))
