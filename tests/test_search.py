@@ -120,3 +120,24 @@ def test_metrics_of_penalties_equal_those_of_each_score(data):
     assert got.keys() == want.keys() and len(got) == 4
     for k, r in got.items():
         assert r["n"] == want[k]["n"] and all(r[c] == pytest.approx(want[k][c], abs=1e-12) for c in ("ic", "accuracy", "auc"))
+
+
+def test_the_registered_search_draws_from_the_whole_ranges(spark, sf, monkeypatch):
+    from barweave.plans import panel as PP
+
+    asked = []
+    monkeypatch.setattr(PP, "panel", lambda *a, **k: None)
+    monkeypatch.setattr(PP.L, "tree_search", lambda *a, **k: asked.append((a, k)))
+    PP.panel_tree_search(spark, sf)
+    (args, named), = asked
+    assert len(args) == 3 and not {"ranges", "draws", "folds"} & named.keys()
+
+
+def test_dates_given_leave_rows_unwritten_and_scores_the_same(data, monkeypatch):
+    ranges, dates = {"trees": [2], "depth": [2], "rate": [0.5], "subsample": [1.0]}, data.where("y is not null").select("date").distinct()
+    want = {r["fold"]: (r["n"], r["r2"]) for r in L.tree_search(data, XS, "y", ranges, draws=1).collect()}
+    monkeypatch.setattr(L, "stored_rows", lambda *a: pytest.fail("rows are written"))
+    assert {r["fold"]: (r["n"], pytest.approx(r["r2"])) for r in L.tree_search(data, XS, "y", ranges, draws=1, dates=dates).collect()} == want
+    assert L.fits_at_once(data, 4) == 4
+    monkeypatch.setattr(L, "ROWS_AT_ONCE", 600)
+    assert L.fits_at_once(data, 4) == 1
